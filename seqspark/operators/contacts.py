@@ -17,11 +17,10 @@ def near_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     meets in exactly one cell, and no pair beyond neighbouring cells is formed.
     """
     cells = lambda df: df.select("*", *(_cell(c, cutoff).alias(f"c{c}") for c in "xyz"))
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1)).cast("array<long>")
     rename = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
     r = rename(cells(right), "r")
     for c in "xyz":
-        r = r.withColumn(f"r_c{c}", F.explode(F.transform(near, lambda k, c=c: F.col(f"r_c{c}") + k)))
+        r = r.withColumn(f"r_c{c}", F.explode(F.array(*(F.col(f"r_c{c}") + k for k in (-1, 0, 1)))))
     a = rename(cells(left), "l")
     on = (F.col("l_structure_id") == F.col("r_structure_id")) & (F.col("l_cx") == F.col("r_cx")) & (F.col("l_cy") == F.col("r_cy")) & (F.col("l_cz") == F.col("r_cz"))
     d = F.sqrt(sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}")) for c in "yz"), (F.col("l_x") - F.col("r_x")) * (F.col("l_x") - F.col("r_x"))))

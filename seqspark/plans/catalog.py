@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import properties
 from seqspark.operators import acquire, filters, select
-from seqspark.plans import core
+from seqspark.plans import core, structures
 from seqspark.plans.fixtures import fixture, render
 
-SPECS = {**core.SPECS}
+SPECS = {**core.SPECS, **structures.SPECS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
