@@ -1,6 +1,6 @@
 """Mixing documents to target weights of domains, with soft membership. Built-in functions only.
 
-A labelled table names the domains. A classifier with one Gaussian for each domain and shared variances, over shares of characters in the whole text,
+A labelled table names the domains. A classifier with one Gaussian for each domain and shared variances, over counts of short strings in the whole text,
 gives every document a posterior over domains. Document d with n_d tokens and posterior p_d gets a rate r_d >= 0 such that the expected
 tokens of domain k, t_k = sum_d r_d n_d p_dk, come to T_k. Rates minimise sum_k (t_k - T_k)^2 / m_k (m_k: tokens of domain k at
 rate 1) by accelerated projected gradient from r = 1; each step is one aggregation over all documents.
@@ -16,25 +16,28 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import scratch, written
 
-#: Characters whose shares of the lower-cased text are features.
-CHARACTERS = "aehilnorstuwz" + "éèäüñó" + ".,#%"
+#: Strings whose counts for each character of the text are features: they tell scripts, languages and junk apart.
+MARKS = ("th", "w", "z", "k", "q", "é", "ñ", "ü", "#")
 WORD = r"[^\x20\x09-\x0D]+"
+N_FEATURES = len(MARKS) + 2
 
 
-def _text() -> Column:
-    return F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def text_features(docs: DataFrame) -> list[Column]:
+    """n_tokens and the array f of features of the text column; an empty text has zeros."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size, n_bytes = F.greatest(F.length(text), F.lit(1)), F.octet_length(text)
+    count = lambda c: (n_bytes - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / size
+    tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
+    return [tokens.alias("n_tokens"), F.array(*(count(c) for c in MARKS), n_bytes / size - 1, F.log1p(tokens) / 100).alias("f")]
 
 
-def text_features(docs: DataFrame) -> list[Column]:
-    """n_tokens and the features f0, f1, ... of the text column; an empty text has zeros."""
-    text, size = _text(), F.greatest(F.length(_text()), F.lit(1))
-    count = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / size
-    tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    shape = [F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz \n", "")) / size, F.log1p(tokens) / 100]
-    return [tokens.alias("n_tokens"), *(x.alias(f"f{i}") for i, x in enumerate([*(count(c) for c in CHARACTERS), *shape]))]
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-N_FEATURES = len(CHARACTERS) + 2
+def _draw() -> Column:
+    """A uniform of a row's id and text."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
 
 
 @dataclass
@@ -47,27 +50,27 @@ class Mixer:
     targets: list[float] = field(default_factory=list)
     mass: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
-    rate: float = 1.0
     steps: list[tuple[list[float], float]] = field(default_factory=list)
+    rows: DataFrame | None = None
 
-    def posteriors(self) -> list[Column]:
-        """Columns p0, p1, ... from f0, f1, ..."""
-        scores = []
-        for a, slope in zip(self.intercept, self.slope, strict=True):
-            s = F.lit(a)
-            for i, w in enumerate(slope):
-                s = s + F.lit(w) * F.col(f"f{i}")
-            scores.append(s)
-        return scores
+    def posterior(self, f: Column) -> Column:
+        """Softmax of the scores. All numbers are in one constant array, so every fit runs the same generated code."""
+        rows = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.array(*map(F.lit, w)).alias("w")) for a, w in zip(self.intercept, self.slope, strict=True)))
+        scores = F.transform(rows, lambda r: r["a"] + _dot(r["w"], f))
+        weights = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
+        return F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda t, y: t + y)))[0]
 
+    def state(self, posterior: Column) -> Column:
+        """(r, y): a document's rate after all steps, and where the next one starts."""
+        if not self.steps:
+            return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+        steps = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(float(m)).alias("m")) for g, m in self.steps))
 
-def _with_posteriors(df: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
-    k = len(mixer.domains)
-    df = df.select(*keep, *(s.alias(f"s{i}") for i, s in enumerate(mixer.posteriors())))
-    top = F.greatest(*(F.col(f"s{i}") for i in range(k))) if k > 1 else F.col("s0")
-    df = df.select(*keep, *(F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in range(k)))
-    total = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
-    return df.select(*keep, *((F.col(f"e{i}") / total).alias(f"p{i}") for i in range(k)))
+        def follow(state: Column, step: Column) -> Column:
+            new = F.greatest(F.lit(0.0), state["y"] - _dot(posterior, step["g"]))
+            return F.struct(new.alias("r"), (new + step["m"] * (new - state["r"])).alias("y"))
+
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), follow)
 
 
 def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, flatten: float = 0.5, softness: float = 0.25, most_steps: int = 32, tolerance: float = 1e-3) -> Mixer:
@@ -82,9 +85,9 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     spark = docs.sparkSession
     base = scratch(spark, "mixing")
     names = [f"f{i}" for i in range(N_FEATURES)]
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_features(docs)), f"{base}/features")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_features(docs), _draw().alias("draw")), f"{base}/features")
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null").distinct()
-    stats = rows.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), *(F.avg(x).alias(f"m_{x}") for x in names), *(F.var_pop(x).alias(f"v_{x}") for x in names)).orderBy("domain").collect()
+    stats = rows.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), *(F.avg(F.col("f")[i]).alias(f"m_{x}") for i, x in enumerate(names)), *(F.var_pop(F.col("f")[i]).alias(f"v_{x}") for i, x in enumerate(names))).orderBy("domain").collect()
     if targets is not None:
         stats = [r for r in stats if targets.get(r["domain"], 0) > 0]
     if stats:
@@ -98,69 +101,52 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     else:
         mixer, weight = Mixer(["all"], [0.0], [[0.0] * N_FEATURES]), np.ones(1)
     k = len(mixer.domains)
-    state = _with_posteriors(rows, mixer, ["n_tokens"]).where("n_tokens > 0").withColumns({"r": F.lit(1.0), "y": F.lit(1.0)})
-    state = written(state, f"{base}/rates-0")
+    state = written(rows.where("n_tokens > 0").select("n_tokens", mixer.posterior(F.col("f")).alias("p")), f"{base}/posteriors")
 
-    def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.agg(*(F.sum(F.col("n_tokens") * F.col(x) * F.col(f"p{i}")) for x in "ry" for i in range(k))).first()
+    def totals() -> tuple[np.ndarray, np.ndarray]:
+        now = state.select("n_tokens", "p", mixer.state(F.col("p")).alias("s"))
+        got = now.agg(*(F.sum(F.col("n_tokens") * F.col("s")[x] * F.col("p")[i]) for x in "ry" for i in range(k))).first()
         a = np.array([x or 0.0 for x in got])
         return a[:k], a[k:]
 
-    mass, _ = totals(state)
+    gram = np.array([x or 0.0 for x in state.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k))).first()]).reshape(k, k)
+    mass = gram.sum(1)
     total = mass.sum()
     weight = np.where(mass > 1e-9 * max(total, 1), weight, 0)
     want = total * weight / max(weight.sum(), 1e-300)
-    scale = np.where(mass > 1e-9 * max(total, 1), mass, np.inf)
-    gram = state.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k))).first()
-    gram = np.array([x or 0.0 for x in gram]).reshape(k, k) / np.sqrt(np.outer(scale, scale))
-    mixer.rate = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
+    # Whitened residuals: in these units the gradient's Lipschitz constant is below one, so steps have length one.
+    metric = np.linalg.pinv(gram + 1e-3 * np.diag(mass) + 1e-12 * max(total, 1) * np.eye(k))
     reached = at_y = mass
     for step in range(most_steps):
-        if (np.abs(reached - want) <= tolerance * np.maximum(want, 1e-300)).all() or total == 0:
+        if total == 0 or (np.abs(reached - want) <= tolerance * np.maximum(want, 1e-9 * total)).all():
             break
-        g, momentum = (mixer.rate * (at_y - want) / scale).tolist(), step / (step + 3)
-        mixer.steps.append((g, momentum))
-        move = sum((F.lit(x) * F.col(f"p{i}") for i, x in enumerate(g)), F.lit(0.0))
-        state = state.withColumn("new", F.greatest(F.lit(0.0), F.col("y") - move))
-        state = state.withColumn("y", F.col("new") + F.lit(momentum) * (F.col("new") - F.col("r"))).withColumn("r", F.col("new")).drop("new")
-        if step % 6 == 5:
-            state = written(state, f"{base}/rates-{step + 1}")
-        reached, at_y = totals(state)
-    mixer.targets, mixer.mass, mixer.reached = want.tolist(), mass.tolist(), reached.tolist()
+        mixer.steps.append(((metric @ (at_y - want)).tolist(), step / (step + 3)))
+        reached, at_y = totals()
+    mixer.rows, mixer.targets, mixer.mass, mixer.reached = rows, want.tolist(), mass.tolist(), reached.tolist()
     return mixer
 
 
-def document_rates(docs: DataFrame, mixer: Mixer, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """``keep`` columns of ``docs`` with n_tokens, posterior (array in the order of ``mixer.domains``), rate and copies.
+def document_rates(mixer: Mixer) -> DataFrame:
+    """doc_id, n_tokens, posterior (array in the order of ``mixer.domains``), rate and copies of every fitted row, from the features that the fit has stored.
 
     ``copies`` is the rate rounded down or up at random by a hash of doc_id and text, so that its expectation is the rate. A text without tokens has rate 1.
     """
-    df = _rates(docs, mixer, keep)
-    return df.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), "n_tokens", "posterior", "rate", "copies")
+    return _rates(mixer.rows, mixer, ["doc_id"])
 
 
-def _rates(docs: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
-    """As above, with the kept columns called kept_0, kept_1, ..., so that none clashes."""
-    k = len(mixer.domains)
-    spare = {c: f"kept_{i}" for i, c in enumerate(keep)}
-    df = docs.select(*(F.col(c).alias(x) for c, x in spare.items()), *text_features(docs), F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(29)), F.lit(1 << 30)).alias("draw"))
-    df = _with_posteriors(df, mixer, [*spare.values(), "n_tokens", "draw"])
-    p = F.array(*(f"p{i}" for i in range(k)))
-    df = df.select(*spare.values(), "n_tokens", "draw", p.alias("posterior"))
-    steps = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(float(m)).alias("m")) for g, m in mixer.steps)) if mixer.steps else F.expr("cast(array() as array<struct<g:array<double>,m:double>>)")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    def follow(state: Column, step: Column) -> Column:
-        new = F.greatest(F.lit(0.0), state["y"] - dot(F.col("posterior"), step["g"]))
-        return F.struct(new.alias("r"), (new + step["m"] * (new - state["r"])).alias("y"))
-
-    rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), follow, lambda s: s["r"]))
-    return df.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("draw") / float(1 << 30)).cast("long"))
+def _rates(features: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
+    df = features.select(*keep, "n_tokens", "draw", mixer.posterior(F.col("f")).alias("posterior"))
+    rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(mixer.state(F.col("posterior"))["r"])
+    df = df.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("long"))
+    return df.select(*keep, "n_tokens", "posterior", "rate", "copies")
 
 
 def mixed(docs: DataFrame, mixer: Mixer) -> DataFrame:
-    """``docs`` with every row as often as its ``copies`` say, in the same columns."""
-    rows = _rates(docs, mixer, docs.columns).where("copies > 0")
+    """``docs`` with every row as often as its ``copies`` say, in the same columns, whatever they are called.
+
+    A row's rate follows from its own text, so nothing is joined and repeated or null ids do no harm.
+    """
     kept = [f"kept_{i}" for i in range(len(docs.columns))]
-    rows = rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    features = docs.select(*(F.col(c).alias(x) for x, c in zip(kept, docs.columns, strict=True)), *text_features(docs), _draw().alias("draw"))
+    rows = _rates(features, mixer, kept).where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return rows.select(*(F.col(x).alias(c) for x, c in zip(kept, docs.columns, strict=True)))

@@ -49,7 +49,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixer = mixing.fit_mixture(docs, domain_labels(docs, _table(spark, sf_dir, "labels")))
     names = F.array(*map(F.lit, mixer.domains))
     likeliest = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return mixing.document_rates(docs, mixer).select("doc_id", "n_tokens", F.element_at(names, likeliest).alias("domain"), F.round(F.array_max("posterior"), 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
+    return mixing.document_rates(mixer).select("doc_id", "n_tokens", F.element_at(names, likeliest).alias("domain"), F.round(F.array_max("posterior"), 6).alias("posterior"), F.round("rate", 6).alias("rate"), "copies")
 
 
 def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Parts of 16 that a query visits.
-PROBES = 10
+PROBES = 13
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
