@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,19 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+def _findable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever their working folder."""
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (top, env.get("PYTHONPATH")) if x)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where the session names none (tests in local mode) a temporary folder is made and set.
     """
+    _findable(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
@@ -72,12 +81,14 @@ def map_file(uri: str) -> np.ndarray:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of the input's size, for choosing numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What the optimizer knows of the input's size, for choosing numbers of partitions; 0 where it knows nothing, as of rows that the driver made."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Holds Arrow batches small, since whole texts may be long."""
+    _findable(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -198,7 +198,7 @@ def count_bigrams(docs: DataFrame) -> KneserNey:
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch(spark, "kn")
-    n_buckets = max(8, input_bytes(docs) // BUCKET_BYTES)
+    n_buckets = int(max(8, input_bytes(docs) // BUCKET_BYTES))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(_counter(n_buckets), _COUNTED).repartition(n_buckets, "bucket")
     parts = written(counted.groupBy("bucket").applyInPandas(_reducer(folder, n_buckets), _PART), f"{folder}/counted")
