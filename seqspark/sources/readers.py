@@ -14,12 +14,12 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(protein_id, sequence): a record's header without ``>`` and its lines joined. Of records with one header the last in file order stands."""
     records = spark.read.option("lineSep", ">").text(path).where("length(trim(value)) > 0").withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
     parts = F.split(F.col("value"), "\r?\n", 2)
-    rows = records.select(F.trim(parts[0]).alias("protein_id"), F.regexp_replace(F.coalesce(parts[1], F.lit("")), r"\s", "").alias("sequence"), "file", "at")
+    rows = records.select(F.trim(parts[0]).alias("protein_id"), F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"), "file", "at")
     return rows.groupBy("protein_id").agg(F.max_by("sequence", F.struct("file", "at")).alias("sequence"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("structure_id"), "value")
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("structure_id"), "value")
 
 
 def pdb(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +90,9 @@ def metrics_json(spark: SparkSession, path: str) -> DataFrame:
 def design_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, sequence, score, global_score, seq_recovery) from the second record of each design file; the sequence ends before a slash."""
     parts = F.split("value", ">")
-    second = _files(spark, path).select("structure_id", parts[2].alias("record")).where("record is not null")
+    second = _files(spark, path).select("structure_id", F.get(parts, F.lit(2)).alias("record")).where("record is not null")
     value = lambda k: F.regexp_extract("record", rf"(?:^|[ ,]){k}=([-+.\deE]+)", 1).try_cast("double").alias(k)
-    body = F.regexp_replace(F.split("record", "\n", 2)[1], r"\s", "")
+    body = F.regexp_replace(F.get(F.split("record", "\n", 2), F.lit(1)), r"\s", "")
     return second.select(F.regexp_extract("structure_id", r"sample_(\d+)", 1).try_cast("int").alias("sample_id"), F.split(body, "/")[0].alias("sequence"), value("score"), value("global_score"), value("seq_recovery"))
 
 
