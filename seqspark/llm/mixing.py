@@ -85,7 +85,8 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     spark = docs.sparkSession
     base = scratch(spark, "mixing")
     names = [f"f{i}" for i in range(N_FEATURES)]
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_features(docs), _draw().alias("draw")), f"{base}/features")
+    tokens, f = text_features(docs)
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens, f, _draw().alias("draw")), f"{base}/features")
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null").distinct()
     stats = rows.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), *(F.avg(F.col("f")[i]).alias(f"m_{x}") for i, x in enumerate(names)), *(F.var_pop(F.col("f")[i]).alias(f"v_{x}") for i, x in enumerate(names))).orderBy("domain").collect()
     if targets is not None:
@@ -134,10 +135,17 @@ def document_rates(mixer: Mixer) -> DataFrame:
     return _rates(mixer.rows, mixer, ["doc_id"])
 
 
+def _pinned(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """``keep`` and new columns as outputs of a generator of one row, which the optimizer neither repeats nor moves into later expressions."""
+    names = [f"pin_{i}" for i in range(len(columns))]
+    out = df.select(*keep, F.explode(F.array(F.struct(*(c.alias(n) for c, n in zip(columns, names, strict=True))))).alias("pin"))
+    return out.select(*keep, *(F.col("pin")[n].alias(n) for n in names))
+
+
 def _rates(features: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
-    df = features.select(*keep, "n_tokens", "draw", mixer.posterior(F.col("f")).alias("posterior"))
+    df = _pinned(features, [*keep, "n_tokens", "draw"], mixer.posterior(F.col("f"))).withColumnRenamed("pin_0", "posterior")
     rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(mixer.state(F.col("posterior"))["r"])
-    df = df.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("long"))
+    df = _pinned(df, [*keep, "n_tokens", "posterior", "draw"], rate).withColumnRenamed("pin_0", "rate").withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("long"))
     return df.select(*keep, "n_tokens", "posterior", "rate", "copies")
 
 
@@ -147,6 +155,8 @@ def mixed(docs: DataFrame, mixer: Mixer) -> DataFrame:
     A row's rate follows from its own text, so nothing is joined and repeated or null ids do no harm.
     """
     kept = [f"kept_{i}" for i in range(len(docs.columns))]
-    features = docs.select(*(F.col(c).alias(x) for x, c in zip(kept, docs.columns, strict=True)), *text_features(docs), _draw().alias("draw"))
+    named = docs.select(*(F.col(c).alias(x) for x, c in zip(kept, docs.columns, strict=True)), F.col("doc_id"), F.col("text"))
+    tokens, f = text_features(named)
+    features = _pinned(named, kept, tokens, f, _draw()).withColumnsRenamed({"pin_0": "n_tokens", "pin_1": "f", "pin_2": "draw"})
     rows = _rates(features, mixer, kept).where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return rows.select(*(F.col(x).alias(c) for x, c in zip(kept, docs.columns, strict=True)))
