@@ -20,7 +20,7 @@ PK_N_TERMINI = {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44,
 PK_C_TERMINI = {"D": 4.55, "E": 4.75}
 HELIX, TURN, SHEET = "EMALK", "NPGSD", "VIYFWLT"
 HYDROPHOBIC, POLAR, POSITIVE, NEGATIVE, AROMATIC = "AVILMFWY", "NCQST", "KRH", "DE", "FWY"
-PH_RANGE, PH_STEPS = (4.05, 12.0), 40
+PH_RANGE, PH_STEPS = (4.05, 12.0), 20
 
 
 def length(s: Column) -> Column:

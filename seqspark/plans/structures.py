@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, metrics, surrogate
+from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, metrics, select, surrogate
 from seqspark.plans.core import rounded
 from seqspark.plans.fixtures import fixture
 
@@ -231,7 +231,7 @@ def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @spec("c03_mutant_pool")
 def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = fixture(spark, sf_dir, "peptides").select("sequence").distinct()
-    return generate.mutant_pool(known.orderBy("sequence").limit(50), 200, known)
+    return generate.mutant_pool(select.random_rows(known, 50, key="sequence"), 200, known)
 
 
 @spec("c06_sampled_peptides")
