@@ -19,7 +19,12 @@ from seqspark.llm.common import small_batches
 
 BUCKETS, ORDERS = 1 << 13, (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is alphabetic; superscript digits and the like aren't."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -88,7 +93,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.n
     return w, b
 
 
-def fit_languages(docs: DataFrame, sample_docs: int = 4000, l2: float = 1e-5, steps: int = 150) -> LanguageModel:
+def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, steps: int = 150) -> LanguageModel:
     """Learns from the rows of ``docs`` (doc_id, text, lang) with text and lang.
 
     At most about ``sample_docs`` documents are used, as many of each language where it has them, chosen by a hash of (doc_id, text);
@@ -110,7 +115,7 @@ def fit_languages(docs: DataFrame, sample_docs: int = 4000, l2: float = 1e-5, st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = [i for i, x in enumerate(lang) if x in names and _LETTER.search(text[i])]
+            keep = [i for i, x in enumerate(lang) if x in names and has_letter(text[i])]
             x = features([text[i] for i in keep]).astype(np.float16)
             packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in x]
             yield pa.RecordBatch.from_arrays([pa.array([names[lang[i]] for i in keep], pa.int32()), pa.array(packed, pa.binary())], names=["y", "x"])
@@ -142,7 +147,7 @@ def _predict(model: LanguageModel, close: float) -> Callable:
             text = [t or "" for t in b.column(1).to_pylist()]
             lang, score, ambiguous = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)
             for lo in range(0, len(text), 128):
-                keep = [i for i in range(lo, min(lo + 128, len(text))) if model.languages and _LETTER.search(text[i])]
+                keep = [i for i in range(lo, min(lo + 128, len(text))) if model.languages and has_letter(text[i])]
                 if keep:
                     p = model.posteriors(features([text[i] for i in keep]))
                     order = np.argsort(-p, 1, kind="stable")

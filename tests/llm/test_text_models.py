@@ -76,7 +76,7 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark):
-    df = spark.createDataFrame([(1, "der die das und", "de"), (2, "the and of to", "en"), (3, None, "en"), (4, "12 .", None), (5, "", None), (None, "the of", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(1, "der die das und", "de"), (2, "the and of to", "en"), (3, None, "en"), (4, "12 .", None), (5, "²³ ①", None), (None, "the of", None)], "doc_id long, text string, lang string")
     model = lang_id.fit_languages(df)
     got = {r.doc_id: r for r in lang_id.identify(df, model).collect()}
     assert [got[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and got[None].lang_pred == "en"
