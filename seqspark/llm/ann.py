@@ -36,6 +36,7 @@ def balanced_parts(graph: np.ndarray, n_parts: int, seed: int = 3, sweeps: int =
     a, b = np.repeat(np.arange(n), graph.shape[1]), graph.ravel()
     part = np.zeros(n, np.int64)
     for _ in range(int(np.log2(n_parts))):
+        halves = part.copy()
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             place = np.full(n, -1)
@@ -61,7 +62,8 @@ def balanced_parts(graph: np.ndarray, n_parts: int, seed: int = 3, sweeps: int =
                 if not len(swap):
                     break
                 side[zero[swap]], side[one[swap]] = 1, 0
-            part[own] = 2 * p + side
+            halves[own] = 2 * p + side
+        part = halves
     return part
 
 
