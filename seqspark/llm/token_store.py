@@ -101,9 +101,41 @@ class DacFile:
             at = ones + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
         return out
 
+    def _ones(self, level: int, place: int) -> int:
+        """Set bits before a place of a level."""
+        _, words, rank = self.levels[level]
+        word = place >> 6
+        if word >= len(words):
+            return int(np.bitwise_count(words).sum()) if len(words) else 0
+        first = word >> 3 << 3
+        return int(rank[word >> 3]) + int(np.bitwise_count(words[first:word]).sum()) + (int(words[word]) & ((1 << (place & 63)) - 1)).bit_count()
+
+    def range(self, lo: int, hi: int) -> np.ndarray:
+        """Ids of neighbouring places: those that continue are neighbours on the next level too, so one rank a level is enough."""
+        out = np.zeros(hi - lo, np.uint32)
+        who = slice(None)
+        for level, (chunks, words, _) in enumerate(self.levels):
+            if hi <= lo:
+                break
+            out[who] |= chunks[lo:hi].astype(np.uint32) << np.uint32(CHUNK * level)
+            more = np.unpackbits(words.view(np.uint8)[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 : (lo & 7) + hi - lo] > 0
+            who = np.flatnonzero(more) if isinstance(who, slice) else who[more]
+            lo = self._ones(level, lo)
+            hi = lo + len(who)
+        return out
+
     def doc(self, k: int) -> np.ndarray:
         """Ids of the k-th document of the file."""
-        return self.take(np.arange(self.ends[k - 1] if k else 0, self.ends[k]))
+        return self.range(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
+
+    def docs(self, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Ids of every document, read many at a time."""
+        first = 0
+        while first < self.n_docs:
+            begin = int(self.ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + at_once, side="right")))
+            yield from np.split(self.range(begin, int(self.ends[last - 1])), self.ends[first : last - 1] - begin)
+            first = last
 
 
 class WordEncoder:
@@ -210,7 +242,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, last: int = 1, folder: str | N
     small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // (16 << 20) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(input_bytes(docs) // (16 << 20)) + 1)
     dealt = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = written(dealt.mapInArrow(_writer(folder, tokenizer, last), "part int, uri string, n_docs long, n_ids long"), f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -224,7 +256,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = DacFile(map_file(uri))
-                crc = [zlib.crc32(f.doc(k).astype("<u4").tobytes()) for k in range(f.n_docs)]
+                crc = [zlib.crc32(np.ascontiguousarray(ids, "<u4")) for ids in f.docs()]
                 begin = np.concatenate(([0], f.ends[:-1])) if f.n_docs else f.ends
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(begin + first), pa.array(f.ends - begin), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
