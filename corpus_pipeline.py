@@ -16,7 +16,7 @@ from seqspark.llm.queries import domain_labels
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter or text; what has letters is of some language that was learnt and stays."""
+    """Rejects documents without any letter or text, and those farther from every learnt language than labelled rows of their size are."""
     return lang_id.filter_languages(docs, lang_id.fit_languages(docs))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
 
 
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "replace"))
+
+
 def features(texts: list[str]) -> np.ndarray:
     """Square roots of the shares of hashed byte n-grams in each lower-cased whole text, a row of unit length for each."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
@@ -69,28 +73,72 @@ class LanguageModel:
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
-    bias: np.ndarray
     trust: np.ndarray
+    #: Least text size in bytes of each limit, ascending, and the limits of the loss a bit; without sizes there is no limit.
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    limits: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Languages that had enough labelled rows to check a limit on.
+    checked: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of each codeword; log(1 + exp(m)) = log(1 + exp(-m)) + m makes it one matrix product."""
+        margin = (x @ self.weights).astype(np.float64)
+        return (np.logaddexp(0, -margin) @ self.trust)[:, None] + (margin * self.trust) @ (0.5 - self.code.T / 2)
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         """Soft nearness of each codeword: softmax of the negative weighted loss."""
-        margin = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]) @ self.trust
-        near = np.exp(loss.min(1, keepdims=True) - loss)
-        return near / near.sum(1, keepdims=True)
+        return _softmax(self.losses(x))
+
+    def loss_a_bit(self, losses: np.ndarray) -> np.ndarray:
+        """The nearest codeword's loss divided by the weight of all bits; log 2 is a coin flip for each. 0 where there are no bits."""
+        return losses.min(1) / max(float(self.trust.sum()), 1e-12)
+
+    def fits(self, loss: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Whether texts of ``size`` bytes lie as near to their language as labelled rows of that size or more do."""
+        if not len(self.sizes):
+            return np.ones(len(loss), bool)
+        at = np.clip(np.searchsorted(self.sizes, size, side="right") - 1, 0, None)
+        return (loss <= self.limits[at]) | ~self.checked[chosen]
+
+
+def _softmax(losses: np.ndarray) -> np.ndarray:
+    near = np.exp(losses.min(1, keepdims=True) - losses)
+    return near / near.sum(1, keepdims=True)
+
 
+#: Rows of a language, and of a range of sizes, that a limit needs.
+LEAST_CHECKED, LEAST_SIZES = 20, 200
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """One logistic regression for each column of y (+1, -1) by accelerated gradient descent."""
+
+def _limits(loss: np.ndarray, size: np.ndarray, right: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, limits and checked languages from the losses a bit of rows that were not learnt from, so that all rightly decoded ones stay.
+
+    A limit lies half-way between log 2, the loss of coin flips, and the largest loss of the rows of at least its size, or of the LEAST_SIZES longest:
+    short texts tell less, so more is allowed for them.
+    """
+    checked = np.bincount(y[right], minlength=n) >= LEAST_CHECKED
+    use = right & checked[y]
+    order = np.argsort(size[use], kind="stable")
+    top = np.maximum.accumulate(loss[use][order][::-1])[::-1]
+    top[-LEAST_SIZES:] = top[-LEAST_SIZES:].max(initial=0)
+    sizes, first = np.unique(size[use][order], return_index=True)
+    return sizes, np.minimum((top[first] + np.log(2)) / 2, np.log(2)), checked
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """One logistic regression for each column of y (+1, -1) by accelerated gradient descent; without a constant, so unknown n-grams are coin flips."""
     n = len(x)
-    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
-    look, look_b, rate = w, b, 4.0 / (1.3 + 4 * l2)
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    look, rate = w, 4.0 / (1.3 + 4 * l2)
     for k in range(steps):
-        g = -y / (1 + np.exp(np.clip(y * (x @ look + look_b), -30, 30))) / n
-        w1, b1 = look - rate * (x.T @ g + l2 * look), look_b - rate * g.sum(0)
-        look, look_b = w1 + k / (k + 3) * (w1 - w), b1 + k / (k + 3) * (b1 - b)
-        w, b = w1, b1
-    return w, b
+        g = -y / (1 + np.exp(np.clip(y * (x @ look), -30, 30))) / n
+        w1 = look - rate * (x.T @ g + l2 * look)
+        look, w = w1 + k / (k + 3) * (w1 - w), w1
+    return w
+
+
+#: Parts of the sample that are decoded by models of the other parts.
+FOLDS = 5
 
 
 def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, steps: int = 150) -> LanguageModel:
@@ -104,7 +152,7 @@ def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, st
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs // 8).collect()}
     languages = sorted(counts)
     if not languages:
-        return LanguageModel([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     share = sample_docs / len(languages)
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(1.0)
@@ -118,42 +166,52 @@ def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, st
             keep = [i for i, x in enumerate(lang) if x in names and has_letter(text[i])]
             x = features([text[i] for i in keep]).astype(np.float16)
             packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array([names[lang[i]] for i in keep], pa.int32()), pa.array(packed, pa.binary())], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[lang[i]] for i in keep], pa.int32()), pa.array(packed, pa.binary()), pa.array([_size(text[i]) for i in keep], pa.int64())], names=["y", "x", "size"])
 
-    sample = rows.where(draw < rate).select("lang", "text").mapInArrow(run, "y int, x binary").toArrow()
-    y = sample.column(0).to_numpy()
+    sample = rows.where(draw < rate).select("lang", "text").mapInArrow(run, "y int, x binary, size long").toArrow()
+    y, size = sample.column(0).to_numpy(), sample.column(2).to_numpy()
     x = np.zeros((len(y), BUCKETS), np.float32)
     for i, r in enumerate(sample.column(1).to_pylist()):
         k = len(r) // 4
         x[i, np.frombuffer(r[: 2 * k], np.uint16)] = np.frombuffer(r[2 * k :], np.float16)
     code = codewords(len(languages))
     if not len(y) or not code.shape[1]:
-        return LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.ones(code.shape[1], np.float32))
-    # A fifth of the sample measures how far each bit is to be trusted, then all of it is learnt from.
-    aside = np.arange(len(y)) % 5 == 0
-    target = code[y]
-    trust = np.ones(code.shape[1], np.float32)
-    if aside.any() and (~aside).any():
-        w, b = _logistic(x[~aside], target[~aside], l2, steps // 2)
-        right = (((x[aside] @ w + b) * target[aside] > 0).sum(0) + 1) / (aside.sum() + 2)
-        trust = np.log(np.maximum(right / (1 - right), 1.01)).astype(np.float32)
-    w, b = _logistic(x, target, l2, steps)
-    return LanguageModel(languages, code, w, b, (trust / trust.mean()).astype(np.float32))
+        return LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32))
+    # Each fifth of the sample is decoded by what the others taught; that measures how far each bit is to be trusted, and which losses occur.
+    target, fold = code[y], np.arange(len(y)) % FOLDS
+    margin = np.zeros(target.shape)
+    for k in range(FOLDS if len(y) > 1 else 0):
+        aside = fold == k
+        if aside.any():
+            margin[aside] = x[aside] @ _logistic(x[~aside], target[~aside], l2, steps // 2)
+    right = ((margin * target > 0).sum(0) + 1) / (len(y) + 2)
+    trust = np.log(np.maximum(right / (1 - right), 1.01)).astype(np.float32)
+    model = LanguageModel(languages, code, _logistic(x, target, l2, steps), (trust / trust.mean()).astype(np.float32))
+    decoded = LanguageModel(languages, code, np.eye(code.shape[1]), model.trust).losses(margin)
+    model.sizes, model.limits, model.checked = _limits(model.loss_a_bit(decoded), size, decoded.argmin(1) == y, y, len(languages))
+    return model
+
+
+def _decide(model: LanguageModel, text: list[str], close: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, whether ambiguous and whether it fits, for each text."""
+    lang, score, ambiguous, fits = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool), np.zeros(len(text), bool)
+    for lo in range(0, len(text), 128):
+        keep = [i for i in range(lo, min(lo + 128, len(text))) if model.languages and has_letter(text[i])]
+        if keep:
+            losses = model.losses(features([text[i] for i in keep]))
+            p, loss = _softmax(losses), model.loss_a_bit(losses)
+            order = np.argsort(losses, 1, kind="stable")
+            fits[keep] = model.fits(loss, np.array([_size(text[i]) for i in keep]), order[:, 0])
+            for i, row, o, x in zip(keep, p, order, loss, strict=True):
+                lang[i], score[i] = model.languages[o[0]], min(1.0, float(row[o[0]])) * max(0.0, 1 - x / np.log(2))
+                ambiguous[i] = len(o) > 1 and row[o[0]] - row[o[1]] < close
+    return lang, score, ambiguous, fits
 
 
 def _predict(model: LanguageModel, close: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [t or "" for t in b.column(1).to_pylist()]
-            lang, score, ambiguous = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)
-            for lo in range(0, len(text), 128):
-                keep = [i for i in range(lo, min(lo + 128, len(text))) if model.languages and has_letter(text[i])]
-                if keep:
-                    p = model.posteriors(features([text[i] for i in keep]))
-                    order = np.argsort(-p, 1, kind="stable")
-                    for i, row, o in zip(keep, p, order, strict=True):
-                        lang[i], score[i] = model.languages[o[0]], min(1.0, float(row[o[0]]))
-                        ambiguous[i] = len(o) > 1 and row[o[0]] - row[o[1]] < close
+            lang, score, ambiguous, _ = _decide(model, [t or "" for t in b.column(1).to_pylist()], close)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), pa.array(ambiguous)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return run
@@ -162,7 +220,8 @@ def _predict(model: LanguageModel, close: float) -> Callable:
 def identify(docs: DataFrame, model: LanguageModel, close: float = 0.2, keys: Column | None = None) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous for every row, from the whole text alone.
 
-    score is the soft nearness of the chosen codeword, 0 to 1; a lead below ``close`` over the next one is ambiguous. Null texts and
+    score is the soft nearness of the chosen codeword times what its loss a bit leaves of log 2, 0 to 1; a lead in nearness below ``close``
+    over the next codeword is ambiguous. Null texts and
     those without a letter are ``und`` with score 0, and ambiguous. ``keys`` replaces doc_id in the result.
     """
     small_batches(docs.sparkSession)
@@ -173,19 +232,22 @@ def identify(docs: DataFrame, model: LanguageModel, close: float = 0.2, keys: Co
 
 
 def filter_languages(docs: DataFrame, model: LanguageModel, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the documents that are ``und`` or below ``least_score``; columns and kept rows are as they were.
+    """``docs`` without the documents that are ``und``, don't fit their language, or score below ``least_score``; columns and kept rows are as they were.
 
+    A document fits where its loss is within the limit that labelled rows of its size or more set. Where no language was learnt, all texts with letters stay.
     One pass that hands all columns through, so nothing is joined; repeated rows and null ids are treated row by row.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decide = _predict(model, 0.0)
         for b in batches:
-            ids = pa.array(range(b.num_rows), pa.int64())
-            for p in decide(iter([pa.RecordBatch.from_arrays([ids, b.column(at)], names=["doc_id", "text"])])):
-                keep = [x != UNKNOWN and s >= least_score for x, s in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True)]
-                yield b.filter(pa.array(keep, pa.bool_()))
+            text = [t or "" for t in b.column(at).to_pylist()]
+            if not model.languages:
+                keep = [has_letter(t) for t in text]
+            else:
+                lang, score, _, fits = _decide(model, text, 0.0)
+                keep = [x != UNKNOWN and f and s >= least_score for x, s, f in zip(lang, score, fits.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -86,6 +86,21 @@ def test_language_edges(spark):
     assert lang_id.identify(df.limit(0), model).count() == 0
 
 
+def test_language_filter_decides(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_id.fit_languages(docs.where("doc_id % 2 = 0"))
+    assert model.checked.all()
+    strange = ["Быстрая коричневая лиса перепрыгивает через ленивую собаку и бежит дальше", "Szybki brązowy lis przeskakuje nad leniwym psem", "xkq zzvw qpx kjq wvx zqj bvk xcv qqz " * 5, "%%% ### $$$ a ### %%% 123 456 " * 80]
+    junk = spark.createDataFrame([(-i, t, "en", "s", len(t)) for i, t in enumerate(strange, 1)], docs.schema)
+    unseen = docs.where("doc_id % 2 = 1 and text rlike '[A-Za-z]'")
+    kept = lang_id.filter_languages(unseen.unionByName(junk), model).cache()
+    assert kept.where("doc_id < 0").count() == 0
+    before, after = ({r.lang: r["count"] for r in x.groupBy("lang").count().collect()} for x in (unseen, kept))
+    assert all(after[k] >= 0.99 * n - 1 for k, n in before.items())
+    nothing = lang_id.fit_languages(docs.where("lang is null"))
+    assert lang_id.filter_languages(unseen.unionByName(junk), nothing).count() == unseen.count() + len(strange)
+
+
 @pytest.mark.parametrize("n", [2, 4, 5, 9, 40])
 def test_codewords_are_apart(n):
     code = lang_id.codewords(n)
