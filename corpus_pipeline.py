@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seqspark.llm import bpe, lang_id, mixing, near_dup, toxicity
 from seqspark.llm.common import scratch, written
@@ -27,10 +26,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that with the smallest id, once. Documents without an id stay."""
-    kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, docs.doc_id == kept.doc_id, "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    return named.drop("__text").unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each group: of those with the smallest id, or all where none has an id, that with the least text hash. Texts without words stay."""
+    return near_dup.survivors(docs, width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import avalanche, binary_texts, chain, long_array, scratch, small_batches, word_hashes, written
@@ -31,6 +31,7 @@ from seqspark.llm.components import components
 
 K, NEED, BLOCK, BLOCK_VALUES = 32, 12, 1024, 1 << 20
 LEAST = (NEED - 0.5) / K
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +59,8 @@ def _signer(width: int) -> Callable:
         for b in batches:
             sets = _sets(binary_texts(b.column(1)), width)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), long_array([s[:K] for s in sets])],
-                names=["doc_id", "n_shingles", "cls", "sketch"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), long_array([s[:K] for s in sets])],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"],
             )
 
     return sign
@@ -195,25 +196,19 @@ def _block_pairs(df: DataFrame, key: str, n_blocks: str, rest: list[str]) -> Dat
     return out.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Classes of documents whose shingle sets are linked, directly or through others.
+def _first() -> Column:
+    """Orders rows by id, then text hash; those without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set has the distinct shingles of ``width`` words, or the whole
-    sequence as one where there are fewer. Two documents are linked where ``100 * |A & B| >= percent * |A | B|``.
 
-    Returns a row for each row of ``docs``: doc_id, n_shingles, component_id (smallest id of the component), kept, cls (class of
-    equal sets). Null or wordless texts have n_shingles 0 and are linked with nothing: component_id is their own id. A null id
-    takes part with its text but never names a component unless nothing else does: then component_id is null and kept is true.
-    Repeated rows fall in one class; each of them has ``kept`` if its id is the component's. Other columns are ignored.
-    The chance of losing a link is that of fewer than NEED shared values among K, below 3e-8 a pair at 80 percent; classes
-    are told apart by 64 bits of a digest of the set.
-    """
+def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and each class with its first row and the root of its component."""
     spark = docs.sparkSession
     small_batches(spark)
     base = scratch(spark, "near-dup")
-    ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sig = written(ids.mapInArrow(_signer(width), "doc_id long, n_shingles long, cls long, sketch array<long>"), f"{base}/signatures")
-    classes = written(sig.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), f"{base}/classes")
+    ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sig = written(ids.mapInArrow(_signer(width), "doc_id long, text_hash long, n_shingles long, cls long, sketch array<long>"), f"{base}/signatures")
+    classes = written(sig.where("n_shingles > 0").groupBy("cls").agg(F.min(_first()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), f"{base}/classes")
 
     # Inverted lists of the rarest retained values.
     values = classes.select("cls", F.explode("sketch").alias("value"))
@@ -230,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     rough = components(pairs.mapInArrow(_rough(percent / 100), "u long, v long"), f"{base}/rough")
 
     # The full sets of the rough components' members, and the exact links within each.
-    members = rough.join(classes.select("cls", "first_id", "n_shingles"), rough.node == classes.cls).select("cls", "root", "first_id", "n_shingles")
+    members = rough.join(classes.select("cls", "first", "n_shingles"), rough.node == classes.cls).select("cls", "root", "first", "n_shingles")
     blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_VALUES)).alias("n_blocks"))
     members = members.join(blocks, "root")
     schema = "cls long, root long, n_blocks long, shingles array<long>"
@@ -238,18 +233,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(binary_texts(b.column(3)), width)
-            # An id that two texts share brings in both; each class wants its own.
+            # Texts of one id may share a hash; each class wants its own.
             right = [i for i, c in enumerate(b.column(0).to_pylist()) if _class_of(sets[i]) == c]
             rows = pa.array(right, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), long_array([sets[i] for i in right])], names=["cls", "root", "n_blocks", "shingles"])
 
-    sets = members.join(ids, members.first_id.eqNullSafe(ids.doc_id)).select("cls", "root", "n_blocks", "text").mapInArrow(full, schema)
+    sets = members.join(ids, members["first"]["doc_id"].eqNullSafe(ids.doc_id) & (members["first"]["text_hash"] == ids.text_hash)).select("cls", "root", "n_blocks", "text").mapInArrow(full, schema)
     checked = _block_pairs(sets, "root", "n_blocks", ["cls", "shingles"])
     exact = components(checked.mapInArrow(_exact(percent), "u long, v long"), f"{base}/exact")
 
-    named = classes.select("cls", "first_id").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = classes.select("cls", "first").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return sig, named
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Classes of documents whose shingle sets are linked, directly or through others.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set has the distinct shingles of ``width`` words, or the whole
+    sequence as one where there are fewer. Two documents are linked where ``100 * |A & B| >= percent * |A | B|``.
+
+    Returns a row for each row of ``docs``: doc_id, n_shingles, component_id (smallest id of the component), kept, cls (class of
+    equal sets). Null or wordless texts have n_shingles 0 and are linked with nothing: component_id is their own id. A null id
+    takes part with its text but never names a component unless nothing else does: then component_id is null and kept is true.
+    Repeated rows fall in one class; each of them has ``kept`` if its id is the component's. Other columns are ignored.
+    The chance of losing a link is that of fewer than NEED shared values among K, below 3e-8 a pair at 80 percent; classes
+    are told apart by 64 bits of a digest of the set.
+    """
+    sig, named = _components(docs, width, percent, id_column, text_column)
+    smallest = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     labels = named.join(smallest, "root").select("cls", "component_id")
     out = sig.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text and others) with one row of each component, the first by id and text hash, and all rows whose text has no words."""
+    _, named = _components(docs, width, percent, "doc_id", "text")
+    first = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    texts = docs.where(worded).withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    one = texts.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["__doc", "__text"])
+    return one.drop("__doc", "__text").unionByName(docs.where(~worded))

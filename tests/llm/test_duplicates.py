@@ -49,6 +49,19 @@ def corpus(seed):
     return [*rows, rows[2], (None, texts[1]), (None, None)]
 
 
+def test_one_survivor_of_each_component(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    near, c = a + " more", "some other words that nothing else has"
+    rows = [(None, a), (None, a), (None, near), (5, b), (None, b), (3, b + " end"), (3, c), (7, c), (7, a + " twice"), (None, "lone text"), (None, "lone  TEXT"), (None, " "), (None, None), (9, ""), (9, "")]
+    kept = near_dup.survivors(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, cls string"))
+    assert kept.columns == ["doc_id", "text", "cls"]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(x[1] in ("lone text", "lone  TEXT") for x in got) == 1
+    assert sorted((x for x in got if x[1] not in ("lone text", "lone  TEXT")), key=str) == sorted([(7, a + " twice"), (3, b + " end"), (3, c), (None, " "), (None, None), (9, ""), (9, "")], key=str)
+    nameless = near_dup.survivors(spark.createDataFrame([(None, a), (None, a), (None, near)], "doc_id long, text string"))
+    assert nameless.count() == 1
+
+
 @pytest.mark.parametrize("seed,width,block", [(1, 4, 1024), (2, 5, 1024), (3, 4, 8)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, width, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
