@@ -1,6 +1,6 @@
 """Mixing documents to target weights of domains, with soft membership. Built-in functions only.
 
-A labelled table names the domains. A classifier with one Gaussian for each domain and shared variances, over counts of short strings in the whole text,
+A labelled table names the domains. Multinomial naive Bayes over hashed counts of all words of the whole lower-cased text, in any script,
 gives every document a posterior over domains. Document d with n_d tokens and posterior p_d gets a rate r_d >= 0 such that the expected
 tokens of domain k, t_k = sum_d r_d n_d p_dk, come to T_k. Rates minimise sum_k (t_k - T_k)^2 / m_k (m_k: tokens of domain k at
 rate 1) by accelerated projected gradient from r = 1; each step is one aggregation over all documents.
@@ -11,24 +11,26 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import scratch, written
 
-#: Strings whose counts for each character of the text are features: they tell scripts, languages and junk apart.
-MARKS = ("th", "w", "z", "k", "q", "é", "ñ", "ü", "#")
 WORD = r"[^\x20\x09-\x0D]+"
-N_FEATURES = len(MARKS) + 2
+#: Cuts between words, between letters and other signs, and behind each letter of scripts that are written without spaces.
+CUT = r"[\s\x1C-\x1F]+|(?<=[\p{L}\p{M}])(?=[^\p{L}\p{M}\s])|(?<=[^\p{L}\p{M}\s])(?=[\p{L}\p{M}])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=\p{L})"
+BUCKETS = 1 << 14
 
 
-def text_features(docs: DataFrame) -> list[Column]:
-    """n_tokens and the array f of features of the text column; an empty text has zeros."""
+def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, n_tokens, draw and the sparse vector f of hashed word counts of the text column; an empty text has zeros."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size, n_bytes = F.greatest(F.length(text), F.lit(1)), F.octet_length(text)
-    count = lambda c: (n_bytes - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / size
-    tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return [tokens.alias("n_tokens"), F.array(*(count(c) for c in MARKS), n_bytes / size - 1, F.log1p(tokens) / 100).alias("f")]
+    words = F.filter(F.split(F.lower(text), CUT), lambda w: w != "")
+    rows = _pinned(docs, keep, F.regexp_count(text, F.lit(WORD)).cast("long"), _draw(), words).withColumnsRenamed({"pin_0": "n_tokens", "pin_1": "draw", "pin_2": "words"})
+    return HashingTF(numFeatures=BUCKETS, inputCol="words", outputCol="f").transform(rows).drop("words")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -42,23 +44,24 @@ def _draw() -> Column:
 
 @dataclass
 class Mixer:
-    """Domains with their scores as linear functions of the features, and the steps that led to the rates."""
+    """Domains with the model of their words, and the steps that led to the rates."""
 
     domains: list[str]
-    intercept: list[float]
-    slope: list[list[float]]
+    model: NaiveBayesModel | None
+    softness: float
     targets: list[float] = field(default_factory=list)
     mass: list[float] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
     steps: list[tuple[list[float], float]] = field(default_factory=list)
     rows: DataFrame | None = None
 
-    def posterior(self, f: Column) -> Column:
-        """Softmax of the scores. All numbers are in one constant array, so every fit runs the same generated code."""
-        rows = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.array(*map(F.lit, w)).alias("w")) for a, w in zip(self.intercept, self.slope, strict=True)))
-        scores = F.transform(rows, lambda r: r["a"] + _dot(r["w"], f))
-        weights = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))[0]
-        return F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda t, y: t + y)))[0]
+    def posteriors(self, features: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and posterior, the softmax of the log posteriors times ``softness``, of a table with the column f."""
+        if self.model is None:
+            return features.select(*keep, F.array(F.lit(1.0)).alias("posterior"))
+        scored = _pinned(self.model.transform(features), keep, vector_to_array("scores"))
+        weights = F.transform(F.array(F.col("pin_0")), lambda s: F.transform(s, lambda x: F.exp(self.softness * (x - F.array_max(s)))))[0]
+        return scored.select(*keep, F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda t, y: t + y)))[0].alias("posterior"))
 
     def state(self, posterior: Column) -> Column:
         """(r, y): a document's rate after all steps, and where the next one starts."""
@@ -84,25 +87,22 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """
     spark = docs.sparkSession
     base = scratch(spark, "mixing")
-    names = [f"f{i}" for i in range(N_FEATURES)]
-    tokens, f = text_features(docs)
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens, f, _draw().alias("draw")), f"{base}/features")
+    rows = written(text_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), f"{base}/features")
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null").distinct()
-    stats = rows.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), *(F.avg(F.col("f")[i]).alias(f"m_{x}") for i, x in enumerate(names)), *(F.var_pop(F.col("f")[i]).alias(f"v_{x}") for i, x in enumerate(names))).orderBy("domain").collect()
+    stats = rows.join(known, "doc_id").groupBy("domain").agg(F.sum("n_tokens").alias("tokens")).orderBy("domain").collect()
     if targets is not None:
         stats = [r for r in stats if targets.get(r["domain"], 0) > 0]
+    domains, model, weight = [r["domain"] for r in stats] or ["all"], None, np.ones(1)
     if stats:
-        n = np.array([r["n"] for r in stats], float)
-        mean = np.array([[r[f"m_{x}"] for x in names] for r in stats])
-        within = (n[:, None] * np.array([[r[f"v_{x}"] for x in names] for r in stats])).sum(0) / n.sum()
-        spread = within + 1e-6 + 0.01 * mean.var(0)
-        slope = softness * mean / spread
-        mixer = Mixer([r["domain"] for r in stats], (-0.5 * (slope * mean).sum(1) + softness * np.log(n / n.sum())).tolist(), slope.tolist())
         weight = np.array([targets[r["domain"]] if targets is not None else max(r["tokens"], 1) ** flatten for r in stats], float)
-    else:
-        mixer, weight = Mixer(["all"], [0.0], [[0.0] * N_FEATURES]), np.ones(1)
+    if len(domains) > 1:
+        taught = rows.join(known, "doc_id").select("f", (F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1).cast("double").alias("label")).where("label >= 0")
+        model = NaiveBayes(featuresCol="f", labelCol="label", smoothing=0.1).fit(taught)
+        model = model.setPredictionCol("").setProbabilityCol("").setRawPredictionCol("scores")
+    mixer = Mixer(domains, model, softness)
     k = len(mixer.domains)
-    state = written(rows.where("n_tokens > 0").select("n_tokens", mixer.posterior(F.col("f")).alias("p")), f"{base}/posteriors")
+    scored = written(mixer.posteriors(rows, ["doc_id", "n_tokens", "draw"]), f"{base}/posteriors")
+    state = scored.where("n_tokens > 0").withColumnRenamed("posterior", "p")
 
     def totals() -> tuple[np.ndarray, np.ndarray]:
         now = state.select("n_tokens", "p", mixer.state(F.col("p")).alias("s"))
@@ -123,12 +123,12 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
             break
         mixer.steps.append(((metric @ (at_y - want)).tolist(), step / (step + 3)))
         reached, at_y = totals()
-    mixer.rows, mixer.targets, mixer.mass, mixer.reached = rows, want.tolist(), mass.tolist(), reached.tolist()
+    mixer.rows, mixer.targets, mixer.mass, mixer.reached = scored, want.tolist(), mass.tolist(), reached.tolist()
     return mixer
 
 
 def document_rates(mixer: Mixer) -> DataFrame:
-    """doc_id, n_tokens, posterior (array in the order of ``mixer.domains``), rate and copies of every fitted row, from the features that the fit has stored.
+    """doc_id, n_tokens, posterior (array in the order of ``mixer.domains``), rate and copies of every fitted row, from the posteriors that the fit has stored.
 
     ``copies`` is the rate rounded down or up at random by a hash of doc_id and text, so that its expectation is the rate. A text without tokens has rate 1.
     """
@@ -142,8 +142,7 @@ def _pinned(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
     return out.select(*keep, *(F.col("pin")[n].alias(n) for n in names))
 
 
-def _rates(features: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
-    df = _pinned(features, [*keep, "n_tokens", "draw"], mixer.posterior(F.col("f"))).withColumnRenamed("pin_0", "posterior")
+def _rates(df: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
     rate = F.when(F.col("n_tokens") == 0, F.lit(1.0)).otherwise(mixer.state(F.col("posterior"))["r"])
     df = _pinned(df, [*keep, "n_tokens", "posterior", "draw"], rate).withColumnRenamed("pin_0", "rate").withColumn("copies", F.floor(F.col("rate") + F.col("draw")).cast("long"))
     return df.select(*keep, "n_tokens", "posterior", "rate", "copies")
@@ -156,7 +155,6 @@ def mixed(docs: DataFrame, mixer: Mixer) -> DataFrame:
     """
     kept = [f"kept_{i}" for i in range(len(docs.columns))]
     named = docs.select(*(F.col(c).alias(x) for x, c in zip(kept, docs.columns, strict=True)), F.col("doc_id"), F.col("text"))
-    tokens, f = text_features(named)
-    features = _pinned(named, kept, tokens, f, _draw()).withColumnsRenamed({"pin_0": "n_tokens", "pin_1": "f", "pin_2": "draw"})
-    rows = _rates(features, mixer, kept).where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    scored = mixer.posteriors(text_features(named, kept), [*kept, "n_tokens", "draw"])
+    rows = _rates(scored, mixer, kept).where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return rows.select(*(F.col(x).alias(c) for x, c in zip(kept, docs.columns, strict=True)))

@@ -35,6 +35,17 @@ def test_mixing_edges(spark):
     assert mixing.mixed(docs.limit(0), mixing.fit_mixture(docs.limit(0), docs.select("doc_id", F.lit("a").alias("domain")))).count() == 0
 
 
+def test_domains_of_any_language(spark):
+    words = {"ru": "это он не на что как мы вы был они", "uk": "це він не на що як ми ви був вони", "el": "και το να είναι με για που από στο την", "it": "il che non per una sono con del gli anche", "zh": "这是我的书我们不知道他在哪里"}
+    rng = np.random.default_rng(3)
+    text = lambda k: ("" if k == "zh" else " ").join(rng.choice(list(words[k]) if k == "zh" else words[k].split(), 25))
+    rows = [(i, text(k), k) for i, k in enumerate([*words] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    mixer = mixing.fit_mixture(docs, docs.where("doc_id < 100"))
+    right = [mixer.domains[int(np.argmax(r.posterior))] == rows[r.doc_id][2] for r in mixing.document_rates(mixer).collect() if r.doc_id >= 100]
+    assert len(right) == 100 and np.mean(right) > 0.97
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "123", "en", "s", 3), (-3, "you idiot moron scum worthless pathetic loser", "en", "s", 9), (None, "and the of to shat", "en", "s", 5)], docs.schema)
