@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.operators import overlap
+from seqspark.plans import logs
 from seqspark.sources import readers, sinks
 
 ATOM = "ATOM  {:5d} {:^4s} {:3s} {:1s}{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C\n"
@@ -56,6 +57,13 @@ def test_property_table(spark):
     assert {tuple(r) for r in readers.property_table(wide).collect()} == {("good", "A", 1.0), ("good", "C", 2.0)}
 
 
+def test_appended_stream_goes_to_files(spark):
+    rows = spark.range(20).select("id", F.timestamp_seconds("id").alias("ts"))
+    got = logs._streamed(spark, rows, lambda df: df.select("id"), "append")
+    assert len(got.inputFiles()) > 0 and sorted(r.id for r in got.collect()) == list(range(20))
+    assert logs._streamed(spark, rows.limit(0), lambda df: df.select("id"), "append").count() == 0
+
+
 def test_log_is_idempotent_and_search_resumes(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     rows = spark.createDataFrame([(1, 0.5), (2, 0.7)], "seq_id long, objective double")
