@@ -137,43 +137,62 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> np.ndarray
     return w
 
 
-#: Parts of the sample that are decoded by models of the other parts.
-FOLDS = 5
+#: Parts of the sample that are decoded by models of the other parts; documents that each language has in the sample, if it has them.
+FOLDS, LEAST_DOCS = 5, 8
 
 
-def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, steps: int = 150) -> LanguageModel:
-    """Learns from the rows of ``docs`` (doc_id, text, lang) with text and lang.
-
-    At most about ``sample_docs`` documents are used, as many of each language where it has them, chosen by a hash of (doc_id, text);
-    whole texts, never parts. Without labelled rows no language is known and every text is ``und``; with one language all texts with letters are of it.
-    """
+def _sample(docs: DataFrame, sample_docs: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All languages; and language, features and bytes of the sampled texts: of each language those with the least hashes of (doc_id, text), each once."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("id")).where("lang is not null and text is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_docs // 8).collect()}
+    rows = rows.select("lang", "text", F.xxhash64("id", "text", F.lit(11)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return LanguageModel([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    share = sample_docs / len(languages)
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(1.0)
-    for name in languages:
-        rate = F.when(F.col("lang") == name, F.lit(min(1.0, share / counts[name]))).otherwise(rate)
-    names = {x: i for i, x in enumerate(languages)}
+        return [], np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64)
+    share = max(sample_docs // len(languages), LEAST_DOCS)
+    # Half as many again are drawn, since the counts are estimates; the exact cut follows.
+    rates = docs.sparkSession.createDataFrame([(x, i, min(1.0, 1.5 * (share + 20) / max(counts[x], 1))) for i, x in enumerate(languages)], "lang string, y int, rate double")
+    drawn = rows.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keep = [i for i, x in enumerate(lang) if x in names and has_letter(text[i])]
+            y, h, text = (c.to_pylist() for c in b.columns)
+            keep = []
+            for i, key in enumerate(zip(y, h, strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    if has_letter(text[i]):
+                        keep.append(i)
             x = features([text[i] for i in keep]).astype(np.float16)
             packed = [np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array([names[lang[i]] for i in keep], pa.int32()), pa.array(packed, pa.binary()), pa.array([_size(text[i]) for i in keep], pa.int64())], names=["y", "x", "size"])
-
-    sample = rows.where(draw < rate).select("lang", "text").mapInArrow(run, "y int, x binary, size long").toArrow()
-    y, size = sample.column(0).to_numpy(), sample.column(2).to_numpy()
-    x = np.zeros((len(y), BUCKETS), np.float32)
-    for i, r in enumerate(sample.column(1).to_pylist()):
+            columns = [pa.array([y[i] for i in keep], pa.int32()), pa.array([h[i] for i in keep], pa.int64()), pa.array(packed, pa.binary()), pa.array([_size(text[i]) for i in keep], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "h", "x", "size"])
+
+    found = drawn.select("y", "h", "text").mapInArrow(run, "y int, h long, x binary, size long").dropDuplicates(["y", "h"]).toArrow()
+    y, h = found.column("y").to_numpy(), found.column("h").to_numpy()
+    order = np.lexsort((h, h & ((1 << 30) - 1), y))
+    rank = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+    order = order[rank < share]
+    packed = found.column("x").take(pa.array(order)).to_pylist()
+    x = np.zeros((len(order), BUCKETS), np.float32)
+    for i, r in enumerate(packed):
         k = len(r) // 4
         x[i, np.frombuffer(r[: 2 * k], np.uint16)] = np.frombuffer(r[2 * k :], np.float16)
+    return languages, y[order], x, found.column("size").to_numpy()[order]
+
+
+def fit_languages(docs: DataFrame, sample_docs: int = 2400, l2: float = 1e-5, steps: int = 150) -> LanguageModel:
+    """Learns from the rows of ``docs`` (doc_id, text, lang) with text and lang.
+
+    At most ``sample_docs`` documents are used, or LEAST_DOCS of each language if that is more; as many of each language where it has them, those with
+    the least hashes of (doc_id, text); whole texts, never parts. Without labelled rows no language is known and every text is ``und``; with one language
+    all texts with letters are of it.
+    """
+    languages, y, x, size = _sample(docs, sample_docs)
+    if not languages:
+        return LanguageModel([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     code = codewords(len(languages))
     if not len(y) or not code.shape[1]:
         return LanguageModel(languages, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32))

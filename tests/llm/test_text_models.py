@@ -86,6 +86,15 @@ def test_language_edges(spark):
     assert lang_id.identify(df.limit(0), model).count() == 0
 
 
+def test_language_sample_is_exact(spark):
+    rows = [(None, f"alpha {i}", "aa") for i in range(700)] + [(7, f"beta {i}", "bb") for i in range(700)] + [(None, "copy", "cc")] * 500
+    languages, y, x, _ = lang_id._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 150)
+    assert languages == ["aa", "bb", "cc"] and [int((y == k).sum()) for k in range(3)] == [50, 50, 1] and len(x) == len(y)
+    many = [(i, f"word {i}", f"l{i % 400}") for i in range(800)]
+    languages, y, _, _ = lang_id._sample(spark.createDataFrame(many, "doc_id long, text string, lang string"), 2400)
+    assert len(languages) == 400 and len(y) == 800
+
+
 def test_language_filter_decides(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lang_id.fit_languages(docs.where("doc_id % 2 = 0"))
