@@ -27,11 +27,13 @@ def _findable(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests in local mode) a temporary folder is made and set.
+    Only where the session names none, and in local mode alone (tests), a temporary folder is made and set.
     """
     _findable(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/seqspark/{name}-{uuid.uuid4().hex[:12]}"
@@ -56,28 +58,41 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_file(folder: str, stem: str, parts: list[bytes]) -> str:
-    """Writes a file under a name of this attempt alone, so a retried or speculative task never touches another's."""
+def write_file(folder: str, stem: str, parts: list[bytes], final: bool = False) -> str:
+    """Writes a file under a name of this attempt alone, so a retried or speculative task never touches another's.
+
+    With ``final`` it is then moved to ``stem`` itself. That is for contents that every attempt makes alike: whichever comes last stands, and it is whole.
+    """
     uri = f"{folder}/{stem}-{uuid.uuid4().hex[:12]}"
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     with fs.open_output_stream(path) as f:
         for x in parts:
             f.write(x)
-    return uri
+    if not final:
+        return uri
+    _, target = filesystem(f"{folder}/{stem}")
+    try:
+        fs.move(path, target)
+    except OSError:  # some file systems don't move onto a file that is there
+        if fs.get_file_info(target).type != pafs.FileType.File:
+            raise
+        fs.delete_file(path)
+    return f"{folder}/{stem}"
 
 
 def map_file(uri: str) -> np.ndarray:
-    """The bytes of a file, memory-mapped. What isn't on a mounted path is mapped from an unlinked local copy."""
+    """The bytes of a file: memory-mapped where it is on a mounted path, else read into memory."""
     fs, path = filesystem(uri)
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(path) as f:
-        size = 0
-        while chunk := f.read(8 << 20):
-            size += copy.write(chunk)
-        copy.flush()
-        return np.memmap(copy.name, np.uint8, "r") if size else np.zeros(0, np.uint8)
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def has_file(uri: str) -> bool:
+    fs, path = filesystem(uri)
+    return fs.get_file_info(path).type == pafs.FileType.File
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -94,7 +109,8 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def crc_of_id(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string"))
+    """crc32 of an id as text. A null id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def long_array(values: list[np.ndarray]) -> pa.Array:
@@ -122,8 +138,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2B
 _INVERSE = pow(_BASE, -1, 2**64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -154,7 +170,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _hash_block(block: bytes, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a block's words, or of their first ``prefix`` bytes, and where they start."""
     a = np.frombuffer(block, np.uint8)
-    space = _SPACE[a]
+    space = SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -173,7 +189,7 @@ def _cuts(text: bytes, limit: int) -> Iterator[bytes]:
     lo = 0
     while len(text) - lo > limit:
         hi = lo + limit
-        while hi < len(text) and not _SPACE[text[hi]]:
+        while hi < len(text) and not SPACE[text[hi]]:
             hi += 1
         yield text[lo:hi]
         lo = hi

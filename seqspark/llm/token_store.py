@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import binary_texts, input_bytes, map_file, scratch, small_batches, write_file, written
+from seqspark.llm.common import SPACE, binary_texts, input_bytes, map_file, scratch, small_batches, write_file, written
 
 MAGIC = b"DACIDS01"
 CHUNK, RANK_BITS = 8, 512
-#: Words that a worker remembers while encoding.
+#: Pieces that a worker remembers while encoding.
 MEMO = 800_000
 #: A control character that stands between words in a call of the tokenizer; words that hold it are encoded by themselves.
 SEPARATOR = "\x01"
@@ -138,13 +138,118 @@ class DacFile:
             first = last
 
 
+#: Classes of bytes: letters (ASCII, and the lead byte of U+00C0 to U+00FF), digits, other printable ASCII but the apostrophe, and what only stands in unsplit runs.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = 0
+_KIND[48:58] = 1
+_KIND[ord("'")] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with capitals of plain runs lowered, and where pieces start and end.
+
+    A run of non-space bytes is plain if it has only letters up to U+00FF, digits and ASCII signs, but no apostrophe and no "<|", with which
+    special tokens begin. A plain run is cut where letters, digits and signs meet, as the tokenizer does, and lower-cased, which it does too; any
+    other run is one piece as it stands.
+    """
+    a = np.frombuffer(block, np.uint8)
+    space = SPACE[a]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return a, start, end
+    kind = _KIND[a]
+    after = np.zeros(len(a), bool)
+    after[1:] = a[:-1] == 0xC3
+    kind[after] = np.where((a[after] == 0x97) | (a[after] == 0xB7), 3, 0)  # signs of multiplication and division
+    odd = (kind == 3) & ~space
+    odd[:-1] |= (a[:-1] == 60) & (a[1:] == 124)
+    strange = np.add.reduceat(odd, start, dtype=np.int64) > 0
+    # Bytes of plain runs, by a running sum over the runs' edges.
+    inside = np.zeros(len(a) + 1, np.int8)
+    inside[start[~strange]] += 1
+    inside[end[~strange]] -= 1
+    plain = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    lowered = np.where(plain, _LOWER[a], a)
+    upper = after & plain & (a >= 0x80) & (a <= 0x9E)
+    lowered[upper] += 32
+    cut = np.flatnonzero(plain[1:] & plain[:-1] & (kind[1:] != kind[:-1])) + 1
+    if len(cut):
+        start = np.sort(np.concatenate((start, cut)))
+        end = np.sort(np.concatenate((end, cut)))
+    return lowered, start, end
+
+
+class Memo:
+    """Ids of pieces that were encoded before. A piece of up to 24 bytes is looked up by its very bytes, as three numbers in an open-addressing table."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.key = np.zeros((0, 3), np.uint64)
+        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ key[:, 2] * np.uint64(0x165667B19E3779F9)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where there is none."""
+        out = np.full(len(key), -1, np.int64)
+        todo, home = np.arange(len(key)), self._home(key)
+        while len(todo):
+            place = self.slot[home]
+            held = place >= 0
+            todo, home, place = todo[held], home[held], place[held]
+            hit = (self.key[place] == key[todo]).all(1)
+            out[todo[hit]] = place[hit]
+            todo, home = todo[~hit], (home[~hit] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, key: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """New distinct keys with their ids."""
+        first = len(self.key)
+        self.key = np.concatenate((self.key, key))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.flat = np.concatenate((self.flat, flat))
+        todo, home = np.arange(first, len(self.key), dtype=np.int32), self._home(key)
+        while len(todo):
+            free = self.slot[home] < 0
+            self.slot[home[free]] = todo[free]  # of keys that want one slot, one wins
+            lost = self.slot[home] != todo
+            todo, home = todo[lost], (home[lost] + 1) & ((1 << self.bits) - 1)
+
+
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Three little-endian numbers that hold the bytes of each piece of up to 24; what lies behind a piece is zero."""
+    padded = np.concatenate((data, np.zeros(32, np.uint8)))
+    loads = np.ndarray(len(data) + 24, "<u8", padded, 0, (1,))
+    size = end - start
+    key = np.empty((len(start), 3), np.uint64)
+    for k in range(3):
+        left = np.clip(size - 8 * k, 0, 8).astype(np.uint64)
+        mask = np.where(left == 8, np.uint64(2**64 - 1), (np.uint64(1) << (left * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+        key[:, k] = loads[np.minimum(start + 8 * k, len(data))] & mask
+    return key
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct run of non-space bytes once.
+    """Ids of texts by the tokenizers library, which sees each distinct piece of a text (see ``pieces``) once.
 
-    Right for tokenizers whose normaliser and splitter neither look nor merge across ASCII white space and give it no tokens, as those with
-    word ends and dropped white space do; the constructor checks that on samples.
+    Right for tokenizers whose normaliser lower-cases and whose splitter neither looks nor merges across ASCII white space, nor where letters, digits and signs
+    meet, and gives white space no tokens. The constructor checks that on samples, and every worker on the first texts that it sees; where it
+    doesn't hold, whole texts are encoded.
     """
 
+    SAMPLES = ("a b", " A  b\n\nc's\t12 3", "x \u0301y e \u0308\n", "One,two...THREE--4th (\u00c9t\u00c9\u00df), 3,141.5%%% \u00d7\u00f7 <|endoftext|>;")
+
     def __init__(self, path: str):
         import os
 
@@ -152,17 +257,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = all(self._whole(x) == [i for w in x.split() for i in self._whole(w)] for x in ("a b", " A  b\n\nc's\t12 3", "x ́y e ̈\n"))
         mark = self._whole(SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 and self._whole(f"a {SEPARATOR} b") == self._whole("a") + mark + self._whole("b") else None
-        self._forget()
+        self.memo = Memo()
+        self.by_piece = True
+        self._check([x.encode() for x in self.SAMPLES])
+        self.checked = not self.by_piece
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _check(self, texts: list[bytes]) -> None:
+        found = self._by_piece(texts, 0)
+        self.by_piece = self.by_piece and all(x[:-1].tolist() == self._whole(t.decode("utf-8", "replace")) for x, t in zip(found, texts, strict=True))
 
     def _distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has. Many go in one call, with a control character between them."""
@@ -178,31 +285,51 @@ class WordEncoder:
             flat, count = np.concatenate(parts), np.array([len(x) for x in parts])
         return flat, count
 
-    def encode(self, texts: list[bytes], last: int) -> list[np.ndarray]:
-        """uint32 ids of each text with ``last`` behind them."""
-        if not self.by_word:
-            return [np.array([*e.ids, last], np.uint32) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.place}
-        if len(self.place) + len(new) > MEMO:
-            self._forget()
-            new = {w for ws in words for w in ws}
-        if new:
-            new = list(new)
-            flat, count = self._distinct([w.decode("utf-8", "replace") for w in new])
-            self.place.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
-            self.count = np.concatenate((self.count, count))
-            self.flat = np.concatenate((self.flat, flat))
-        get = self.place.__getitem__
-        at = np.fromiter((k for ws in words for k in map(get, ws)), np.int64, sum(map(len, words)))
-        count = self.count[at]
-        end = np.cumsum(count)
-        ids = self.flat[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[at] - (end - count), count)]
-        ends = np.concatenate(([0], end))[np.cumsum([len(ws) for ws in words])]
+    def _by_piece(self, texts: list[bytes], last: int) -> list[np.ndarray]:
+        data, start, end = pieces(b" ".join(texts))
+        raw, size = data.tobytes(), end - start
+        key = _keys(data, start, end)
+        short = np.flatnonzero(size <= 24)
+        at = np.full(len(start), -1, np.int64)
+        at[short] = self.memo.find(key[short])
+        missing = short[at[short] < 0]
+        if len(missing):
+            # One of each, sorted by their first bytes; the same three numbers are the same piece.
+            order = missing[np.lexsort((key[missing, 2], key[missing, 1], key[missing, 0]))]
+            fresh = np.concatenate(([True], (key[order[1:]] != key[order[:-1]]).any(1)))
+            first = order[fresh]
+            if len(self.memo) + len(first) > MEMO:
+                self.memo = Memo()
+                return self._by_piece(texts, last) if len(first) < MEMO // 2 else [x for t in texts for x in self._alone(t, last)]
+            flat, count = self._distinct([raw[i:j].decode("utf-8", "replace") for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            place = len(self.memo) + np.cumsum(fresh) - 1
+            self.memo.add(key[first], flat, count)
+            at[order] = place
+        flat, begin, count = self.memo.flat, self.memo.start[at], self.memo.count[at]
+        long = np.flatnonzero(size > 24)
+        if len(long):
+            own, n = self._distinct([raw[i:j].decode("utf-8", "replace") for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+            begin[long], count[long] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate((flat, own))
+        stop = np.cumsum(count)
+        ids = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - count), count)]
+        # A text ends where the pieces that start in it do.
+        ends = np.concatenate(([0], stop))[np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))]
         ids = np.insert(ids, ends, last)
         return np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1])
 
+    def _alone(self, text: bytes, last: int) -> list[np.ndarray]:
+        return [np.array([*self._whole(text.decode("utf-8", "replace")), last], np.uint32)]
+
+    def encode(self, texts: list[bytes], last: int) -> list[np.ndarray]:
+        """uint32 ids of each text with ``last`` behind them."""
+        if not self.checked and texts:
+            self.checked = True
+            self._check([t for t in texts[:4] if len(t) <= 1 << 16])
+        if not self.by_piece:
+            return [x for t in texts for x in self._alone(t, last)]
+        return self._by_piece(texts, last) if texts else []
+
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
