@@ -19,17 +19,21 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import scratch, written
 
-WORD = r"[^\x20\x09-\x0D]+"
-#: Cuts between words, between letters and other signs, and behind each letter of scripts that are written without spaces.
-CUT = r"[\s\x1C-\x1F]+|(?<=[\p{L}\p{M}])(?=[^\p{L}\p{M}\s])|(?<=[^\p{L}\p{M}\s])(?=[\p{L}\p{M}])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=\p{L})"
+SPACES = " \t\n\x0b\x0c\r"
+# Blocks of Unicode whose scripts are written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han); each of their characters is a word.
+DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: A character of those, or a run of other letters, or a run of other signs.
+TERM = rf"[{DENSE}]|[\p{{L}}\p{{M}}&&[^{DENSE}]]+|[^\p{{L}}\p{{M}}\s]+"
 BUCKETS = 1 << 14
 
 
 def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, n_tokens, draw and the sparse vector f of hashed word counts of the text column; an empty text has zeros."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(F.lower(text), CUT), lambda w: w != "")
-    rows = _pinned(docs, keep, F.regexp_count(text, F.lit(WORD)).cast("long"), _draw(), words).withColumnsRenamed({"pin_0": "n_tokens", "pin_1": "draw", "pin_2": "words"})
+    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    trimmed = F.trim(text, F.lit(SPACES))
+    count = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
+    rows = _pinned(docs, keep, count.cast("long"), _draw(), words).withColumnsRenamed({"pin_0": "n_tokens", "pin_1": "draw", "pin_2": "words"})
     return HashingTF(numFeatures=BUCKETS, inputCol="words", outputCol="f").transform(rows).drop("words")
 
 
