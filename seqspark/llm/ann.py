@@ -6,6 +6,7 @@ the parts. Every row is stored with the part that the network deems likeliest; a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,8 +103,15 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, steps: in
     return Router(*p, scale)
 
 
-def fit_partitions(vectors: DataFrame, n_parts: int = 16, sample_rows: int = 8192, neighbours: int = 20) -> Router:
-    """Learns parts from at most ``sample_rows`` vectors, those with the least hash of their id. With fewer than 4 vectors for each part there is one part."""
+def fit_partitions(vectors: DataFrame, n_parts: int | None = None, sample_rows: int = 8192, neighbours: int = 20, part_rows: int = 4096) -> Router:
+    """Learns parts from at most ``sample_rows`` vectors, those with the least hash of their id.
+
+    Parts grow with the table: the power of two that gives each about ``part_rows`` rows, of those from 16 on that leave 32 rows of the sample to each. With fewer
+    than 4 vectors for each part there is one part, so that the search is exact.
+    """
+    if n_parts is None:
+        most = max(16, 1 << int(np.log2(max(sample_rows // 32, 1))))
+        n_parts = min(most, max(16, 1 << int(np.ceil(np.log2(max(vectors.count() / part_rows, 1))))))
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(sample_rows).select("vector").toArrow()
     x = np.array(sample.column(0).to_pylist(), np.float64)
     if len(x) < 4 * n_parts:
@@ -130,23 +138,28 @@ def _routed(df: DataFrame, router: Router, n: int) -> DataFrame:
     return df.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, parts array<int>").select("vec_id", "vector", F.explode("parts").alias("part"))
 
 
-def _search(k: int):
-    def run(row: pd.Series) -> pd.DataFrame:
-        query_ids, queries, _ = unpacked(row)
-        ids, matrix, _ = unpacked(row, "c_")
+def _search(k: int) -> Callable[[str, str], pd.DataFrame]:
+    def run(stored: str, asked: str) -> pd.DataFrame:
+        query_ids, queries, _ = unpacked(asked)
+        ids, matrix, _ = unpacked(stored)
         points, flat, count = distinct_vectors(ids, matrix, k + 1)
         start = np.cumsum(count) - count
         out_q, out_v, out_s = [], [], []
-        width = min(len(points), k + 9)
+        width = min(len(points), k + 1)
+        size = np.sqrt((points**2).sum(1)).max(initial=0)
         for lo in range(0, len(queries), 256):
             q = queries[lo : lo + 256]
-            near = np.argpartition(-(q @ points.T), width - 1, axis=1)[:, :width]
-            # A sum in one order for all rows: equal vectors have equal scores wherever they stand.
-            exact = (points[near] * q[:, None, :]).sum(-1)
+            rough = q @ points.T
+            # All that may be among the best k + 1 points, however the products were rounded; ties at the last place included.
+            least = np.partition(rough, len(points) - width, axis=1)[:, len(points) - width]
+            margin = 4 * points.shape[1] * np.finfo(float).eps * np.sqrt((q**2).sum(1)) * size
             for i in range(len(q)):
-                n = count[near[i]]
-                v = flat[np.arange(n.sum()) + np.repeat(start[near[i]] - (np.cumsum(n) - n), n)]
-                s = np.repeat(exact[i], n)
+                near = np.flatnonzero(rough[i] >= least[i] - margin[i])
+                # A sum in one order for all rows: equal vectors have equal scores wherever they stand.
+                exact = (points[near] * q[i]).sum(-1)
+                n = count[near]
+                v = flat[np.arange(n.sum()) + np.repeat(start[near] - (np.cumsum(n) - n), n)]
+                s = np.repeat(exact, n)
                 other = v != query_ids[lo + i]
                 v, s = v[other], s[other]
                 order = np.lexsort((v, -s))[:k]
@@ -158,22 +171,30 @@ def _search(k: int):
     return run
 
 
+def probes_of(router: Router, share: float = 0.8125) -> int:
+    """How many parts are visited: a share of them, rounded up. The default is 13 of 16."""
+    return int(np.ceil(share * len(router.b2)))
+
+
 def approximate_neighbours(vectors: DataFrame, queries: DataFrame, router: Router, k: int, probes: int, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found in each query's ``probes`` likeliest parts.
 
-    Both tables have (vec_id, vector) with unique ids, as ``valid_vectors`` gives them; every row is indexed. A query's own id is no candidate, ties
-    go to the smaller id. Parts and their queries are cut into blocks by a hash of the id, however uneven the parts; each pair of blocks is one group. Where
-    the visited parts hold fewer than k candidates, ``probes`` should be raised: with as many as there are parts the search is exact.
+    Both tables have (vec_id, vector) with unique ids, as ``valid_vectors`` gives them, and further columns that are ignored; every row is indexed. A query's own id is no candidate, ties
+    go to the smaller id. Parts and their queries are cut into blocks by a hash of the id, however uneven the parts; a block is a file in the shared folder, and
+    each pair of blocks one task's work. Where the visited parts hold fewer than k candidates, ``probes`` should be raised: with as many as there are parts
+    the search is exact. Empty inputs give an empty result.
     """
     base = scratch(vectors.sparkSession, "ann")
     n_parts = len(router.b2)
 
     def blocks(df: DataFrame, n: int, rows: int, salt: int, name: str) -> DataFrame:
-        routed = written(_routed(df, router, n), f"{base}/{name}")
+        routed = written(_routed(df, router, n), f"{base}/{name}-rows")
         sizes = routed.groupBy("part").agg(F.ceil(F.count("*") / rows).alias("n_blocks"))
         block = F.col("part") + n_parts * F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("n_blocks"))
-        return packed(routed.join(sizes, "part"), block).withColumn("part", F.pmod("block", F.lit(n_parts)))
+        # As few rows as parts, and those are bounded by the sample.
+        return packed(routed.join(F.broadcast(sizes), "part"), block, f"{base}/{name}").withColumn("part", F.pmod("block", F.lit(n_parts)))
 
-    stored = blocks(vectors, 1, block_rows, 1, "stored").select("part", *(F.col(c).alias(f"c_{c}") for c in ("block", "n", "ids", "matrix", "bound")))
-    asked = blocks(queries, min(probes, n_parts), query_rows, 2, "asked")
-    return best(each_pair(asked.join(stored, "part"), _search(k), FOUND, ["block", "c_block"]), k)
+    stored = blocks(vectors, 1, block_rows, 1, "stored").select("part", F.col("uri").alias("left"))
+    asked = blocks(queries, min(probes, n_parts), query_rows, 2, "asked").select("part", F.col("uri").alias("right"))
+    pairs = written(stored.join(asked, "part").select("left", "right"), f"{base}/pairs")
+    return best(each_pair(pairs, pairs.count(), _search(k), FOUND), k)

@@ -28,8 +28,8 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kn_lm.count_bigrams(docs.where(crc_of_id() % 10 != 0))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    held = crc_of_id() % 10 == 0
+    model = kn_lm.count_bigrams(docs.where(~held))
     return kn_lm.score_texts(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
@@ -71,7 +71,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    held = crc_of_id() % 4 == 2
     model = lang_id.fit_languages(docs.where(~held))
     return lang_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
@@ -79,11 +79,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = vectors.valid_vectors(_table(spark, sf_dir, "embeddings"), zero_too=False)
     router = ann.fit_partitions(x)
-    return ann.approximate_neighbours(x, x.where("vec_id % 20 = 0"), router, k=20, probes=PROBES)
-
-
-#: Parts of 16 that a query visits.
-PROBES = 13
+    return ann.approximate_neighbours(x, x.where("vec_id % 20 = 0"), router, k=20, probes=ann.probes_of(router))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

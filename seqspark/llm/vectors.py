@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PACKED = "block long, n int, ids binary, matrix binary, bound binary"
+from seqspark.llm.common import map_file, write_file, written
+
+PACKED = "block long, n int, uri string"
 
 
 def valid_vectors(df: DataFrame, zero_too: bool = True) -> DataFrame:
@@ -27,21 +29,29 @@ def valid_vectors(df: DataFrame, zero_too: bool = True) -> DataFrame:
     return x.where(F.size("vector") == (length["d"] if length else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def packed(df: DataFrame, block: Column, bound: bool = False) -> DataFrame:
-    """(vec_id, vector[, bound]) rows as one row for each block: ids, row-major float64 matrix, bounds. Blocks are kept small by the caller."""
+def packed(df: DataFrame, block: Column, folder: str, bound: bool = False) -> DataFrame:
+    """(vec_id, vector[, bound]) rows as one file for each block: ids, row-major float64 matrix, bounds. Blocks are kept small by the caller.
+
+    Returns a written table (block, n, uri), so what pairs of blocks carry through a shuffle are names, never vectors.
+    """
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
         matrix = np.array(rows["vector"].tolist(), np.float64)
-        return pd.DataFrame([{"block": key[0], "n": len(rows), "ids": rows["vec_id"].to_numpy(np.int64).tobytes(), "matrix": matrix.tobytes(), "bound": rows["bound"].to_numpy(np.float64).tobytes()}])
+        head = np.array(matrix.shape, np.int64)
+        uri = write_file(f"{folder}/files", f"block-{key[0]}", [head.tobytes(), rows["vec_id"].to_numpy(np.int64).tobytes(), matrix.tobytes(), rows["bound"].to_numpy(np.float64).tobytes()])
+        return pd.DataFrame([{"block": key[0], "n": len(rows), "uri": uri}])
 
     rows = df.select(block.cast("long").alias("block"), "vec_id", "vector", (F.col("bound") if bound else F.lit(float("-inf"))).alias("bound"))
-    return rows.groupBy("block").applyInPandas(pack, PACKED)
+    return written(rows.groupBy("block").applyInPandas(pack, PACKED), f"{folder}/blocks")
 
 
-def unpacked(row: pd.Series, name: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{name}ids"], np.int64)
-    return ids, np.frombuffer(row[f"{name}matrix"], np.float64).reshape(len(ids), -1), np.frombuffer(row[f"{name}bound"], np.float64)
+def unpacked(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, matrix and bounds of a block's file, mapped where it can be."""
+    data = map_file(uri)
+    n, d = (int(x) for x in data[:16].view(np.int64))
+    ids, rest = data[16 : 16 + 8 * n].view(np.int64), data[16 + 8 * n :].view(np.float64)
+    return ids, rest[: n * d].reshape(n, d), rest[n * d :]
 
 
 def distinct_vectors(ids: np.ndarray, matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,9 +64,17 @@ def distinct_vectors(ids: np.ndarray, matrix: np.ndarray, most: int) -> tuple[np
     return matrix[first], ids[order[keep]], np.bincount(of[keep], minlength=len(first))
 
 
-def each_pair(pairs: DataFrame, search: Callable[[pd.Series], pd.DataFrame], schema: str, keys: list[str]) -> DataFrame:
-    """Runs ``search`` on every row of pairs of blocks, each a group of its own, so a task holds one pair at a time."""
-    return pairs.groupBy(*keys).applyInPandas(lambda rows: search(rows.iloc[0]), schema)
+def each_pair(pairs: DataFrame, n_pairs: int, search: Callable[[str, str], pd.DataFrame], schema: str) -> DataFrame:
+    """Runs ``search`` on every pair (left, right) of files. Pairs are dealt evenly over tasks, which hold one at a time; those with one left file follow each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for left, right in zip(b["left"], b["right"], strict=True):
+                yield search(left, right)
+
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_pairs // 64)
+    dealt = pairs.select("left", "right").repartition(max(1, min(parts, n_pairs)), "left", "right").sortWithinPartitions("left", "right")
+    return dealt.mapInPandas(run, schema)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
