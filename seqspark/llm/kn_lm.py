@@ -1,16 +1,18 @@
 """Scoring with an interpolated modified Kneser-Ney bigram model.
 
 Counting: each task turns texts into word hashes and hands on its distinct bigrams with counts, cut into buckets by the hash of
-the first word. A reducing task merges a bucket: it knows all followers of its contexts, so it stores the bigrams as a
-sorted hash array with counts, and the contexts with their totals and numbers of followers seen once, twice and more often.
-It hands on how many distinct predecessors each word has in the bucket; a second reduction adds these to the unigram arrays.
-Scoring: workers map the arrays and look up the sorted distinct bigrams of a block of texts, bucket by bucket.
+the first word. A first word that is so frequent that its followers would outgrow a bucket has them dealt over several, by the second
+word. A reducing task merges a bucket and stores the bigrams as a sorted hash array with counts; of contexts that it alone has, it stores the totals and
+numbers of followers seen once, twice and more often as well. What it knows of a part of a thing goes on to a second reduction, dealt by the word: the
+parts of the frequent contexts, and how many distinct predecessors each word has in the bucket. That one stores the unigram arrays.
+Scoring: workers map the arrays and look up the sorted distinct bigrams of a block of texts, bucket by bucket. A bucket's file has the bucket's number for
+a name, so neither driver nor closures hold a table of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -19,17 +21,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import batches_by_bytes, binary_texts, chain, input_bytes, map_file, scratch, small_batches, word_hashes, write_file, written
+from seqspark.llm.common import avalanche, batches_by_bytes, binary_texts, chain, discard, has_file, input_bytes, map_file, scratch, small_batches, word_hashes, write_file, written
 
 #: Hashes of the marks before the first word and behind the last; no word's, but by an accident of 64 bits.
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 #: Tokens that a task counts before it hands on its bigrams; bytes of input for a bucket.
 FLUSH, BUCKET_BYTES = 4_000_000, 6 << 20
+#: One document of so many is looked at for frequent words, of which the first so many are dealt over several buckets. Both decide only where the work is done.
+LAYOUT_SHARE, LAYOUT_WORDS = 64, 10_000
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so sorted hashes have sorted buckets."""
-    return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+@dataclass
+class Layout:
+    """Which bucket has what: ranges of the first word's hash, and for frequent first words (sorted) ``spread`` buckets from there on, by the second word."""
+
+    n: int
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    spread: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def of_word(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(40)) * np.uint64(self.n) >> np.uint64(24)).astype(np.int64)
+
+    def hot_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the frequent ones among ``h``, and their places in ``hot``."""
+        place, there = _find(self.hot, h)
+        at = np.flatnonzero(there)
+        return at, place[at]
+
+    def of_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        bucket = self.of_word(first)
+        at, k = self.hot_words(first)
+        if len(at):
+            bucket[at] = (bucket[at] + (avalanche(second[at]) % self.spread[k]).astype(np.int64)) % self.n
+        return bucket
+
+
+def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places, and whether each is there."""
+    if not len(sorted_hashes):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)
+    return at, sorted_hashes[at] == wanted
 
 
 def _pairs(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +94,13 @@ def _merged(first: np.ndarray, second: np.ndarray, count: np.ndarray | None) ->
     return vocabulary[(key >> np.uint64(32)).astype(np.int64)], vocabulary[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], n.astype(np.int64)
 
 
-def _slices(first: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    b = _bucket(first, n)
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of what is in it, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
     cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(0, np.int64)
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        yield int(b[lo]), slice(lo, hi)
+        yield int(b[lo]), order[lo:hi]
 
 
 def _packed(count: np.ndarray) -> tuple[bytes, bytes]:
@@ -83,11 +117,11 @@ def _unpacked(small: bytes, large: bytes) -> np.ndarray:
 _COUNTED = "bucket int, contexts binary, followers binary, second binary, small binary, large binary"
 
 
-def _counter(n_buckets: int) -> Callable:
+def _counter(layout: Layout) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             first, second, count = _merged(np.concatenate([f for f, _ in held]), np.concatenate([s for _, s in held]), None)
-            for bucket, at in _slices(first, n_buckets):
+            for bucket, at in _slices(layout.of_pair(first, second)):
                 f = first[at]
                 start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
                 small, large = _packed(count[at])
@@ -114,7 +148,7 @@ def _file(*arrays: np.ndarray) -> list[bytes]:
     return [head.tobytes(), *(x for a in arrays for x in (a.tobytes(), b"\0" * (-a.nbytes % 8)))]
 
 
-def _arrays(uri: str, *kinds: type) -> list[np.ndarray]:
+def _arrays(uri: str, kinds: tuple) -> list[np.ndarray]:
     data = map_file(uri)
     n = int(data[:8].view(np.int64)[0])
     sizes, at, out = data[8 : 8 * (n + 1)].view(np.int64), 8 * (n + 1), []
@@ -125,30 +159,48 @@ def _arrays(uri: str, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_PART = "kind string, bucket int, uri string, n long, once long, twice long, thrice long, often long, tokens long, words binary, small binary, large binary"
+#: Bigram files: sorted hashes, counts as bytes, places and values of the counts from 255 on; contexts, totals, followers seen once, twice, more often.
+_BIGRAMS = (np.uint64, np.uint8, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+#: Unigram files: sorted hashes and distinct predecessors; frequent contexts with the same four numbers as above.
+_UNIGRAMS = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+_SUMS = ["n", "once", "twice", "thrice", "often", "tokens", "begins"]
+_PART = f"kind string, bucket int, {', '.join(f'{c} long' for c in _SUMS)}, words binary, small binary, large binary"
+
+
+def _row(kind: str, bucket: int, count: np.ndarray, tokens: int = 0, begins: int = 0, words: bytes | None = None, small: bytes | None = None, large: bytes | None = None) -> dict:
+    kinds = [int((count == k).sum()) for k in (1, 2, 3, 4)]
+    return dict(zip(["kind", "bucket", *_SUMS, "words", "small", "large"], [kind, bucket, len(count), *kinds, tokens, begins, words, small, large], strict=True))
 
 
-def _frame(kind: str, bucket: int, uri: str | None, count: np.ndarray, tokens: int, words: bytes | None = None, small: bytes | None = None, large: bytes | None = None) -> dict:
-    return {"kind": kind, "bucket": bucket, "uri": uri, "n": len(count), "once": int((count == 1).sum()), "twice": int((count == 2).sum()), "thrice": int((count == 3).sum()), "often": int((count == 4).sum()), "tokens": tokens, "words": words, "small": small, "large": large}
+def _by_context(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Contexts of bigrams sorted by them, each with its total and the numbers of followers seen once, twice and more often."""
+    start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else np.zeros(0, np.int64)
+    add = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    return first[start], [add(x) for x in (count, count == 1, count == 2, count >= 3)]
 
 
-def _reducer(folder: str, n_buckets: int) -> Callable:
+def _reducer(folder: str, layout: Layout) -> Callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         first = np.concatenate([np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(f, np.uint32)) for c, f in zip(rows["contexts"], rows["followers"], strict=True)])
         second = np.concatenate([np.frombuffer(s, np.uint64) for s in rows["second"]])
         count = np.concatenate([_unpacked(s, x) for s, x in zip(rows["small"], rows["large"], strict=True)])
         first, second, count = _merged(first, second, count)
-        start = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
-        by_context = lambda x: np.add.reduceat(x.astype(np.int64), start)
-        contexts, total = first[start], by_context(count)
         hashes = chain(first, second)
         order = np.argsort(hashes)
-        uri = write_file(folder, f"bigrams-{key[0]:06d}", _file(hashes[order], np.minimum(count[order], 2**32 - 1).astype(np.uint32), contexts, total, *(by_context(x).astype(np.uint32) for x in (count == 1, count == 2, count >= 3))))
-        # Distinct predecessors of each word in this bucket, dealt out by the word.
+        ordered = count[order]
+        large = np.flatnonzero(ordered >= 255)
+        contexts, stats = _by_context(first, count)
+        _, there = _find(layout.hot, contexts)
+        own = ~there
+        write_file(folder, f"bigrams-{key[0]}", _file(hashes[order], np.minimum(ordered, 255).astype(np.uint8), large, ordered[large], contexts[own], *(x[own] for x in stats)), final=True)
+        out = [_row("bigrams", key[0], count, int(count.sum()), int(count[first == BEGIN].sum()))]
+        for bucket, at in _slices(layout.of_word(contexts[there])):
+            k = np.flatnonzero(there)[at]
+            out.append(_row("contexts", bucket, count[:0], words=contexts[k].tobytes(), large=np.stack([x[k] for x in stats]).tobytes()))
+        # Distinct predecessors of each word in this bucket.
         words, before = np.unique(second, return_counts=True)
-        out = [_frame("bigrams", key[0], uri, count, int(count.sum()))]
-        for bucket, at in _slices(words, n_buckets):
-            out.append(_frame("before", bucket, None, count[:0], 0, words[at].tobytes(), *_packed(before[at])))
+        for bucket, at in _slices(layout.of_word(words)):
+            out.append(_row("before", bucket, count[:0], 0, 0, words[at].tobytes(), *_packed(before[at])))
         return pd.DataFrame(out)
 
     return run
@@ -156,12 +208,19 @@ def _reducer(folder: str, n_buckets: int) -> Callable:
 
 def _unigrams(folder: str) -> Callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.concatenate([np.frombuffer(w, np.uint64) for w in rows["words"]])
-        before = np.concatenate([_unpacked(s, x) for s, x in zip(rows["small"], rows["large"], strict=True)])
+        some = rows[rows["kind"] == "before"]
+        words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(w, np.uint64) for w in some["words"])])
+        before = np.concatenate([np.zeros(0, np.int64), *(_unpacked(s, x) for s, x in zip(some["small"], some["large"], strict=True))])
         words, inverse = np.unique(words, return_inverse=True)
-        before = np.bincount(inverse, before).astype(np.int64)
-        uri = write_file(folder, f"unigrams-{key[0]:06d}", _file(words, before))
-        return pd.DataFrame([_frame("unigrams", key[0], uri, before, int(before.sum()))])
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, inverse, before)
+        parts = rows[rows["kind"] == "contexts"]
+        contexts, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(w, np.uint64) for w in parts["words"])]), return_inverse=True)
+        stats = np.zeros((4, len(contexts)), np.int64)
+        for x, of_stat in zip(stats, np.concatenate([np.zeros((4, 0), np.int64), *(np.frombuffer(x, np.int64).reshape(4, -1) for x in parts["large"])], axis=1), strict=True):
+            np.add.at(x, of, of_stat)
+        write_file(folder, f"unigrams-{key[0]}", _file(words, total, contexts, *stats), final=True)
+        return pd.DataFrame([_row("unigrams", key[0], total, int(total.sum()))])
 
     return run
 
@@ -178,9 +237,8 @@ def _discounts(once: int, twice: int, thrice: int, often: int) -> np.ndarray:
 class KneserNey:
     """Where a model's arrays are, and its scalars. ``tokens`` and ``vocabulary`` count words and end marks."""
 
-    bigrams: dict[int, str]
-    unigrams: dict[int, str]
-    n_buckets: int
+    folder: str
+    layout: Layout
     high: np.ndarray
     low: np.ndarray
     low_total: int
@@ -190,51 +248,60 @@ class KneserNey:
     documents: int
 
 
+def _layout(texts: DataFrame, n: int) -> Layout:
+    """Frequent words from one text of LAYOUT_SHARE: those with over half of a bucket's share of all words, LAYOUT_WORDS at most."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, _ = _pairs(word_hashes(binary_texts(b.column(0))))
+            words, count = np.unique(first, return_counts=True)
+            at = np.flatnonzero(count * 4 * n >= len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(words[at], BEGIN).view(np.int64)), pa.array(np.append(count[at], 0)), pa.array(np.append(np.zeros(len(at), np.int64), len(first)))], names=["word", "n", "tokens"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(LAYOUT_SHARE)) == 0).mapInArrow(tally, "word long, n long, tokens long")
+    top = some.groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), F.desc("n"), "word").limit(LAYOUT_WORDS).toPandas()
+    share = top["n"].to_numpy(float) / max(int(top["tokens"].sum()), 1)
+    hot = share * n > 0.5
+    words, spread = top["word"].to_numpy(np.int64)[hot].view(np.uint64), np.minimum(np.ceil(2 * share[hot] * n) + 1, n)
+    order = np.argsort(words)
+    return Layout(n, words[order], spread[order].astype(np.uint64))
+
+
 def count_bigrams(docs: DataFrame) -> KneserNey:
     """Counts all whole texts of ``docs`` (null: empty, that is one end mark) and stores the model's arrays in the shared folder.
 
-    Only manifests and sums, a row for each bucket, come to the driver. An empty table gives a model without any n-gram.
+    Only sums come to the driver, and the layout's frequent words. Repeated rows count each time, ids and further columns are ignored. An empty table gives a model without any n-gram.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch(spark, "kn")
     n_buckets = int(max(8, input_bytes(docs) // BUCKET_BYTES))
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(_counter(n_buckets), _COUNTED).repartition(n_buckets, "bucket")
-    parts = written(counted.groupBy("bucket").applyInPandas(_reducer(folder, n_buckets), _PART), f"{folder}/counted")
-    lower = parts.where("kind = 'before'").repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_unigrams(folder), _PART)
-    lower = written(lower, f"{folder}/lower")
-    columns = ["bucket", "uri", "n", "once", "twice", "thrice", "often", "tokens"]
-    high = parts.where("kind = 'bigrams'").select(*columns).toPandas()
-    low = lower.select(*columns).toPandas()
-    sums, low_sums = high[columns[2:]].sum(), low[columns[2:]].sum()
-    discount = lambda s: _discounts(int(s["once"]), int(s["twice"]), int(s["thrice"]), int(s["often"]))
-    # Contexts are all distinct words and BEGIN, whose total is the number of documents; END is in the vocabulary too.
-    begin = np.array([BEGIN], np.uint64)
-    uris = dict(zip(high["bucket"].astype(int), high["uri"], strict=True))
-    documents = 0
-    if (b := int(_bucket(begin, n_buckets)[0])) in uris:
-        _, _, contexts, total, *_ = _arrays(uris[b], *_KINDS)
-        at = np.searchsorted(contexts, begin[0])
-        documents = int(total[at]) if at < len(contexts) and contexts[at] == begin[0] else 0
-    once, twice = int(low_sums["once"]), int(low_sums["twice"])
-    return KneserNey(uris, dict(zip(low["bucket"].astype(int), low["uri"], strict=True)), n_buckets, discount(sums), discount(low_sums), int(low_sums["tokens"]), (once, twice, int(low_sums["n"]) - once - twice), int(sums["tokens"]), int(low_sums["n"]), documents)
-
-
-_KINDS = (np.uint64, np.uint32, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
+    layout = _layout(texts, n_buckets)
+    counted = texts.mapInArrow(_counter(layout), _COUNTED).repartition(n_buckets, "bucket")
+    parts = written(counted.groupBy("bucket").applyInPandas(_reducer(f"{folder}/arrays", layout), _PART), f"{folder}/counted")
+    lower = parts.where("kind <> 'bigrams'").repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_unigrams(f"{folder}/arrays"), _PART)
+    total = lambda df: df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS)).first()
+    high, low = total(parts.where("kind = 'bigrams'")), total(written(lower, f"{folder}/lower"))
+    discard(spark, f"{folder}/counted")
+    discount = lambda s: _discounts(s["once"], s["twice"], s["thrice"], s["often"])
+    kinds = (low["once"], low["twice"], low["n"] - low["once"] - low["twice"])
+    return KneserNey(f"{folder}/arrays", layout, discount(high), discount(low), low["tokens"], kinds, high["tokens"], low["n"], high["begins"])
 
 
 @lru_cache(maxsize=4096)
-def _mapped(uri: str, *kinds: type) -> list[np.ndarray]:
-    return _arrays(uri, *kinds)
+def _mapped(uri: str, kinds: tuple) -> list[np.ndarray]:
+    return _arrays(uri, kinds) if has_file(uri) else []
 
 
-def _find(sorted_hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places, and whether each is there."""
-    if not len(sorted_hashes):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(sorted_hashes, wanted), len(sorted_hashes) - 1)
-    return at, sorted_hashes[at] == wanted
+@lru_cache(maxsize=16)
+def _read(uri: str, kinds: tuple) -> list[np.ndarray]:
+    return _arrays(uri, kinds) if has_file(uri) else []
+
+
+def _stored(uri: str, kinds: tuple) -> list[np.ndarray]:
+    """A bucket's arrays, empty if it has none. Mapped ones cost no memory, so many are kept; of others the last few."""
+    return (_mapped if uri.startswith("file:") else _read)(uri, kinds)
 
 
 def block_scores(model: KneserNey, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,26 +311,33 @@ def block_scores(model: KneserNey, words: list[np.ndarray]) -> tuple[np.ndarray,
     f, s = inverse[: len(first)], inverse[len(first) :]
     n = len(vocabulary)
     total, before, gamma = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
+
+    def contexts(at: np.ndarray, stored: np.ndarray, totals: np.ndarray, *kinds: np.ndarray) -> None:
+        place, there = _find(stored, vocabulary[at])
+        k, place = at[there], place[there]
+        total[k] = totals[place]
+        gamma[k] = sum(d * x[place] for d, x in zip(model.high[1:], kinds, strict=True)) / totals[place]
+
     key, of_key = np.unique((f.astype(np.uint64) << np.uint64(32)) | s.astype(np.uint64), return_inverse=True)
     kf, ks = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     count = np.zeros(len(key), np.int64)
     key_hash = chain(vocabulary[kf], vocabulary[ks])
-    for bucket, at in _slices(vocabulary, model.n_buckets):
-        if bucket in model.bigrams:
-            hashes, counts, contexts, totals, one, two, more = _mapped(model.bigrams[bucket], *_KINDS)
-            place, there = _find(contexts, vocabulary[at])
-            place = place[there]
-            k = np.arange(at.start, at.stop)[there]
-            total[k] = totals[place]
-            gamma[k] = (model.high[1] * one[place] + model.high[2] * two[place] + model.high[3] * more[place]) / totals[place]
-            lo, hi = np.searchsorted(kf, [at.start, at.stop])  # keys are sorted by their first word
-            order = lo + np.argsort(key_hash[lo:hi])
-            place, there = _find(hashes, key_hash[order])
-            count[order[there]] = counts[place[there]]
-        if bucket in model.unigrams:
-            hashes, counts = _mapped(model.unigrams[bucket], np.uint64, np.int64)
-            place, there = _find(hashes, vocabulary[at])
-            before[np.arange(at.start, at.stop)[there]] = counts[place[there]]
+    for bucket, at in _slices(model.layout.of_pair(vocabulary[kf], vocabulary[ks])):
+        if arrays := _stored(f"{model.folder}/bigrams-{bucket}", _BIGRAMS):
+            hashes, small, large_at, large = arrays[:4]
+            at = at[np.argsort(key_hash[at])]
+            place, there = _find(hashes, key_hash[at])
+            at, place = at[there], place[there]
+            count[at] = small[place]
+            big = np.flatnonzero(count[at] == 255)
+            count[at[big]] = large[np.searchsorted(large_at, place[big])]
+    for bucket, at in _slices(model.layout.of_word(vocabulary)):
+        if arrays := _stored(f"{model.folder}/bigrams-{bucket}", _BIGRAMS):
+            contexts(at, *arrays[4:])
+        if arrays := _stored(f"{model.folder}/unigrams-{bucket}", _UNIGRAMS):
+            place, there = _find(arrays[0], vocabulary[at])
+            before[at[there]] = arrays[1][place[there]]
+            contexts(at, *arrays[2:])
     flat = 1.0 / (model.vocabulary + 1)
     if model.low_total:
         spare = float(np.dot(model.low[1:], model.low_kinds)) / model.low_total
