@@ -7,18 +7,21 @@ pairs that pass lie in one *rough* component, and within rough components the fu
 How no link is lost, and no group meets in one task:
 
 * Documents with equal shingle sets are one class from the start.
-* With a similarity of s or more, two classes share ``NEED`` of K retained values but for a chance of 3e-8 (binomial tail
-  at s = 0.8). So it is enough to index the K - NEED + 1 rarest values of each sketch (any two sketches with that overlap share
-  an indexed value), which drops passages that unrelated documents share before they form long lists.
-* A list with over BLOCK members is cut into blocks and every pair of blocks is one group; a group emits a spanning
-  forest of its passing pairs, not the pairs.
+* With a similarity of s or more, two classes share ``needed(s)`` of K retained values but for a chance of 3e-8 (binomial
+  tail). So it is enough to index the K - needed + 1 rarest values of each sketch (any two sketches with that overlap share
+  an indexed value), which drops passages that unrelated documents share before they form long lists. With ``sketch=None``
+  the whole sets stand for the sketches, and no link can be lost.
+* A list with over BLOCK members is cut into blocks. First each block alone is one group; a group emits a spanning
+  forest of its passing pairs, not the pairs. What this leaves apart within a list is compared again: all members
+  with those outside the list's largest component, so a large group of copies costs no pairs of blocks.
 * A rough component with over BLOCK members, or with large sets, is cut in the same way for the exact check, which
-  computes all intersections of a pair of blocks as one matrix product and again emits a spanning forest.
+  computes all intersections of a group as one matrix product and again emits a spanning forest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,13 +30,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import avalanche, binary_texts, chain, long_array, scratch, small_batches, word_hashes, written
-from seqspark.llm.components import components
+from seqspark.llm.components import components, salted_join, with_least
 
-K, NEED, BLOCK, BLOCK_VALUES = 32, 12, 1024, 1 << 20
-LEAST = (NEED - 0.5) / K
+K, BLOCK, BLOCK_VALUES = 32, 1024, 1 << 20
+#: The chance at which a pair of just the wanted similarity may share fewer values than are asked for.
+LOSS = 3e-8
 WORD = r"[^\x20\x09-\x0D]"
 
 
+def needed(percent: int, k: int) -> int:
+    """How many of k retained values two sets of this similarity share, but for a chance of LOSS; 1 at least."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < k and (below := below + math.comb(k, m) * p**m * (1 - p) ** (k - m)) <= LOSS:
+        m += 1
+    return max(m, 1)
+
+
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct int64 hashes of a word sequence's shingles."""
     if not len(words):
@@ -54,12 +66,12 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
 
-def _signer(width: int) -> Callable:
+def _signer(width: int, k: int) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(binary_texts(b.column(1)), width)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), long_array([s[:K] for s in sets])],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), long_array([s[:k] for s in sets])],
                 names=["doc_id", "text_hash", "n_shingles", "cls", "sketch"],
             )
 
@@ -67,19 +79,24 @@ def _signer(width: int) -> Callable:
 
 
 class Forest:
-    """Component labels of a group's members, flat at all times; a label is the least member's index."""
+    """Component labels of a group's members, flat at all times, and the links that joined them. Members of one ``known`` component are together from the start."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, known: np.ndarray):
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        self.label = first[of]
+        self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
         a, b = self.label[i], self.label[j]
         if a != b:
             self.label[self.label == max(a, b)] = min(a, b)
+            self.links.append((i, j))
 
     def edges(self, cls: np.ndarray) -> pa.RecordBatch | None:
-        child = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return pa.RecordBatch.from_arrays([pa.array(cls[child]), pa.array(cls[self.label[child]])], names=["u", "v"]) if len(child) else None
+        if not self.links:
+            return None
+        i, j = np.array(self.links).T
+        return pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["u", "v"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -135,29 +152,31 @@ def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float((same & (rank[1:] <= least)).sum()) / least
 
 
-def _rough(similarity: float) -> Callable:
+def _rough(percent: int, k: int, need: int) -> Callable:
+    similarity, least = percent / 100, (need - 0.5) / k
+
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, 3):
             n = g.num_rows
             if n < 2:
                 continue
             cls, size = g.column("cls").to_numpy(), g.column("n_shingles").to_numpy()
-            flat = g.column("sketch").combine_chunks()
+            flat = g.column("data").combine_chunks()
             values = np.asarray(flat.flatten())
             owner = np.repeat(np.arange(n), np.diff(np.asarray(flat.offsets)))
             sketch = np.split(values, np.searchsorted(owner, np.arange(1, n)))
             shared = _overlaps(values, owner, n)
-            forest = Forest(n)
+            forest = Forest(g.column("label").to_numpy())
             for i in range(1, n):
                 near = np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i])
-                cands = np.flatnonzero(near & (shared[i, :i] >= np.minimum(NEED, np.ceil(similarity * np.maximum(size[:i], size[i]) - 1e-9))))
+                cands = np.flatnonzero(near & (shared[i, :i] >= np.minimum(need, np.ceil(similarity * np.maximum(size[:i], size[i]) - 1e-9))))
                 cands = cands[np.argsort(-shared[i, cands], kind="stable")]
                 roots = forest.label[cands]
-                floor = similarity - 1e-9 if size[i] < K else LEAST
+                floor = similarity - 1e-9 if size[i] < k else least
                 for r in np.unique(roots):
                     if r != forest.label[i]:
                         for j in cands[roots == r]:
-                            if _estimate(sketch[i], sketch[j], K) >= (floor if size[j] < K else LEAST):
+                            if _estimate(sketch[i], sketch[j], k) >= (floor if size[j] < k else least):
                                 forest.join(i, j)
                                 break
             if (found := forest.edges(cls)) is not None:
@@ -173,27 +192,49 @@ def _exact(percent: int) -> Callable:
             if n < 2:
                 continue
             cls = g.column("cls").to_numpy()
-            flat = g.column("shingles").combine_chunks()
+            flat = g.column("data").combine_chunks()
             size = np.diff(np.asarray(flat.offsets)).astype(np.int64)
             shared = _overlaps(np.asarray(flat.flatten()), np.repeat(np.arange(n), size), n).astype(np.int64)
-            forest = Forest(n)
+            forest = Forest(g.column("label").to_numpy())
             for i in range(1, n):
                 union = size[i] + size[:i] - shared[i, :i]
-                for j in np.unique(forest.label[:i][100 * shared[i, :i] >= percent * union]):
-                    forest.join(i, j)
+                hits = np.flatnonzero(100 * shared[i, :i] >= percent * union)
+                _, one = np.unique(forest.label[hits], return_index=True)
+                for j in hits[one]:
+                    forest.join(i, int(j))
             if (found := forest.edges(cls)) is not None:
                 yield found
 
     return blocks
 
 
-def _block_pairs(df: DataFrame, key: str, n_blocks: str, rest: list[str]) -> DataFrame:
-    """Each row once for every pair of blocks that its own block is in; sorted by (key, i, j) within partitions."""
-    own = F.pmod(F.xxhash64("cls"), F.col(n_blocks)).cast("int")
-    out = df.select(key, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col(n_blocks).cast("int") - 1)).alias("other"), *rest)
-    out = out.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    return out.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j")
+_MEMBER = ["cls", "label", "n_shingles", "data"]
+
+
+def _linked(members: DataFrame, check: Callable, block: int, path: str, large: bool) -> DataFrame:
+    """(node, root) of the components that ``check`` finds among the members of each key.
+
+    ``members`` has key, cls, n_shingles, data and n_blocks. ``large`` tells whether a key has more than one block.
+    """
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    own = F.pmod(F.xxhash64("cls", "key"), F.col("n_blocks")).cast("int").alias("own")
+
+    def groups(rows: DataFrame) -> DataFrame:
+        return rows.select("key", "own", "other", *_MEMBER).repartition(parts, "key", "own", "other").sortWithinPartitions("key", "own", "other").mapInArrow(check, "u long, v long")
+
+    within = components(groups(members.select("key", own, F.lit(0).alias("other"), F.col("cls").alias("label"), "cls", "n_shingles", "data")), f"{path}/within")
+    if not large:
+        return within
+    # Keys with several blocks: each member meets those that are outside the key's largest component so far.
+    labelled = members.where("n_blocks > 1").join(within, F.col("cls") == F.col("node"), "left").select("key", own, "n_blocks", "cls", F.coalesce("root", "cls").alias("label"), "n_shingles", "data")
+    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil((F.sum("n") - F.max("n")) / block).cast("int").alias("n_other")).where("n_other > 0")
+    rows = salted_join(labelled, most, "key", "cls")
+    apart = rows.where("label <> largest").withColumn("other", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("n_other")).cast("int"))
+    asked = apart.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+    both = met.select("key", "own", "other", *_MEMBER).unionByName(asked.select("key", "own", "other", *_MEMBER))
+    return components(within.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(groups(both)), f"{path}/across")
 
 
 def _first() -> Column:
@@ -201,52 +242,59 @@ def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
 
 
-def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Signatures of all rows, and each class with its first row and the root of its component."""
+def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, sketch: int | None = K) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and each class with its first row and the first of its component."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be over 0 and at most 100")
+    k, block = (sketch, BLOCK) if sketch is not None else (2**31 - 1, max(1, BLOCK // 16))
+    most = needed(percent, k) if sketch is not None else k
     spark = docs.sparkSession
     small_batches(spark)
     base = scratch(spark, "near-dup")
     ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sig = written(ids.mapInArrow(_signer(width), "doc_id long, text_hash long, n_shingles long, cls long, sketch array<long>"), f"{base}/signatures")
+    sig = written(ids.mapInArrow(_signer(width, k), "doc_id long, text_hash long, n_shingles long, cls long, sketch array<long>"), f"{base}/signatures")
     classes = written(sig.where("n_shingles > 0").groupBy("cls").agg(F.min(_first()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), f"{base}/classes")
 
     # Inverted lists of the rarest retained values.
     values = classes.select("cls", F.explode("sketch").alias("value"))
-    frequency = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    need = F.least(F.lit(NEED), F.ceil(F.lit(percent / 100) * F.col("n_shingles") - 1e-9)).cast("int")
+    frequency = written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"{base}/frequency")
+    need = F.least(F.lit(most), F.ceil(F.lit(percent / 100) * F.col("n_shingles") - 1e-9)).cast("int")
     shared = values.join(frequency, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("known"))
-    lists = (
-        classes.join(shared, "cls")
-        .withColumn("known", F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - need + 1)))
-        .select("cls", "n_shingles", "sketch", F.explode("known").alias("x"))
-        .select("cls", "n_shingles", "sketch", F.col("x.value").alias("value"), F.ceil(F.col("x.df") / BLOCK).alias("n_blocks"))
-    )
-    pairs = _block_pairs(lists, "value", "n_blocks", ["cls", "n_shingles", "sketch"])
-    rough = components(pairs.mapInArrow(_rough(percent / 100), "u long, v long"), f"{base}/rough")
+    known = classes.join(shared, "cls").select("cls", "n_shingles", F.col("sketch").alias("data"), F.explode(F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - need + 1))).alias("x"))
+    lists = known.select(F.col("x.value").alias("key"), "cls", "n_shingles", "data", F.ceil(F.col("x.df") / block).alias("n_blocks"))
+    rough = _linked(lists, _rough(percent, k, most), block, f"{base}/rough", not frequency.where(F.col("df") > block).isEmpty())
 
     # The full sets of the rough components' members, and the exact links within each.
-    members = rough.join(classes.select("cls", "first", "n_shingles"), rough.node == classes.cls).select("cls", "root", "first", "n_shingles")
-    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_VALUES)).alias("n_blocks"))
-    members = members.join(blocks, "root")
-    schema = "cls long, root long, n_blocks long, shingles array<long>"
+    members = rough.join(classes.select("cls", "first", "n_shingles"), rough.node == classes.cls).select("cls", F.col("root").alias("key"), "first", "n_shingles")
+    size = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_VALUES)).alias("n_blocks")).where("n_blocks > 1")
+    cut = salted_join(members, size, "key", "cls", "left").select("key", "cls", "n_shingles", F.coalesce("n_blocks", F.lit(1)).alias("n_blocks"), "first")
+    schema = "key long, cls long, n_shingles long, n_blocks long, data array<long>"
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            sets = _sets(binary_texts(b.column(3)), width)
-            # Texts of one id may share a hash; each class wants its own.
-            right = [i for i, c in enumerate(b.column(0).to_pylist()) if _class_of(sets[i]) == c]
-            rows = pa.array(right, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), long_array([sets[i] for i in right])], names=["cls", "root", "n_blocks", "shingles"])
-
-    sets = members.join(ids, members["first"]["doc_id"].eqNullSafe(ids.doc_id) & (members["first"]["text_hash"] == ids.text_hash)).select("cls", "root", "n_blocks", "text").mapInArrow(full, schema)
-    checked = _block_pairs(sets, "root", "n_blocks", ["cls", "shingles"])
-    exact = components(checked.mapInArrow(_exact(percent), "u long, v long"), f"{base}/exact")
-
-    named = classes.select("cls", "first").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return sig, named
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+            cls = b.column(1).to_pylist()
+            at = [i for i, c in enumerate(cls) if c not in seen]
+            sets = _sets(binary_texts(b.column(4).take(pa.array(at, pa.int64()))), width)
+            # Texts of one id may share a hash, and rows may be repeated; each class wants its own set once.
+            right = []
+            for i, s in zip(at, sets, strict=True):
+                if cls[i] not in seen and _class_of(s) == cls[i]:
+                    seen.add(cls[i])
+                    right.append((i, s))
+            rows = pa.array([i for i, _ in right], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:4]), long_array([s for _, s in right])], names=["key", "cls", "n_shingles", "n_blocks", "data"])
+
+    texts = cut.join(ids, cut["first"]["doc_id"].eqNullSafe(ids.doc_id) & (cut["first"]["text_hash"] == ids.text_hash)).select("key", "cls", "n_shingles", "n_blocks", "text")
+    sets = written(texts.mapInArrow(full, schema).dropDuplicates(["cls"]), f"{base}/sets")
+    exact = _linked(sets, _exact(percent), block, f"{base}/exact", not sets.where("n_blocks > 1").isEmpty())
+
+    of = classes.select("cls", "first").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    alone = of.where("root is null").select("cls", "first", F.col("first").alias("least"), F.col("cls").alias("root"))
+    return sig, with_least(of.where("root is not null"), "root", "first", "cls").select("cls", "first", "least", "root").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", sketch: int | None = K) -> DataFrame:
     """Classes of documents whose shingle sets are linked, directly or through others.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set has the distinct shingles of ``width`` words, or the whole
@@ -256,12 +304,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     equal sets). Null or wordless texts have n_shingles 0 and are linked with nothing: component_id is their own id. A null id
     takes part with its text but never names a component unless nothing else does: then component_id is null and kept is true.
     Repeated rows fall in one class; each of them has ``kept`` if its id is the component's. Other columns are ignored.
-    The chance of losing a link is that of fewer than NEED shared values among K, below 3e-8 a pair at 80 percent; classes
+    An empty table gives an empty result. A pair of just ``percent`` is overlooked with a chance of LOSS (less if it is more alike, none if a set has no
+    more than ``sketch`` shingles); ``sketch=None`` compares whole sets and overlooks nothing, at the cost of lists for a share of all shingles. Classes
     are told apart by 64 bits of a digest of the set.
     """
-    sig, named = _components(docs, width, percent, id_column, text_column)
-    smallest = named.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    labels = named.join(smallest, "root").select("cls", "component_id")
+    sig, named = _components(docs, width, percent, id_column, text_column, sketch)
+    labels = named.select("cls", F.col("least.doc_id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
@@ -270,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
 def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text and others) with one row of each component, the first by id and text hash, and all rows whose text has no words."""
     _, named = _components(docs, width, percent, "doc_id", "text")
-    first = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    first = named.where("first = least").select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
     texts = docs.where(worded).withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
     one = texts.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["__doc", "__text"])
