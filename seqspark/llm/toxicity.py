@@ -111,11 +111,11 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, delta: np.ndarray, fa
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, n_features: int = 2048, least_z: float = 5.0, fairness: float = 1.0, l2: float = 2e-5) -> ToxicityModel:
     """Learns ``labels.toxic`` (0, 1) from the texts of ``docs``; further columns are ignored.
 
-    At most ``sample_docs`` labelled documents are learnt from, half of them toxic where there are so many, chosen by a hash of doc_id; whole texts,
-    never parts. Of all words and word beginnings in them, up to ``n_features`` whose share among toxic documents exceeds that among the others
+    At most ``sample_docs`` labelled documents are learnt from, half of them toxic where there are so many, chosen by a hash of (doc_id, text); whole texts,
+    never parts; repeated rows count once. Of all words and word beginnings in them, up to ``n_features`` whose share among toxic documents exceeds that among the others
     by ``least_z`` standard errors are features. Classes weigh as often as they occur among the labels. Rows with a null id
     or label are ignored, an id with several labels counts as toxic if one of them says so. With one class only, or none, every score is the
-    share of toxic labels, 0 without any.
+    share of toxic labels, 0 without any, and that holds for empty tables too.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -127,9 +127,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, n_
     if len(count) < 2:
         return constant
     half = sample_docs // 2
-    chosen = [known.where(f"y = {y}").orderBy(F.xxhash64("id"), "id").limit(half if count[1 - y] > half else sample_docs - min(half, count[1 - y])) for y in (0, 1)]
+    # Rows are chosen by their hash, so an id with many texts, or a text that is repeated, counts once each and the sample keeps its bound.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("h", F.xxhash64("id", "text"))
+    marked = rows.select("id", "h").join(known, "id").select("y", "h").distinct()
+    chosen = [marked.where(f"y = {y}").orderBy("h").limit(half if count[1 - y] > half else sample_docs - min(half, count[1 - y])) for y in (0, 1)]
     # At most sample_docs rows of 12 bytes: small by their limit.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("y", "text")
+    texts = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "h").groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text")).select("y", "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +186,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, n_
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every row, from its whole text alone; null counts as empty, and empty texts get the score without any feature."""
+    """doc_id and score (0 to 1) of every row, from its whole text alone; null counts as empty, and empty texts get the score without any feature.
+
+    Rows stand for themselves: ids may be null or repeated, repeated texts score alike. Further columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +200,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def filter_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the documents whose score is ``threshold`` or more, in one pass that hands all columns through."""
+    """``docs`` without the documents whose score is ``threshold`` or more, in one pass that hands all columns through, whatever they are called.
+
+    Every row is judged by its own text; null counts as empty. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -206,5 +215,5 @@ def filter_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3)
 
 
 def held_out(column: Column) -> Column:
-    """True for the ids that are never learnt from: crc32 of the id as text leaves 2 when divided by 4; null ids are learnt from by nothing that joins on ids."""
-    return F.coalesce(F.crc32(column.cast("string")) % 4 == 2, F.lit(False))
+    """True for the ids that are never learnt from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 4 == 2
