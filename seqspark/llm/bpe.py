@@ -1,9 +1,13 @@
-"""Byte-level BPE: pieces of a length bucket are rows of one matrix, and every row merges one pair a round."""
+"""Byte-level BPE: pieces of a length bucket are rows of one matrix, and every row merges its leftmost pair of least rank in a round.
+
+Pieces over ``WIDEST`` bytes are one flat row of links instead, with the same ids.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -18,6 +22,8 @@ from seqspark.llm.common import batches_by_bytes, binary_texts, small_batches
 NONE = np.int32(2**31 - 1)
 #: Matches that a worker remembers, and the longest that it keeps.
 MEMO, MEMO_CHARS = 400_000, 4096
+#: Bytes of the widest length bucket; longer matches are linked instead, since a row of n bytes would take n rounds over n columns.
+WIDEST = 256
 
 
 class PairTable:
@@ -72,20 +78,72 @@ class Vocabulary:
         a = np.array(rows, np.int64).reshape(-1, 3)
         self.pairs = PairTable(a[:, 0], a[:, 1], a[:, 2].astype(np.int32))
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        """One very long piece: each merge renews two pairs and closes one gap."""
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].copy()
-        rank = self.pairs.find(ids[:-1], ids[1:])
+    def _wide(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of long pieces one after the other and how many each has, by links within one flat row.
+
+        Places wait under the rank of the pair that begins there, and the least rank is taken first, all its places at once from left to right. Should a merge
+        make a pair of still lower rank, the places behind it wait again, so the order is that of one merge at a time; yet the
+        work is about that of the merges, whatever the length.
+        """
+        size = np.array([len(p) for p in pieces], np.int64)
+        ids = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)].copy()
         n = len(ids)
-        while n > 1 and (m := rank[: n - 1].min()) != NONE:
-            i = int(rank[: n - 1].argmin())
-            ids[i] = m
-            ids[i + 1 : n - 1] = ids[i + 2 : n]
-            rank[i : n - 2] = rank[i + 1 : n - 1]
-            n -= 1
-            lo, hi = max(0, i - 1), min(n - 1, i + 1)
-            rank[lo:hi] = self.pairs.find(ids[lo:hi], ids[lo + 1 : hi + 1])
-        return ids[:n]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        ends = np.cumsum(size)
+        after[ends - 1], before[ends - size] = -1, -1
+        rank = np.full(n, NONE, np.int32)
+        inner = np.flatnonzero(after >= 0)
+        rank[inner] = self.pairs.find(ids[inner], ids[inner + 1])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cut = np.flatnonzero(np.diff(ranks)) + 1
+            for r, group in zip(ranks[np.concatenate(([0], cut))].tolist(), np.split(places, cut), strict=True):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(group)
+
+        first = inner[rank[inner] != NONE]
+        if len(first):
+            wait(first, rank[first])
+        while heap:
+            m = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(m)))
+            at = at[rank[at] == m]
+            if not len(at):
+                continue
+            # Of places that follow each other every second one merges.
+            fresh = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            right = after[at]
+            behind, ahead = after[right], before[at]
+            merged = np.full(len(at), m, np.int32)
+            # The pairs that a merge makes, seen when all merges to its left are done and none to its right.
+            left_id = np.where(ahead >= 0, ids[ahead], -1)
+            left_id[1:][ahead[1:] == right[:-1]] = m  # the token ahead is just being merged
+            made = np.minimum(self.pairs.find(left_id, merged), self.pairs.find(merged, np.where(behind >= 0, ids[behind], -1)))
+            lower = np.flatnonzero(made < m)
+            if len(lower) and lower[0] + 1 < len(at):
+                k = int(lower[0]) + 1
+                wait(at[k:], rank[at[k:]])
+                at, right, behind = at[:k], right[:k], behind[:k]
+            ids[at], after[at] = m, behind
+            before[behind[behind >= 0]] = at[behind >= 0]
+            rank[right], ids[right] = NONE, -1
+            changed = np.unique(np.concatenate((at, before[at])))
+            changed = changed[changed >= 0]
+            nexts = after[changed]
+            now = np.where(nexts >= 0, self.pairs.find(ids[changed], np.where(nexts >= 0, ids[nexts], -1)), NONE)
+            rank[changed] = now
+            if (now != NONE).any():
+                wait(changed[now != NONE], now[now != NONE])
+        kept = ids >= 0
+        return ids[kept], np.add.reduceat(kept.astype(np.int64), ends - size)
 
     def _bucket(self, data: bytes, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of at most ``width`` bytes, all bytes in ``data``: a row of ids for each, and how many it holds."""
@@ -128,19 +186,25 @@ class Vocabulary:
         width = np.where(size <= 32, (size + 3) // 4 * 4, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
         width[(whole >= 0) | (size == 0)] = 0
         found = []
-        for w in np.unique(width[width > 0]):
+        for w in np.unique(width[(width > 0) & (width <= WIDEST)]):
             of_width = np.flatnonzero(width == w)
-            for lo in range(0, len(of_width), 8192 if w <= 256 else 1):
-                m = of_width[lo : lo + (8192 if w <= 256 else 1)]
-                ids, left = self._bucket(b"".join([pieces[i] for i in m]), size[m], int(w)) if w <= 256 else ((x := self._long(pieces[m[0]]))[None, :], np.array([len(x)]))
+            for lo in range(0, len(of_width), 8192):
+                m = of_width[lo : lo + 8192]
+                ids, left = self._bucket(b"".join([pieces[i] for i in m]), size[m], int(w))
                 count[m] = left
                 found.append((m, ids, left))
+        wide = np.flatnonzero(width > WIDEST)
+        if len(wide):
+            long_ids, count[wide] = self._wide([pieces[i] for i in wide])
         start = np.cumsum(count) - count
         flat = np.zeros(int(count.sum()), np.int32)
         flat[start[whole >= 0]] = whole[whole >= 0]
         for m, ids, left in found:
             inside = np.arange(ids.shape[1]) < left[:, None]
             flat[(start[m][:, None] + np.arange(ids.shape[1]))[inside]] = ids[inside]
+        if len(wide):
+            n = count[wide]
+            flat[np.arange(n.sum()) + np.repeat(start[wide] - (np.cumsum(n) - n), n)] = long_ids
         return flat, count
 
 
