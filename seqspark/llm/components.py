@@ -31,7 +31,7 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, salt: str, how: str =
 def _large(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its smallest one (itself included)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return with_least(both, "u", "v", "v").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v")).distinct()
+    return with_least(both, "u", "v", "v").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -41,21 +41,25 @@ def _small(edges: DataFrame) -> DataFrame:
     return with_least(down, "u", "v", "v").select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that links has one link, to a node that doesn't."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    odd = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, root) for each node of an edge table (u, v), root being the component's smallest node.
 
-    Large-star and small-star steps alternate until nothing changes, in O(log^2 n) rounds; each round is a written table, so
+    Large-star and small-star steps alternate until only stars are left, in O(log^2 n) rounds; each round is a written table, so
     lineage stays short and a lost executor costs one round at most. A hub's edges are dealt over all tasks. Loops (u = v) and repeated edges are allowed; an
     empty table has no components.
     """
     spark = edges.sparkSession
-    at = written(edges.where("u <> v").distinct(), f"{path}/0")
-    before, k = None, 0
-    while True:
-        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
-            break
-        before, k = now, k + 1
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    at, k = written(down.distinct(), f"{path}/0"), 0
+    while not _stars(at):
+        k += 1
         at = written(_small(_large(at)), f"{path}/{k}")
         discard(spark, f"{path}/{k - 1}")
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

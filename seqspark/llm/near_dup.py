@@ -83,7 +83,7 @@ class Forest:
 
     def __init__(self, known: np.ndarray):
         _, first, of = np.unique(known, return_index=True, return_inverse=True)
-        self.label = first[of]
+        self.known, self.label = known, first[of]
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
@@ -92,11 +92,12 @@ class Forest:
             self.label[self.label == max(a, b)] = min(a, b)
             self.links.append((i, j))
 
-    def edges(self, cls: np.ndarray) -> pa.RecordBatch | None:
+    def edges(self) -> pa.RecordBatch | None:
+        """The links, between the components that were known."""
         if not self.links:
             return None
         i, j = np.array(self.links).T
-        return pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(self.known[i]), pa.array(self.known[j])], names=["u", "v"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -160,7 +161,7 @@ def _rough(percent: int, k: int, need: int) -> Callable:
             n = g.num_rows
             if n < 2:
                 continue
-            cls, size = g.column("cls").to_numpy(), g.column("n_shingles").to_numpy()
+            size = g.column("n_shingles").to_numpy()
             flat = g.column("data").combine_chunks()
             values = np.asarray(flat.flatten())
             owner = np.repeat(np.arange(n), np.diff(np.asarray(flat.offsets)))
@@ -179,7 +180,7 @@ def _rough(percent: int, k: int, need: int) -> Callable:
                             if _estimate(sketch[i], sketch[j], k) >= (floor if size[j] < k else least):
                                 forest.join(i, j)
                                 break
-            if (found := forest.edges(cls)) is not None:
+            if (found := forest.edges()) is not None:
                 yield found
 
     return lists
@@ -191,7 +192,6 @@ def _exact(percent: int) -> Callable:
             n = g.num_rows
             if n < 2:
                 continue
-            cls = g.column("cls").to_numpy()
             flat = g.column("data").combine_chunks()
             size = np.diff(np.asarray(flat.offsets)).astype(np.int64)
             shared = _overlaps(np.asarray(flat.flatten()), np.repeat(np.arange(n), size), n).astype(np.int64)
@@ -202,39 +202,42 @@ def _exact(percent: int) -> Callable:
                 _, one = np.unique(forest.label[hits], return_index=True)
                 for j in hits[one]:
                     forest.join(i, int(j))
-            if (found := forest.edges(cls)) is not None:
+            if (found := forest.edges()) is not None:
                 yield found
 
     return blocks
 
 
-_MEMBER = ["cls", "label", "n_shingles", "data"]
-
-
-def _linked(members: DataFrame, check: Callable, block: int, path: str, large: bool) -> DataFrame:
+def _linked(members: DataFrame, places: DataFrame, data: DataFrame, check: Callable, block: int, path: str) -> DataFrame:
     """(node, root) of the components that ``check`` finds among the members of each key.
 
-    ``members`` has key, cls, n_shingles, data and n_blocks. ``large`` tells whether a key has more than one block.
+    ``members`` has key, cls, n_blocks, n_shingles and data (of a class); the last two are in ``data`` by cls, and the first three in ``places`` for the keys with more than one block.
     """
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     own = F.pmod(F.xxhash64("cls", "key"), F.col("n_blocks")).cast("int").alias("own")
 
     def groups(rows: DataFrame) -> DataFrame:
-        return rows.select("key", "own", "other", *_MEMBER).repartition(parts, "key", "own", "other").sortWithinPartitions("key", "own", "other").mapInArrow(check, "u long, v long")
+        return rows.select("key", "own", "other", "label", "n_shingles", "data").repartition(parts, "key", "own", "other").sortWithinPartitions("key", "own", "other").mapInArrow(check, "u long, v long")
 
-    within = components(groups(members.select("key", own, F.lit(0).alias("other"), F.col("cls").alias("label"), "cls", "n_shingles", "data")), f"{path}/within")
-    if not large:
+    within = components(groups(members.select("key", own, F.lit(0).alias("other"), F.col("cls").alias("label"), "n_shingles", "data")), f"{path}/within")
+    if places.isEmpty():
         return within
     # Keys with several blocks: each member meets those that are outside the key's largest component so far.
-    labelled = members.where("n_blocks > 1").join(within, F.col("cls") == F.col("node"), "left").select("key", own, "n_blocks", "cls", F.coalesce("root", "cls").alias("label"), "n_shingles", "data")
+    labelled = written(places.join(within, F.col("cls") == F.col("node"), "left").select("key", own, "n_blocks", "cls", F.coalesce("root", "cls").alias("label")), f"{path}/labelled")
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     most = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil((F.sum("n") - F.max("n")) / block).cast("int").alias("n_other")).where("n_other > 0")
-    rows = salted_join(labelled, most, "key", "cls")
+    most = written(most, f"{path}/largest")
+    if most.isEmpty():
+        return within
+    rows = salted_join(labelled, most, "key", "cls").join(data, "cls")
     apart = rows.where("label <> largest").withColumn("other", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("n_other")).cast("int"))
     asked = apart.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
-    both = met.select("key", "own", "other", *_MEMBER).unionByName(asked.select("key", "own", "other", *_MEMBER))
-    return components(within.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(groups(both)), f"{path}/across")
+    both = met.select("key", "own", "other", "label", "n_shingles", "data").unionByName(asked.select("key", "own", "other", "label", "n_shingles", "data"))
+    # Links between components; what was a component before follows its root.
+    across = components(groups(both), f"{path}/across")
+    followed = salted_join(within, across.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return followed.unionByName(across.join(within.select(F.col("node")), "node", "left_anti").select("node", "root"))
 
 
 def _first() -> Column:
@@ -260,9 +263,12 @@ def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_
     frequency = written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"{base}/frequency")
     need = F.least(F.lit(most), F.ceil(F.lit(percent / 100) * F.col("n_shingles") - 1e-9)).cast("int")
     shared = values.join(frequency, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("known"))
-    known = classes.join(shared, "cls").select("cls", "n_shingles", F.col("sketch").alias("data"), F.explode(F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - need + 1))).alias("x"))
-    lists = known.select(F.col("x.value").alias("key"), "cls", "n_shingles", "data", F.ceil(F.col("x.df") / block).alias("n_blocks"))
-    rough = _linked(lists, _rough(percent, k, most), block, f"{base}/rough", not frequency.where(F.col("df") > block).isEmpty())
+    known = written(classes.select("cls", "n_shingles").join(shared, "cls").select("cls", F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - need + 1)).alias("known")), f"{base}/known")
+    place = [F.col("x.value").alias("key"), "cls", F.ceil(F.col("x.df") / block).alias("n_blocks")]
+    data = classes.select("cls", "n_shingles", F.col("sketch").alias("data"))
+    lists = known.join(data, "cls").select("cls", "n_shingles", "data", F.explode("known").alias("x")).select(*place, "n_shingles", "data")
+    long = known.select("cls", F.explode(F.filter("known", lambda x: x["df"] > block)).alias("x")).select(*place)
+    rough = _linked(lists, long, data, _rough(percent, k, most), block, f"{base}/rough")
 
     # The full sets of the rough components' members, and the exact links within each.
     members = rough.join(classes.select("cls", "first", "n_shingles"), rough.node == classes.cls).select("cls", F.col("root").alias("key"), "first", "n_shingles")
@@ -287,7 +293,7 @@ def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_
 
     texts = cut.join(ids, cut["first"]["doc_id"].eqNullSafe(ids.doc_id) & (cut["first"]["text_hash"] == ids.text_hash)).select("key", "cls", "n_shingles", "n_blocks", "text")
     sets = written(texts.mapInArrow(full, schema).dropDuplicates(["cls"]), f"{base}/sets")
-    exact = _linked(sets, _exact(percent), block, f"{base}/exact", not sets.where("n_blocks > 1").isEmpty())
+    exact = _linked(sets, sets.where("n_blocks > 1").select("key", "cls", "n_blocks"), sets.select("cls", "n_shingles", "data"), _exact(percent), block, f"{base}/exact")
 
     of = classes.select("cls", "first").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left")
     alone = of.where("root is null").select("cls", "first", F.col("first").alias("least"), F.col("cls").alias("root"))

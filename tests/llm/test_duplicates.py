@@ -62,16 +62,32 @@ def test_one_survivor_of_each_component(spark):
     assert nameless.count() == 1
 
 
-@pytest.mark.parametrize("seed,width,block", [(1, 4, 1024), (2, 5, 1024), (3, 4, 8)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, width, block):
+@pytest.mark.parametrize("seed,width,block,percent,sketch", [(2, 5, 1024, 80, 32), (3, 4, 4, 80, 32), (4, 4, 1024, 50, None)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, width, block, percent, sketch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, cls string")
-    got = near_dup.near_duplicates(df, width=width, percent=80).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, width, 80)
+    got = near_dup.near_duplicates(df, width=width, percent=percent, sketch=sketch).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, width, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_values_asked_for():
+    assert [near_dup.needed(p, 32) for p in (50, 80, 100)] == [2, 12, 32]
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(None, percent=0)
+
+
+def test_rows_without_ids(spark):
+    """Many copies and near copies without an id: linear, each class once."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(None, f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2} f{i // 2} g{i // 2} h{i // 2} j{i // 2} k{i // 2} l{i // 2} m{i // 2}" + (" end" if i % 2 else "")) for i in range(1500)] + [(None, "the same words again and again here")] * 3000 + [(5, long), (None, long + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, width=4, percent=80)
+    assert got.where("doc_id is null and component_id = 5").count() == 1 and got.count() == len(rows)
+    assert near_dup.survivors(df, width=4, percent=80).count() == 750 + 1 + 1
+
+
 def test_no_documents(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
