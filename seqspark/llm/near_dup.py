@@ -11,9 +11,10 @@ How no link is lost, and no group meets in one task:
   tail). So it is enough to index the K - needed + 1 rarest values of each sketch (any two sketches with that overlap share
   an indexed value), which drops passages that unrelated documents share before they form long lists. With ``sketch=None``
   the whole sets stand for the sketches, and no link can be lost.
-* A list with over BLOCK members is cut into blocks. First each block alone is one group; a group emits a spanning
-  forest of its passing pairs, not the pairs. What this leaves apart within a list is compared again: all members
-  with those outside the list's largest component, so a large group of copies costs no pairs of blocks.
+* A list with over BLOCK members is cut into blocks and every pair of blocks is one group; a group emits a spanning
+  forest of its passing pairs, not the pairs. Of more than PAIRED blocks each alone is one group at first. What this leaves
+  apart within a list is compared again: all members with those outside the list's largest component, so a large group of
+  copies costs no pairs of blocks.
 * A rough component with over BLOCK members, or with large sets, is cut in the same way for the exact check, which
   computes all intersections of a group as one matrix product and again emits a spanning forest.
 """
@@ -33,6 +34,8 @@ from seqspark.llm.common import avalanche, binary_texts, chain, long_array, scra
 from seqspark.llm.components import components, salted_join, with_least
 
 K, BLOCK, BLOCK_VALUES = 32, 1024, 1 << 20
+#: Blocks of one key up to which all pairs of them are compared at once.
+PAIRED = 16
 #: The chance at which a pair of just the wanted similarity may share fewer values than are asked for.
 LOSS = 3e-8
 WORD = r"[^\x20\x09-\x0D]"
@@ -79,25 +82,26 @@ def _signer(width: int, k: int) -> Callable:
 
 
 class Forest:
-    """Component labels of a group's members, flat at all times, and the links that joined them. Members of one ``known`` component are together from the start."""
+    """Component labels of a group's members, flat at all times. Members of one ``known`` component are together from the start."""
 
     def __init__(self, known: np.ndarray):
         _, first, of = np.unique(known, return_index=True, return_inverse=True)
         self.known, self.label = known, first[of]
-        self.links: list[tuple[int, int]] = []
+        self.joined = False
 
     def join(self, i: int, j: int) -> None:
         a, b = self.label[i], self.label[j]
         if a != b:
             self.label[self.label == max(a, b)] = min(a, b)
-            self.links.append((i, j))
+            self.joined = True
 
     def edges(self) -> pa.RecordBatch | None:
-        """The links, between the components that were known."""
-        if not self.links:
+        """What was joined, as stars between the components that were known."""
+        if not self.joined:
             return None
-        i, j = np.array(self.links).T
-        return pa.RecordBatch.from_arrays([pa.array(self.known[i]), pa.array(self.known[j])], names=["u", "v"])
+        pairs = np.unique(np.stack((self.known, self.known[self.label])), axis=1)
+        u, v = pairs[:, pairs[0] != pairs[1]]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -211,7 +215,7 @@ def _exact(percent: int) -> Callable:
 def _linked(members: DataFrame, places: DataFrame, data: DataFrame, check: Callable, block: int, path: str) -> DataFrame:
     """(node, root) of the components that ``check`` finds among the members of each key.
 
-    ``members`` has key, cls, n_blocks, n_shingles and data (of a class); the last two are in ``data`` by cls, and the first three in ``places`` for the keys with more than one block.
+    ``members`` has key, cls, n_blocks, n_shingles and data (of a class); the last two are in ``data`` by cls, and the first three in ``places`` for the keys with more than PAIRED blocks.
     """
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     own = F.pmod(F.xxhash64("cls", "key"), F.col("n_blocks")).cast("int").alias("own")
@@ -219,10 +223,15 @@ def _linked(members: DataFrame, places: DataFrame, data: DataFrame, check: Calla
     def groups(rows: DataFrame) -> DataFrame:
         return rows.select("key", "own", "other", "label", "n_shingles", "data").repartition(parts, "key", "own", "other").sortWithinPartitions("key", "own", "other").mapInArrow(check, "u long, v long")
 
-    within = components(groups(members.select("key", own, F.lit(0).alias("other"), F.col("cls").alias("label"), "n_shingles", "data")), f"{path}/within")
+    pair = lambda a, b: F.struct(a.alias("own"), b.alias("other"))
+    blocks = F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)
+    all_pairs = F.transform(blocks, lambda b: pair(F.least(F.col("own"), b), F.greatest(F.col("own"), b)))
+    first = F.when(F.col("n_blocks") <= PAIRED, all_pairs).otherwise(F.array(pair(F.col("own"), F.col("own"))))
+    dealt = members.select("key", own, "n_blocks", F.col("cls").alias("label"), "n_shingles", "data").select("key", F.explode(first).alias("at"), "label", "n_shingles", "data")
+    within = components(groups(dealt.select("key", "at.own", "at.other", "label", "n_shingles", "data")), f"{path}/within")
     if places.isEmpty():
         return within
-    # Keys with several blocks: each member meets those that are outside the key's largest component so far.
+    # Keys with many blocks: each member meets those that are outside the key's largest component so far.
     labelled = written(places.join(within, F.col("cls") == F.col("node"), "left").select("key", own, "n_blocks", "cls", F.coalesce("root", "cls").alias("label")), f"{path}/labelled")
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     most = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.ceil((F.sum("n") - F.max("n")) / block).cast("int").alias("n_other")).where("n_other > 0")
@@ -230,10 +239,11 @@ def _linked(members: DataFrame, places: DataFrame, data: DataFrame, check: Calla
     if most.isEmpty():
         return within
     rows = salted_join(labelled, most, "key", "cls").join(data, "cls")
-    apart = rows.where("label <> largest").withColumn("other", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("n_other")).cast("int"))
-    asked = apart.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
-    both = met.select("key", "own", "other", "label", "n_shingles", "data").unionByName(asked.select("key", "own", "other", "label", "n_shingles", "data"))
+    other = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("n_other")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("n_other") - 1), lambda o: pair(F.col("own"), o))
+    asked = F.transform(blocks, lambda b: pair(b, other))
+    meetings = F.when(F.col("label") == F.col("largest"), met).otherwise(F.array_union(met, asked))
+    both = rows.select("key", F.explode(meetings).alias("at"), "label", "n_shingles", "data").select("key", "at.own", "at.other", "label", "n_shingles", "data")
     # Links between components; what was a component before follows its root.
     across = components(groups(both), f"{path}/across")
     followed = salted_join(within, across.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -260,14 +270,14 @@ def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_
 
     # Inverted lists of the rarest retained values.
     values = classes.select("cls", F.explode("sketch").alias("value"))
-    frequency = written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"{base}/frequency")
+    frequency = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(most), F.ceil(F.lit(percent / 100) * F.col("n_shingles") - 1e-9)).cast("int")
     shared = values.join(frequency, "value").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("known"))
     known = written(classes.select("cls", "n_shingles").join(shared, "cls").select("cls", F.slice("known", F.lit(1), F.greatest(F.lit(0), F.size("known") - need + 1)).alias("known")), f"{base}/known")
     place = [F.col("x.value").alias("key"), "cls", F.ceil(F.col("x.df") / block).alias("n_blocks")]
     data = classes.select("cls", "n_shingles", F.col("sketch").alias("data"))
     lists = known.join(data, "cls").select("cls", "n_shingles", "data", F.explode("known").alias("x")).select(*place, "n_shingles", "data")
-    long = known.select("cls", F.explode(F.filter("known", lambda x: x["df"] > block)).alias("x")).select(*place)
+    long = known.select("cls", F.explode(F.filter("known", lambda x: x["df"] > PAIRED * block)).alias("x")).select(*place)
     rough = _linked(lists, long, data, _rough(percent, k, most), block, f"{base}/rough")
 
     # The full sets of the rough components' members, and the exact links within each.
@@ -293,7 +303,7 @@ def _components(docs: DataFrame, width: int, percent: int, id_column: str, text_
 
     texts = cut.join(ids, cut["first"]["doc_id"].eqNullSafe(ids.doc_id) & (cut["first"]["text_hash"] == ids.text_hash)).select("key", "cls", "n_shingles", "n_blocks", "text")
     sets = written(texts.mapInArrow(full, schema).dropDuplicates(["cls"]), f"{base}/sets")
-    exact = _linked(sets, sets.where("n_blocks > 1").select("key", "cls", "n_blocks"), sets.select("cls", "n_shingles", "data"), _exact(percent), block, f"{base}/exact")
+    exact = _linked(sets, sets.where(F.col("n_blocks") > PAIRED).select("key", "cls", "n_blocks"), sets.select("cls", "n_shingles", "data"), _exact(percent), block, f"{base}/exact")
 
     of = classes.select("cls", "first").join(exact.select(F.col("node").alias("cls"), "root"), "cls", "left")
     alone = of.where("root is null").select("cls", "first", F.col("first").alias("least"), F.col("cls").alias("root"))

@@ -65,6 +65,7 @@ def test_one_survivor_of_each_component(spark):
 @pytest.mark.parametrize("seed,width,block,percent,sketch", [(2, 5, 1024, 80, 32), (3, 4, 4, 80, 32), (4, 4, 1024, 50, None)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, width, block, percent, sketch):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "PAIRED", 1 if block == 4 else 16)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, cls string")
     got = near_dup.near_duplicates(df, width=width, percent=percent, sketch=sketch).collect()
