@@ -206,6 +206,35 @@ def _reducer(folder: str, layout: Layout) -> Callable:
     return run
 
 
+def _each_bucket(rows: DataFrame, n: int, reduce: Callable) -> DataFrame:
+    """``reduce`` of every bucket, each in a partition of its own: a bucket's number is its partition's, so no two meet by chance of a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = reduce((held[0].column(at)[0].as_py(),), pa.Table.from_batches(held).to_pandas())
+            return pa.RecordBatch.from_pandas(table, schema=_PART_ARROW, preserve_index=False)
+
+        for b in batches:
+            at = b.schema.get_field_index("bucket")
+            buckets = b.column(at).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if hi > lo:
+                    if held and held[0].column(at)[0].as_py() != int(buckets[lo]):
+                        yield done()
+                        held = []
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _PART)
+
+
+_PART_ARROW = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _PART.split(", "))])
+
+
 def _unigrams(folder: str) -> Callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         some = rows[rows["kind"] == "before"]
@@ -278,9 +307,8 @@ def count_bigrams(docs: DataFrame) -> KneserNey:
     n_buckets = int(max(8, input_bytes(docs) // BUCKET_BYTES))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     layout = _layout(texts, n_buckets)
-    counted = texts.mapInArrow(_counter(layout), _COUNTED).repartition(n_buckets, "bucket")
-    parts = written(counted.groupBy("bucket").applyInPandas(_reducer(f"{folder}/arrays", layout), _PART), f"{folder}/counted")
-    lower = parts.where("kind <> 'bigrams'").repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_unigrams(f"{folder}/arrays"), _PART)
+    parts = written(_each_bucket(texts.mapInArrow(_counter(layout), _COUNTED), n_buckets, _reducer(f"{folder}/arrays", layout)), f"{folder}/counted")
+    lower = _each_bucket(parts.where("kind <> 'bigrams'"), n_buckets, _unigrams(f"{folder}/arrays"))
     total = lambda df: df.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS)).first()
     high, low = total(parts.where("kind = 'bigrams'")), total(written(lower, f"{folder}/lower"))
     discard(spark, f"{folder}/counted")

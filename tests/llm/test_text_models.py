@@ -44,15 +44,19 @@ def brute_bigram(train, texts):
     return n, out, p
 
 
-def test_model_is_kneser_ney(spark):
+@pytest.mark.parametrize("share", [64, 1])
+def test_model_is_kneser_ney(spark, monkeypatch, share):
+    """With a share of 1 every word is frequent, so followers are dealt over buckets and contexts added up."""
+    monkeypatch.setattr(kn_lm, "LAYOUT_SHARE", share)
+    monkeypatch.setattr(kn_lm, "FLUSH", 50)
     rng = random.Random(5)
-    texts = [" ".join(rng.choice(["the", "a", "Cat", "cat", "dog", "sat", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "unseen words", "the  \n cat"]
+    texts = [" ".join(rng.choice(["the", "a", "Cat", "cat", "dog", "sat", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["the cat " * 600] * 3 + [None, "", "unseen words", "the  \n cat"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     model = kn_lm.count_bigrams(df.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 <> 0"))
     n, expected, p = brute_bigram([t for i, t in enumerate(texts) if not held(i)], [t for _, t in rows])
-    assert model.tokens == n
+    assert model.tokens == n and (share > 1 or len(model.layout.hot) == 2)
     got = {r.doc_id: r for r in kn_lm.score_texts(df, model).collect()}
     for (i, _), e in zip(rows, expected, strict=True):
         assert (got[i].n_tokens, got[i].n_known) == e[:2]
