@@ -44,31 +44,37 @@ def net_charge_fraction(s: Column) -> Column:
     return fraction(s, POSITIVE) - fraction(s, NEGATIVE)
 
 
-def isoelectric_point(s: Column) -> Column:
-    """pH of net charge zero, by a fixed number of bisections of PH_RANGE."""
-    counts = F.struct(*(count_letter(s, a).cast("double").alias(a) for a in [*PK_POSITIVE, *PK_NEGATIVE]))
-    table = lambda pk, of, usual: F.coalesce(F.create_map(*(F.lit(x) for kv in pk.items() for x in kv))[of], F.lit(usual))
-    ends = F.struct(table(PK_N_TERMINI, F.substring(s, 1, 1), PK_N_TERMINUS).alias("n"), table(PK_C_TERMINI, F.substring(s, -1, 1), PK_C_TERMINUS).alias("c"))
+def _by_letter(values: dict[str, float], letter: Column) -> Column:
+    """The value of a letter from an array over A to Z, which is one step; 0 for others."""
+    table = F.array(*(F.lit(float(values.get(chr(65 + i), 0.0))) for i in range(26)))
+    return F.coalesce(F.get(table, F.ascii(letter) - 65), F.lit(0.0))
+
 
-    def charge(ph: Column) -> Column:
-        plus = 1 / (1 + F.pow(F.lit(10.0), ph - ends["n"])) + sum((counts[a] / (1 + F.pow(F.lit(10.0), ph - pk)) for a, pk in PK_POSITIVE.items()), F.lit(0.0))
-        minus = 1 / (1 + F.pow(F.lit(10.0), ends["c"] - ph)) + sum((counts[a] / (1 + F.pow(F.lit(10.0), pk - ph)) for a, pk in PK_NEGATIVE.items()), F.lit(0.0))
-        return plus - minus
+def isoelectric_point(s: Column) -> Column:
+    """pH of net charge zero, by a fixed number of bisections of PH_RANGE. With t = 10^pH every group's share is a division."""
+    of_end = lambda pk, at, usual: F.coalesce(*(F.when(at == a, 10.0**k) for a, k in pk.items()), F.lit(10.0**usual))
+    counts = F.struct(*(count_letter(s, a).cast("double").alias(a) for a in [*PK_POSITIVE, *PK_NEGATIVE]), of_end(PK_N_TERMINI, F.substring(s, 1, 1), PK_N_TERMINUS).alias("first"), of_end(PK_C_TERMINI, F.substring(s, -1, 1), PK_C_TERMINUS).alias("last"))
 
     def halve(state: Column, _: Column) -> Column:
         mid = (state["lo"] + state["hi"]) / 2
-        return F.when(charge(mid) > 0, F.struct(mid.alias("lo"), state["hi"].alias("hi"))).otherwise(F.struct(state["lo"].alias("lo"), mid.alias("hi")))
 
-    start = F.struct(F.lit(PH_RANGE[0]).alias("lo"), F.lit(PH_RANGE[1]).alias("hi"))
+        def side(t: Column, n: Column) -> Column:
+            plus = n["first"] / (n["first"] + t) + sum((n[a] * (10.0**pk) / (10.0**pk + t) for a, pk in PK_POSITIVE.items()), F.lit(0.0))
+            minus = t / (n["last"] + t) + sum((n[a] * t / (10.0**pk + t) for a, pk in PK_NEGATIVE.items()), F.lit(0.0))
+            return plus > minus
+
+        up = F.transform(F.array(F.pow(F.lit(10.0), mid)), lambda t: side(t, state["n"]))[0]
+        return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"), state["n"].alias("n"))
+
+    start = F.struct(F.lit(PH_RANGE[0]).alias("lo"), F.lit(PH_RANGE[1]).alias("hi"), counts.alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PH_STEPS)), start, halve, lambda x: (x["lo"] + x["hi"]) / 2)
 
 
 def hydrophobic_moment(s: Column, degrees: float = 100.0) -> Column:
     """Length of the sum of hydropathies as vectors that turn by ``degrees`` at each residue, over the sum of their sizes; 0 if that is 0."""
-    kd = F.create_map(*(F.lit(x) for kv in HYDROPATHY.items() for x in kv))
 
     def turn(state: Column, i: Column) -> Column:
-        h, angle = F.coalesce(kd[F.substr(s, i + 1, F.lit(1))], F.lit(0.0)), i * (degrees * math.pi / 180)
+        h, angle = _by_letter(HYDROPATHY, F.substr(s, i + 1, F.lit(1))), i * (degrees * math.pi / 180)
         return F.struct((state["x"] + h * F.cos(angle)).alias("x"), (state["y"] + h * F.sin(angle)).alias("y"), (state["a"] + F.abs(h)).alias("a"))
 
     zero = F.struct(*(F.lit(0.0).alias(c) for c in "xya"))
@@ -76,15 +82,28 @@ def hydrophobic_moment(s: Column, degrees: float = 100.0) -> Column:
     return F.aggregate(places, zero, turn, lambda t: F.when(t["a"] > 0, F.sqrt(t["x"] * t["x"] + t["y"] * t["y"]) / t["a"]).otherwise(0.0))
 
 
+def instability(s: Column, weights: dict[str, float]) -> Column:
+    """10 / length times the sum of the weights of the sequence's pairs of letters; a pair without weight counts as 0. Null for an empty sequence."""
+    table = F.array(*(F.lit(float(weights.get(chr(65 + i // 26) + chr(65 + i % 26), 0.0))) for i in range(676)))
+    code = lambda i: F.ascii(F.substr(s, i, F.lit(1))) - 65
+    pairs = F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(pairs, F.lit(0.0), lambda t, i: t + F.coalesce(F.get(table, code(i) * 26 + code(i + 1)), F.lit(0.0)))
+    return F.try_divide(10 * total, F.length(s).cast("double"))
+
+
+def pair_weights(weights: DataFrame) -> dict[str, float]:
+    """(pair, weight) as a mapping: of each pair of letters A to Z the largest weight, so there are at most 676."""
+    rows = weights.where(F.col("pair").rlike("^[A-Z]{2}$")).groupBy("pair").agg(F.max("weight").alias("weight")).collect()
+    return {r["pair"]: r["weight"] for r in rows}
+
+
 def instability_index(sequences: DataFrame, weights: DataFrame, key: str = "sequence") -> DataFrame:
-    """key and instability: 10 / length times the sum of the weights of its pairs of letters. ``weights`` (pair, weight) has at most 400 rows."""
-    pairs = sequences.select(key).distinct().select(key, F.explode(F.expr(f"transform(sequence(1, greatest(length({key}) - 1, 1)), i -> substr({key}, i, 2))")).alias("pair"))
-    found = pairs.join(F.broadcast(weights.where(F.length("pair") == 2).limit(400)), "pair", "left")
-    return found.groupBy(key).agg((10 * F.coalesce(F.sum("weight"), F.lit(0.0)) / F.length(F.col(key))).alias("instability"))
+    """key and instability. ``weights`` (pair, weight) becomes a literal of at most 676 numbers, so nothing is joined."""
+    return sequences.select(key).distinct().select(key, instability(F.col(key), pair_weights(weights)).alias("instability"))
 
 
 def all_properties(s: Column, helix: str = HELIX, turn: str = TURN, sheet: str = SHEET) -> list[Column]:
-    """One wide row; the instability index needs a table and is joined by its own function."""
+    """One wide row, but for the instability index, which needs a table of weights."""
     named = {
         "length": length(s), "molecular_weight": molecular_weight(s), "aromaticity": fraction(s, AROMATIC), "isoelectric_point": isoelectric_point(s), "gravy": gravy(s),
         "helix_fraction": fraction(s, helix), "turn_fraction": fraction(s, turn), "sheet_fraction": fraction(s, sheet), "hydrophobic_fraction": fraction(s, HYDROPHOBIC), "polar_fraction": fraction(s, POLAR),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.functions.exprs import normal, normal_cdf, normal_pdf
+from seqspark.functions.exprs import normal, normal_cdf, normal_pdf, uniform
 
 LEAST_STD, LEAST_SPAN, RHO = 1e-12, 1e-12, 0.05
 
@@ -73,6 +73,13 @@ def simplex_weights(n: int, seed: int = 42, call: int = 0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def simplex_columns(names: list[str], *key: Column | str, seed: int = 42) -> list[Column]:
+    """The same weights as columns, one for each name, from the uniforms of (w, key, place)."""
+    e = [-F.ln(uniform(seed, F.lit("w"), *key, F.lit(i))) for i in range(len(names))]
+    w = [F.greatest(x / sum(e[1:], e[0]), F.lit(1e-6)) for x in e]
+    return [(x / sum(w[1:], w[0])).alias(n) for n, x in zip(names, w, strict=True)]
+
+
 def scalarised(value: Column, weight: Column) -> Column:
     """Augmented Chebyshev value of normalised objectives, within a groupBy: the worst weighted one plus RHO times the sum."""
     return F.max(weight * value) + RHO * F.sum(weight * value)
@@ -90,6 +97,12 @@ def _normalised(predictions: DataFrame, directions: dict[str, str], weights: dic
     return out.select("*", ideal.alias("ideal"), span.alias("span"), weight.alias("weight"))
 
 
+def scalarised_means(predictions: DataFrame, directions: dict[str, str], weights: dict[str, float], points: DataFrame | None = None) -> DataFrame:
+    """(seq_id, value): augmented Chebyshev value of the means, scaled by ideal and nadir where objectives are minimised."""
+    rows = _normalised(predictions, directions, weights, points if points is not None else reference_points(predictions, directions))
+    return rows.groupBy("seq_id").agg(scalarised((F.col("mean") - F.col("ideal")) / F.col("span"), F.col("weight")).alias("value"))
+
+
 def parego_ucb(predictions: DataFrame, directions: dict[str, str], weights: dict[str, float], kappa: float = 1.0, points: DataFrame | None = None) -> DataFrame:
     """(seq_id, acquisition): minus the scalarised optimistic point, mean - kappa * std where objectives are minimised."""
     rows = _normalised(predictions, directions, weights, points if points is not None else reference_points(predictions, directions))

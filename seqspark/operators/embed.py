@@ -13,7 +13,23 @@ def property_columns(s: Column, table: dict[str, dict[str, float]]) -> list[Colu
     return [(sum((count_letter(s, a) * v for a, v in values.items()), F.lit(0.0)) / F.length(s)).alias(name) for name, values in sorted(table.items())]
 
 
-def average_embedding(sequences: DataFrame, table: dict[str, dict[str, float]], key: str = "sequence") -> DataFrame:
+def with_stored(rows: DataFrame, embeddings: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Rows with their embedding from a table that was made elsewhere; rows without one are dropped."""
+    return rows.join(embeddings.select(key, "embedding"), key)
+
+
+def regrouped(residues: DataFrame, key: str = "sequence") -> DataFrame:
+    """(key, embedding) of residue rows (key, pos, embedding): an array of each residue's, in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "embedding")))
+    return residues.groupBy(key).agg(F.transform(ordered, lambda x: x["embedding"]).alias("embedding"))
+
+
+def average_embedding(sequences: DataFrame, table: dict[str, dict[str, float]], key: str = "sequence", only_good: bool = False) -> DataFrame:
+    """(key, embedding); with ``only_good`` of the sequences that pass the quality filter."""
+    if only_good:
+        from seqspark.operators.filters import quality_filter
+
+        sequences = quality_filter(sequences, column=key)
     return sequences.select(key, F.array(*property_columns(F.col(key), table)).alias("embedding"))
 
 

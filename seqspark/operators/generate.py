@@ -121,7 +121,68 @@ def local_peptides(scored: DataFrame, proteins: DataFrame, per_parent: int, posi
     return rows.select("id", "protein_id", "start_pos", F.substr("sequence", F.col("start_pos") + 1, F.col("size")).alias("sequence"))
 
 
-def tiles(proteins: DataFrame, length: int) -> DataFrame:
-    """(protein_id, start_pos, sequence) of every window of ``length`` letters."""
-    windows = F.transform(F.sequence(F.lit(0), F.length("sequence") - length), lambda i: F.struct(i.alias("start_pos"), F.substr(F.col("sequence"), i + 1, F.lit(length)).alias("sequence")))
-    return proteins.where(F.length("sequence") >= length).select("protein_id", F.explode(windows).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
+def tiles(proteins: DataFrame, length: int, chunk: int = 512) -> DataFrame:
+    """(protein_id, start_pos, sequence) of every window of ``length`` letters.
+
+    A sequence is first cut into chunks that overlap by a window less one letter, in one pass; windows come out of chunks, so the work is linear in its length.
+    """
+    pieces = F.regexp_extract_all("sequence", F.lit(rf"(?=(.{{1,{chunk + length - 1}}})).{{1,{chunk}}}"), F.lit(1))
+    rows = proteins.where(F.length("sequence") >= length).select("protein_id", F.posexplode(pieces).alias("b", "c"))
+    last = F.least(F.lit(chunk), F.length("c") - length + 1)
+    windows = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct((F.col("b") * chunk + i).alias("start_pos"), F.substr(F.col("c"), i + 1, F.lit(length)).alias("sequence")))
+    return rows.where(last > 0).select("protein_id", F.explode(windows).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
+
+
+def _filled(propose, k: int, known: DataFrame, rounds: int, keep: list[str]) -> DataFrame:
+    """Up to k rows of distinct sequences that aren't known, from rounds of ``propose(round)`` (id, sequence and others); earlier proposals first."""
+    spark, pool = known.sparkSession, None
+    for r in range(rounds):
+        fresh = propose(r).join(known.select("sequence").distinct(), "sequence", "left_anti").withColumn("round", F.lit(r))
+        pool = fresh if pool is None else pool.unionByName(fresh)
+        first = Window.partitionBy("sequence").orderBy("round", "id")
+        pool = pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        if pool.count() >= k:
+            break
+    return pool.orderBy("round", "id", "sequence").limit(k).select(*keep)
+
+
+def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, rounds: int = 5, oversample: int = 3, seed: int = 42, gaussian: bool = False) -> DataFrame:
+    """Up to k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known."""
+    from seqspark.operators.filters import quality_filter
+
+    propose = lambda r: quality_filter(sampled_peptides(proteins, k * oversample, low, high, seed + r, gaussian), longer_than=low - 1, shorter_than=high + 1)
+    return _filled(propose, k, known, rounds, ["protein_id", "start_pos", "sequence"])
+
+
+def near_peptides(scored: DataFrame, proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, position_spread: float = 5.0, length_spread: float = 2.0, rounds: int = 5, per_parent: int = 20, seed: int = 42) -> DataFrame:
+    """Up to k distinct peptides near the ``scored`` ones (protein_id, start_pos, sequence) that pass the quality filter and aren't known."""
+    from seqspark.operators.filters import quality_filter
+
+    def propose(r: int) -> DataFrame:
+        near = local_peptides(scored, proteins, per_parent, position_spread, length_spread, low, high, seed + r)
+        return quality_filter(near, longer_than=low - 1, shorter_than=high + 1).withColumn("id", uniform(seed + r, "id", "protein_id", "start_pos", "sequence"))
+
+    return _filled(propose, k, known, rounds, ["protein_id", "start_pos", "sequence"])
+
+
+def mixed_peptides(scored: DataFrame, proteins: DataFrame, k: int, local: float, known: DataFrame, low: int, high: int, seed: int = 42) -> DataFrame:
+    """k peptides with their origin: a share ``local`` from around the scored ones, the rest (and what falls short) from anywhere; distinct over both."""
+    near = near_peptides(scored, proteins, int(k * local), known, low, high, seed=seed) if int(k * local) else None
+    if near is None:
+        return global_peptides(proteins, k, known, low, high, seed=seed).withColumn("origin", F.lit("global"))
+    rest = global_peptides(proteins, k - near.count(), known.select("sequence").unionByName(near.select("sequence")), low, high, seed=seed + 1000)
+    return near.withColumn("origin", F.lit("local")).unionByName(rest.withColumn("origin", F.lit("global")))
+
+
+def initial_population(given: DataFrame, n: int, least: int = 0, seed: int = 42, **how) -> DataFrame:
+    """(sequence) to begin with: distinct ``given`` ones, filled up to n by their mutants; whole where they are n or more. Fewer than ``least`` in the end are an error."""
+    start = given.select("sequence").distinct()
+    have = start.count()
+    if not have:
+        raise ValueError("an initial population needs one sequence at least")
+    out = start if have >= n else start.unionByName(mutant_pool(start, n - have, start, rounds=10, seed=seed, **how))
+    if least and (found := out.count()) < least:
+        raise ValueError(f"the initial population has {found} sequences, {least} are needed")
+    return out
+
+

@@ -78,6 +78,16 @@ def intra_model_rmsd(models: DataFrame, receptor: str = "A", sequence: str = "B"
     return models.groupBy("structure_id").agg(F.count_distinct("model").alias("n_models")).join(mean, "structure_id", "left")
 
 
+def inter_model_rmsd(one: DataFrame, other: DataFrame, receptor: str = "A", sequence: str = "B") -> DataFrame:
+    """(structure_id, rmsd) of two methods' models, paired by structure: the first is laid on the second by the receptor."""
+    return superposed_rmsd(one.withColumn("model", F.lit(0)), other.drop("model"), receptor, sequence).select("structure_id", "rmsd")
+
+
+def batch_scores(scorers: dict, requested: list[str], key: str = "structure_id") -> DataFrame:
+    """The requested families of scores of all inputs as one wide table; families that aren't requested are never planned. An unknown one is an error."""
+    return assembled([scorers[n]() for n in required_scores(requested, list(scorers))], key)
+
+
 def models_in_site(flags: DataFrame) -> DataFrame:
     """(structure_id, share, top, n_models) of (structure_id, model, in_site): share of models in the site, and whether model 1 is."""
     return flags.groupBy("structure_id").agg(F.avg(F.col("in_site").cast("double")).alias("share"), F.max(F.when(F.col("model") == 1, F.col("in_site"))).alias("top"), F.count("*").alias("n_models"))
@@ -111,12 +121,39 @@ def same_sequences(results: DataFrame) -> DataFrame:
 
 def available_scores(catalog: DataFrame, complexes: DataFrame) -> DataFrame:
     """(complex_id, scores) that can be computed: ``catalog`` has score and what it needs (needs_structure, needs_site, needs_template, needs_confidence), complexes have has_ columns. The catalog has a row for each kind of score."""
+    return complexes.select("complex_id", _available(catalog).alias("scores"))
+
+
+def _available(catalog: DataFrame, most: int = 1000) -> Column:
+    """Sorted names of the scores whose needs a row meets. The catalog becomes a literal; a longer one than ``most`` is an error."""
+    kinds = catalog.limit(most + 1).collect()
+    if len(kinds) > most:
+        raise ValueError(f"a catalog has at most {most} kinds of scores")
     needs = [c.removeprefix("needs_") for c in catalog.columns if c.startswith("needs_")]
-    met = F.lit(True)
-    for n in needs:
-        met = met & (~F.col(f"needs_{n}") | F.col(f"has_{n}"))
-    rows = complexes.withColumn("one", F.lit(1)).join(F.broadcast(catalog.limit(1000).withColumn("one", F.lit(1))), "one").where(met)
-    return rows.groupBy("complex_id").agg(F.array_sort(F.collect_set("score")).alias("scores"))
+    names = []
+    for r in kinds:
+        met = F.lit(True)
+        for n in needs:
+            met = met & F.col(f"has_{n}") if r[f"needs_{n}"] else met
+        names.append(F.when(met, F.lit(r["score"])))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))) if names else F.array().cast("array<string>")
+
+
+def unavailable_scores(catalog: DataFrame, complexes: DataFrame, requested: list[str]) -> DataFrame:
+    """(complex_id, missing) of the complexes for which a requested score can't be computed, unknown names included."""
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, requested)), _available(catalog)))
+    return complexes.select("complex_id", missing.alias("missing")).where(F.size("missing") > 0)
+
+
+def with_templates(inputs: DataFrame, templates: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Each input with its template, null where there is none. ``templates`` has a row for each key."""
+    return inputs.join(templates, key, "left")
+
+
+def with_provenance(scores: DataFrame, peptides: DataFrame) -> DataFrame:
+    """Scores of sequences with the first place (protein_id, start_pos) that the sequence was taken from."""
+    first = peptides.groupBy("sequence").agg(F.min(F.struct("protein_id", "start_pos")).alias("at"))
+    return scores.join(first, "sequence", "left").select(*scores.columns, "at.protein_id", "at.start_pos")
 
 
 def required_scores(requested: list[str], available: list[str]) -> list[str]:

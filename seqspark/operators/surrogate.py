@@ -178,6 +178,18 @@ def split(rows: DataFrame, validation: float | int, least: int = 2, seed: int =
     return rows.join(chosen, "seq_id", "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
 
 
+def train_with_validation(rows: DataFrame, kind: str = "evidential", validation: float | int = 0.2, seed: int = 42, **how):
+    """A model and one row of its metrics (mse, mae, r2) as train_ and val_ columns. Where the table is too small to be split, all rows train and val_ is null."""
+    from seqspark.operators.metrics import fit_metrics
+
+    dealt = split(rows, validation, seed=seed)
+    model = fit(dealt.where("not validation").drop("validation"), kind, seed=seed, **how)
+    scored = model.predict(dealt).select(F.when(F.col("validation"), "val").otherwise("train").alias("obj"), "y", "mean")
+    measured = fit_metrics(scored).where("obj is not null")
+    columns = [F.max(F.when(F.col("obj") == part, F.col(m))).alias(f"{part}_{m}") for part in ("train", "val") for m in ("mse", "mae", "r2")]
+    return model, measured.agg(*columns)
+
+
 def cross_validate(rows: DataFrame, trials: list[dict], folds: int = 5, seed: int = 42) -> DataFrame:
     """(trial, nll): mean over folds of the Gaussian negative log-likelihood of the left-out fold. Trials differ in width and ridge; widths share one aggregation."""
     from seqspark.operators.metrics import gaussian_nll

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import properties
 from seqspark.operators import acquire, filters, select
-from seqspark.plans import core, logs, models, more, structures
+from seqspark.plans import core, files, logs, models, more, structures
 from seqspark.plans.fixtures import fixture, render
 
-SPECS = {**core.SPECS, **structures.SPECS, **logs.SPECS, **models.SPECS, **more.SPECS}
+SPECS = {**core.SPECS, **structures.SPECS, **logs.SPECS, **models.SPECS, **more.SPECS, **files.SPECS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

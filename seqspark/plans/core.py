@@ -78,15 +78,21 @@ def _property(column: str, function):
 for _name, (_column, _function, _sql) in PROPERTIES.items():
     SPECS[_name] = (_property(_column, _function), f"select sequence, {_sql} {_column} from {PEPTIDES}")
 
-_PAIR_WEIGHTS = "(select pair, 100*{U:pair}-50 weight from (select distinct substr(sequence,1,2) pair from {peptides} union select distinct substr(sequence,2,2) from {peptides}))"
+_PAIR_WEIGHTS = "(select pair, 100*{U:pair}-50 weight from (select distinct substr(sequence,1,2) pair from {peptides} union select distinct substr(sequence,2,2) from {peptides}) where length(pair)=2)"
 
 
-@spec("p04_instability_index", f"select sequence, round(10*coalesce(sum(weight),0)/length(sequence),6) instability from (select sequence, substr(sequence,cast(i as int),2) pair from (select sequence, unnest(generate_series(1,length(sequence)-1)) i from {PEPTIDES})) s left join {_PAIR_WEIGHTS} w using (pair) group by sequence")
+_INSTABILITY = f"select sequence, round(10*coalesce(sum(weight),0)/length(sequence),6) instability from (select sequence, substr(sequence,cast(i as int),2) pair from (select sequence, unnest(generate_series(1,greatest(length(sequence)-1,1))) i from {PEPTIDES})) s left join {_PAIR_WEIGHTS} w using (pair) group by sequence"
+
+
+@spec("p04_instability_index", _INSTABILITY)
 def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _peptides(spark, sf_dir)
+    return rounded(properties.instability_index(rows, _weights(rows)), "instability")
+
+
+def _weights(rows: DataFrame) -> DataFrame:
     pairs = rows.select(F.substring("sequence", 1, 2).alias("pair")).union(rows.select(F.substring("sequence", 2, 2))).distinct()
-    weights = pairs.select("pair", (100 * exprs.uniform(42, "pair") - 50).alias("weight"))
-    return rounded(properties.instability_index(rows, weights), "instability")
+    return pairs.select("pair", (100 * exprs.uniform(42, "pair") - 50).alias("weight"))
 
 
 def _charge_sql(ph: str) -> str:
@@ -116,9 +122,11 @@ def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WIDE = ", ".join(f"{sql} {column}" for column, _, sql in PROPERTIES.values())
 
 
-@spec("p16_all_properties", f"select p.*, isoelectric_point, hydrophobic_moment from (select sequence, {_WIDE} from {PEPTIDES}) p join ({_BISECT}) b using (sequence) join ({MOMENT_SQL}) m using (sequence)")
+@spec("p16_all_properties", f"select p.*, isoelectric_point, hydrophobic_moment, instability from (select sequence, {_WIDE} from {PEPTIDES}) p join ({_BISECT}) b using (sequence) join ({MOMENT_SQL}) m using (sequence) join ({_INSTABILITY}) n using (sequence)")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _peptides(spark, sf_dir).select("sequence", *properties.all_properties(F.col("sequence")))
+    rows = _peptides(spark, sf_dir)
+    weights = properties.pair_weights(_weights(rows))
+    wide = rows.select("sequence", *properties.all_properties(F.col("sequence")), properties.instability(F.col("sequence"), weights).alias("instability"))
     wide = rounded(wide, *(c for c in wide.columns if c not in ("sequence", "length", "isoelectric_point")))
     return wide.withColumn("isoelectric_point", F.round("isoelectric_point", 5))
 

@@ -15,7 +15,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIXTURES = {
     # Letters are stripped before upper-casing, which differs between engines beyond ASCII.
     "sequences": "select doc_id seq_id, upper(regexp_replace(text,'[^acdefghiklmnpqrstvwyACDEFGHIKLMNPQRSTVWY]',''{g})) sequence from {documents}",
-    # All tiles of 14 letters, every 13. Spark makes a tile inside the generator, so no later filter cuts it out of the long sequence again.
+    # Tiles of 1 to 32 letters that cover every letter once.
     "peptides": "select seq_id protein_id, {tiles}",
     "predictions": "select l_partkey seq_id, cast(avg(l_quantity) as double) mean, cast(stddev_samp(l_quantity) as double) std from {lineitem} group by l_partkey",
     "predictions_multi": """select l_partkey seq_id, 'obj1' obj, cast(avg(l_quantity) as double) mean, cast(stddev_samp(l_quantity) as double) std from {lineitem} group by l_partkey
@@ -33,6 +33,7 @@ FIXTURES = {
     "pae": "select i.structure_id, i.token_idx i, j.token_idx j, 30*{U:i.structure_id,i.token_idx,j.token_idx} pae from {residues} i join {residues} j on i.structure_id=j.structure_id",
     "site": "select structure_id, res_idx from {residues} where chain='A' and res_idx % 2 = 0",
     "score_log": "select ts, cast(floor(event_id/1000) as int) iteration, concat('S', user_id) sequence, event_type phase, cast(value as double) objective, event_id from {events}",
+    "quality": "select sequence from (select distinct sequence from {peptides}) where length(sequence) > 5 and length(sequence) < 30 and list_max(list_transform(string_split('ACDEFGHIKLMNPQRSTVWY', ''), lambda a: length(sequence)-length(replace(sequence,a,''))))::double/length(sequence) <= 0.75 and not regexp_matches(sequence, '(AAAAAA|CCCCCC|DDDDDD|EEEEEE|FFFFFF|GGGGGG|HHHHHH|IIIIII|KKKKKK|LLLLLL|MMMMMM|NNNNNN|PPPPPP|QQQQQQ|RRRRRR|SSSSSS|TTTTTT|VVVVVV|WWWWWW|YYYYYY)')",
     "vectors": "select vec_id seq_id, embedding, label from {embeddings}",
 }
 
@@ -40,16 +41,23 @@ _UNIFORM = {
     "spark": "((cast(conv(substr(md5(concat_ws('|',42,%s)),1,8),16,10) as double)+0.5)/4294967296.0D)",
     "duckdb": "((cast(cast('0x'||substr(md5(concat_ws('|',42,%s)),1,8) as bigint) as double)+0.5)/4294967296.0)",
 }
+# Chunks of 100 letters, found in one pass, and the tiles of each; together they are the whole sequence.
+_TILES = ((0, 1), (1, 4), (5, 5), (10, 6), (16, 9), (25, 14), (39, 29), (68, 32))
+_CHUNK = "concat('.', chr(123), '1,100', chr(125))"
+_CUTS = {
+    "spark": "array(" + ", ".join(f"named_struct('at', {a}, 'size', {n})" for a, n in _TILES) + ")",
+    "duckdb": "(values " + ", ".join(f"({a}, {n})" for a, n in _TILES) + ") cuts(off, size)",
+}
 _WORDS = {
     "spark": {
         "o": "0",
         "g": "",
-        "tiles": "t.start_pos, t.sequence from (select seq_id, explode(transform(sequence(0, cast(floor((length(sequence)-14)/13) as int)), i -> named_struct('start_pos', 13*i, 'sequence', substr(sequence, 1+13*i, 14)))) t from {sequences} where length(sequence) >= 14)",
+        "tiles": f"t.start_pos, t.sequence from (select seq_id, explode(flatten(transform(regexp_extract_all(sequence, {_CHUNK}, 0), (c, b) -> transform(filter({_CUTS['spark']}, p -> p.at < length(c)), p -> named_struct('start_pos', 100*b+p.at, 'sequence', substr(c, p.at+1, p.size)))))) t from {{sequences}} where length(sequence) > 0)",
     },
     "duckdb": {
         "o": "1",
         "g": ",'g'",
-        "tiles": "13*tile start_pos, substr(sequence, cast(1+13*tile as int), 14) sequence from (select seq_id, sequence, unnest(generate_series(0, cast(floor((length(sequence)-14)/13) as int))) tile from {sequences} where length(sequence) >= 14)",
+        "tiles": f"cast(100*(b-1)+off as int) start_pos, substr(c, off+1, size) sequence from (select seq_id, unnest(l) c, generate_subscripts(l, 1) b from (select seq_id, regexp_extract_all(sequence, {_CHUNK}) l from {{sequences}} where length(sequence) > 0)), {_CUTS['duckdb']} where off < length(c)",
     },
 }
 

@@ -28,7 +28,11 @@ def spec(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-search-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-search-")
     return f"{root.rstrip('/')}/search-{uuid.uuid4().hex[:12]}"
 
 
@@ -99,16 +103,24 @@ def l09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, transform, mode: str) -> DataFrame:
-    """The final state of a stream over a written table; rows that are only appended go to files, aggregates to the driver."""
-    base, name = _folder(spark), f"live_{uuid.uuid4().hex[:8]}"
+    """The final state of a stream over a written table, from files: what is appended, or the last batch's whole result."""
+    base = _folder(spark)
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in").withWatermark("ts", "10 minutes")
     out = transform(stream)
-    sink = out.writeStream.format("parquet").option("path", f"{base}/out") if mode == "append" else out.writeStream.format("memory").queryName(name)
-    query = sink.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out") if mode == "append" else spark.table(name)
+    state = lambda sink: sink.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    if mode == "append":
+        state(out.writeStream.format("parquet").option("path", f"{base}/out")).awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{base}/out")
+    last = [None]
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out-{number}")
+        last[0] = number
+
+    state(out.writeStream.foreachBatch(store)).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out-{last[0]}") if last[0] is not None else spark.createDataFrame([], out.schema)
 
 
 @spec("x02_running_best", "select phase, round(max(objective),6) best, round(min(objective),6) worst, count(*) n from {score_log} group by phase")
@@ -134,3 +146,20 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "sequences").where("length(sequence) > 0").withColumn("ts", F.timestamp_seconds(F.lit(0)))
     scored = lambda df: df.select("seq_id", F.round(properties.fraction(F.col("sequence"), properties.HYDROPHOBIC), 6).alias("hydrophobic_fraction"))
     return _streamed(spark, rows, scored, "append")
+
+
+@spec("x01_live_log", "select distinct sequence, iteration from {score_log}")
+def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _folder(spark)
+    rows = fixture(spark, sf_dir, "score_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.unionByName(rows).write.parquet(f"{base}/in")
+    stream = live.score_stream(spark, f"{base}/in", rows.schema, late="3650 days").select("sequence", "iteration")
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@spec("l04_search_proteome")
+def l04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proteins = fixture(spark, sf_dir, "sequences").withColumnRenamed("seq_id", "protein_id")
+    score = lambda df: df.withColumn("objective", properties.gravy(F.col("sequence")))
+    return search.search_proteome(proteins, score, [search.Phase("standard_deviation", 1), search.Phase("expected_improvement", 1)], _folder(spark), n_initial=40, pool=150, batch=10)

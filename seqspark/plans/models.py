@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.operators import overlap
+from seqspark.operators import contacts, overlap
 from seqspark.plans.core import OBJECTIVES, _objectives, rounded
 from seqspark.plans.fixtures import fixture
 
@@ -37,12 +37,26 @@ def j17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlap.intra_model_rmsd(_models(spark, sf_dir)), "mean_rmsd")
 
 
-@spec("j05_models_in_site", "select l_partkey structure_id, round(avg((l_tax > 0.03)::int),6) share, max(case when l_linenumber=1 then (l_tax > 0.03)::int end) = 1 top, count(*) n_models from {lineitem} group by 1")
+_MODELS = "(select structure_id*10+m as id, structure_id, m as model, chain, res_idx, x*cos(0.3*m)-y*sin(0.3*m)+m+0.1*m*sin(vec_id) x, x*sin(0.3*m)+y*cos(0.3*m) y, z from {atoms}, (values (1),(2),(3)) v(m))"
+_NEAR = f"(select distinct a.id, a.structure_id, a.model, a.res_idx from {_MODELS} a join {_MODELS} b on a.id=b.id where a.chain='A' and b.chain='B' and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 6.0)"
+
+
+@spec("j05_models_in_site", f"select structure_id, round(avg(flag::int),6) share, max(case when model=1 then flag::int end) = 1 top, count(*) n_models from (select m.structure_id, m.model, coalesce(n,0) >= 12 flag from (select distinct structure_id, model from {_MODELS}) m left join (select c.structure_id, c.model, count(*) n from {_NEAR} c join {{site}} s on s.structure_id=c.structure_id and s.res_idx=c.res_idx group by 1,2) h on h.structure_id=m.structure_id and h.model=m.model) group by 1")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("structure_id"), F.col("l_linenumber").alias("model"), (F.col("l_tax") > 0.03).alias("in_site"))
+    models = _models(spark, sf_dir).withColumn("id", F.col("structure_id") * 10 + F.col("model"))
+    site = fixture(spark, sf_dir, "site").select(F.explode(F.array(*(F.col("structure_id") * 10 + m for m in (1, 2, 3)))).alias("structure_id"), "res_idx")
+    flags = contacts.in_site(models.drop("structure_id").withColumnRenamed("id", "structure_id"), site, 12, cutoff=6.0)
+    flags = flags.select(F.floor(F.col("structure_id") / 10).alias("structure_id"), (F.col("structure_id") % 10).alias("model"), "in_site")
     return rounded(overlap.models_in_site(flags), "share")
 
 
+@spec("j16_inter_model_rmsd")
+def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best models of two methods, one laid on the other: of three models each method has its own best."""
+    models = _models(spark, sf_dir)
+    return rounded(overlap.inter_model_rmsd(models.where("model = 1"), models.where("model = 3")), "rmsd")
+
+
 _LONG = "(select seq_id, case when in_binding_site then 'one' else 'two' end m, round(iptm,6) iptm from {scores} union all select seq_id, 'two', round(iptm,6) from {scores} where iptm > 0.3 and in_binding_site)"
 
 
@@ -58,18 +72,6 @@ def j18b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlap.assembled([fixture(spark, sf_dir, "predictions").where("mean > 24").select("seq_id", "mean"), _objectives(spark, sf_dir).where("objective > 0")]), "mean")
 
 
-@spec("j19_provenance", "select d.sequence, min(p.protein_id) protein_id, min(p.start_pos) start_pos from (select distinct sequence from {peptides}) d left join {peptides} p on p.sequence=d.sequence group by 1")
-def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peptides = fixture(spark, sf_dir, "peptides")
-    found = peptides.groupBy("sequence").agg(F.min("protein_id").alias("protein_id"), F.min("start_pos").alias("start_pos"))
-    return peptides.select("sequence").distinct().join(found, "sequence", "left")
-
-
 @spec("j20_training_rows", f"select v.seq_id, label, objective from {{vectors}} v join {OBJECTIVES} o on v.seq_id=o.seq_id")
 def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "vectors").join(_objectives(spark, sf_dir), "seq_id").select("seq_id", "label", "objective")
-
-
-@spec("j22_same_sequences", "select sequence, count(distinct phase) methods from {score_log} group by 1 having count(distinct phase) < (select count(distinct phase) from {score_log})")
-def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.same_sequences(fixture(spark, sf_dir, "score_log").select("sequence", F.col("phase").alias("method")))

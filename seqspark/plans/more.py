@@ -65,24 +65,6 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.without_failures(rows)
 
 
-@spec("t03_first_residue", "select structure_id, chain, min(res_idx)+5 as start from {residues} group by 1,2")
-def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "residues").withColumn("res_seq", F.col("res_idx") + 5)
-    return rows.groupBy("structure_id", "chain").agg(F.min_by("res_seq", "token_idx").alias("start"))
-
-
-@spec("t08_residue_coordinates", "select a.structure_id, a.res_idx, round(x,6) x, round(y,6) y, round(z,6) z from {atoms} a join {site} s on a.structure_id=s.structure_id and a.res_idx=s.res_idx where chain='A'")
-def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = fixture(spark, sf_dir, "atoms").where("chain = 'A'")
-    return rounded(atoms.join(fixture(spark, sf_dir, "site"), ["structure_id", "res_idx"], "left_semi").select("structure_id", "res_idx", "x", "y", "z"), "x", "y", "z")
-
-
-@spec("t12_main_chain", "select structure_id, chain, n from (select *, row_number() over (partition by structure_id order by n desc, chain) r from (select structure_id, chain, count(*) n from {atoms} group by 1,2)) where r=1")
-def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chains = fixture(spark, sf_dir, "atoms").groupBy("structure_id", "chain").agg(F.repeat(F.lit("X"), F.count("*").cast("int")).alias("sequence"))
-    return readers.main_chain(chains).select("structure_id", "chain", F.length("sequence").cast("long").alias("n"))
-
-
 @spec("s11_property_table", "select property, aa, value from (select l_linenumber::varchar property, 'A' aa, round(avg(l_quantity),6) as value from {lineitem} group by 1 union all select l_linenumber::varchar, 'C', round(avg(l_tax),6) from {lineitem} group by 1)")
 def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_linenumber").cast("string").alias("property")).agg(F.avg("l_quantity").alias("A"), F.avg("l_tax").alias("C"))

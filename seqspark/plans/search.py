@@ -8,10 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.operators import acquire, filters, generate, select, surrogate
+from seqspark.functions import properties
+from seqspark.operators import acquire, embed, filters, generate, select, surrogate
 from seqspark.sources import sinks
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Properties that peptides are embedded by: hydropathy, mass, charge, and membership of the letter sets.
+PROPERTY_TABLE = {
+    "hydropathy": properties.HYDROPATHY,
+    "mass": {a: m / 100 for a, m in properties.MASS.items()},
+    "charge": {"K": 1.0, "R": 1.0, "H": 0.5, "D": -1.0, "E": -1.0},
+    **{name: dict.fromkeys(letters, 1.0) for name, letters in (("helix", properties.HELIX), ("turn", properties.TURN), ("sheet", properties.SHEET), ("polar", properties.POLAR))},
+}
 
 
 @dataclass
@@ -63,12 +71,60 @@ def search_candidates(candidates: DataFrame, scorer: Scorer, phases: list[Phase]
         model = surrogate.fit(rows, kind, seed=seed)
         best = log.agg(F.max("objective")).first()[0]
         how = {"best": float(best)} if phase.acquisition in ("expected_improvement", "probability_of_improvement") else {}
-        valued = acquire.acquisition(model.predict(left), phase.acquisition, **how)
+        # Stored once: every pick of the batch reads the values, none runs the model again.
+        valued = _stored(acquire.acquisition(model.predict(left), phase.acquisition, **how).select("seq_id", "embedding", "acquisition"), f"{path}-valued/{i}")
         picked = select.greedy_batch(valued, batch)
         sinks.append_iteration(scorer(picked).select("seq_id", "objective"), path, i, phase.acquisition)
     return sinks.read_log(spark, path)
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def tune_due(iteration: int, every: int | None) -> bool:
+    """Whether parameters are tuned in this iteration (from 1): the first, and then each ``every``-th; never without ``every``."""
+    return bool(every) and (iteration - 1) % every == 0
+
+
+def search_proteome(proteins: DataFrame, scorer: Scorer, phases: list[Phase], path: str, n_initial: int = 500, pool: int = 10_000, batch: int = 10, local: float = 0.5, n_top: int = 20, low: int = 7, high: int = 20, kind: str = "evidential", tune_every: int | None = None, seed: int = 42) -> DataFrame:
+    """Search over peptides of ``proteins`` (protein_id, sequence). ``scorer`` adds objective to rows of sequences. Returns the log of all iterations.
+
+    Each iteration samples ``pool`` new peptides, a share ``local`` of them around the best ``n_top``, embeds them by their properties, and scores the ``batch`` of the
+    largest acquisition. The log is a table with a partition for each iteration; a search that finds one goes on after its last whole
+    iteration and comes to the same log, since all draws depend on seed and iteration alone. It ends early when no peptide is left.
+    """
+    spark = proteins.sparkSession
+    columns = ["protein_id", "start_pos", "sequence", "objective"]
+    table = {name: {a: float(v) for a, v in values.items()} for name, values in PROPERTY_TABLE.items()}
+    embedded = lambda df: df.withColumn("embedding", F.array(*embed.property_columns(F.col("sequence"), table), F.length("sequence") / 20)).withColumn("seq_id", F.col("sequence"))
+    done = spark.read.parquet(path).agg(F.max("iteration")).first()[0] if sinks.exists(spark, path) else None
+    if done is None:
+        none = proteins.select("sequence").limit(0)
+        sinks.append_iteration(scorer(generate.global_peptides(proteins, n_initial, none, low, high, seed=seed)).select(*columns), path, 0, "initial")
+        done = 0
+    ridge = 1.0
+    for i, phase in enumerate(_schedule(phases), 1):
+        if i <= done:
+            continue
+        log = sinks.read_log(spark, path).where(F.col("iteration") < i)
+        best = log.orderBy(F.desc("objective"), "sequence").limit(n_top)
+        fresh = _stored(generate.mixed_peptides(best, proteins, pool, local, log, low, high, seed=seed + 100_000 * i), f"{path}-pool/{i}")
+        if fresh.isEmpty():
+            break
+        rows = embedded(log.withColumn("y", F.col("objective")))
+        if tune_due(i, tune_every):
+            trials = [{"width": 0, "ridge": r} for r in (0.01, 0.1, 1.0, 10.0)]
+            ridge = trials[surrogate.cross_validate(rows, trials, folds=3, seed=seed).orderBy("nll", "trial").first()["trial"]]["ridge"]
+        model = surrogate.fit(rows, kind, ridge=ridge, seed=seed)
+        how = {"best": float(log.agg(F.max("objective")).first()[0])} if phase.acquisition in ("expected_improvement", "probability_of_improvement") else {}
+        valued = acquire.acquisition(model.predict(embedded(fresh)), phase.acquisition, **how)
+        picked = select.top_by(valued, "acquisition", batch).select("protein_id", "start_pos", "sequence")
+        sinks.append_iteration(scorer(picked).select(*columns), path, i, phase.acquisition)
+    return sinks.read_log(spark, path)
+
+
 def evolve(population: DataFrame, scorer: Callable[[DataFrame], DataFrame], generations: int, path: str, m_parents: int = 20, pool: int = 200, batch: int = 20, seed: int = 42) -> DataFrame:
     """Evolutionary search: parents by exponential selection, mutants, and the best of them by ``scorer`` (sequence -> sequence, objective)."""
     spark = population.sparkSession

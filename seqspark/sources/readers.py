@@ -19,7 +19,10 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1).alias("structure_id"), "value")
+    """Whole files with their structure's id: that of a folder ``structure_id=...``, else the file's name without its ending."""
+    files = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
+    return files.select((F.col("structure_id").cast("string") if "structure_id" in files.columns else name).alias("structure_id"), "value")
 
 
 def pdb(spark: SparkSession, path: str) -> DataFrame:
@@ -79,10 +82,10 @@ def main_chain(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def metrics_json(spark: SparkSession, path: str) -> DataFrame:
+def metrics_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """sequence, iptm, ptm, plddt and pae of metric files, under any of their names."""
     schema = "sequence string, peptide_sequence string, sequences string, iptm double, ptm double, plddt array<double>, plddt_vector array<double>, pae array<array<double>>, pae_matrix array<array<double>>"
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     pick = lambda *names: F.coalesce(*names)
     return df.select(pick("sequence", "peptide_sequence", "sequences").alias("sequence"), "iptm", "ptm", pick("plddt", "plddt_vector").alias("plddt"), pick("pae", "pae_matrix").alias("pae"))
 
@@ -98,7 +101,7 @@ def design_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def samples_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).schema("sample_id int, length int, hotspots string").csv(path)
-    return df.withColumn("hotspots", F.transform(F.split("hotspots", ","), F.trim))
+    return df.withColumn("hotspots", F.transform(F.split("hotspots", ","), lambda x: F.trim(x)))
 
 
 def peptides_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -115,8 +118,8 @@ def property_table(wide: DataFrame, name: str = "property") -> DataFrame:
 
 
 def existing_results(spark: SparkSession, path: str, method: str) -> DataFrame:
-    """(target, sequence, method) of result files in folders called TARGET_SEQUENCE."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"/([^/]+)_([A-Z]+)/[^/]+$", 1).alias("target"), F.regexp_extract("path", r"/([^/]+)_([A-Z]+)/[^/]+$", 2).alias("sequence"))
+    """(target, sequence, method) of result files in folders called TARGET_SEQUENCE, with or without ``name=`` before it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"/(?:name=)?([^/]+)_([A-Z]+)/[^/]+$", 1).alias("target"), F.regexp_extract("path", r"/(?:name=)?([^/]+)_([A-Z]+)/[^/]+$", 2).alias("sequence"))
     return found.where("sequence <> ''").distinct().withColumn("method", F.lit(method))
 
 
@@ -135,8 +138,8 @@ def best_model(models: DataFrame) -> DataFrame:
 
 def latest_parameters(log: DataFrame, drop: Column | None = None) -> DataFrame:
     """Last row of a parameter log without its bookkeeping columns, numbers as numbers."""
-    last = log.orderBy(F.desc("iteration")).limit(1)
     keep = [c for c in log.columns if c not in ("timestamp", "iteration", "phase")]
+    last = log.orderBy(F.desc("iteration"), *keep).limit(1)  # an iteration has one row; of more the first by their values
     return last.select(*(F.coalesce(F.col(c).try_cast("double").cast("string"), F.col(c).cast("string")).alias(c) for c in keep))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.operators.select import leaderboard, upsert
+from seqspark.operators.select import leaderboard
 
 
 def score_stream(spark: SparkSession, path: str, schema, late: str = "10 minutes", keys: tuple[str, ...] = ("sequence", "iteration")) -> DataFrame:
@@ -32,8 +32,7 @@ def live_leaderboard(rows: DataFrame, state_path: str, n: int, checkpoint: str):
         new = batch.groupBy("sequence").agg(F.max("objective").alias("objective"))
         if number:
             old = spark.read.parquet(f"{state_path}/{number - 1}")
-            both = old.unionByName(new).groupBy("sequence").agg(F.max("objective").alias("objective"))
-            new = upsert(old, both, "sequence")
+            new = old.unionByName(new).groupBy("sequence").agg(F.max("objective").alias("objective"))
         new.write.mode("overwrite").parquet(f"{state_path}/{number}")
 
     query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
