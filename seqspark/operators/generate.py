@@ -140,7 +140,8 @@ def _filled(propose, k: int, known: DataFrame, rounds: int, keep: list[str]) ->
         fresh = propose(r).join(known.select("sequence").distinct(), "sequence", "left_anti").withColumn("round", F.lit(r))
         pool = fresh if pool is None else pool.unionByName(fresh)
         first = Window.partitionBy("sequence").orderBy("round", "id")
-        pool = pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        # A round is worked out once: later ones, and the caller, read it from the checkpoint.
+        pool = pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").checkpoint()
         if pool.count() >= k:
             break
     return pool.orderBy("round", "id", "sequence").limit(k).select(*keep)
