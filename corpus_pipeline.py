@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_tokens", token_stage),
 ]
 
-#: Stages learn models and compare texts by similarity, which SQL can't express; tests hold run() against a brute-force version.
+#: Stages learn models and compare texts by similarity, which SQL can't express; tests hold the operators of the stages against plain versions, run() itself only for its columns.
 ORACLE_SQL: str | None = None
 
 
