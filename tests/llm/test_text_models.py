@@ -13,39 +13,41 @@ from seqspark.llm import kn_lm, lang_id, queries, toxicity
 SF = "/root/testdata/sf0.01"
 
 
-def brute_bigram(train, texts):
+def brute_model(train, texts, order):
+    """Each level's counts: of the n-grams in the text for the longest, of distinct words before the n-gram for the others."""
     words = lambda t: (t or "").encode().lower().split()
-    pairs, uni = Counter(), Counter()
-    for t in train:
-        w = words(t)
-        pairs.update(zip([b"<s>", *w], [*w, None], strict=True))
-        uni.update([*w, None])
-    total, kinds, before = Counter(), defaultdict(Counter), Counter()
-    for (a, b), c in pairs.items():
-        total[a] += c
-        kinds[a][min(c, 3)] += 1
-        before[b] += 1
+    grams = lambda t: zip(*([*[b"<s>"] * (order - 1), *words(t), None][k:] for k in range(order)), strict=False)
+    uni = Counter(x for t in train for x in [*words(t), None])
+    levels = [Counter(g for t in train for g in grams(t))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
     of = lambda counts: kn_lm._discounts(*(sum(c == k for c in counts) for k in (1, 2, 3, 4)))
-    high, low = of(list(pairs.values())), of(list(before.values()))
-    n, v, n_low = sum(uni.values()), len(uni), sum(before.values())
-    spare = sum(low[min(c, 3)] for c in before.values()) / n_low
-
-    def p(a, b):
-        lower = max(before[b] - low[min(before[b], 3)], 0) / n_low + spare / (v + 1)
-        if not total[a]:
+    discounts = [of(list(c.values())) for c in levels]
+    totals, kinds = [Counter() for _ in levels], [defaultdict(Counter) for _ in levels]
+    for counts, total, kind in zip(levels, totals, kinds, strict=True):
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            kind[g[:-1]][min(c, 3)] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(g, level=0):
+        if level == order:
+            return 1 / (v + 1)
+        lower, total, c, d = p(g[1:], level + 1), totals[level][g[:-1]], levels[level][g], discounts[level]
+        if not total:
             return lower
-        c = pairs[a, b]
-        return max(c - high[min(c, 3)], 0) / total[a] + sum(high[k] * m for k, m in kinds[a].items()) / total[a] * lower
+        return max(c - d[min(c, 3)], 0) / total + sum(d[k] * m for k, m in kinds[level][g[:-1]].items()) / total * lower
 
     out = []
     for t in texts:
-        w = words(t)
-        out.append((len(w) + 1, sum(uni[x] > 0 for x in [*w, None]), sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None]), sum(math.log10(p(a, b)) for a, b in zip([b"<s>", *w], [*w, None], strict=True))))
+        w = [*words(t), None]
+        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(math.log10(p(g)) for g in grams(t))))
     return n, out, p
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("share", [64, 1])
-def test_model_is_kneser_ney(spark, monkeypatch, share):
+def test_model_is_kneser_ney(spark, monkeypatch, share, order):
     """With a share of 1 every word is frequent, so followers are dealt over buckets and contexts added up."""
     monkeypatch.setattr(kn_lm, "LAYOUT_SHARE", share)
     monkeypatch.setattr(kn_lm, "FLUSH", 50)
@@ -54,20 +56,21 @@ def test_model_is_kneser_ney(spark, monkeypatch, share):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    model = kn_lm.count_bigrams(df.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 <> 0"))
-    n, expected, p = brute_bigram([t for i, t in enumerate(texts) if not held(i)], [t for _, t in rows])
+    model = kn_lm.count_ngrams(df.where("doc_id is not null and crc32(cast(doc_id as string)) % 10 <> 0"), order)
+    n, expected, p = brute_model([t for i, t in enumerate(texts) if not held(i)], [t for _, t in rows], order)
     assert model.tokens == n and (share > 1 or len(model.layout.hot) == 2)
     got = {r.doc_id: r for r in kn_lm.score_texts(df, model).collect()}
     for (i, _), e in zip(rows, expected, strict=True):
         assert (got[i].n_tokens, got[i].n_known) == e[:2]
         assert (got[i].base_score, got[i].score) == pytest.approx(e[2:], rel=1e-9)
     everything = [b"the", b"a", b"cat", b"dog", b"sat", "é".encode(), None]
-    assert sum(p(b"the", x) for x in everything) <= 1 + 1e-9
+    assert sum(p((*[b"the"] * (order - 1), x)) for x in everything) <= 1 + 1e-9
 
 
-def test_model_of_nothing(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_of_nothing(spark, order):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    r = kn_lm.score_texts(df, kn_lm.count_bigrams(df.limit(0))).first()
+    r = kn_lm.score_texts(df, kn_lm.count_ngrams(df.limit(0), order)).first()
     assert r.n_known == 0 and math.isfinite(r.score)
 
 
