@@ -29,7 +29,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_of_id() % 10 == 0
-    model = kn_lm.count_ngrams(docs.where(~held), order=3)
+    model = kn_lm.count_ngrams(docs.where(~held), order=2)
     return kn_lm.score_texts(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
