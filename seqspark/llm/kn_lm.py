@@ -229,9 +229,9 @@ def _taken(small: np.ndarray, large_at: np.ndarray, large: np.ndarray, place: np
 
 _DENSE = (np.uint8, np.int64, np.int64)
 #: Bigram files: sorted hashes, counts; contexts, totals, followers seen once, twice, more often, occurrences in the text.
-_BIGRAMS = (np.uint64, *_DENSE, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
+_BIGRAMS = (np.uint64, *_DENSE, np.uint64, *_DENSE * 5)
 #: Unigram files: sorted hashes and distinct predecessors; frequent contexts with the same five numbers as above.
-_UNIGRAMS = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
+_UNIGRAMS = (np.uint64, *_DENSE, np.uint64, *_DENSE * 5)
 #: Files of contexts of two words: sorted hashes, totals, followers seen once, twice, more often. Trigram files: sorted hashes, counts, and the same.
 _CONTEXTS = (np.uint64, *_DENSE * 4)
 _TRIGRAMS = (np.uint64, *_DENSE, *_CONTEXTS)
@@ -297,7 +297,7 @@ def _reducer(folder: str, layout: Layout, order: int) -> Callable:
         contexts, stats = _by_context(first, count, raw)
         _, there = _find(layout.hot, contexts)
         own = ~there
-        write_file(folder, f"bigrams-{key[0]}", _file(hashes[by], *_dense(count[by]), contexts[own], *(x[own] for x in stats)), final=True)
+        write_file(folder, f"bigrams-{key[0]}", _file(hashes[by], *_dense(count[by]), contexts[own], *(y for x in stats for y in _dense(x[own]))), final=True)
         out.append(_row("bigrams", key[0], count, int(raw.sum()), int(raw[first == BEGIN].sum())))
         for bucket, at in _slices(layout.of_word(contexts[there])):
             k = np.flatnonzero(there)[at]
@@ -359,7 +359,7 @@ def _unigrams(folder: str) -> Callable:
             sums = np.concatenate([_unpacked(s, x).reshape(4, -1) for s, x in zip(pairs["small"], pairs["large"], strict=True)], axis=1)
             added = [np.bincount(of, x, minlength=len(two)).astype(np.int64) for x in sums]
             write_file(folder, f"contexts-{key[0]}", _file(two, *(y for x in added for y in _dense(x))), final=True)
-        write_file(folder, f"unigrams-{key[0]}", _file(words, total, contexts, *stats), final=True)
+        write_file(folder, f"unigrams-{key[0]}", _file(words, *_dense(total), contexts, *(y for x in stats for y in _dense(x))), final=True)
         return pd.DataFrame([_row("unigrams", key[0], total, int(total.sum()))])
 
     return run
@@ -455,12 +455,11 @@ def block_scores(model: KneserNey, words: list[np.ndarray]) -> tuple[np.ndarray,
     n = len(vocabulary)
     total, own, before, gamma = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
 
-    def contexts(at: np.ndarray, stored: np.ndarray, totals: np.ndarray, *kinds_raw: np.ndarray) -> None:
-        *kinds, raw = kinds_raw
+    def contexts(at: np.ndarray, stored: np.ndarray, *stats: np.ndarray) -> None:
         place, there = _find(stored, vocabulary[at])
         k, place = at[there], place[there]
-        total[k], own[k] = totals[place], raw[place]
-        gamma[k] = sum(d * x[place] for d, x in zip(model.high[1:], kinds, strict=True)) / totals[place]
+        total[k], *kinds, own[k] = (_taken(*stats[i : i + 3], place) for i in range(0, 15, 3))
+        gamma[k] = sum(d * x for d, x in zip(model.high[1:], kinds, strict=True)) / total[k]
 
     key, of_key = np.unique((f.astype(np.uint64) << np.uint64(32)) | s.astype(np.uint64), return_inverse=True)
     kf, ks = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -476,8 +475,8 @@ def block_scores(model: KneserNey, words: list[np.ndarray]) -> tuple[np.ndarray,
             contexts(at, *arrays[4:])
         if arrays := _stored(f"{model.folder}/unigrams-{bucket}", _UNIGRAMS):
             place, there = _find(arrays[0], vocabulary[at])
-            before[at[there]] = arrays[1][place[there]]
-            contexts(at, *arrays[2:])
+            before[at[there]] = _taken(*arrays[1:4], place[there])
+            contexts(at, *arrays[4:])
     flat = 1.0 / (model.vocabulary + 1)
     if model.low_total:
         spare = float(np.dot(model.low[1:], model.low_kinds)) / model.low_total
