@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.llm import ann, ball_tree, bpe, kn_lm, lang_id, mixing, near_dup, token_store, toxicity, vectors, warc
+from seqspark.llm import ann, ball_tree, bpe, fim, importance, kn_lm, lang_id, mixing, near_dup, pieces, token_store, toxicity, vectors, warc
 from seqspark.llm.common import crc_of_id
 
 
@@ -88,6 +88,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _tokenizer("piece_bpe_32k.model")
+    encoded = pieces.piece_encode(_table(spark, sf_dir, "documents"), model, last=2)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    summed = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    return pieces.piece_decode(summed, model, ["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"), percent=90, suffix_first=20, seed=1)
+    again = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +114,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_lm_score, op3_warc, op4_mixing, op5_top_products, op6_toxicity, op7_near_duplicates, op8_language, op9_neighbours, op10_bpe, pipeline)
+    f.__name__: f for f in (op1_token_store, op2_lm_score, op3_warc, op4_mixing, op5_top_products, op6_toxicity, op7_near_duplicates, op8_language, op9_neighbours, op10_bpe, op11_sentencepiece, op12_fill_in_middle, op13_importance, pipeline)
+}
+
+# A draw is the k-th eight digits of a digest; DuckDB's lists of units give the cuts.
+_H = [f"cast('0x'||substr(sha256('1:'||coalesce(doc_id::varchar,'')),{8 * k + 1},8) as bigint)" for k in range(4)]
+ORACLE_SQL: dict[str, str] = {
+    "op12_fill_in_middle": f"""with u as (select doc_id, coalesce(text,'') t, regexp_extract_all(coalesce(text,''), '[A-Za-z]+|[^A-Za-z]') l, {_H[0]} h1, {_H[1]} h2, {_H[2]} h3, {_H[3]} h4 from documents),
+        c as (select *, len(l) n, least(h1%(len(l)+1), h2%(len(l)+1)) a, greatest(h1%(len(l)+1), h2%(len(l)+1)) b from u),
+        p as (select doc_id, t, n, array_to_string(l[1:a],'') pre, array_to_string(l[a+1:b],'') mid, array_to_string(l[b+1:],'') suf,
+            case when t='' or contains(t,'<P>') or contains(t,'<S>') or contains(t,'<M>') or h3%100>=90 then 'plain' when h4%100<20 then 'spm' else 'psm' end form from c)
+        select doc_id, n, form, case when form<>'plain' then length(pre) end prefix_chars, case when form<>'plain' then length(mid) end middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then '<P>'||pre||'<S>'||suf||'<M>'||mid else '<S>'||suf||'<P>'||pre||'<M>'||mid end) output_sha256, sha256(t) restored_sha256 from p"""
 }
-ORACLE_SQL: dict[str, str] = {}
