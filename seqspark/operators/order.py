@@ -128,11 +128,12 @@ def share(n: int, fraction: float) -> int:
 
 
 def ranked(df: DataFrame, path: str, *order: tuple[str, bool]) -> DataFrame:
-    """``df`` with ``rank`` from 1 in the given order: the place within a range of the order and the sizes of earlier ranges.
+    """``df`` with ``rank`` from 1 in the given order, nulls and NaN last: the place within a range of the order and the sizes of earlier ranges.
 
     Ranges are written to ``path`` once, so that every later reading sees the same ones; sizes are a row for each range.
     """
-    by = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in order]
+    value = lambda c: F.when(_known(df, c), F.col(c))
+    by = [value(c).asc_nulls_last() if up else value(c).desc_nulls_last() for c, up in order]
     df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     spark = df.sparkSession
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
