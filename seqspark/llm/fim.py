@@ -84,14 +84,16 @@ def cut_places(data: np.ndarray, begin: np.ndarray, draws: np.ndarray) -> tuple[
     n = np.diff(units)
     wanted = draws % (n + 1)
     # The least place with so many boundaries before it and one at it; a text's end where all its units are wanted.
-    lo, hi = np.broadcast_to(at[:-1], draws.shape).copy(), np.broadcast_to(at[1:], draws.shape).copy()
-    goal = units[:-1] + wanted
-    while (open_ := lo < hi).any():
-        middle = (lo + hi) // 2
-        enough = matrix.boundaries((middle + 1).ravel()).reshape(draws.shape) > goal
-        hi = np.where(open_ & enough, middle, hi)
-        lo = np.where(open_ & ~enough, middle + 1, lo)
-    return n, lo - at[:-1]
+    lo, hi = (np.broadcast_to(x, draws.shape).ravel().copy() for x in (at[:-1], at[1:]))
+    goal = (units[:-1] + wanted).ravel()
+    left = np.flatnonzero(lo < hi)
+    while len(left):
+        middle = (lo[left] + hi[left]) // 2
+        enough = matrix.boundaries(middle + 1) > goal[left]
+        hi[left[enough]] = middle[enough]
+        lo[left[~enough]] = middle[~enough] + 1
+        left = left[lo[left] < hi[left]]
+    return n, lo.reshape(draws.shape) - at[:-1]
 
 
 def _cut_texts(texts: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:

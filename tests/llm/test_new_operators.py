@@ -94,6 +94,14 @@ def test_cuts_do_not_depend_on_blocks(spark, monkeypatch):
     assert fim._cut_texts(texts, draws, draws.take(pa.array(range(217, -1, -1)))).equals(whole)
 
 
+def test_cuts_of_whole_words_of_bits():
+    for size in (1, 62, 63, 64, 127, 128, 191):
+        data = np.frombuffer(b"a1" * size, np.uint8)[:size]
+        for draw in (0, size - 1, size):
+            n, cuts = fim.cut_places(data, np.array([0, size]), np.array([[draw], [size]]))
+            assert n.tolist() == [size] and cuts.tolist() == [[draw % (size + 1)], [size]]
+
+
 def features(text):
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     return len(words), [zlib.crc32(b" ".join(words[i : i + n])) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
