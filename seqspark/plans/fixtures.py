@@ -28,6 +28,20 @@ FIXTURES = {
     "atoms": """select cast(floor(vec_id/100) as bigint) structure_id, case when vec_id%2=0 then 'A' else 'B' end chain, vec_id,
         row_number() over (partition by cast(floor(vec_id/100) as bigint), vec_id%2 order by vec_id)-1 res_idx,
         20*cast(embedding[{o}] as double) x, 20*cast(embedding[{o}+1] as double) y, 20*cast(embedding[{o}+2] as double) z from {embeddings}""",
+    # Backbones: chain A is a helix of 98.93 degrees and 1.541 a residue, shaken; chain B a cloud of residues. Every eleventh vector's residue lacks its O.
+    "backbone": " union all ".join(
+        f"""select structure_id, chain, res_idx+5 res_seq, {line}+4*res_idx line_no, '{name}' atom_name,
+        case when chain='A' then {radius}*cos(radians(98.93*res_idx+{angle}))+0.2*a.x else {cloud[0]} end x,
+        case when chain='A' then {radius}*sin(radians(98.93*res_idx+{angle}))+0.2*a.y else {cloud[1]} end y,
+        case when chain='A' then 1.541*res_idx+{rise}+0.2*a.z else {cloud[2]} end z
+        from {{atoms}} a join (select vec_id, {', '.join(f'cast(embedding[{{o}}+{k}] as double) e{k}' for k in range(3, 10))} from {{embeddings}}) e on a.vec_id=e.vec_id{" where a.vec_id % 11 <> 0" if name == "O" else ""}"""
+        for line, (name, radius, angle, rise, cloud) in enumerate((
+            ("N", 1.566, -26.65, -0.916, ("1.5*a.x", "1.5*a.y", "1.5*a.z")),
+            ("CA", 2.291, 0.0, 0.0, ("1.5*a.x+6*e3", "1.5*a.y+6*e4", "1.5*a.z+6*e5")),
+            ("C", 1.68, 26.9, 1.058, ("1.5*a.x+6*e3+6*e6", "1.5*a.y+6*e4+6*e7", "1.5*a.z+6*e5+6*e8")),
+            ("O", 1.934, 20.68, 2.247, ("1.5*a.x+6*e3+6*e6+1.23*cos(10*e9)", "1.5*a.y+6*e4+6*e7+1.23*sin(10*e9)", "1.5*a.z+6*e5+6*e8")),
+        ))
+    ),
     "residues": "select structure_id, chain, res_idx, row_number() over (partition by structure_id order by chain, res_idx)-1 token_idx from {atoms}",
     "plddt": "select structure_id, token_idx, 100*{U:structure_id,token_idx} plddt from {residues}",
     "pae": "select i.structure_id, i.token_idx i, j.token_idx j, 30*{U:i.structure_id,i.token_idx,j.token_idx} pae from {residues} i join {residues} j on i.structure_id=j.structure_id",

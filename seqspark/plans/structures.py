@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, metrics, select, surrogate
+from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, metrics, secondary, select, surrogate
 from seqspark.plans.core import rounded
 from seqspark.plans.fixtures import fixture
 
@@ -206,6 +206,36 @@ def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.Components.fit(rows, ratio=0.5).transform(rows).select("seq_id", "embedding")
 
 
+# Secondary structure.
+def _secondary() -> str:
+    """The same by self-joins of all residues of a chain, without cells."""
+    d = lambda a, b: "sqrt(" + "+".join(f"({a}.{c}-{b}.{c})*({a}.{c}-{b}.{c})" for c in "xyz") + ")"
+    whole = "select structure_id, chain, res_seq, " + ", ".join(f"max(case when atom_name='{a}' then struct_pack(x := x, y := y, z := z) end) {a.lower()}" for a in ("N", "CA", "C", "O")) + " from {backbone} group by 1,2,3"
+    rows = f"select *, row_number() over w - 1 k, count(*) over (partition by structure_id, chain) size, lag(c) over w b from ({whole}) where n is not null and ca is not null and c is not null and o is not null window w as (partition by structure_id, chain order by res_seq)"
+    length = lambda v: "sqrt(" + "+".join(f"({x})*({x})" for x in v) + ")"
+    u, v = [f"n.{c}-b.{c}" for c in "xyz"], [f"n.{c}-ca.{c}" for c in "xyz"]
+    w = [f"(({a})/{length(u)}+({e})/{length(v)})" for a, e in zip(u, v, strict=True)]
+    h = "struct_pack(" + ", ".join(f"{c} := n.{c}+1.01*{x}/{length(w)}" for c, x in zip("xyz", w, strict=True)) + ")"
+    return f"""with r as materialized ({rows}), h as materialized (select *, case when k>0 then {h} end h from r),
+        bonds as materialized (select a.structure_id, a.chain, a.k i, g.k j, a.size from h a join h g on a.structure_id=g.structure_id and a.chain=g.chain and a.k<a.size-1 and g.k>0 and not (g.k-a.k between 0 and 2)
+            where 27.888*(1/{d("a.o", "g.n")}+1/{d("a.c", "g.h")}-1/{d("a.o", "g.h")}-1/{d("a.c", "g.n")}) < -0.5),
+        t as (select r.structure_id, r.chain, r.k, """ + ", ".join(f"exists (select 1 from bonds b where b.structure_id=r.structure_id and b.chain=r.chain and b.i=r.k and b.j=r.k+{s}) t{s}" for s in (3, 4, 5)) + """ from r),
+        g as (select *, """ + ", ".join(f"coalesce(t{s} and lag(t{s}) over (partition by structure_id, chain order by k), false) g{s}" for s in (3, 4, 5)) + """ from t),
+        h4 as (select *, max(g4) over (partition by structure_id, chain order by k rows between 3 preceding and current row) helix4 from g),
+        f as (select *, not helix4 and not coalesce(lead(helix4) over (partition by structure_id, chain order by k), false) free from h4),
+        x as (select *, helix4 or max(g3 and free) over (partition by structure_id, chain order by k rows between 2 preceding and current row) or max(g5 and free) over (partition by structure_id, chain order by k rows between 4 preceding and current row) helix from f),
+        pairs as (select p.structure_id, p.chain, p.size, case when q.i=p.j and q.j=p.i then p.i else p.i+1 end a, case when q.i=p.j-2 then p.j-1 else p.j end b
+            from bonds p join bonds q on p.structure_id=q.structure_id and p.chain=q.chain and ((q.i=p.j and q.j=p.i) or (q.i=p.j-2 and q.j=p.i+2) or (q.i=p.j and q.j=p.i+2))),
+        ladder as (select distinct structure_id, chain, unnest([a,b]) k from pairs where a between 1 and size-2 and b between 1 and size-2)
+        select structure_id, chain, count(*) n_residues, round(avg(helix::int),6) helix_fraction, round(avg((not helix and l.k is not null)::int),6) sheet_fraction, round(avg((not helix and l.k is null)::int),6) loop_fraction
+        from x left join ladder l using (structure_id, chain, k) group by 1, 2"""
+
+
+@spec("t10_secondary_fractions", _secondary())
+def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(secondary.secondary_fractions(fixture(spark, sf_dir, "backbone")), "helix_fraction", "sheet_fraction", "loop_fraction")
+
+
 # Generation.
 @spec("c10_tiles", "select seq_id protein_id, count(*) n, count(distinct substr(sequence, cast(i+1 as int), 8)) kinds from (select seq_id, sequence, unnest(generate_series(0,length(sequence)-8)) i from {sequences} where length(sequence) >= 8) group by 1")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
