@@ -183,8 +183,12 @@ def pieces(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lowered, start, end
 
 
+#: Bytes of the longest piece that a memo holds: three numbers less the byte for its length.
+SHORT = 23
+
+
 class Memo:
-    """Ids of pieces that were encoded before. A piece of up to 24 bytes is looked up by its very bytes, as three numbers in an open-addressing table."""
+    """Ids of pieces that were encoded before. A piece of up to SHORT bytes is looked up by its very bytes and their number, as three numbers in an open-addressing table."""
 
     def __init__(self, bits: int = 21):
         self.bits = bits
@@ -228,7 +232,7 @@ class Memo:
 
 
 def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Three little-endian numbers that hold the bytes of each piece of up to 24; what lies behind a piece is zero."""
+    """Three little-endian numbers that hold the bytes of each piece of up to SHORT and, in the last byte, how many they are; what lies between is zero. Of longer pieces the numbers are no keys."""
     padded = np.concatenate((data, np.zeros(32, np.uint8)))
     loads = np.ndarray(len(data) + 24, "<u8", padded, 0, (1,))
     size = end - start
@@ -237,6 +241,7 @@ def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         left = np.clip(size - 8 * k, 0, 8).astype(np.uint64)
         mask = np.where(left == 8, np.uint64(2**64 - 1), (np.uint64(1) << (left * np.uint64(8) & np.uint64(63))) - np.uint64(1))
         key[:, k] = loads[np.minimum(start + 8 * k, len(data))] & mask
+    key[:, 2] |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
     return key
 
 
@@ -289,7 +294,7 @@ class WordEncoder:
         data, start, end = pieces(b" ".join(texts))
         raw, size = data.tobytes(), end - start
         key = _keys(data, start, end)
-        short = np.flatnonzero(size <= 24)
+        short = np.flatnonzero(size <= SHORT)
         at = np.full(len(start), -1, np.int64)
         at[short] = self.memo.find(key[short])
         missing = short[at[short] < 0]
@@ -306,7 +311,7 @@ class WordEncoder:
             self.memo.add(key[first], flat, count)
             at[order] = place
         flat, begin, count = self.memo.flat, self.memo.start[at], self.memo.count[at]
-        long = np.flatnonzero(size > 24)
+        long = np.flatnonzero(size > SHORT)
         if len(long):
             own, n = self._distinct([raw[i:j].decode("utf-8", "replace") for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)])
             begin[long], count[long] = len(flat) + np.cumsum(n) - n, n

@@ -35,6 +35,26 @@ def test_store_round_trip(spark):
     assert {r.place: r.id for r in token_store.tokens_at(manifest, wanted).collect()} == {i: flat[i] for i in range(0, start, 3)}
 
 
+def test_ids_do_not_depend_on_what_came_before():
+    """Random strings of control characters, NUL, marks and mixed scripts, after and before others, in a warmed memo."""
+    from tokenizers import Tokenizer
+
+    rng, t = random.Random(11), Tokenizer.from_file(WORDS)
+    alphabet = [*"aabbcHEllo019.,'<|>-", *" " * 6, "\t", "\n", *"\0" * 4, "\x01", "\x1f", "\x7f", "\u0301", "\u0308", "é", "É", "ß", "×", "İ", "ſ", "日", "д", "א", "😀", "\u200d", "\u00a0", "\u0085", "\ufeff", "'s", "'ll", "hello"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(6000)]
+    texts += ["hello hello\0", "hello\0 hello", "hello\0\0", "x" * 22, "x" * 23, "x" * 24, "x" * 22 + "\0", "x" * 23 + "\0", "word " * 4000]
+    encoder = token_store.WordEncoder(WORDS)
+    assert encoder.by_piece and encoder.mark is not None
+    expected = [[*e.ids, 7] for e in t.encode_batch(texts, add_special_tokens=False)]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        for lo in range(0, len(texts), 500):
+            some = list(order)[lo : lo + 500]
+            got = encoder.encode([texts[i].encode() for i in some], 7)
+            assert encoder.by_piece
+            for i, ids in zip(some, got, strict=True):
+                assert ids.tolist() == expected[i], texts[i]
+
+
 def test_empty_store(spark):
     manifest = token_store.write_tokens(table(spark).limit(0), WORDS)
     assert token_store.read_tokens(manifest).count() == 0
