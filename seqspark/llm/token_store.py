@@ -183,6 +183,8 @@ def pieces(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lowered, start, end
 
 
+#: Files whose sizes one window sums up.
+GROUP = 1024
 #: Bytes of the longest piece that a memo holds: three numbers less the byte for its length.
 SHORT = 23
 
@@ -377,8 +379,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, last: int = 1, folder: str | N
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(input_bytes(docs) // (16 << 20)) + 1)
     dealt = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = written(dealt.mapInArrow(_writer(folder, tokenizer, last), "part int, uri string, n_docs long, n_ids long"), f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    # Sums in two levels: within groups of files, and of whole groups before.
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = files.withColumn("group", F.floor(F.col("part") / GROUP))
+    groups = grouped.groupBy("group").agg(F.sum("n_ids").alias("n_ids")).select("group", earlier(Window.orderBy("group")).alias("before"))
+    within = grouped.withColumn("within", earlier(Window.partitionBy("group").orderBy("part")))
+    return within.join(F.broadcast(groups), "group").select("part", "uri", "n_docs", "n_ids", (F.col("before") + F.col("within")).cast("long").alias("first"))  # a row for each GROUP files
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

@@ -55,6 +55,21 @@ def test_ids_do_not_depend_on_what_came_before():
                 assert ids.tolist() == expected[i], texts[i]
 
 
+def test_starts_in_groups_of_files(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "GROUP", 3)
+    df = spark.range(40).selectExpr("id doc_id", "repeat('word ', cast(id % 7 as int)) text")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        manifest = token_store.write_tokens(df, WORDS, last=1)
+        assert manifest.count() > 6
+        start = 0
+        for r in token_store.read_tokens(manifest).orderBy("doc_id").collect():
+            assert (r.start, r.n_tokens) == (start, r.doc_id % 7 + 1)
+            start += r.n_tokens
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_empty_store(spark):
     manifest = token_store.write_tokens(table(spark).limit(0), WORDS)
     assert token_store.read_tokens(manifest).count() == 0
