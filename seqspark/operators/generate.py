@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import ALPHABET, normal, uniform
+from seqspark.functions.storage import folder, pinned
+from seqspark.operators.order import first_rows, ranked
 
 
 def uniform_int(seed: int, low: int | Column, high: int | Column, *key: Column | str) -> Column:
@@ -26,23 +28,33 @@ def letters(rows: DataFrame, seed: int = 42) -> DataFrame:
     return rows.select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.col("length")), letter), "").alias("sequence"))
 
 
-def poisson(mean: Column, u: Column, most: int = 20) -> Column:
-    """Inverse of the distribution function at u, up to ``most``."""
+def poisson(mean: Column, u: Column) -> Column:
+    """Inverse of the distribution function at ``u``, a uniform of 32 bits, for means of up to 500.
+
+    The sum runs so far that no such uniform lies beyond it: the tail beyond is below 2^-33.
+    """
     step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), F.when(u > s["c"], k).otherwise(s["n"]).alias("n"))
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["n"])
+    end = F.ceil(mean + 8 * F.sqrt(mean) + 24).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), end), start, step, lambda s: s["n"])
+
+
+def poisson_count(mean: Column, seed: int, *key: Column | str) -> Column:
+    """A Poisson number of the key alone, for any mean: a sum over parts of 500 at most."""
+    parts = F.greatest(F.lit(1), F.ceil(mean / 500)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + poisson(mean / parts, uniform(seed, *key, i)))
 
 
-def mutated(rows: DataFrame, rate: float = 0.05, shortest: int = 5, longest: int = 40, seed: int = 42) -> DataFrame:
-    """(id, parent, sequence): max(1, Poisson(length * rate)) edits of each parent of ``rows`` (id, parent).
+def mutated(rows: DataFrame, rate: float = 0.05, shortest: int = 5, longest: int = 40, seed: int = 42, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``key``, parent and sequence: max(1, Poisson(length * rate)) edits of each parent of ``rows`` (the key's columns, parent), drawn by the key.
 
     An edit substitutes a letter by another one (weight 1), deletes one or inserts one (0.1 each, where the length allows). The caller drops what is unchanged.
     """
-    n = F.greatest(F.lit(1), poisson(F.length("parent") * rate, uniform(seed, "id", F.lit("edits"))))
+    n = F.greatest(F.lit(1), poisson_count(F.length("parent") * rate, seed, *key, F.lit("edits")))
     size = len(ALPHABET)
 
     def edit(s: Column, k: Column) -> Column:
-        u = lambda what: uniform(seed, F.col("id"), k, F.lit(what))
+        u = lambda what: uniform(seed, *key, k, F.lit(what))
         length = F.length(s)
         delete, insert = F.when(length > shortest, 0.1).otherwise(0.0), F.when(length < longest, 0.1).otherwise(0.0)
         choice = u("op") * (1 + delete + insert)
@@ -55,28 +67,60 @@ def mutated(rows: DataFrame, rate: float = 0.05, shortest: int = 5, longest: int
         inserted = F.concat(F.substr(s, F.lit(1), place), pick(F.floor(u("aa") * size) + 1), F.substr(s, place + 1, F.length(s)))
         return F.when(choice < 1, F.concat(head, other, tail)).when(choice < 1 + delete, F.concat(head, tail)).otherwise(inserted)
 
-    return rows.withColumn("n", n).select("id", "parent", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("parent"), edit).alias("sequence"))
+    return rows.withColumn("n", n).select(*key, "parent", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("parent"), edit).alias("sequence"))
+
+
+def _children(proposals: DataFrame, known: DataFrame, tries: int, seed: int, **how) -> DataFrame:
+    """(id, sequence): the first valid child of each proposal (id, parent): changed, within the lengths and not known. Proposals without one after ``tries`` attempts are left out.
+
+    Attempts double from step to step and only go on for proposals that have no child yet, so steps are few and most proposals are mutated once.
+    """
+    shortest, longest = how.get("shortest", 5), how.get("longest", 40)
+    found, left, done = None, proposals, 0
+    while done < tries:
+        more = min(max(1, done), tries - done)
+        each = left.withColumn("attempt", F.explode(F.sequence(F.lit(done), F.lit(done + more - 1))))
+        valid = mutated(each, seed=seed, key=("id", "attempt"), **how).where((F.col("sequence") != F.col("parent")) & F.length("sequence").between(shortest, longest))
+        fresh = pinned(valid.join(known.select("sequence").distinct(), "sequence", "left_anti").groupBy("id").agg(F.min_by("sequence", "attempt").alias("sequence")))
+        found = fresh if found is None else found.unionByName(fresh)
+        left, done = left.join(fresh.select("id"), "id", "left_anti"), done + more
+        if left.isEmpty():
+            break
+    return found
+
+
+def _first_distinct(propose, k: int, spark: SparkSession) -> DataFrame | None:
+    """The first k rows of distinct ``sequence`` by ``id`` out of ``propose(first, n)``, proposals first to first + n - 1.
+
+    Rounds ask for twice what falls short, or as many as were proposed before if that is more, until k are found or max(20 k, 10 000) proposals are made.
+    """
+    pool, made, have, most = None, 0, 0, max(20 * k, 10_000)
+    while have < k and made < most:
+        n = min(max(2 * (k - have), made, 64), most - made)
+        fresh = propose(made, n)
+        pool = fresh if pool is None else pool.unionByName(fresh)
+        first = Window.partitionBy("sequence").orderBy("id")
+        pool = pinned(pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
+        made, have = made + n, pool.count()
+    return first_rows(pool, k, ("id", True), ("sequence", True)) if pool is not None else None
 
 
-def mutant_pool(parents: DataFrame, k: int, known: DataFrame, rounds: int = 3, oversample: int = 3, seed: int = 42, **how) -> DataFrame:
-    """Up to k distinct children (sequence) of random parents that are neither known nor equal to their parent.
+def mutant_pool(parents: DataFrame, k: int, known: DataFrame, tries: int = 256, seed: int = 42, **how) -> DataFrame:
+    """k distinct children (sequence) of random parents that are neither known nor equal to their parent.
 
-    Rounds propose k * ``oversample`` children each until the pool is full or the rounds are used; a shortfall shows in the number of rows.
+    A proposal keeps its parent and is mutated again until its child is valid. Fewer than k come back only where max(20 k, 10 000) proposals with ``tries`` attempts each don't give as many.
     """
     spark = parents.sparkSession
-    indexed = parents.select("sequence").distinct().withColumn("place", F.row_number().over(Window.orderBy("sequence")) - 1)  # parents are few by their limit
+    indexed = pinned(_dense_index(parents.select("sequence").distinct(), "sequence").withColumnRenamed("sequence", "parent"))
     n = indexed.count()
-    pool = None
-    for r in range(rounds if n else 0):
-        ids = spark.range(k * oversample).withColumn("place", F.floor(uniform(seed + r, "id", F.lit("parent")) * n).cast("int"))
-        children = mutated(ids.join(F.broadcast(indexed), "place").select("id", F.col("sequence").alias("parent")), seed=seed + r, **how)
-        fresh = children.where("sequence <> parent").join(known.select("sequence").distinct(), "sequence", "left_anti")
-        fresh = fresh.groupBy("sequence").agg(F.min("id").alias("id")).withColumn("round", F.lit(r))
-        pool = fresh if pool is None else pool.unionByName(fresh)
-        pool = pool.groupBy("sequence").agg(F.min(F.struct("round", "id")).alias("first")).select("sequence", "first.round", "first.id")
-        if pool.count() >= k:
-            break
-    return pool.orderBy("round", "id", "sequence").limit(k).select("sequence") if pool is not None else parents.select("sequence").limit(0)
+    if not n or k <= 0:
+        return parents.select("sequence").limit(0)
+
+    def propose(first: int, count: int) -> DataFrame:
+        ids = spark.range(first, first + count).withColumn("place", F.floor(uniform(seed, "id", F.lit("parent")) * n).cast("long"))
+        return _children(pinned(ids.join(indexed, "place").select("id", "parent")), known, tries, seed, **how)
+
+    return _first_distinct(propose, k, spark).select("sequence")
 
 
 def peptide_length(seed: int, low: int, high: int, *key: Column | str, gaussian: bool = False) -> Column:
@@ -89,10 +133,13 @@ def peptide_length(seed: int, low: int, high: int, *key: Column | str, gaussian:
 
 def sampled_peptides(proteins: DataFrame, n: int, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
     """(id, protein_id, start_pos, sequence): n proposals, each from a random protein at a random midpoint; a protein that is too short is taken whole."""
-    ranked = proteins.select("protein_id", "sequence").where(F.length("sequence") > 0)
-    count = ranked.count()
-    indexed = _dense_index(ranked, "protein_id")
-    ids = proteins.sparkSession.range(n).withColumn("place", F.floor(uniform(seed, "id", F.lit("protein")) * count).cast("long"))
+    return _sampled(_dense_index(proteins.select("protein_id", "sequence").where(F.length("sequence") > 0), "protein_id"), 0, n, low, high, seed, gaussian)
+
+
+def _sampled(indexed: DataFrame, first: int, n: int, low: int, high: int, seed: int, gaussian: bool) -> DataFrame:
+    """Proposals first to first + n - 1 from proteins with their ``place``."""
+    count = indexed.count()
+    ids = indexed.sparkSession.range(first, first + n).withColumn("place", F.floor(uniform(seed, "id", F.lit("protein")) * count).cast("long"))
     rows = ids.join(indexed, "place").withColumn("size", peptide_length(seed, low, high, "id", F.lit("length"), gaussian=gaussian))
     middle = F.floor(uniform(seed, "id", F.lit("middle")) * F.length("sequence")).cast("int")
     start = F.when(F.length("sequence") <= F.col("size"), 0).otherwise(F.greatest(F.lit(0), F.least(F.length("sequence") - F.col("size"), middle - F.floor(F.col("size") / 2).cast("int"))))
@@ -100,19 +147,19 @@ def sampled_peptides(proteins: DataFrame, n: int, low: int, high: int, seed: int
     return rows.select("id", "protein_id", "start_pos", F.substr("sequence", F.col("start_pos") + 1, F.col("size")).alias("sequence"))
 
 
-def _dense_index(df: DataFrame, key: str) -> DataFrame:
+def _dense_index(df: DataFrame, *key: str) -> DataFrame:
     """Rows with ``place`` from 0 in the order of the key: ranks within ranges plus the sizes of earlier ranges, so no task orders all rows."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
-    ranked = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")  # a row for each partition
-    return ranked.join(F.broadcast(before), "part").withColumn("place", (F.col("before") + F.col("within") - 1).cast("long")).drop("part", "within", "before")
+    return ranked(df, folder(df.sparkSession, "ranges"), *((k, True) for k in key)).withColumn("place", F.col("rank").cast("long") - 1).drop("rank")
 
 
 def local_peptides(scored: DataFrame, proteins: DataFrame, per_parent: int, position_spread: float, length_spread: float, low: int, high: int, seed: int = 42) -> DataFrame:
     """(id, protein_id, start_pos, sequence): shifted and resized copies of ``scored`` peptides (protein_id, start_pos, sequence), within their proteins."""
-    rows = scored.select("protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size")).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(per_parent - 1))))
+    rows = scored.select("protein_id", "start_pos", "sequence").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(per_parent - 1))))
+    return _local(rows, proteins, position_spread, length_spread, low, high, seed)
+
+
+def _local(copies: DataFrame, proteins: DataFrame, position_spread: float, length_spread: float, low: int, high: int, seed: int) -> DataFrame:
+    rows = copies.select("id", "protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size"))
     key = ("protein_id", "at", "id")
     size = F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.col("size") + length_spread * normal(seed, *key, F.lit("l"))).cast("int")))
     rows = rows.withColumn("size", size).join(proteins.select("protein_id", "sequence"), "protein_id")
@@ -133,37 +180,39 @@ def tiles(proteins: DataFrame, length: int, chunk: int = 512) -> DataFrame:
     return rows.where(last > 0).select("protein_id", F.explode(windows).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
 
 
-def _filled(propose, k: int, known: DataFrame, rounds: int, keep: list[str]) -> DataFrame:
-    """Up to k rows of distinct sequences that aren't known, from rounds of ``propose(round)`` (id, sequence and others); earlier proposals first."""
-    spark, pool = known.sparkSession, None
-    for r in range(rounds):
-        fresh = propose(r).join(known.select("sequence").distinct(), "sequence", "left_anti").withColumn("round", F.lit(r))
-        pool = fresh if pool is None else pool.unionByName(fresh)
-        first = Window.partitionBy("sequence").orderBy("round", "id")
-        # A round is worked out once: later ones, and the caller, read it from the checkpoint.
-        pool = pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").checkpoint()
-        if pool.count() >= k:
-            break
-    return pool.orderBy("round", "id", "sequence").limit(k).select(*keep)
+def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
+    """k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many."""
+    from seqspark.operators.filters import quality_filter
 
+    seen, columns = known.select("sequence").distinct(), ["protein_id", "start_pos", "sequence"]
+    indexed = pinned(_dense_index(proteins.select("protein_id", "sequence").where(F.length("sequence") > 0), "protein_id"))
 
-def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, rounds: int = 5, oversample: int = 3, seed: int = 42, gaussian: bool = False) -> DataFrame:
-    """Up to k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known."""
-    from seqspark.operators.filters import quality_filter
+    def propose(first: int, n: int) -> DataFrame:
+        drawn = quality_filter(_sampled(indexed, first, n, low, high, seed, gaussian), longer_than=low - 1, shorter_than=high + 1)
+        return drawn.join(seen, "sequence", "left_anti").select("id", *columns)
 
-    propose = lambda r: quality_filter(sampled_peptides(proteins, k * oversample, low, high, seed + r, gaussian), longer_than=low - 1, shorter_than=high + 1)
-    return _filled(propose, k, known, rounds, ["protein_id", "start_pos", "sequence"])
+    found = _first_distinct(propose, k, proteins.sparkSession) if k > 0 else None
+    return found.select(*columns) if found is not None else proteins.select("protein_id", F.lit(0).alias("start_pos"), "sequence").limit(0)
 
 
-def near_peptides(scored: DataFrame, proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, position_spread: float = 5.0, length_spread: float = 2.0, rounds: int = 5, per_parent: int = 20, seed: int = 42) -> DataFrame:
-    """Up to k distinct peptides near the ``scored`` ones (protein_id, start_pos, sequence) that pass the quality filter and aren't known."""
+def near_peptides(scored: DataFrame, proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, position_spread: float = 5.0, length_spread: float = 2.0, seed: int = 42) -> DataFrame:
+    """k distinct peptides near the ``scored`` ones (protein_id, start_pos, sequence) that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many.
+
+    Proposals go round the scored ones by their place, so each has as many."""
     from seqspark.operators.filters import quality_filter
 
-    def propose(r: int) -> DataFrame:
-        near = local_peptides(scored, proteins, per_parent, position_spread, length_spread, low, high, seed + r)
-        return quality_filter(near, longer_than=low - 1, shorter_than=high + 1).withColumn("id", uniform(seed + r, "id", "protein_id", "start_pos", "sequence"))
+    seen, columns = known.select("sequence").distinct(), ["protein_id", "start_pos", "sequence"]
+    parents = pinned(_dense_index(scored.select(*columns), "sequence", "protein_id", "start_pos"))
+    n_parents = parents.count()
+
+    def propose(first: int, n: int) -> DataFrame:
+        turns = proteins.sparkSession.range(first, first + n).withColumn("place", F.col("id") % n_parents)
+        near = _local(turns.join(parents, "place"), proteins, position_spread, length_spread, low, high, seed)
+        good = quality_filter(near, longer_than=low - 1, shorter_than=high + 1)
+        return good.join(seen, "sequence", "left_anti").select("id", *columns)
 
-    return _filled(propose, k, known, rounds, ["protein_id", "start_pos", "sequence"])
+    found = _first_distinct(propose, k, proteins.sparkSession) if k > 0 and n_parents else None
+    return found.select(*columns) if found is not None else scored.select(*columns).limit(0)
 
 
 def mixed_peptides(scored: DataFrame, proteins: DataFrame, k: int, local: float, known: DataFrame, low: int, high: int, seed: int = 42) -> DataFrame:
@@ -175,13 +224,25 @@ def mixed_peptides(scored: DataFrame, proteins: DataFrame, k: int, local: float,
     return near.withColumn("origin", F.lit("local")).unionByName(rest.withColumn("origin", F.lit("global")))
 
 
+def _grown(start: DataFrame, n: int, seed: int, **how) -> DataFrame:
+    """``start`` filled up to n by mutants of what is there, new ones included: each round the population at most doubles, so that later parents are mutants too."""
+    out, have, turn = start, start.count(), 0
+    while have < n:
+        fresh = pinned(mutant_pool(out, min(have, n - have), out, seed=seed + turn, **how))
+        out, found, turn = pinned(out.unionByName(fresh)), fresh.count(), turn + 1
+        if not found:
+            break
+        have += found
+    return out
+
+
 def initial_population(given: DataFrame, n: int, least: int = 0, seed: int = 42, **how) -> DataFrame:
     """(sequence) to begin with: distinct ``given`` ones, filled up to n by their mutants; whole where they are n or more. Fewer than ``least`` in the end are an error."""
     start = given.select("sequence").distinct()
     have = start.count()
     if not have:
         raise ValueError("an initial population needs one sequence at least")
-    out = start if have >= n else start.unionByName(mutant_pool(start, n - have, start, rounds=10, seed=seed, **how))
+    out = start if have >= n else _grown(start, n, seed, **how)
     if least and (found := out.count()) < least:
         raise ValueError(f"the initial population has {found} sequences, {least} are needed")
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import distance, uniform
+from seqspark.functions.storage import pinned
 
 
 def leaderboard(objectives: DataFrame, n: int, maximise: bool = True, key: str = "sequence", value: str = "objective") -> DataFrame:
@@ -86,7 +87,7 @@ def spread_picks(embeddings: DataFrame, n: int, seed: int = 42, key: str = "seq_
         d = distance(F.col("embedding"), F.array(*map(F.lit, map(float, best["embedding"]))))
         rows = rows.withColumn("near", F.least("near", d))
         if i % 10 == 9:
-            rows = rows.checkpoint()
+            rows = pinned(rows)
     order = F.create_map(*(F.lit(x) for i, p in enumerate(picked) for x in (p, i + 1))) if picked else F.lit(None)
     return embeddings.where(F.col(key).isin(picked)).select(order[F.col(key)].alias("rank"), key) if picked else embeddings.select(F.lit(0).alias("rank"), key).limit(0)
 
@@ -108,7 +109,7 @@ def greedy_batch(candidates: DataFrame, n: int, key: str = "seq_id", value: str
         d = distance(F.col("embedding"), F.array(*map(F.lit, best["embedding"])))
         rows = rows.withColumn("near", d if i == 0 else F.least("near", d))
         if i % 10 == 9:
-            rows = rows.checkpoint()
+            rows = pinned(rows)
     if not picked:
         return candidates.select(F.lit(0).alias("rank"), key).limit(0)
     order = F.create_map(*(F.lit(x) for i, p in enumerate(picked) for x in (p, i + 1)))

@@ -143,7 +143,7 @@ def fit(rows: DataFrame, kind: str = "evidential", width: int = 0, ridge: float
         from seqspark.operators.generate import poisson
 
         each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
-        times = poisson(F.lit(1.0), uniform(seed, "seq_id", "member"), 8).cast("double")
+        times = poisson(F.lit(1.0), uniform(seed, "seq_id", "member")).cast("double")
         return WeightDraws(layer, np.array([solve(g).mean for g in gram(each, f, y, times, ["member"])]))
     if kind == "mean_variance":
         model = solve(gram(rows, f, y)[0])

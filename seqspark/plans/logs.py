@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import properties
+from seqspark.functions.storage import folder
 from seqspark.operators import filters, select
 from seqspark.plans import search
 from seqspark.plans.core import rounded
@@ -28,12 +26,7 @@ def spec(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-search-")
-    return f"{root.rstrip('/')}/search-{uuid.uuid4().hex[:12]}"
+    return folder(spark, "search")
 
 
 @spec("s06_picked_models", "select complex_id, rank_no, relaxed, file, row_number() over (partition by complex_id order by rank_no) model_no from (select *, row_number() over (partition by complex_id, rank_no order by relaxed desc, file) r from (select l_orderkey complex_id, l_linenumber rank_no, l_returnflag='R' relaxed, l_partkey file from {lineitem})) where r=1")

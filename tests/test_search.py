@@ -42,3 +42,36 @@ def test_initial_population(spark):
     with pytest.raises(ValueError):
         generate.initial_population(one.limit(0), 3)
     assert [search.tune_due(i, 2) for i in (1, 2, 3)] == [True, False, True] and not search.tune_due(1, None)
+
+
+def test_pools_are_full_whenever_there_are_enough(spark):
+    """Two letters of three stay within short lengths, so nearly every possible child is asked for."""
+    parents = spark.createDataFrame([("AAC",)], "sequence string")
+    known = parents.unionByName(spark.createDataFrame([("AAD",), ("AAE",)], "sequence string"))
+    got = [r[0] for r in generate.mutant_pool(parents, 50, known, shortest=3, longest=3, rate=0.01).collect()]
+    # One substitution gives 57 strings, two of them known; more edits give others.
+    assert len(got) == len(set(got)) == 50 and not {"AAC", "AAD", "AAE"} & set(got) and all(len(s) == 3 for s in got)
+    few = generate.mutant_pool(parents, 7000, parents, shortest=3, longest=3, rate=0.0, tries=4).collect()
+    assert 55 <= len(few) <= 57  # a single edit can give no more
+    again = [r[0] for r in generate.mutant_pool(parents, 50, known, shortest=3, longest=3, rate=0.01).collect()]
+    assert sorted(again) == sorted(got)
+    assert generate.mutant_pool(parents.limit(0), 5, known).count() == 0
+
+
+def test_edits_have_no_cap(spark):
+    rows = spark.range(400).select("id", F.expr("repeat('ACDEFGHIKL', 300)").alias("parent"))
+    n = rows.select(generate.poisson_count(F.length("parent") * 0.5, 1, "id").alias("n")).agg(F.avg("n"), F.var_samp("n"), F.min("n")).first()
+    assert abs(n[0] - 1500) < 8 and abs(n[1] - 1500) < 450 and n[2] > 1300
+    small = spark.range(20_000).select(generate.poisson(F.lit(1.0), generate.uniform(3, "id")).alias("n")).agg(F.avg("n"), F.var_samp("n"), F.max("n")).first()
+    assert abs(small[0] - 1) < 0.03 and abs(small[1] - 1) < 0.06 and small[2] >= 6
+
+
+def test_peptides_are_found_to_the_last(spark, proteins):
+    """All windows of three letters of one protein, asked for at once."""
+    one = proteins.where("protein_id = 'p1'")
+    text = one.first().sequence
+    wanted = {text[i : i + 7] for i in range(len(text) - 6)}
+    got = generate.global_peptides(one, len(wanted) - 4, one.limit(0), 7, 7).collect()
+    assert len({r.sequence for r in got}) == len(wanted) - 4 and {r.sequence for r in got} <= wanted
+    near = generate.near_peptides(spark.createDataFrame([("p1", 10, text[10:17])], "protein_id string, start_pos int, sequence string"), one, 6, one.limit(0), 7, 9).collect()
+    assert len({r.sequence for r in near}) == 6
