@@ -90,6 +90,7 @@ class Components:
 
     def transform(self, embeddings: DataFrame) -> DataFrame:
         centred = F.zip_with(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, self.mean)), lambda x, m: x - m)
-        axes = F.array(*(F.array(*map(F.lit, a)) for a in self.axes))
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return embeddings.withColumn("embedding", centred).withColumn("embedding", F.transform(axes, lambda a: dot(a, F.col("embedding"))))
+        # One product for each axis, not a lambda over axes: within a lambda the embedding would be worked out anew for each.
+        moved = [dot(F.array(*map(F.lit, a)), F.col("embedding")) for a in self.axes]
+        return embeddings.withColumn("embedding", centred).withColumn("embedding", F.array(*moved).cast("array<double>"))

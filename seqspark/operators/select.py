@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import distance, uniform
 from seqspark.functions.storage import pinned
+from seqspark.operators.order import first_rows, share
 
 
 def leaderboard(objectives: DataFrame, n: int, maximise: bool = True, key: str = "sequence", value: str = "objective") -> DataFrame:
@@ -40,27 +43,67 @@ def random_rows(df: DataFrame, n: int, seed: int = 42, key: str = "seq_id") -> D
     return df.orderBy(uniform(seed, key), key).limit(n)
 
 
-def parents(objectives: DataFrame, m: int, fraction: float = 0.2, seed: int = 42, key: str = "seq_id", value: str = "objective") -> DataFrame:
-    """m random ones of the best share (of m rows at least)."""
-    n_top = max(m, int(objectives.count() * fraction))
-    return random_rows(objectives.orderBy(F.desc(value), key).limit(n_top), m, seed, key)
+def share_or_number(top: float | int, n: int) -> int:
+    """How many of n rows a share below 1 (one row at least) or a number stands for."""
+    if top <= 0:
+        raise ValueError("the top must be a positive share or number")
+    return max(1, share(n, top)) if isinstance(top, float) and top < 1 else int(top)
 
 
-def parents_by_objective(objectives: DataFrame, m: int, n_top: int, directions: dict[str, str], seed: int = 42, key: str = "seq_id") -> DataFrame:
-    """m random ones of those that are among the best ``n_top`` of some objective."""
-    return random_rows(leaderboard_by_objective(objectives, n_top, directions, key).select(key).distinct(), m, seed, key)
+def best_rows(objectives: DataFrame, n: int, key: str = "seq_id", value: str = "objective", maximise: bool = True) -> DataFrame:
+    """The n best rows, ties by key, by the n-th value and a filter; n may be any share of the table."""
+    return first_rows(objectives.where(F.col(value).isNotNull()), n, (value, not maximise), (key, True))
 
 
-def exponential_parents(objectives: DataFrame, m: int, beta: float = 1.0, maximise: bool = True, seed: int = 42, key: str = "seq_id", value: str = "objective") -> DataFrame:
-    """m rows without replacement with weights exp(beta * fitness), fitness being scaled to [0, 1] (0.5 if flat).
+def parents(objectives: DataFrame, m: int, fraction: float | int = 0.2, seed: int = 42, key: str = "seq_id", value: str = "objective") -> DataFrame:
+    """m random ones of the best share or number (of m rows at least)."""
+    n_top = max(m, share_or_number(fraction, objectives.count()))
+    return random_rows(best_rows(objectives, n_top, key, value), m, seed, key)
 
-    The m least of -ln(U) / w are distributed as m draws one after the other.
-    """
+
+def top_of_any(objectives: DataFrame, top: float | int, directions: dict[str, str], key: str = "seq_id") -> DataFrame:
+    """(key) of the rows (key, obj, value) that are among the best share or number of some objective; an unnamed objective is maximised."""
+    counts = objectives.where("value is not null").groupBy("obj").count().orderBy("obj").collect()
+    if not counts:
+        return objectives.select(key).limit(0)
+    n = share_or_number(top, objectives.select(key).distinct().count())
+    parts = [best_rows(objectives.where(F.col("obj") == r["obj"]), n, key, "value", directions.get(r["obj"], "max") == "max").select(key) for r in counts]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def parents_by_objective(objectives: DataFrame, m: int, n_top: float | int, directions: dict[str, str], seed: int = 42, key: str = "seq_id") -> DataFrame:
+    """m random ones of those that are among the best ``n_top`` (a share or a number) of some objective."""
+    return random_rows(top_of_any(objectives, n_top, directions, key), m, seed, key)
+
+
+def _weighted_draw(rows: DataFrame, fitness: Column, m: int, beta: float, seed: int, key: str) -> DataFrame:
+    """The m least of -ln(U) / w with w = exp(beta * fitness): distributed as m draws one after the other."""
+    return rows.withColumn("_arrival", -F.ln(uniform(seed, key)) / F.exp(beta * fitness)).orderBy("_arrival", key).limit(m).drop("_arrival")
+
+
+def exponential_parents(objectives: DataFrame, m: int, beta: float = 1.0, maximise: bool = True, seed: int = 42, key: str = "seq_id", value: str = "objective") -> DataFrame:
+    """m rows without replacement with weights exp(beta * fitness), fitness being scaled to [0, 1] (0.5 if flat)."""
     v = F.col(value) if maximise else -F.col(value)
-    bounds = objectives.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    fitness = F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
-    weighted = objectives.crossJoin(F.broadcast(bounds)).withColumn("arrival", -F.ln(uniform(seed, key)) / F.exp(beta * fitness))  # one row of bounds
-    return weighted.orderBy("arrival", key).limit(m).drop("arrival", "lo", "hi")
+    bounds = objectives.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    fitness = F.when(F.col("_hi") > F.col("_lo"), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5)
+    return _weighted_draw(objectives.crossJoin(F.broadcast(bounds)), fitness, m, beta, seed, key).drop("_lo", "_hi")  # one row of bounds
+
+
+def mean_fitness(objectives: DataFrame, directions: dict[str, str], key: str = "seq_id") -> DataFrame:
+    """(key, fitness) of rows (key, obj, value): the mean over objectives of the value scaled to [0, 1] within its objective (0.5 if flat), turned round for those that are minimised.
+
+    Bounds are a row for each objective; an unnamed objective is maximised."""
+    rows = objectives.where("value is not null")
+    bounds = rows.groupBy("obj").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    least = [o for o, way in directions.items() if way == "min"]
+    turned = F.coalesce(F.when(F.col("obj").isin(least), 1 - scaled).otherwise(scaled) if least else scaled, F.lit(0.5))
+    return rows.join(F.broadcast(bounds), "obj").groupBy(key).agg(F.avg(turned).alias("fitness"))  # as few rows as objectives
+
+
+def exponential_parents_multi(objectives: DataFrame, m: int, directions: dict[str, str], beta: float = 1.0, seed: int = 42, key: str = "seq_id") -> DataFrame:
+    """(key, fitness): m rows without replacement with weights exp(beta * mean scaled fitness over objectives)."""
+    return _weighted_draw(mean_fitness(objectives, directions, key), F.col("fitness"), m, beta, seed, key)
 
 
 def adalead(objectives: DataFrame, kappa: float, batch: DataFrame | None = None, value: str = "objective") -> DataFrame:

@@ -5,13 +5,17 @@ Rows have seq_id, embedding (array<double>) and y; several objectives add obj. P
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import uniform
+from seqspark.operators.order import first_filter, share
 
 
 def _array(values) -> Column:
@@ -24,7 +28,10 @@ def dot(a: Column, b: Column) -> Column:
 
 @dataclass
 class HiddenLayer:
-    """Fixed random projections with a rectifier, and a constant: features that make linear models nonlinear."""
+    """Fixed random projections with a rectifier, and a constant: features that make linear models nonlinear.
+
+    Layers of one seed are nested: the units of a narrower one are the first of a wider one.
+    """
 
     weights: np.ndarray | None
     bias: np.ndarray | None
@@ -33,8 +40,13 @@ class HiddenLayer:
     def of(cls, dimension: int, width: int, seed: int = 42) -> HiddenLayer:
         if not width:
             return cls(None, None)
-        rng = np.random.default_rng(seed)
-        return cls(rng.standard_normal((width, dimension)) * np.sqrt(2 / dimension), rng.uniform(-1, 1, width))
+        weights = np.random.default_rng([seed, 0]).standard_normal((width, dimension)) * np.sqrt(2 / dimension)
+        return cls(weights, np.random.default_rng([seed, 1]).uniform(-1, 1, width))
+
+    def matrix(self, x: np.ndarray) -> np.ndarray:
+        """The features of the rows of a matrix."""
+        units = [] if self.weights is None else [np.maximum(x @ self.weights.T + self.bias, 0.0)]
+        return np.concatenate([np.ones((len(x), 1)), x, *units], axis=1)
 
     def features(self, embedding: Column) -> Column:
         e = embedding.cast("array<double>")
@@ -80,12 +92,16 @@ class BayesianRegression:
         mean = np.linalg.solve(precision, xy)
         return cls(layer, mean, precision, 1 + n / 2, 1e-6 + max(0.5 * float(yy - mean @ precision @ mean), 0.0))
 
+    @property
+    def noise(self) -> float:
+        return self.b / (self.a - 1) if self.a > 1 else self.b
+
     def components(self, df: DataFrame) -> DataFrame:
         """df with mean, aleatoric, epistemic and total variance."""
         f = self.layer.features(F.col("embedding"))
         root = np.linalg.cholesky(np.linalg.inv(self.precision) + 1e-12 * np.eye(len(self.mean))).T
         spread = F.aggregate(F.transform(F.array(*map(_array, root)), lambda r: dot(r, F.col("_x"))), F.lit(0.0), lambda s, x: s + x * x)
-        noise = self.b / (self.a - 1) if self.a > 1 else self.b
+        noise = self.noise
         out = df.withColumn("_x", f).withColumn("mean", dot(_array(self.mean), F.col("_x"))).withColumn("aleatoric", F.lit(float(noise)))
         return out.withColumn("epistemic", noise * spread).withColumn("total", F.col("aleatoric") + F.col("epistemic")).drop("_x")
 
@@ -171,11 +187,12 @@ def predict_each(models: dict[str, BayesianRegression], df: DataFrame) -> DataFr
 def split(rows: DataFrame, validation: float | int, least: int = 2, seed: int = 42) -> DataFrame:
     """Rows with ``validation``: true for a share or number of them, those of least uniform; for none where either part would be below ``least``."""
     n = rows.count()
-    k = int(n * validation) if isinstance(validation, float) else validation
+    k = share(n, validation) if isinstance(validation, float) else validation
     if k < least or n - k < least:
         return rows.withColumn("validation", F.lit(False))
-    chosen = rows.select("seq_id").orderBy(uniform(seed, "seq_id"), "seq_id").limit(k).withColumn("validation", F.lit(True))
-    return rows.join(chosen, "seq_id", "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+    dealt = rows.withColumn("_u", uniform(seed, "seq_id"))
+    taken, tied, _ = first_filter(dealt, k, ("_u", True), ("seq_id", True))
+    return dealt.withColumn("validation", taken | tied).drop("_u")
 
 
 def train_with_validation(rows: DataFrame, kind: str = "evidential", validation: float | int = 0.2, seed: int = 42, **how):
@@ -190,30 +207,74 @@ def train_with_validation(rows: DataFrame, kind: str = "evidential", validation:
     return model, measured.agg(*columns)
 
 
+def trial_table(ids: DataFrame, widths: tuple[int, ...] = (0, 16, 32), ridges: tuple[float, float] = (1e-3, 1e2), seed: int = 42, earlier: DataFrame | None = None, again: int = 5) -> DataFrame:
+    """(trial, width, ridge, origin): a random search over the ids (trial), widths alike and ridges log-uniform, by the uniform of each id.
+
+    The best ``again`` of ``earlier`` trials (trial, width, ridge, nll) are tried once more, before the fresh ones; trials whose nll is null weren't finished.
+    """
+    lo, hi = (math.log10(r) for r in ridges)
+    at = (1 + F.floor(uniform(seed, "trial", F.lit("width")) * len(widths))).cast("int")
+    ridge = F.pow(F.lit(10.0), lo + (hi - lo) * uniform(seed, "trial", F.lit("ridge")))
+    fresh = ids.select(F.col("trial").cast("long").alias("trial"), F.element_at(F.array(*map(F.lit, widths)), at).alias("width"), ridge.alias("ridge"), F.lit("fresh").alias("origin"))
+    if earlier is None:
+        return fresh
+    best = earlier.where("nll is not null").orderBy("nll", "trial").limit(again)
+    return best.select(F.col("trial").cast("long").alias("trial"), F.col("width").cast("int").alias("width"), F.col("ridge").cast("double").alias("ridge"), F.lit("again").alias("origin")).unionByName(fresh)
+
+
 def cross_validate(rows: DataFrame, trials: list[dict], folds: int = 5, seed: int = 42) -> DataFrame:
-    """(trial, nll): mean over folds of the Gaussian negative log-likelihood of the left-out fold. Trials differ in width and ridge; widths share one aggregation."""
-    from seqspark.operators.metrics import gaussian_nll
+    """(trial, nll): mean over folds of the Gaussian negative log-likelihood of the left-out fold. Trials (in their order) differ in width and ridge.
 
-    spark = rows.sparkSession
+    As layers are nested, one aggregation of the widest features in each fold holds the sums of every trial and fold; these are solved, and
+    one pass scores all rows by all trials of their fold. The number of jobs doesn't depend on trials or folds. What travels to the tasks has
+    trials x folds x features squared numbers.
+    """
+    spark, most = rows.sparkSession, max((t["width"] for t in trials), default=0)
     dealt = rows.withColumn("fold", F.floor(uniform(seed, "seq_id") * folds).cast("int"))
-    dimension = int(rows.select(F.max(F.size("embedding"))).first()[0])
-    out = []
-    for width in sorted({t["width"] for t in trials}):
-        layer = HiddenLayer.of(dimension, width, seed)
-        grams = {g[0][0]: g[1:] for g in gram(dealt, layer.features(F.col("embedding")), F.col("y").cast("double"), by=["fold"])}
-        whole = [sum(g[i] for g in grams.values()) for i in range(4)]
-        for k, t in ((k, t) for k, t in enumerate(trials) if t["width"] == width):
-            scored = None
-            for fold, g in grams.items():
-                model = BayesianRegression.solve(layer, *(w - x for w, x in zip(whole, g, strict=True)), ridge=t["ridge"])
-                part = model.predict(dealt.where(F.col("fold") == fold)).select("fold", "y", "mean", "std")
-                scored = part if scored is None else scored.unionByName(part)
-            per_fold = scored.groupBy("fold").agg(gaussian_nll(F.col("y"), F.col("mean"), F.col("std")).alias("nll"))
-            out.append((k, float(per_fold.agg(F.avg("nll")).first()[0])))
-    return spark.createDataFrame(sorted(out), "trial int, nll double")
-
-
-def random_trials(n: int, seed: int = 42) -> list[dict]:
-    """Widths and log-uniform ridges for a random search."""
-    rng = np.random.default_rng(seed)
-    return [{"width": int(rng.choice([0, 16, 32])), "ridge": float(10 ** rng.uniform(-3, 2))} for _ in range(n)]
+    dimension = rows.select(F.max(F.size("embedding"))).first()[0]
+    if dimension is None or not trials:
+        return spark.createDataFrame([], "trial int, nll double")
+    layer = HiddenLayer.of(int(dimension), most, seed)
+    grams = {g[0][0]: g[1:] for g in gram(dealt, layer.features(F.col("embedding")), F.col("y").cast("double"), by=["fold"])}
+    whole = [sum(g[i] for g in grams.values()) for i in range(4)]
+    solved = {}
+    for fold, g in grams.items():
+        xx, xy, yy, n = (w - x for w, x in zip(whole, g, strict=True))
+        for k, t in enumerate(trials):
+            size = 1 + int(dimension) + t["width"]
+            m = BayesianRegression.solve(layer, xx[:size, :size], xy[:size], yy, n, ridge=t["ridge"])
+            solved[fold, k] = m.mean, np.linalg.cholesky(np.linalg.inv(m.precision) + 1e-12 * np.eye(size)), m.noise
+    sent, floor = spark.sparkContext.broadcast((layer, solved)), 1e-6
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layer, solved = sent.value
+        total: dict[tuple[int, int], list[float]] = {}
+        for b in batches:
+            fold, y = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            x = layer.matrix(np.asarray(b.column(1).flatten(), float).reshape(len(y), -1))
+            for f in np.unique(fold).tolist():
+                own = fold == f
+                for k in range(len(trials)):
+                    mean, root, noise = solved[f, k]
+                    xs = x[own, : len(mean)]
+                    std = np.maximum(np.sqrt(noise * (1 + ((xs @ root) ** 2).sum(1))), floor)
+                    nll = 0.5 * (((y[own] - xs @ mean) / std) ** 2 + 2 * np.log(std) + math.log(2 * math.pi))
+                    sums = total.setdefault((k, f), [0.0, 0])
+                    sums[0], sums[1] = sums[0] + float(nll.sum()), sums[1] + int(own.sum())
+        yield pa.RecordBatch.from_pylist([{"trial": k, "fold": f, "total": s, "n": n} for (k, f), (s, n) in total.items()], schema=pa.schema([("trial", pa.int32()), ("fold", pa.int32()), ("total", pa.float64()), ("n", pa.int64())]))
+
+    sums = dealt.select("fold", F.col("embedding").cast("array<double>").alias("e"), F.col("y").cast("double").alias("y")).mapInArrow(score, "trial int, fold int, total double, n long")
+    mean = F.sum("total") / F.sum("n")
+    per_fold = sums.groupBy("trial", "fold").agg(F.when(F.isnan(mean) | (F.abs(mean) == float("inf")), 1e6).otherwise(mean).alias("nll"))
+    return per_fold.groupBy("trial").agg(F.avg("nll").alias("nll"))
+
+
+def tuned(rows: DataFrame, n_trials: int = 20, folds: int = 3, seed: int = 42, earlier: DataFrame | None = None, **space) -> tuple[dict, DataFrame]:
+    """The best parameters (width, ridge, nll; ties to the earlier trial) and the table of all trials with their nll, which the next tuning can start from."""
+    spark = rows.sparkSession
+    drawn = trial_table(spark.range(n_trials).withColumnRenamed("id", "trial"), seed=seed, earlier=earlier, **space).collect()  # as few as the search has trials
+    drawn = sorted(drawn, key=lambda r: (r["origin"], r["trial"]))
+    found = dict(cross_validate(rows, [{"width": r["width"], "ridge": r["ridge"]} for r in drawn], folds, seed).collect())
+    table = [(k, r["width"], r["ridge"], found.get(k)) for k, r in enumerate(drawn)]
+    best = min((t for t in table if t[3] is not None), key=lambda t: (t[3], t[0]), default=(0, 0, 1.0, None))
+    return {"width": best[1], "ridge": best[2], "nll": best[3]}, spark.createDataFrame(table, "trial int, width int, ridge double, nll double")

@@ -317,6 +317,14 @@ def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.exponential_parents(_objectives(spark, sf_dir), 10, beta=2.0)
 
 
+_FITNESS = "(select seq_id, avg(case when hi > lo then case when o.obj='obj2' then 1-(mean-lo)/(hi-lo) else (mean-lo)/(hi-lo) end else 0.5 end) fitness from {predictions_multi} o join (select obj, min(mean) lo, max(mean) hi from {predictions_multi} group by obj) b on o.obj=b.obj group by seq_id)"
+
+
+@spec("w06b_exponential_parents_multi", f"select seq_id, round(fitness,6) fitness from {_FITNESS} order by -ln({{U:seq_id}})/exp(2*fitness), seq_id limit 10")
+def w06b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(select.exponential_parents_multi(fixture(spark, sf_dir, "predictions_multi").withColumnRenamed("mean", "value"), 10, {"obj1": "max", "obj2": "min"}, beta=2.0), "fitness")
+
+
 @spec("w07_adalead", f"select seq_id, objective from {OBJECTIVES} where objective >= (1-0.5)*(select max(objective) from {OBJECTIVES})")
 def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.adalead(_objectives(spark, sf_dir), 0.5)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import properties
-from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, overlap, select, structure, surrogate
+from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, overlap, select, store, structure, surrogate
+from seqspark.plans import search
 from seqspark.plans.core import OBJECTIVES, PEPTIDES, PROPERTIES, _objectives, _peptides, rounded
 from seqspark.plans.fixtures import fixture
 from seqspark.plans.logs import _folder
@@ -342,6 +343,22 @@ def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.Components.fit(rows.where("seq_id % 2 = 0"), n=3).transform(rows.where("seq_id % 2 = 1")).select("seq_id", "embedding")
 
 
+@spec("e09_outside_components")
+def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of an outside table (the sequences of all documents), stored and read again, applied to all peptides."""
+    outside = fixture(spark, sf_dir, "sequences").where("length(sequence) > 0")
+    axes = search.outside_components(outside, 3, f"{_folder(spark)}/components")
+    return axes.transform(search.property_embedding(_peptides(spark, sf_dir))).select("sequence", "embedding")
+
+
+@spec("m09_stored_model")
+def m09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of a surrogate with a hidden layer that was stored and read again."""
+    rows, at = _training(spark, sf_dir), f"{_folder(spark)}/models"
+    store.save_models(spark, {"surrogate": surrogate.fit(rows, "mean_variance", width=8)}, at, 1)
+    return store.load_models(spark, at)["surrogate"].predict(rows).select("seq_id", "mean", "std")
+
+
 @spec("e08_residue_components")
 def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embed.residue_embedding(_peptides(spark, sf_dir).where("length(sequence) = 14"), {**PROPERTY_TABLE, "hydropathy": properties.HYDROPATHY})

@@ -82,11 +82,43 @@ def l03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_candidates(rows.select("seq_id", "embedding"), search.replay_scorer(scores), phases, _folder(spark))
 
 
+@spec("l03b_tuned_search")
+def l03b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begins with the members nearest to cluster centres, and tunes width and ridge."""
+    rows = fixture(spark, sf_dir, "vectors").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    scores = rows.select("seq_id", (3 * F.col("embedding")[0] - F.col("embedding")[1]).alias("objective"))
+    return search.search_candidates(rows.select("seq_id", "embedding"), search.replay_scorer(scores), [search.Phase("expected_improvement", 2)], _folder(spark), n_initial=20, initial="kmeans", tune_every=2, n_trials=8)
+
+
 @spec("l05_evolve")
 def l05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = select.random_rows(fixture(spark, sf_dir, "peptides").select("sequence").distinct(), 50, key="sequence")
     score = lambda df: df.withColumn("objective", properties.gravy(F.col("sequence")))
-    return search.evolve(start, score, 2, _folder(spark))
+    return search.evolve(_parents_of(spark, sf_dir), score, [search.Phase("upper_confidence_bound", 1), search.Phase("expected_improvement", 1)], _folder(spark), n_initial=60, pool=300, parents=search.Parents("exponential", beta=4.0), n_components=4, tune_every=2, n_trials=6)
+
+
+@spec("l05b_evolve_objectives")
+def l05b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two objectives, hydropathy up and mass down."""
+
+    def score(df: DataFrame) -> DataFrame:
+        both = df.select("sequence", properties.gravy(F.col("sequence")).alias("gravy"), properties.molecular_weight(F.col("sequence")).alias("mass"))
+        return both.unpivot("sequence", ["gravy", "mass"], "obj", "value")
+
+    return search.evolve(_parents_of(spark, sf_dir), score, [search.Phase("parego_chebyshev_ucb", 2)], _folder(spark), n_initial=60, pool=300, parents=search.Parents(top=20), directions={"gravy": "max", "mass": "min"})
+
+
+def _parents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty random ones of all tiles that a search may begin with."""
+    return select.random_rows(fixture(spark, sf_dir, "peptides").where("length(sequence) between 5 and 40").select("sequence").distinct(), 50, key="sequence")
+
+
+@spec("l06_site_scorer", "select r.seq_id, round(cast(count(s.res_idx)+0.001*coalesce(sum(s.res_idx),0) as double),6) objective from (select distinct structure_id seq_id from {atoms}) r left join (select structure_id, res_idx from {site} where structure_id % 2 = 0 union all select structure_id, unnest([1,7,9]) from (select distinct structure_id from {atoms} where structure_id % 2 = 1)) s on s.structure_id=r.seq_id group by 1")
+def l06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom score of each row's own site; structures of odd number have none and take the default."""
+    sites = fixture(spark, sf_dir, "site").where("structure_id % 2 = 0").withColumnRenamed("structure_id", "seq_id")
+    score = lambda df: df.select("seq_id", (F.size("site") + 0.001 * F.aggregate("site", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("objective"))
+    rows = fixture(spark, sf_dir, "atoms").select(F.col("structure_id").alias("seq_id")).distinct()
+    return rounded(search.site_scorer(score, sites, default=[9, 1, 7])(rows), "objective")
 
 
 @spec("l09_replay_scorer", "select p.seq_id, round(iptm,6) iptm from {predictions} p join {scores} s on p.seq_id=s.seq_id where in_binding_site")

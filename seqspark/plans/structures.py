@@ -314,7 +314,25 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @spec("m12_cross_validation")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate.cross_validate(_training(spark, sf_dir), [{"width": 0, "ridge": 0.1}, {"width": 0, "ridge": 10.0}], folds=3)
+    return surrogate.cross_validate(_training(spark, sf_dir), [{"width": w, "ridge": r} for w in (0, 16) for r in (0.1, 10.0)], folds=3)
+
+
+@spec(
+    "m13_trials",
+    "select trial, width, round(ridge,6) ridge, origin from (select trial, width, ridge, 'again' origin from (select seq_id trial, 16*(seq_id%3) width, round(std,6) ridge, round(mean,6) nll from {predictions} where std is not null order by nll, trial limit 5)"
+    " union all select seq_id, ([0,16,32])[cast(1+floor({U:seq_id,'width'}*3) as int)], power(10.0,-3+5*{U:seq_id,'ridge'}), 'fresh' from {vectors})",
+)
+def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    earlier = fixture(spark, sf_dir, "predictions").where("std is not null").select(F.col("seq_id").alias("trial"), (16 * (F.col("seq_id") % 3)).alias("width"), F.round("std", 6).alias("ridge"), F.round("mean", 6).alias("nll"))
+    return rounded(surrogate.trial_table(fixture(spark, sf_dir, "vectors").select(F.col("seq_id").alias("trial")), earlier=earlier), "ridge")
+
+
+@spec("m14_tuned")
+def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trials of a tuning that begins with the best of an earlier one."""
+    rows = _training(spark, sf_dir)
+    _, first = surrogate.tuned(rows, 4)
+    return surrogate.tuned(rows, 4, seed=43, earlier=first)[1]
 
 
 @spec("a10_dispatch", "select seq_id, round(mean,6) acquisition from {predictions}")
