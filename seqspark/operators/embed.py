@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import count_letter
+from seqspark.functions.storage import pinned
 
 
 def property_columns(s: Column, table: dict[str, dict[str, float]]) -> list[Column]:
@@ -72,7 +73,8 @@ class Components:
     def fit(cls, embeddings: DataFrame, n: int | None = None, ratio: float | None = None) -> Components:
         """By number, or as many as explain ``ratio`` of the variance. The covariance is one aggregation of the size of dimensions squared."""
         import numpy as np
-        e = embeddings.select(F.col("embedding").cast("array<double>").alias("e"))
+
+        e = pinned(embeddings.select(F.col("embedding").cast("array<double>").alias("e")))  # three passes read it
         d = e.select(F.max(F.size("e"))).first()[0] or 0
         one = e.select(F.posexplode("e").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.count("*").alias("n")).toPandas().sort_values("i")
         mean, count = one["m"].to_numpy(float), int(one["n"].max()) if d else 0
