@@ -12,10 +12,10 @@ How no link is lost, and no group meets in one task:
   an indexed value), which drops passages that unrelated documents share before they form long lists. With ``sketch=None``
   the whole sets stand for the sketches, and no link can be lost.
 * A list with over BLOCK members is cut into blocks and every pair of blocks is one group; a group emits a spanning
-  forest of its passing pairs, not the pairs. Of more than PAIRED blocks each alone is one group at first. What this leaves
-  apart within a list is compared again: all members with those outside the list's largest component, so a large group of
-  copies costs no pairs of blocks.
-* A rough component with over BLOCK members, or with large sets, is cut in the same way for the exact check, which
+  forest of its passing pairs, not the pairs. Of more than PAIRED blocks, which are random samples of the list, the first is the hub: each other
+  block is one group with it. What this leaves apart within a list is compared again: all members with those outside the list's largest
+  component. In a large group of copies nearly all are linked with the hub, so rows are dealt in proportion to its members.
+* A rough component with over BLOCK members, or with large sets, is cut in the same way (hub and outsiders too) for the exact check, which
   computes all intersections of a group as one matrix product and again emits a spanning forest.
 """
 
@@ -226,7 +226,8 @@ def _linked(members: DataFrame, places: DataFrame, data: DataFrame, check: Calla
     pair = lambda a, b: F.struct(a.alias("own"), b.alias("other"))
     blocks = F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)
     all_pairs = F.transform(blocks, lambda b: pair(F.least(F.col("own"), b), F.greatest(F.col("own"), b)))
-    first = F.when(F.col("n_blocks") <= PAIRED, all_pairs).otherwise(F.array(pair(F.col("own"), F.col("own"))))
+    hub = F.when(F.col("own") == 0, F.transform(F.slice(blocks, F.lit(2), F.greatest(F.lit(1), F.col("n_blocks").cast("int") - 1)), lambda b: pair(F.lit(0), b))).otherwise(F.array(pair(F.lit(0), F.col("own"))))
+    first = F.when(F.col("n_blocks") <= PAIRED, all_pairs).otherwise(hub)
     dealt = members.select("key", own, "n_blocks", F.col("cls").alias("label"), "n_shingles", "data").select("key", F.explode(first).alias("at"), "label", "n_shingles", "data")
     within = components(groups(dealt.select("key", "at.own", "at.other", "label", "n_shingles", "data")), f"{path}/within")
     if places.isEmpty():

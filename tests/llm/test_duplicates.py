@@ -118,3 +118,48 @@ def test_archives(spark):
     raised = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), least_bytes=50)
     assert raised.where("record_type = 'revisit'").count() == 0
     assert warc.read_records(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def _counted(check, path):
+    """``check`` that notes the rows it is given in files of ``path``."""
+
+    def run(batches):
+        import uuid
+
+        n = 0
+
+        def seen():
+            nonlocal n
+            for b in batches:
+                n += b.num_rows
+                yield b
+
+        yield from check(seen())
+        with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(n))
+
+    return run
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "PAIRED", 1)
+    rng, dealt = random.Random(2), {}
+    base = [f"w{i}" for i in range(300)]
+    exact, rough = near_dup._exact, near_dup._rough
+    for n in (160, 320, 640):
+        rows = []
+        for k in range(n):
+            words = list(base)
+            words[rng.randrange(300)] = f"x{k}"
+            rows.append((k, " ".join(words)))
+        for name, make in (("exact", exact), ("rough", rough)):
+            folder = tmp_path / f"{name}-{n}"
+            folder.mkdir()
+            monkeypatch.setattr(near_dup, f"_{name}", lambda *a, make=make, folder=str(folder): _counted(make(*a), folder))
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80).collect()
+        assert {r.component_id for r in got} == {0}
+        dealt[n] = [sum(int(f.read_text()) for f in (tmp_path / f"{name}-{n}").iterdir()) for name in ("exact", "rough")]
+    for i in (0, 1):
+        assert dealt[320][i] < 2.6 * dealt[160][i] and dealt[640][i] < 2.6 * dealt[320][i], dealt
+    assert dealt[640][0] < 4 * 640, dealt
