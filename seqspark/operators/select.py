@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqspark.functions.exprs import distance, uniform
 from seqspark.functions.storage import pinned
@@ -135,28 +139,68 @@ def spread_picks(embeddings: DataFrame, n: int, seed: int = 42, key: str = "seq_
     return embeddings.where(F.col(key).isin(picked)).select(order[F.col(key)].alias("rank"), key) if picked else embeddings.select(F.lit(0).alias("rank"), key).limit(0)
 
 
-def greedy_batch(candidates: DataFrame, n: int, key: str = "seq_id", value: str = "acquisition") -> DataFrame:
+def _nearer(rows: DataFrame, key: str, picks: list[tuple]) -> DataFrame:
+    """Rows with ``near``, the distance to the nearest of all picks so far, and ``gain``, their value times that; the new ``picks`` (key, embedding) are taken out."""
+    taken, points = {k for k, _ in picks}, np.array([e for _, e in picks], float)
+    names = [key, "value", "embedding", "near", "gain"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = b.column(3).to_numpy(zero_copy_only=False)
+            x = np.asarray(b.column(2).flatten(), float).reshape(len(near), -1)
+            for p in points:
+                near = np.minimum(near, _distances(x, p))
+            left = pa.array([k not in taken for k in b.column(0).to_pylist()], pa.bool_())
+            value = b.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(near), pa.array(value * near)], names=names).filter(left)
+
+    return rows.select(*names).mapInArrow(run, rows.select(*names).schema)
+
+
+def _distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    d = x - point
+    return np.sqrt((d * d).sum(1))
+
+
+def greedy_batch(candidates: DataFrame, n: int, key: str = "seq_id", value: str = "acquisition", pool: int = 4096) -> DataFrame:
     """n rows: the best value first, then again and again the largest value times distance to the nearest pick. Ties by key.
 
-    (key, value, embedding) in; rank and key out. Each pick is one aggregation; only the picks come to the driver.
+    (key, value, embedding) in; rank and key out. Rows whose value is null or NaN are no candidates.
+
+    Once there is a pick, gains of nonnegative values only fall, so a gain that isn't up to date is an upper bound. A round brings the ``pool`` rows of the
+    largest gains to the driver, which picks among them, up to date, as long as the best of them is above all that stayed behind; then one pass
+    brings all rows up to date. So rounds are far fewer than picks. Rows of negative value come when no others are left, one a pass, as their gains rise.
     """
-    rows = candidates.select(key, value, F.col("embedding").cast("array<double>").alias("embedding")).withColumn("near", F.lit(1.0))
+    v = F.col(value).cast("double")
+    rows = candidates.where(v.isNotNull() & ~F.isnan(v)).select(key, v.alias("value"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = pinned(rows.withColumn("near", F.lit(float("inf"))).withColumn("gain", F.lit(0.0)))
+    best = rows.orderBy(F.desc("value"), key).select(key, "embedding").first() if n > 0 else None
     picked: list = []
-    for i in range(n):
-        gain = F.col(value) * F.col("near")
-        left = rows.where(~F.col(key).isin(picked)) if picked else rows
-        best = left.orderBy(F.desc(gain), key).select(key, "embedding").first()
-        if best is None:
+    fresh = [] if best is None else [(best[key], best["embedding"])]
+    while fresh:
+        picked += [k for k, _ in fresh]
+        if len(picked) >= n:
             break
-        picked.append(best[key])
-        d = distance(F.col("embedding"), F.array(*map(F.lit, best["embedding"])))
-        rows = rows.withColumn("near", d if i == 0 else F.least("near", d))
-        if i % 10 == 9:
-            rows = pinned(rows)
-    if not picked:
-        return candidates.select(F.lit(0).alias("rank"), key).limit(0)
-    order = F.create_map(*(F.lit(x) for i, p in enumerate(picked) for x in (p, i + 1)))
-    return candidates.where(F.col(key).isin(picked)).select(order[F.col(key)].alias("rank"), key)
+        rows = pinned(_nearer(rows, key, fresh))
+        upper, fresh = rows.where("value >= 0"), []
+        near_top = first_rows(upper, pool, ("gain", False), (key, True)).select(key, "value", "embedding", "near").collect()  # at most ``pool`` rows
+        if not near_top:
+            last = rows.orderBy(F.desc("gain"), key).select(key, "embedding").first()
+            fresh = [] if last is None else [(last[key], last["embedding"])]
+            continue
+        near_top.sort(key=lambda r: r[key])
+        x, values, near = np.array([r["embedding"] for r in near_top], float), np.array([r["value"] for r in near_top]), np.array([r["near"] for r in near_top])
+        behind, free = (values * near).min() if len(near_top) == pool else -1.0, np.ones(len(near_top), bool)
+        while len(picked) + len(fresh) < n:
+            gain = np.where(free, values * near, -1.0)
+            i = int(gain.argmax())  # the first of the largest, and so that of the least key
+            if gain[i] < 0 or (fresh and gain[i] <= behind):
+                break
+            fresh.append((near_top[i][key], near_top[i]["embedding"]))
+            near = np.minimum(near, _distances(x, x[i]))
+            free[i] = False
+    schema = T.StructType([T.StructField("rank", T.IntegerType(), False), T.StructField(key, candidates.schema[key].dataType)])
+    return candidates.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(picked)], schema)
 
 
 def newly_logged(objectives: DataFrame, logged: DataFrame, key: str = "seq_id") -> DataFrame:

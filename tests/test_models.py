@@ -128,3 +128,49 @@ def test_parents_of_a_share(spark):
     assert {r.seq_id for r in select.parents(rows, 7, 0.2).collect()} <= {r.seq_id for r in rows.where("objective >= 80").collect()}
     flags = surrogate.split(rows.select("seq_id"), 0.25).groupBy("validation").count()
     assert dict(flags.collect()) == {True: 250, False: 750}
+
+
+def plain_greedy(keys, values, x, n):
+    picked, near = [max(range(len(keys)), key=lambda i: (values[i], -keys[i]))], np.full(len(keys), np.inf)
+    while len(picked) < min(n, len(keys)):
+        d = x - x[picked[-1]]
+        near = np.minimum(near, np.sqrt((d * d).sum(1)))
+        gain = values * near
+        gain[picked] = -np.inf
+        best = gain.max()
+        picked.append(min((i for i in np.flatnonzero(gain == best)), key=lambda i: keys[i]))
+    return [keys[i] for i in picked]
+
+
+@pytest.mark.parametrize("pool", [3, 50, 4096])
+def test_lazy_picks_are_the_plain_ones(spark, pool):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 1, (400, 3)), 1)  # many ties and equal rows
+    values = np.round(rng.normal(0.6, 0.5, 400), 1)
+    keys = rng.permutation(400).tolist()
+    df = spark.createDataFrame([(k, float(v), [float(e) for e in p]) for k, v, p in zip(keys, values, x, strict=True)] + [(900, None, [0.0] * 3), (901, float("nan"), [0.0] * 3)], "seq_id long, acquisition double, embedding array<double>")
+    n = 40 if pool == 3 else 120
+    got = [r.seq_id for r in select.greedy_batch(df, n, pool=pool).orderBy("rank").collect()]
+    assert got == plain_greedy(keys, values, x, n)
+    assert select.greedy_batch(df.limit(0), 3).count() == 0
+
+
+def test_picks_below_zero_and_to_the_end(spark):
+    x = [[float(i * i % 7), float(i % 3)] for i in range(12)]
+    values = [-1.0, 0.0, 0.5, -0.2, 0.5, 0.0, -3.0, 0.1, 0.2, -0.2, 0.0, 0.3]
+    df = spark.createDataFrame([(i, v, e) for i, (v, e) in enumerate(zip(values, x, strict=True))], "seq_id int, acquisition double, embedding array<double>")
+    got = [r.seq_id for r in select.greedy_batch(df, 20).orderBy("rank").collect()]
+    nonnegative = [i for i, v in enumerate(values) if v >= 0]
+    assert sorted(got) == list(range(12)) and sorted(got[: len(nonnegative)]) == nonnegative
+
+
+def test_many_picks_take_few_jobs(spark):
+    e = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: surrogate.uniform(7, "seq_id", i))
+    df = spark.range(6000).select(F.col("id").alias("seq_id"), (0.5 + surrogate.uniform(8, "id")).alias("acquisition")).withColumn("embedding", e).cache()
+    table = df.toPandas()
+    spark.sparkContext.setJobGroup("greedy", "")
+    got = [r.seq_id for r in select.greedy_batch(df, 300).orderBy("rank").collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("greedy"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == plain_greedy(table["seq_id"].tolist(), table["acquisition"].to_numpy(), np.stack(table["embedding"]), 300)
+    assert jobs < 75
