@@ -44,6 +44,6 @@ def chain_pair_bounds(scores: DataFrame) -> DataFrame:
 
 
 def monomer_confidence(structures: DataFrame) -> DataFrame:
-    """structure_id, mean_plddt, mean_pae of array columns plddt and pae (array of arrays); null where empty."""
+    """structure_id, mean_plddt, ptm, mean_pae of array columns plddt and pae (array of arrays) and a number ptm; null where empty."""
     mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a).cast("double"))
-    return structures.select("structure_id", mean(F.col("plddt")).alias("mean_plddt"), mean(F.flatten("pae")).alias("mean_pae"))
+    return structures.select("structure_id", mean(F.col("plddt")).alias("mean_plddt"), "ptm", mean(F.flatten("pae")).alias("mean_pae"))

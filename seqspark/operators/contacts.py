@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.functions.storage import pinned
+
 
 def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size)
@@ -65,12 +69,29 @@ def centroid_proximity(atoms: DataFrame, site: DataFrame, cutoff: float = 10.0,
     return a.join(b, "structure_id").select("structure_id", d.alias("centroid_distance"), (d <= cutoff).alias("near"))
 
 
+def nearest_distances(points: DataFrame, others: DataFrame, first: float = 4.0) -> DataFrame:
+    """(structure_id, res_idx, d): the distance of each residue of ``points`` (structure_id, res_idx, x, y, z) to the nearest of ``others`` (structure_id, x, y, z) of its structure, however far.
+
+    Rings of cells grow: residues that have one within ``first`` are done, the rest look within twice that, and so on, so pairs are only formed with what is about as near as the
+    nearest. Residues of structures without others have no row; points that aren't finite are left out.
+    """
+    finite = reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in "xyz"))
+    others = pinned(others.where(finite).select("structure_id", "x", "y", "z"))
+    left = points.where(finite).select("structure_id", "res_idx", "x", "y", "z").join(others.select("structure_id").distinct(), "structure_id", "left_semi")
+    found, radius = None, first
+    while True:
+        near = near_pairs(left, others, radius).groupBy(F.col("l_structure_id").alias("structure_id"), F.col("l_res_idx").alias("res_idx")).agg(F.min("d").alias("d"))
+        near = pinned(near)
+        found = near if found is None else found.unionByName(near)
+        left, radius = pinned(left.join(near, ["structure_id", "res_idx"], "left_anti")), 2 * radius
+        if left.isEmpty():
+            return found
+
+
 def smooth_site_score(atoms: DataFrame, site: DataFrame, threshold: float = 5.0, alpha: float = 1.0, receptor: str = "A", sequence: str = "B") -> DataFrame:
-    """(structure_id, smooth_score): mean over site residues of a logistic of the distance to the nearest sequence atom. Site residues meet their own structure's chain only."""
-    a = atoms.where(F.col("chain") == receptor).join(site, ["structure_id", "res_idx"], "left_semi").select("structure_id", "res_idx", "x", "y", "z")
-    b = atoms.where(F.col("chain") == sequence).select("structure_id", *(F.col(c).alias(f"b{c}") for c in "xyz"))
-    d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 + (F.col("z") - F.col("bz")) ** 2)
-    nearest = a.join(b, "structure_id").groupBy("structure_id", "res_idx").agg(F.min(d).alias("d"))
+    """(structure_id, smooth_score): mean over site residues of a logistic of the distance to the nearest sequence atom, found by growing rings of cells."""
+    a = atoms.where(F.col("chain") == receptor).join(site, ["structure_id", "res_idx"], "left_semi")
+    nearest = nearest_distances(a, atoms.where(F.col("chain") == sequence), threshold)
     return nearest.groupBy("structure_id").agg(F.avg(1 / (1 + F.exp(alpha * (F.col("d") - threshold)))).alias("smooth_score"))
 
 

@@ -89,8 +89,10 @@ def batch_scores(scorers: dict, requested: list[str], key: str = "structure_id")
 
 
 def models_in_site(flags: DataFrame) -> DataFrame:
-    """(structure_id, share, top, n_models) of (structure_id, model, in_site): share of models in the site, and whether model 1 is."""
-    return flags.groupBy("structure_id").agg(F.avg(F.col("in_site").cast("double")).alias("share"), F.max(F.when(F.col("model") == 1, F.col("in_site"))).alias("top"), F.count("*").alias("n_models"))
+    """(structure_id, share, top, top_contacts, n_models) of (structure_id, model, in_site, n_in_site): share of models in the site, whether model 1 is, and its contacts if it is (else 0)."""
+    first = F.col("model") == 1
+    contacts = F.coalesce(F.max(F.when(first & F.col("in_site"), F.col("n_in_site"))), F.lit(0)).alias("top_contacts")
+    return flags.groupBy("structure_id").agg(F.avg(F.col("in_site").cast("double")).alias("share"), F.max(F.when(first, F.col("in_site"))).alias("top"), contacts, F.count("*").alias("n_models"))
 
 
 def assembled(families: list[DataFrame], key: str = "seq_id") -> DataFrame:

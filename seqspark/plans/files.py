@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import properties
-from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, overlap, select, store, structure, surrogate
+from seqspark.functions.exprs import uniform
+from seqspark.operators import acquire, batch, embed, filters, generate, overlap, select, store, structure, surrogate
 from seqspark.plans import search
 from seqspark.plans.core import OBJECTIVES, PEPTIDES, PROPERTIES, _objectives, _peptides, rounded
 from seqspark.plans.fixtures import fixture
@@ -293,9 +294,10 @@ def j21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlap.with_templates(fixture(spark, sf_dir, "scores").select("seq_id", "iptm"), templates), "iptm", "template")
 
 
-@spec("j22_same_sequences", "select sequence, count(distinct iteration) methods from {score_log} group by 1 having count(distinct iteration) < (select count(distinct iteration) from {score_log})")
+@spec("j22_same_sequences", "select sequence, count(distinct protein_id%3) methods from {peptides} group by 1 having count(distinct protein_id%3) < (select count(distinct protein_id%3) from {peptides})")
 def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.same_sequences(fixture(spark, sf_dir, "score_log").select("sequence", F.col("iteration").alias("method")))
+    """Tiles of documents by three methods: some are found by all, many not."""
+    return overlap.same_sequences(fixture(spark, sf_dir, "peptides").select("sequence", (F.col("protein_id") % 3).alias("method")))
 
 
 @spec("t11_energy_columns", "select p.seq_id, round(mean,6) mean, round(rosetta_score,6) rosetta_score, round(interface_dg,6) interface_dg from {predictions} p left join {scores} s on s.seq_id=p.seq_id")
@@ -366,17 +368,42 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Batches of scores, and generation.
-@spec("l01_batch_scores", f"select d.structure_id, distance_score, n_receptor, sequence_plddt, sequence_error from ({STRUCTURES['j01_distance_score'][1]}) d full outer join ({STRUCTURES['j09_sequence_plddt'][1]}) p on p.structure_id=d.structure_id full outer join ({STRUCTURES['j10_sequence_pae'][1]}) e on e.structure_id=d.structure_id")
+_CA = "(select structure_id, chain, res_idx, round(x,3) x, round(y,3) y, round(z,3) z from {atoms})"
+_DISTANCE = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
+_NEAR = f"(select a.structure_id, a.res_idx a, b.res_idx b, {_DISTANCE} d from {_CA} a join {_CA} b on a.structure_id=b.structure_id where a.chain='A' and b.chain='B' and {_DISTANCE} <= 6.0)"
+_B_ROWS = "(select r.structure_id, r.res_idx, p.plddt, m.pae from {residues} r join {plddt} p on p.structure_id=r.structure_id and p.token_idx=r.token_idx join (select structure_id, i, avg(pae) pae from {pae} group by 1, 2) m on m.structure_id=r.structure_id and m.i=r.token_idx where r.chain='B')"
+
+
+@spec(
+    "l01_batch_scores",
+    f"""select s.structure_id::varchar structure_id, round(distance_score,6) distance_score, coalesce(n_contacts,0) n_contacts, coalesce(n_in_site,0) n_in_site, coalesce(n_in_site,0) >= 3 in_binding_site, round({{U:s.structure_id,'iptm'}},6) iptm,
+        round(sequence_plddt,6) sequence_plddt, round(sequence_pae,6) sequence_pae, round(weighted_plddt,6) weighted_plddt, length, round(gravy,6) gravy
+        from (select distinct structure_id from {{atoms}}) s
+        left join (select structure_id, avg(d) distance_score from (select structure_id, a, min(d) d from {_NEAR} group by 1, 2) group by 1) d on d.structure_id=s.structure_id
+        left join (select c.structure_id, count(*) n_contacts, count(i.res_idx) n_in_site from (select distinct structure_id, a from {_NEAR} where d <= 4.0) c left join {{site}} i on i.structure_id=c.structure_id and i.res_idx=c.a group by 1) c on c.structure_id=s.structure_id
+        left join (select structure_id, avg(plddt) sequence_plddt, avg(pae) sequence_pae from {_B_ROWS} group by 1) p on p.structure_id=s.structure_id
+        left join (select t.structure_id, avg(case when h.b is not null then plddt else 0 end) weighted_plddt from {_B_ROWS} t left join (select distinct structure_id, b from {_NEAR} where d <= 4.0) h on h.structure_id=t.structure_id and h.b=t.res_idx group by 1) w on w.structure_id=s.structure_id
+        left join (select structure_id, length(sequence) length, {PROPERTIES['p06_gravy'][2]} gravy from (select structure_id, string_agg({_LETTER}, '' order by res_idx) as sequence from {{residues}} where chain='B' group by 1)) q on q.structure_id=s.structure_id""",
+)
 def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: fixture(spark, sf_dir, n)
-    scorers = {"distance": lambda: contacts.distance_score(t("atoms"), cutoff=6.0), "plddt": lambda: confidence.chain_plddt(t("plddt"), t("residues"), "b"), "pae": lambda: confidence.chain_error(t("pae"), t("residues"))}
-    return rounded(overlap.batch_scores(scorers, ["distance", "plddt", "pae"]), "distance_score", "sequence_plddt", "sequence_error")
+    """Structures and metrics are written as a folder for each complex, read again, and scored in one plan."""
+    base = _folder(spark)
+    sinks.write_pdb(_atoms(spark, sf_dir).where("atom_name = 'CA'"), f"{base}/pdb")
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("token_idx", "plddt"))), lambda x: x["plddt"])
+    rows = fixture(spark, sf_dir, "pae").groupBy("structure_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "pae"))), lambda x: x["pae"]).alias("row"))
+    matrix = rows.groupBy("structure_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("pae_matrix"))
+    metrics = fixture(spark, sf_dir, "plddt").groupBy("structure_id").agg(vector.alias("plddt_vector")).join(matrix, "structure_id")
+    metrics.withColumn("iptm", uniform(42, "structure_id", F.lit("iptm"))).write.partitionBy("structure_id").json(f"{base}/metrics")
+    site = fixture(spark, sf_dir, "site").withColumn("structure_id", F.col("structure_id").cast("string"))
+    wanted = ["distance_score", "n_contacts", "n_in_site", "in_binding_site", "iptm", "sequence_plddt", "sequence_pae", "weighted_plddt", "length", "gravy"]
+    scored = batch.complex_scores(readers.pdb(spark, f"{base}/pdb"), readers.metrics_json(spark, f"{base}/metrics", multi_line=False), wanted, site, reach=6.0, touch=4.0, required=3)
+    return rounded(scored.withColumn("length", F.col("length").cast("long")), "distance_score", "iptm", "sequence_plddt", "sequence_pae", "weighted_plddt", "gravy")
 
 
 _CHAIN_A = f"(select structure_id, string_agg({_LETTER}, '' order by res_idx) as sequence from {{residues}} where chain='A' group by 1)"
 
 
-@spec("l02_monomer_scores", f"select s.structure_id, {PROPERTIES['p01_length'][2]} length, {PROPERTIES['p06_gravy'][2]} gravy, mean_plddt, mean_pae from {_CHAIN_A} s full outer join ({STRUCTURES['g01_monomer_confidence'][1]}) g on g.structure_id=s.structure_id")
+@spec("l02_monomer_scores", f"select s.structure_id, {PROPERTIES['p01_length'][2]} length, {PROPERTIES['p06_gravy'][2]} gravy, mean_plddt, ptm, mean_pae from {_CHAIN_A} s full outer join ({STRUCTURES['g01_monomer_confidence'][1]}) g on g.structure_id=s.structure_id")
 def l02(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = fixture(spark, sf_dir, "residues").where("chain = 'A'").groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("res_idx", F.expr(_LETTER).alias("aa")))).alias("r"))
     chains = letters.select("structure_id", F.array_join(F.transform("r", lambda x: x["aa"]), "").alias("sequence"))

@@ -41,12 +41,12 @@ _MODELS = "(select structure_id*10+m as id, structure_id, m as model, chain, res
 _NEAR = f"(select distinct a.id, a.structure_id, a.model, a.res_idx from {_MODELS} a join {_MODELS} b on a.id=b.id where a.chain='A' and b.chain='B' and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 6.0)"
 
 
-@spec("j05_models_in_site", f"select structure_id, round(avg(flag::int),6) share, max(case when model=1 then flag::int end) = 1 top, count(*) n_models from (select m.structure_id, m.model, coalesce(n,0) >= 12 flag from (select distinct structure_id, model from {_MODELS}) m left join (select c.structure_id, c.model, count(*) n from {_NEAR} c join {{site}} s on s.structure_id=c.structure_id and s.res_idx=c.res_idx group by 1,2) h on h.structure_id=m.structure_id and h.model=m.model) group by 1")
+@spec("j05_models_in_site", f"select structure_id, round(avg(flag::int),6) share, max(case when model=1 then flag::int end) = 1 top, coalesce(max(case when model=1 and flag then n end),0) top_contacts, count(*) n_models from (select m.structure_id, m.model, coalesce(n,0) n, coalesce(n,0) >= 12 flag from (select distinct structure_id, model from {_MODELS}) m left join (select c.structure_id, c.model, count(*) n from {_NEAR} c join {{site}} s on s.structure_id=c.structure_id and s.res_idx=c.res_idx group by 1,2) h on h.structure_id=m.structure_id and h.model=m.model) group by 1")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = _models(spark, sf_dir).withColumn("id", F.col("structure_id") * 10 + F.col("model"))
     site = fixture(spark, sf_dir, "site").select(F.explode(F.array(*(F.col("structure_id") * 10 + m for m in (1, 2, 3)))).alias("structure_id"), "res_idx")
     flags = contacts.in_site(models.drop("structure_id").withColumnRenamed("id", "structure_id"), site, 12, cutoff=6.0)
-    flags = flags.select(F.floor(F.col("structure_id") / 10).alias("structure_id"), (F.col("structure_id") % 10).alias("model"), "in_site")
+    flags = flags.select(F.floor(F.col("structure_id") / 10).alias("structure_id"), (F.col("structure_id") % 10).alias("model"), "in_site", "n_in_site")
     return rounded(overlap.models_in_site(flags), "share")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqspark.functions.exprs import uniform
 from seqspark.operators import acquire, confidence, contacts, embed, filters, generate, metrics, secondary, select, surrogate
 from seqspark.plans.core import rounded
 from seqspark.plans.fixtures import fixture
@@ -91,11 +92,12 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(confidence.chain_pair_bounds(scores), "largest", "least")
 
 
-@spec("g01_monomer_confidence", "select p.structure_id, round(mp,6) mean_plddt, round(me,6) mean_pae from (select structure_id, avg(plddt) mp from {plddt} group by 1) p join (select structure_id, avg(pae) me from {pae} group by 1) e on p.structure_id=e.structure_id")
+@spec("g01_monomer_confidence", "select p.structure_id, round(mp,6) mean_plddt, round({U:p.structure_id,'ptm'},6) ptm, round(me,6) mean_pae from (select structure_id, avg(plddt) mp from {plddt} group by 1) p join (select structure_id, avg(pae) me from {pae} group by 1) e on p.structure_id=e.structure_id")
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = fixture(spark, sf_dir, "plddt").groupBy("structure_id").agg(F.collect_list("plddt").alias("plddt"))
     rows = fixture(spark, sf_dir, "pae").groupBy("structure_id", "i").agg(F.collect_list("pae").alias("row")).groupBy("structure_id").agg(F.collect_list("row").alias("pae"))
-    return rounded(confidence.monomer_confidence(vectors.join(rows, "structure_id")), "mean_plddt", "mean_pae")
+    whole = vectors.join(rows, "structure_id").withColumn("ptm", uniform(42, "structure_id", F.lit("ptm")))
+    return rounded(confidence.monomer_confidence(whole), "mean_plddt", "ptm", "mean_pae")
 
 
 @spec("f04_structure_subset", "select structure_id, chain, res_idx, round(x,6) x from {atoms} where chain in ('A') and res_idx between 3 and 20")

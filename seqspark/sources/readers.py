@@ -83,11 +83,12 @@ def main_chain(sequences: DataFrame) -> DataFrame:
 
 
 def metrics_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """sequence, iptm, ptm, plddt and pae of metric files, under any of their names."""
+    """sequence, iptm, ptm, plddt and pae of metric files, under any of their names; with structure_id where files lie in folders ``structure_id=...``."""
     schema = "sequence string, peptide_sequence string, sequences string, iptm double, ptm double, plddt array<double>, plddt_vector array<double>, pae array<array<double>>, pae_matrix array<array<double>>"
     df = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     pick = lambda *names: F.coalesce(*names)
-    return df.select(pick("sequence", "peptide_sequence", "sequences").alias("sequence"), "iptm", "ptm", pick("plddt", "plddt_vector").alias("plddt"), pick("pae", "pae_matrix").alias("pae"))
+    own = [F.col("structure_id").cast("string").alias("structure_id")] if "structure_id" in df.columns else []
+    return df.select(*own, pick("sequence", "peptide_sequence", "sequences").alias("sequence"), "iptm", "ptm", pick("plddt", "plddt_vector").alias("plddt"), pick("pae", "pae_matrix").alias("pae"))
 
 
 def design_fasta(spark: SparkSession, path: str) -> DataFrame:

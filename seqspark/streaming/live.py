@@ -24,18 +24,41 @@ def throughput(rows: DataFrame, size: str = "1 hour", slide: str | None = None)
     return rows.groupBy(window.alias("w")).agg(F.count("*").alias("n"), F.avg("objective").alias("mean_objective")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean_objective")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose state was written whole."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = jvm.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def _forget(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for n in numbers:
+        p = jvm.Path(f"{path}/{n}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def live_leaderboard(rows: DataFrame, state_path: str, n: int, checkpoint: str):
-    """Runs once over what is there: each batch is merged into a table of the best rows, a new version for each batch."""
+    """Runs once over what is there and returns the best n sequences so far.
+
+    The state is n rows at most: a sequence's best only rises, so one that fell out of them can come back by a row of its own alone. Batch k merges its
+    rows into the last state before k and writes state k, so a batch that is run again gives the same, and a start without new rows returns the last state. The
+    state before the last is kept for that; older ones are deleted.
+    """
     spark = rows.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("sequence").agg(F.max("objective").alias("objective"))
-        if number:
-            old = spark.read.parquet(f"{state_path}/{number - 1}")
-            new = old.unionByName(new).groupBy("sequence").agg(F.max("objective").alias("objective"))
-        new.write.mode("overwrite").parquet(f"{state_path}/{number}")
-
-    query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = max(0, int(query.lastProgress["batchId"]) if query.lastProgress else 0)
-    return leaderboard(spark.read.parquet(f"{state_path}/{last}"), n)
+        new = batch.where("objective is not null").select("sequence", "objective")
+        before = [v for v in _versions(spark, state_path) if v < number]
+        if before:
+            new = new.unionByName(spark.read.parquet(f"{state_path}/{before[-1]}"))
+        best = new.groupBy("sequence").agg(F.max("objective").alias("objective"))
+        best.orderBy(F.desc("objective"), "sequence").limit(n).write.mode("overwrite").parquet(f"{state_path}/{number}")
+        _forget(spark, state_path, before[:-1])
+
+    rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    known = _versions(spark, state_path)
+    state = spark.read.parquet(f"{state_path}/{known[-1]}") if known else spark.createDataFrame([], rows.select("sequence", "objective").schema)
+    return leaderboard(state, n)
