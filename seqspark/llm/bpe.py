@@ -283,7 +283,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``path`` is a rank file on every worker. Ids equal those of the tiktoken library: each match of ``pattern`` is encoded by
     itself, as one token where it is one, else by merging its leftmost pair of least rank again and again. An empty text has
-    no ids. Ids and other columns may be null or repeated; each row gives one row.
+    no ids. Ids and other columns may be null or repeated; each row gives one row, and an empty table gives an empty one. Texts of any length are taken whole: a
+    long match is linked in one flat row, with work that grows with its merges.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -241,7 +241,9 @@ def identify(docs: DataFrame, model: LanguageModel, close: float = 0.2, keys: Co
 
     score is the soft nearness of the chosen codeword times what its loss a bit leaves of log 2, 0 to 1; a lead in nearness below ``close``
     over the next codeword is ambiguous. Null texts and
-    those without a letter are ``und`` with score 0, and ambiguous. ``keys`` replaces doc_id in the result.
+    those without a letter are ``und`` with score 0, and ambiguous. ``keys`` replaces doc_id in the result. Of codewords equally near the language that
+    comes first by name is chosen. Each row gives one row, repeated rows and null ids too; an empty table gives an empty one; further columns are
+    ignored, whatever they are called. Texts of any length are taken whole, in pieces whose features add up.
     """
     small_batches(docs.sparkSession)
     key = F.col("doc_id").cast("long") if keys is None else keys

@@ -126,6 +126,7 @@ def read_records(selected: DataFrame) -> DataFrame:
 
     Ranges of a file are sorted by offset; those with gaps up to GAP_BYTES are read at once, up to about RUN_BYTES. A revisit's
     payload is null; its length is that in its HTTP header and its digest that of the record. A response whose payload doesn't have the recorded digest is an error.
+    An empty selection gives no records; an index row that is selected more than once gives one record; further columns are ignored.
     """
     by_file = Window.partitionBy("uri").orderBy("offset")
     ranges = selected.select("uri", "offset", "length").distinct()
