@@ -50,26 +50,45 @@ def _by_letter(values: dict[str, float], letter: Column) -> Column:
     return F.coalesce(F.get(table, F.ascii(letter) - 65), F.lit(0.0))
 
 
-def isoelectric_point(s: Column) -> Column:
-    """pH of net charge zero, by a fixed number of bisections of PH_RANGE. With t = 10^pH every group's share is a division."""
+def _charges(s: Column) -> dict[str, Column]:
+    """Counts of the charged letters, and 10^pK of both ends."""
     of_end = lambda pk, at, usual: F.coalesce(*(F.when(at == a, 10.0**k) for a, k in pk.items()), F.lit(10.0**usual))
-    counts = F.struct(*(count_letter(s, a).cast("double").alias(a) for a in [*PK_POSITIVE, *PK_NEGATIVE]), of_end(PK_N_TERMINI, F.substring(s, 1, 1), PK_N_TERMINUS).alias("first"), of_end(PK_C_TERMINI, F.substring(s, -1, 1), PK_C_TERMINUS).alias("last"))
+    counts = {a: count_letter(s, a).cast("double") for a in [*PK_POSITIVE, *PK_NEGATIVE]}
+    return counts | {"first": of_end(PK_N_TERMINI, F.substring(s, 1, 1), PK_N_TERMINUS), "last": of_end(PK_C_TERMINI, F.substring(s, -1, 1), PK_C_TERMINUS)}
+
+
+def _positive(t: Column, n) -> Column:
+    """Whether the net charge is above zero where t = 10^pH; every group's share is a division. ``n`` gives the charges by name."""
+    plus = n["first"] / (n["first"] + t) + sum((n[a] * (10.0**pk) / (10.0**pk + t) for a, pk in PK_POSITIVE.items()), F.lit(0.0))
+    minus = t / (n["last"] + t) + sum((n[a] * t / (10.0**pk + t) for a, pk in PK_NEGATIVE.items()), F.lit(0.0))
+    return plus > minus
 
-    def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
 
-        def side(t: Column, n: Column) -> Column:
-            plus = n["first"] / (n["first"] + t) + sum((n[a] * (10.0**pk) / (10.0**pk + t) for a, pk in PK_POSITIVE.items()), F.lit(0.0))
-            minus = t / (n["last"] + t) + sum((n[a] * t / (10.0**pk + t) for a, pk in PK_NEGATIVE.items()), F.lit(0.0))
-            return plus > minus
+def isoelectric_point(s: Column) -> Column:
+    """pH of net charge zero, by a fixed number of bisections of PH_RANGE, as one column. For whole tables :func:`with_isoelectric_point` is faster."""
 
-        up = F.transform(F.array(F.pow(F.lit(10.0), mid)), lambda t: side(t, state["n"]))[0]
+    def halve(state: Column, _: Column) -> Column:
+        mid = (state["lo"] + state["hi"]) / 2
+        up = F.transform(F.array(F.pow(F.lit(10.0), mid)), lambda t: _positive(t, state["n"]))[0]
         return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"), state["n"].alias("n"))
 
+    counts = F.struct(*(c.alias(a) for a, c in _charges(s).items()))
     start = F.struct(F.lit(PH_RANGE[0]).alias("lo"), F.lit(PH_RANGE[1]).alias("hi"), counts.alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PH_STEPS)), start, halve, lambda x: (x["lo"] + x["hi"]) / 2)
 
 
+def with_isoelectric_point(df: DataFrame, s: Column, name: str = "isoelectric_point") -> DataFrame:
+    """``df`` with the same number: each bisection is a projection of its own, so all of them are compiled and none is a lambda."""
+    own, charge = df.columns, {a: F.col(f"_q_{a}") for a in [*PK_POSITIVE, *PK_NEGATIVE, "first", "last"]}
+    rows = df.select("*", *(c.alias(f"_q_{a}") for a, c in _charges(s).items()), F.lit(PH_RANGE[0]).alias("_lo"), F.lit(PH_RANGE[1]).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    mid = (lo + hi) / 2
+    for _ in range(PH_STEPS):
+        up = _positive(F.pow(F.lit(10.0), mid), charge)
+        rows = rows.select(*own, *charge.values(), F.when(up, mid).otherwise(lo).alias("_lo"), F.when(up, hi).otherwise(mid).alias("_hi"))
+    return rows.select(*own, mid.alias(name))
+
+
 def hydrophobic_moment(s: Column, degrees: float = 100.0) -> Column:
     """Length of the sum of hydropathies as vectors that turn by ``degrees`` at each residue, over the sum of their sizes; 0 if that is 0."""
 
@@ -103,13 +122,13 @@ def instability_index(sequences: DataFrame, weights: DataFrame, key: str = "sequ
 
 
 def all_properties(s: Column, helix: str = HELIX, turn: str = TURN, sheet: str = SHEET) -> list[Column]:
-    """One wide row, but for the instability index, which needs a table of weights."""
+    """One wide row, but for the isoelectric point, which :func:`with_isoelectric_point` adds, and the instability index, which needs a table of weights."""
     named = {
-        "length": length(s), "molecular_weight": molecular_weight(s), "aromaticity": fraction(s, AROMATIC), "isoelectric_point": isoelectric_point(s), "gravy": gravy(s),
+        "length": length(s), "molecular_weight": molecular_weight(s), "aromaticity": fraction(s, AROMATIC), "gravy": gravy(s),
         "helix_fraction": fraction(s, helix), "turn_fraction": fraction(s, turn), "sheet_fraction": fraction(s, sheet), "hydrophobic_fraction": fraction(s, HYDROPHOBIC), "polar_fraction": fraction(s, POLAR),
         "positive_fraction": fraction(s, POSITIVE), "negative_fraction": fraction(s, NEGATIVE), "net_charge_fraction": net_charge_fraction(s), "hydrophobic_moment": hydrophobic_moment(s),
     }
     return [c.alias(n) for n, c in named.items()]
 
 
-__all__ = ["ALPHABET", "all_properties", "fraction", "gravy", "hydrophobic_moment", "instability_index", "isoelectric_point", "length", "molecular_weight", "net_charge_fraction"]
+__all__ = ["ALPHABET", "all_properties", "fraction", "gravy", "hydrophobic_moment", "instability_index", "isoelectric_point", "length", "molecular_weight", "net_charge_fraction", "with_isoelectric_point"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import exprs, properties
+from seqspark.functions.storage import pinned
 from seqspark.operators import acquire, filters, select
 from seqspark.plans.fixtures import fixture
 
@@ -111,7 +112,7 @@ _BISECT = f"""with recursive b as (select sequence, {properties.PH_RANGE[0]}::do
 
 @spec("p05_isoelectric_point", _BISECT)
 def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _peptides(spark, sf_dir).select("sequence", F.round(properties.isoelectric_point(F.col("sequence")), 5).alias("isoelectric_point"))
+    return properties.with_isoelectric_point(_peptides(spark, sf_dir), F.col("sequence")).withColumn("isoelectric_point", F.round("isoelectric_point", 5))
 
 
 @spec("p15_hydrophobic_moment", MOMENT_SQL)
@@ -124,11 +125,11 @@ _WIDE = ", ".join(f"{sql} {column}" for column, _, sql in PROPERTIES.values())
 
 @spec("p16_all_properties", f"select p.*, isoelectric_point, hydrophobic_moment, instability from (select sequence, {_WIDE} from {PEPTIDES}) p join ({_BISECT}) b using (sequence) join ({MOMENT_SQL}) m using (sequence) join ({_INSTABILITY}) n using (sequence)")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _peptides(spark, sf_dir)
+    rows = pinned(_peptides(spark, sf_dir))  # read for the weights and for the properties
     weights = properties.pair_weights(_weights(rows))
     wide = rows.select("sequence", *properties.all_properties(F.col("sequence")), properties.instability(F.col("sequence"), weights).alias("instability"))
     wide = rounded(wide, *(c for c in wide.columns if c not in ("sequence", "length", "isoelectric_point")))
-    return wide.withColumn("isoelectric_point", F.round("isoelectric_point", 5))
+    return properties.with_isoelectric_point(wide, F.col("sequence")).withColumn("isoelectric_point", F.round("isoelectric_point", 5))
 
 
 # Filters and checks.

@@ -83,3 +83,11 @@ def test_surrogates_fit_a_line(spark, kind):
     got = surrogate.fit(df, kind, ridge=0.1).predict(df).select("y", "mean", "std").collect()
     assert sum((r.y - r["mean"]) ** 2 for r in got) / len(got) < 0.05
     assert all(r["std"] > 0 for r in got)
+
+
+def test_isoelectric_points_of_both_forms(spark):
+    from seqspark.functions import properties
+
+    rows = spark.createDataFrame([(x, 1.5) for x in ("KSLLQQLLTE", "ACDEFGHIKLMNPQRSTVWY", "A", "D", "K" * 30, "E" * 30, "CYH", "MKRDE", "PPPP", "")], "sequence string, _lo double")
+    got = properties.with_isoelectric_point(rows.drop("_lo"), F.col("sequence"), "found").withColumn("again", properties.isoelectric_point(F.col("sequence"))).collect()
+    assert len(got) == 10 and all(r.found == r.again for r in got)
