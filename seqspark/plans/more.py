@@ -76,7 +76,17 @@ def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_picks(fixture(spark, sf_dir, "vectors"), 10)
 
 
-@spec("w10_spread_picks")
+def _spread_sql(k: int) -> str:
+    """Picks one after the other, each the first arrival of the squared distances from the nearest pick."""
+    parts = ["v as (select seq_id, embedding::double[] e from {vectors})", "s1 as (select seq_id, e from v order by {U:seq_id,0}, seq_id limit 1)", "n1 as (select v.seq_id, v.e, list_distance(v.e, s1.e) m from v, s1)"]
+    for i in range(2, k + 1):
+        before = " union ".join(f"select seq_id from s{j}" for j in range(1, i))
+        parts.append(f"s{i} as (select seq_id, e from n{i - 1} where seq_id not in ({before}) order by case when m > 0 then -ln({{U:seq_id,{i - 1}}})/(m*m) end nulls last, seq_id limit 1)")
+        parts.append(f"n{i} as (select n.seq_id, n.e, least(n.m, list_distance(n.e, s{i}.e)) m from n{i - 1} n, s{i})")
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select {i} as rank, seq_id from s{i}" for i in range(1, k + 1))
+
+
+@spec("w10_spread_picks", _spread_sql(5))
 def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "vectors").withColumn("embedding", F.col("embedding").cast("array<double>"))
     return select.spread_picks(rows, 5)

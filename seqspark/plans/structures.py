@@ -266,13 +266,23 @@ def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.mutant_pool(select.random_rows(known, 50, key="sequence"), 200, known)
 
 
-@spec("c06_sampled_peptides")
+@spec(
+    "c06_sampled_peptides",
+    "select id, protein_id, start_pos, substr(sequence, start_pos+1, size) as sequence from (select *, case when length(sequence)<=size then 0 else greatest(0, least(length(sequence)-size, middle-cast(floor(size/2) as int))) end::int start_pos"
+    " from (select id, protein_id, sequence, greatest(7,least(14,trunc(10.5+(7.0/6)*sqrt(-2*ln({U:id,'length','a'}))*cos(2*pi()*{U:id,'length','b'}))))::int as size, cast(floor({U:id,'middle'}*length(sequence)) as int) middle"
+    " from (select unnest(generate_series(0,999)) id) d join (select seq_id protein_id, sequence, row_number() over (order by seq_id)-1 place, count(*) over () n from {sequences} where length(sequence)>0) p on p.place=cast(floor({U:id,'protein'}*n) as bigint)))",
+)
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     proteins = fixture(spark, sf_dir, "sequences").withColumnRenamed("seq_id", "protein_id")
     return generate.sampled_peptides(proteins, 1000, 7, 14, gaussian=True)
 
 
-@spec("c08_local_peptides")
+@spec(
+    "c08_local_peptides",
+    "select id, protein_id, start_pos, substr(sequence, start_pos+1, size) as sequence from (select *, greatest(0, least(length(sequence)-size, cast(round(pos+3.0*sqrt(-2*ln({U:protein_id,pos,id,'p','a'}))*cos(2*pi()*{U:protein_id,pos,id,'p','b'})) as int)))::int start_pos"
+    " from (select c.id, c.protein_id, c.pos, s.sequence, greatest(7,least(20,cast(round(n+2.0*sqrt(-2*ln({U:c.protein_id,c.pos,c.id,'l','a'}))*cos(2*pi()*{U:c.protein_id,c.pos,c.id,'l','b'})) as int))) as size"
+    " from (select protein_id, start_pos pos, length(sequence) n, unnest([0,1]) id from {peptides}) c join {sequences} s on s.seq_id=c.protein_id))",
+)
 def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
     proteins = fixture(spark, sf_dir, "sequences").withColumnRenamed("seq_id", "protein_id")
     return generate.local_peptides(fixture(spark, sf_dir, "peptides").select("protein_id", "start_pos", "sequence"), proteins, 2, 3.0, 2.0, 7, 20)
