@@ -27,6 +27,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigrams. A block of texts opens each bucket that its words fall in; the README has figures."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_of_id() % 10 == 0
     model = kn_lm.count_ngrams(docs.where(~held), order=2)
@@ -77,6 +78,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits 13 of 16 parts. On nearly isotropic vectors, as the given ones are, neighbours lie in nearly all parts, so the search is near-exhaustive there; see the README for fewer."""
     x = vectors.valid_vectors(_table(spark, sf_dir, "embeddings"), zero_too=False)
     router = ann.fit_partitions(x)
     return ann.approximate_neighbours(x, x.where("vec_id % 20 = 0"), router, k=20, probes=ann.probes_of(router))

@@ -112,9 +112,11 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     small_batches(spark)
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    # Only ids and digests are grouped; the pages themselves meet the far smaller table of repeated digests.
+    # Only ids and digests are grouped; the pages themselves meet the far smaller table of repeated digests. That is written first: by its size it is
+    # broadcast, or else both sides are shuffled for the join alone, and adaptive execution splits the partition of a hot digest over several tasks.
     signed = rows.withColumn("digest", payload_digest(F.col("payload")))
     again = signed.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1 and newest is not null").select("digest", "newest")
+    again = written(again, f"{folder}/repeated")
     joined = signed.join(again, "digest", "left")
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
     records = joined.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("newest")).alias("refers_to"), "digest", "payload")

@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 
 from seqspark.llm import near_dup, warc
+from seqspark.llm.common import written
 from seqspark.llm.components import components
 
 
@@ -163,3 +164,29 @@ def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch, tmp_pat
     for i in (0, 1):
         assert dealt[320][i] < 2.6 * dealt[160][i] and dealt[640][i] < 2.6 * dealt[320][i], dealt
     assert dealt[640][0] < 4 * 640, dealt
+
+
+def executed(spark):
+    """The final plan of the last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    return runs.apply(runs.size() - 1).physicalPlanDescription()
+
+
+def test_pages_of_one_digest_are_split(spark, monkeypatch):
+    """A third of all pages are alike: without a broadcast their partition is split, and no page is lost."""
+    small = {"spark.sql.shuffle.partitions": "24", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.range(0, 6000, 1, 12).selectExpr("id page_id", "concat('http://', sha2(cast(id as string), 512)) url", "case when id % 3 = 0 then repeat('same ', 60) else concat(sha2(cast(id as string), 512), sha2(cast(id + 1 as string), 512)) end html")
+        plans = []
+        monkeypatch.setattr(warc, "written", lambda df, path: (out := written(df, path), plans.append(executed(spark)))[0])
+        index = warc.write_archives(pages)
+        kinds = dict(index.groupBy("record_type").count().collect())
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "skew=true" in plans[-1].lower() or "isskew" in plans[-1].lower() or "skewed" in plans[-1].lower(), plans[-1][:3000]
+    assert kinds == {"response": 4001, "revisit": 1999}
