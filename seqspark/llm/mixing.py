@@ -114,7 +114,11 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         a = np.array([x or 0.0 for x in got])
         return a[:k], a[k:]
 
-    gram = np.array([x or 0.0 for x in state.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k))).first()]).reshape(k, k)
+    # A row of products for each domain: as many sums as domains, not their square.
+    gram = np.zeros((k, k))
+    product = lambda j: F.sum(F.col("n_tokens") * F.col("v") * F.col("p")[j])
+    for r in state.select("n_tokens", "p", F.posexplode("p").alias("i", "v")).groupBy("i").agg(F.array(*map(product, range(k))).alias("row")).collect():
+        gram[r["i"]] = r["row"]
     mass = gram.sum(1)
     total = mass.sum()
     weight = np.where(mass > 1e-9 * max(total, 1), weight, 0)

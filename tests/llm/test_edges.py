@@ -46,6 +46,15 @@ def test_mixing_of_a_long_text(spark):
     assert mixing.mixed(docs, mixer).columns == docs.columns
 
 
+def test_mixing_of_many_domains(spark):
+    """Hundreds of domains, whose products would be tens of thousands of sums."""
+    docs = spark.range(600).selectExpr("id doc_id", "concat_ws(' ', 'w' || (id % 150), 'v' || (id % 150), 'all', 'all') text")
+    mixer = mixing.fit_mixture(docs, docs.selectExpr("doc_id", "'d' || (doc_id % 150) domain"), {f"d{i}": 1 + i % 3 for i in range(150)}, most_steps=3)
+    assert len(mixer.domains) == 150 and sum(mixer.mass) == pytest.approx(2400) and sum(mixer.targets) == pytest.approx(2400)
+    rates = mixing.document_rates(mixer)
+    assert rates.count() == 600
+
+
 def test_vectors_that_repeat_an_id(spark):
     """Of rows with one id the least vector takes part, and only vectors of the commonest length do."""
     rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(60)] + [(3, [9.0, 9.0, 9.0]), (3, [3.0, 1.0, 2.0]), (77, [1.0, 2.0]), (78, [5.0])]
