@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import scratch, written
-from seqspark.llm.vectors import best, distinct_vectors, each_pair, packed, unpacked
+from seqspark.llm.vectors import best, by_name, by_row, distinct_vectors, each_pair, packed, unpacked
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -179,13 +179,13 @@ def probes_of(router: Router, share: float = 0.8125) -> int:
 def approximate_neighbours(vectors: DataFrame, queries: DataFrame, router: Router, k: int, probes: int, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found in each query's ``probes`` likeliest parts.
 
-    Both tables have (vec_id, vector) with unique ids, as ``valid_vectors`` gives them, and further columns that are ignored; every row is indexed. A query's own id is no candidate, ties
+    Both tables have (vec_id, vector), and row where ids repeat, as ``valid_vectors`` gives them; further columns are ignored; every row is indexed. A query's own id is no candidate, ties
     go to the smaller id. Parts and their queries are cut into blocks by a hash of the id, however uneven the parts; a block is a file in the shared folder, and
     each pair of blocks one task's work. Where the visited parts hold fewer than k candidates, ``probes`` should be raised: with as many as there are parts
     the search is exact. Empty inputs give an empty result.
     """
-    base = scratch(vectors.sparkSession, "ann")
-    n_parts = len(router.b2)
+    base, all_rows = scratch(vectors.sparkSession, "ann"), vectors
+    vectors, queries, n_parts = by_row(vectors), by_row(queries), len(router.b2)
 
     def blocks(df: DataFrame, n: int, rows: int, salt: int, name: str) -> DataFrame:
         routed = written(_routed(df, router, n), f"{base}/{name}-rows")
@@ -197,4 +197,4 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, router: Route
     stored = blocks(vectors, 1, block_rows, 1, "stored").select("part", F.col("uri").alias("left"))
     asked = blocks(queries, min(probes, n_parts), query_rows, 2, "asked").select("part", F.col("uri").alias("right"))
     pairs = written(stored.join(asked, "part").select("left", "right"), f"{base}/pairs")
-    return best(each_pair(pairs, pairs.count(), _search(k), FOUND), k)
+    return by_name(best(each_pair(pairs, pairs.count(), _search(k), FOUND), k), all_rows)

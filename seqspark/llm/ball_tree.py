@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.llm.common import map_file, scratch, write_file, written
-from seqspark.llm.vectors import best, distinct_vectors, each_pair, packed, unpacked, valid_vectors
+from seqspark.llm.vectors import best, by_name, by_row, distinct_vectors, each_pair, packed, unpacked, valid_vectors
 
 FOUND = "query_id long, vec_id long, score long"
 #: Waves after the first: the share of the shards that is searched by the end of each.
@@ -162,15 +162,15 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, shard_row
     """query_id, rank, vec_id, score: for each row of ``queries`` the k rows of ``vectors`` (vec_id, vector) with the largest integer inner products.
 
     A query's own id is no candidate; ties go to the smaller id; all candidates are returned where they are fewer. Components are integers whose products sum to less
-    than 2**53 in all, so the arithmetic is exact. Ids are unique and not null, as ``valid_vectors`` sees to; further columns are ignored. Empty inputs give an empty result.
+    than 2**53 in all, so the arithmetic is exact. Ids are not null, and unique but where ``valid_vectors`` numbers the rows: then each row is a query or candidate of its own. Further columns are ignored. Empty inputs give an empty result.
     Shards and blocks of queries are dealt out by a hash of the id, and each pair of them is one task's work.
     """
-    return best(_waves(vectors.select("vec_id", "vector"), queries.select("vec_id", "vector"), k, shard_rows, block_rows)[0], k)
+    return by_name(best(_waves(by_row(vectors), by_row(queries), k, shard_rows, block_rows)[0], k), vectors)
 
 
 def visited(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """One row: the inner products with points that the search forms, those of all pairs, and their share."""
-    _, counted = _waves(vectors.select("vec_id", "vector"), queries.select("vec_id", "vector"), k, shard_rows, block_rows, count=True)
+    _, counted = _waves(by_row(vectors), by_row(queries), k, shard_rows, block_rows, count=True)
     return counted.agg(F.sum("formed").alias("formed"), F.sum("possible").alias("possible"), F.try_divide(F.sum("formed"), F.sum("possible")).alias("share"))
 
 

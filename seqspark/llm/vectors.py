@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import map_file, write_file, written
+from seqspark.llm.common import map_file, scratch, write_file, written
+from seqspark.operators.order import ranked
 
 PACKED = "block long, n int, uri string"
 
 
 def valid_vectors(df: DataFrame, zero_too: bool = True) -> DataFrame:
-    """(vec_id, vector array<double>) of the rows that take part in a search.
+    """(vec_id, vector array<double>) of the rows that take part in a search, and ``row``, a number of each in the order of vec_id, where an id has several vectors.
 
     Left out are rows without id, null vectors, vectors with null or non-finite components (or all zero, unless ``zero_too``), and those
-    whose length isn't the most frequent one (the larger of two as frequent). Of rows with one id the least vector stands.
+    whose length isn't the most frequent one (the larger of two as frequent), as products of different lengths mean nothing. A row that repeats both id and
+    vector is one row; rows that share an id alone are different ones.
     """
     x = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -26,7 +28,28 @@ def valid_vectors(df: DataFrame, zero_too: bool = True) -> DataFrame:
     if not zero_too:
         x = x.where(F.exists("vector", lambda c: c != 0))
     length = x.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return x.where(F.size("vector") == (length["d"] if length else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    x = x.where(F.size("vector") == (length["d"] if length else 0))
+    if x.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return x
+    x = written(x.distinct().withColumn("_n", F.monotonically_increasing_id()), scratch(df.sparkSession, "vectors"))
+    if x.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return x.drop("_n")
+    return ranked(x, scratch(df.sparkSession, "rows"), ("vec_id", True), ("_n", True)).select("vec_id", "vector", F.col("rank").cast("long").alias("row"))
+
+
+def by_row(df: DataFrame) -> DataFrame:
+    """(vec_id, vector) with the rows' numbers for ids, where rows have them."""
+    return df.select(F.col("row" if "row" in df.columns else "vec_id").alias("vec_id"), "vector")
+
+
+def by_name(found: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What a search by :func:`by_row` found, with ids again."""
+    if "row" not in vectors.columns:
+        return found
+    names = vectors.select("row", F.col("vec_id").alias("name"))
+    for column in ("query_id", "vec_id"):
+        found = found.join(names.withColumnRenamed("row", column), column).drop(column).withColumnRenamed("name", column)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def packed(df: DataFrame, block: Column, folder: str, bound: bool = False) -> DataFrame:

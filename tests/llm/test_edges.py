@@ -56,17 +56,22 @@ def test_mixing_of_many_domains(spark):
 
 
 def test_vectors_that_repeat_an_id(spark):
-    """Of rows with one id the least vector takes part, and only vectors of the commonest length do."""
-    rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(60)] + [(3, [9.0, 9.0, 9.0]), (3, [3.0, 1.0, 2.0]), (77, [1.0, 2.0]), (78, [5.0])]
+    """Rows with one id and different vectors are queries and candidates of their own; exact repeats and vectors of uncommon lengths are not."""
+    rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(60)] + [(3, [9.0, 9.0, 9.0]), (4, [8.0, 1.0, 2.0]), (3, [3.0, 1.0, 2.0]), (77, [1.0, 2.0]), (78, [5.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     x = vectors.valid_vectors(df)
-    assert {r.vec_id: r.vector for r in x.collect()} == {i: v for i, v in rows[:60]}
-    q = ball_tree.quantised(x)
-    exact = ball_tree.top_inner_products(q, q.where("vec_id = 3"), 5).collect()
-    near = ann.approximate_neighbours(x, x.where("vec_id = 3"), ann.fit_partitions(x, n_parts=1), 5, 1).collect()
-    best = sorted((i for i in range(60) if i != 3), key=lambda i: (-sum(a * b for a, b in zip(rows[i][1], rows[3][1], strict=True)), i))[:5]
-    for found in (exact, near):
-        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == best
+    kept = rows[:62]
+    assert sorted((r.vec_id, r.vector) for r in x.collect()) == sorted(kept) and [r.vec_id for r in x.orderBy("row").collect()] == sorted(i for i, _ in kept)
+    q = x.withColumn("vector", F.transform("vector", lambda c: 256 * c))
+    exact = ball_tree.top_inner_products(q, q.where("vec_id in (3, 10)"), 5).collect()
+    near = ann.approximate_neighbours(x, x.where("vec_id in (3, 10)"), ann.fit_partitions(x, n_parts=1), 5, 1).collect()
+    expected = []
+    for at, (i, v) in enumerate(kept):
+        if i in (3, 10):
+            best = sorted(((-sum(a * b for a, b in zip(w, v, strict=True)), j) for k, (j, w) in enumerate(kept) if k != at))[:5]
+            expected += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score / 65536) for r in exact) == sorted(expected)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in near) == sorted(expected)
 
 
 def test_languages_of_long_texts_ties_and_clashing_columns(spark):
