@@ -140,11 +140,12 @@ def _sampled(indexed: DataFrame, first: int, n: int, low: int, high: int, seed:
     """Proposals first to first + n - 1 from proteins with their ``place``."""
     count = indexed.count()
     ids = indexed.sparkSession.range(first, first + n).withColumn("place", F.floor(uniform(seed, "id", F.lit("protein")) * count).cast("long"))
-    rows = ids.join(indexed, "place").withColumn("size", peptide_length(seed, low, high, "id", F.lit("length"), gaussian=gaussian))
-    middle = F.floor(uniform(seed, "id", F.lit("middle")) * F.length("sequence")).cast("int")
-    start = F.when(F.length("sequence") <= F.col("size"), 0).otherwise(F.greatest(F.lit(0), F.least(F.length("sequence") - F.col("size"), middle - F.floor(F.col("size") / 2).cast("int"))))
-    rows = rows.withColumn("start_pos", start)
-    return rows.select("id", "protein_id", "start_pos", F.substr("sequence", F.col("start_pos") + 1, F.col("size")).alias("sequence"))
+    rows = ids.join(indexed.select("place", "protein_id", F.length("sequence").alias("letters_in_all")), "place").withColumn("size", peptide_length(seed, low, high, "id", F.lit("length"), gaussian=gaussian))
+    whole = F.col("letters_in_all")
+    middle = F.floor(uniform(seed, "id", F.lit("middle")) * whole).cast("int")
+    start = F.when(whole <= F.col("size"), 0).otherwise(F.greatest(F.lit(0), F.least(whole - F.col("size"), middle - F.floor(F.col("size") / 2).cast("int"))))
+    rows = rows.select("id", "protein_id", start.alias("start_pos"), "size")
+    return windows(rows, indexed.select("protein_id", "sequence"), high).select("id", "protein_id", "start_pos", "sequence")
 
 
 def _dense_index(df: DataFrame, *key: str) -> DataFrame:
@@ -162,22 +163,31 @@ def _local(copies: DataFrame, proteins: DataFrame, position_spread: float, lengt
     rows = copies.select("id", "protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size"))
     key = ("protein_id", "at", "id")
     size = F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.col("size") + length_spread * normal(seed, *key, F.lit("l"))).cast("int")))
-    rows = rows.withColumn("size", size).join(proteins.select("protein_id", "sequence"), "protein_id")
+    rows = rows.withColumn("size", size).join(proteins.select("protein_id", F.length("sequence").alias("letters_in_all")), "protein_id")
     start = F.round(F.col("at") + position_spread * normal(seed, *key, F.lit("p"))).cast("int")
-    rows = rows.withColumn("start_pos", F.greatest(F.lit(0), F.least(F.length("sequence") - F.col("size"), start)))
-    return rows.select("id", "protein_id", "start_pos", F.substr("sequence", F.col("start_pos") + 1, F.col("size")).alias("sequence"))
+    rows = rows.select("id", "protein_id", F.greatest(F.lit(0), F.least(F.col("letters_in_all") - F.col("size"), start)).alias("start_pos"), "size")
+    return windows(rows, proteins, high).select("id", "protein_id", "start_pos", "sequence")
 
 
-def tiles(proteins: DataFrame, length: int, chunk: int = 512) -> DataFrame:
-    """(protein_id, start_pos, sequence) of every window of ``length`` letters.
+def chunked(proteins: DataFrame, longest: int, chunk: int = 512) -> DataFrame:
+    """(protein_id, chunk, letters): each sequence in pieces of ``chunk`` letters that overlap by ``longest`` - 1, cut in one pass, so that any window of up to ``longest`` letters lies within the piece of its start."""
+    pieces = F.regexp_extract_all("sequence", F.lit(rf"(?=(.{{1,{chunk + longest - 1}}})).{{1,{chunk}}}"), F.lit(1))
+    return proteins.where(F.length("sequence") > 0).select("protein_id", F.posexplode(pieces).alias("chunk", "letters"))
 
-    A sequence is first cut into chunks that overlap by a window less one letter, in one pass; windows come out of chunks, so the work is linear in its length.
-    """
-    pieces = F.regexp_extract_all("sequence", F.lit(rf"(?=(.{{1,{chunk + length - 1}}})).{{1,{chunk}}}"), F.lit(1))
-    rows = proteins.where(F.length("sequence") >= length).select("protein_id", F.posexplode(pieces).alias("b", "c"))
-    last = F.least(F.lit(chunk), F.length("c") - length + 1)
-    windows = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct((F.col("b") * chunk + i).alias("start_pos"), F.substr(F.col("c"), i + 1, F.lit(length)).alias("sequence")))
-    return rows.where(last > 0).select("protein_id", F.explode(windows).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
+
+def windows(rows: DataFrame, proteins: DataFrame, longest: int, chunk: int = 512) -> DataFrame:
+    """``rows`` (protein_id, start_pos, size and others) with their ``sequence``. Only the piece that a window lies in travels with it, never the whole protein, so the work is linear in the number of windows whatever the proteins' lengths."""
+    at = rows.withColumn("chunk", F.floor(F.col("start_pos") / chunk).cast("int"))
+    joined = at.join(chunked(proteins, longest, chunk), ["protein_id", "chunk"])
+    return joined.withColumn("sequence", F.substr("letters", F.col("start_pos") - chunk * F.col("chunk") + 1, F.col("size"))).drop("chunk", "letters")
+
+
+def tiles(proteins: DataFrame, length: int, chunk: int = 512) -> DataFrame:
+    """(protein_id, start_pos, sequence) of every window of ``length`` letters, out of overlapping pieces, so the work is linear in a sequence's length."""
+    rows = chunked(proteins.where(F.length("sequence") >= length), length, chunk)
+    last = F.least(F.lit(chunk), F.length("letters") - length + 1)
+    cut = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.struct((F.col("chunk") * chunk + i).alias("start_pos"), F.substr(F.col("letters"), i + 1, F.lit(length)).alias("sequence")))
+    return rows.where(last > 0).select("protein_id", F.explode(cut).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
 
 
 def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
