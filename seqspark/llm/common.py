@@ -214,9 +214,9 @@ def binary_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def prefix_hashes(texts: list[bytes], prefixes: tuple[int | None, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each prefix length (None: whole words) and each block of texts: place of the length, hashes, and the text that each is of."""
-    for lo, hi in batches_by_bytes(texts):
+def prefix_hashes(texts: list[bytes], prefixes: tuple[int | None, ...], limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each prefix length (None: whole words) and each block of texts: place of the length, hashes, and the text that each is of. Blocks are small, as a worker has several arrays of eight times their size."""
+    for lo, hi in batches_by_bytes(texts, limit):
         block = b" ".join(texts[lo:hi]).lower()
         ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
         for k, p in enumerate(prefixes):
