@@ -197,9 +197,9 @@ def _cuts(text: bytes, limit: int) -> Iterator[bytes]:
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """For each UTF-8 text the 64-bit hashes of its words, ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order."""
+    """For each UTF-8 text the 64-bit hashes of its words, ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, in order. Blocks are small, as a worker has several arrays of eight times their size."""
     out: list[np.ndarray] = []
-    for lo, hi in batches_by_bytes(texts):
+    for lo, hi in batches_by_bytes(texts, 1 << 19):
         if hi - lo == 1 and len(texts[lo]) > 4 << 20:
             out.append(np.concatenate([_hash_block(x.lower())[0] for x in _cuts(texts[lo], 1 << 20)]))
             continue
