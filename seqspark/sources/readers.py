@@ -91,13 +91,20 @@ def metrics_json(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     return df.select(*own, pick("sequence", "peptide_sequence", "sequences").alias("sequence"), "iptm", "ptm", pick("plddt", "plddt_vector").alias("plddt"), pick("pae", "pae_matrix").alias("pae"))
 
 
-def design_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, sequence, score, global_score, seq_recovery) from the second record of each design file; the sequence ends before a slash."""
-    parts = F.split("value", ">")
-    second = _files(spark, path).select("structure_id", F.get(parts, F.lit(2)).alias("record")).where("record is not null")
+def design_fasta(spark: SparkSession, path: str, pooled: bool = False) -> DataFrame:
+    """(sample_id, sequence, score, global_score, seq_recovery) from the second record of each design file; the sequence ends before a slash.
+
+    ``pooled``: a file holds any number of samples, each begun by a native record whose header is ``>sample_N``; the record after it is the design.
+    """
+    if pooled:  # a row for each sample, not for each file, and large files are split
+        parts = F.split(F.concat(F.lit("sample_"), "value"), ">")
+        second = spark.read.option("lineSep", ">sample_").text(path).where(F.col("value").rlike(r"^\d")).select(parts[0].alias("structure_id"), F.get(parts, F.lit(1)).alias("record"))
+    else:
+        parts = F.split("value", ">")
+        second = _files(spark, path).select("structure_id", F.get(parts, F.lit(2)).alias("record"))
     value = lambda k: F.regexp_extract("record", rf"(?:^|[ ,]){k}=([-+.\deE]+)", 1).try_cast("double").alias(k)
     body = F.regexp_replace(F.get(F.split("record", "\n", 2), F.lit(1)), r"\s", "")
-    return second.select(F.regexp_extract("structure_id", r"sample_(\d+)", 1).try_cast("int").alias("sample_id"), F.split(body, "/")[0].alias("sequence"), value("score"), value("global_score"), value("seq_recovery"))
+    return second.where("record is not null").select(F.regexp_extract("structure_id", r"sample_(\d+)", 1).try_cast("int").alias("sample_id"), F.split(body, "/")[0].alias("sequence"), value("score"), value("global_score"), value("seq_recovery"))
 
 
 def samples_csv(spark: SparkSession, path: str) -> DataFrame:

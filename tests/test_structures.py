@@ -52,6 +52,21 @@ def test_text_files(spark, folder):
     assert readers.samples_csv(spark, f"{folder}/s.csv").first().hotspots == ["A1", "A2"]
 
 
+def test_designs_of_many_samples_in_a_file(spark, tmp_path):
+    text = "".join(f">sample_{i}, native, score=9\nAAA\n>T=0.1, score=0.{i}, global_score=1.5, seq_recovery=0.25\nCC\nD/EE\n" + ">T=0.1, sample=2, score=7\nKKK\n" * (i % 2) for i in range(1, 6)) + ">sample_6, native\nAAA\n"
+    (tmp_path / "designs.fa").write_text(text)
+    rows = readers.design_fasta(spark, str(tmp_path / "designs.fa"), pooled=True).orderBy("sample_id").collect()
+    assert [(r.sample_id, r.sequence, r.score, r.global_score, r.seq_recovery) for r in rows] == [(i, "CCD", i / 10, 1.5, 0.25) for i in range(1, 6)]
+
+
+def test_designs_write_few_files(spark):
+    from seqspark.plans import files
+
+    rows = files.s08(spark, "/root/testdata/sf0.001")
+    assert rows.count() == 150
+    assert len(rows.inputFiles()) <= 4 and all("structure_id=" not in f for f in rows.inputFiles())
+
+
 def test_property_table(spark):
     wide = spark.createDataFrame([("good", "1.0", "2.0"), ("bad", "1", "NA")], "property string, A string, C string")
     assert {tuple(r) for r in readers.property_table(wide).collect()} == {("good", "A", 1.0), ("good", "C", 2.0)}
