@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,6 @@ def net_charge_fraction(s: Column) -> Column:
     return fraction(s, POSITIVE) - fraction(s, NEGATIVE)
 
 
-def _by_letter(values: dict[str, float], letter: Column) -> Column:
-    """The value of a letter from an array over A to Z, which is one step; 0 for others."""
-    table = F.array(*(F.lit(float(values.get(chr(65 + i), 0.0))) for i in range(26)))
-    return F.coalesce(F.get(table, F.ascii(letter) - 65), F.lit(0.0))
-
-
 def _charges(s: Column) -> dict[str, Column]:
     """Counts of the charged letters, and 10^pK of both ends."""
     of_end = lambda pk, at, usual: F.coalesce(*(F.when(at == a, 10.0**k) for a, k in pk.items()), F.lit(10.0**usual))
@@ -89,25 +85,110 @@ def with_isoelectric_point(df: DataFrame, s: Column, name: str = "isoelectric_po
     return rows.select(*own, mid.alias(name))
 
 
-def hydrophobic_moment(s: Column, degrees: float = 100.0) -> Column:
-    """Length of the sum of hydropathies as vectors that turn by ``degrees`` at each residue, over the sum of their sizes; 0 if that is 0."""
+#: So many letters of a batch are worked on at once, whatever the lengths of its sequences.
+PIECE = 1 << 20
+_OTHER = 26
+
+
+def _letters(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch of sequences (null: empty) the letters as 0 to 25, others as 26, and where each sequence begins, with the end. A letter is a code point."""
+    a = a.fill_null("").cast(pa.large_string())
+    at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    if len(data) and data.max() > 127:
+        head = (data & 0xC0) != 0x80
+        at, data = np.concatenate([[0], np.cumsum(head)])[at], data[head]
+    code = data - np.uint8(65)
+    return np.where(code < 26, code, np.uint8(_OTHER)), at
+
+
+def _pieces(code: np.ndarray, at: np.ndarray):
+    """(row, place in its sequence, letter, next letter or 26 at the end) of all letters, piece by piece."""
+    for lo in range(0, len(code), PIECE):
+        hi = min(lo + PIECE, len(code))
+        first, last = np.searchsorted(at, lo, "right") - 1, np.searchsorted(at, hi, "left")
+        row = np.repeat(np.arange(first, last), np.diff(np.clip(at[first : last + 1], lo, hi)))
+        here = np.arange(lo, hi)
+        following = np.append(code[lo + 1 : hi + 1], np.uint8(_OTHER))[: hi - lo]
+        yield row, here - at[row], code[lo:hi], np.where(here + 1 < at[row + 1], following, np.uint8(_OTHER))
+
+
+def _table(values: dict[str, float]) -> np.ndarray:
+    return np.array([float(values.get(chr(65 + i), 0.0)) for i in range(26)] + [0.0])
+
+
+def _moments(code: np.ndarray, at: np.ndarray, degrees: float) -> np.ndarray:
+    n, size, step = len(at) - 1, _table(HYDROPATHY), degrees * math.pi / 180
+    x, y, a = np.zeros(n), np.zeros(n), np.zeros(n)
+    for row, place, letter, _ in _pieces(code, at):
+        h, angle, low = size[letter], place * step, row[0]
+        for total, w in ((x, h * np.cos(angle)), (y, h * np.sin(angle)), (a, np.abs(h))):
+            total[low : row[-1] + 1] += np.bincount(row - low, w)
+    return np.where(a > 0, np.sqrt(x * x + y * y) / np.where(a > 0, a, 1), 0.0)
+
+
+def _instabilities(code: np.ndarray, at: np.ndarray, weights: dict[str, float]) -> pa.Array:
+    n, length, table = len(at) - 1, np.diff(at), np.zeros(27 * 27)
+    for pair, w in weights.items():
+        table[(ord(pair[0]) - 65) * 27 + ord(pair[1]) - 65] = w
+    total = np.zeros(n)
+    for row, _, letter, following in _pieces(code, at):
+        total[row[0] : row[-1] + 1] += np.bincount(row - row[0], table[letter.astype(np.int64) * 27 + following])
+    return pa.array(10 * total / np.maximum(length, 1), mask=length == 0)
 
-    def turn(state: Column, i: Column) -> Column:
-        h, angle = _by_letter(HYDROPATHY, F.substr(s, i + 1, F.lit(1))), i * (degrees * math.pi / 180)
-        return F.struct((state["x"] + h * F.cos(angle)).alias("x"), (state["y"] + h * F.sin(angle)).alias("y"), (state["a"] + F.abs(h)).alias("a"))
 
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in "xya"))
-    places = F.when(F.length(s) > 0, F.sequence(F.lit(0), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, turn, lambda t: F.when(t["a"] > 0, F.sqrt(t["x"] * t["x"] + t["y"] * t["y"]) / t["a"]).otherwise(0.0))
+def _isoelectric_points(count: np.ndarray, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By the bisections of :func:`isoelectric_point`; ``count`` has a column for each letter."""
+
+    def of_end(pk: dict[str, float], usual: float, place: np.ndarray) -> np.ndarray:
+        table = np.array([10.0 ** pk.get(chr(65 + i), usual) for i in range(27)])
+        return table[np.where(np.diff(at) > 0, np.append(code, np.uint8(_OTHER))[place], _OTHER)]
+
+    first, last = of_end(PK_N_TERMINI, PK_N_TERMINUS, at[:-1]), of_end(PK_C_TERMINI, PK_C_TERMINUS, np.maximum(at[1:] - 1, 0))
+    lo, hi = np.full(len(at) - 1, PH_RANGE[0]), np.full(len(at) - 1, PH_RANGE[1])
+    for _ in range(PH_STEPS):
+        mid = (lo + hi) / 2
+        t = np.power(10.0, mid)
+        plus = first / (first + t) + sum(count[:, ord(a) - 65] * (10.0**pk) / (10.0**pk + t) for a, pk in PK_POSITIVE.items())
+        minus = t / (last + t) + sum(count[:, ord(a) - 65] * t / (10.0**pk + t) for a, pk in PK_NEGATIVE.items())
+        lo, hi = np.where(plus > minus, mid, lo), np.where(plus > minus, hi, mid)
+    return (lo + hi) / 2
+
+
+def hydrophobic_moment(s: Column, degrees: float = 100.0) -> Column:
+    """Length of the sum of hydropathies as vectors that turn by ``degrees`` at each residue, over the sum of their sizes; 0 if that is 0. Worked out for a batch of letters at once."""
+    return F.arrow_udf(lambda a: pa.array(_moments(*_letters(a), degrees)), "double")(s)
 
 
 def instability(s: Column, weights: dict[str, float]) -> Column:
     """10 / length times the sum of the weights of the sequence's pairs of letters; a pair without weight counts as 0. Null for an empty sequence."""
-    table = F.array(*(F.lit(float(weights.get(chr(65 + i // 26) + chr(65 + i % 26), 0.0))) for i in range(676)))
-    code = lambda i: F.ascii(F.substr(s, i, F.lit(1))) - 65
-    pairs = F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(pairs, F.lit(0.0), lambda t, i: t + F.coalesce(F.get(table, code(i) * 26 + code(i + 1)), F.lit(0.0)))
-    return F.try_divide(10 * total, F.length(s).cast("double"))
+    return F.arrow_udf(lambda a: _instabilities(*_letters(a), weights), "double")(s)
+
+
+_SETS = {"aromaticity": AROMATIC, "helix_fraction": HELIX, "turn_fraction": TURN, "sheet_fraction": SHEET, "hydrophobic_fraction": HYDROPHOBIC, "polar_fraction": POLAR, "positive_fraction": POSITIVE, "negative_fraction": NEGATIVE}
+_WIDE = ("length", "molecular_weight", "aromaticity", "gravy", "helix_fraction", "turn_fraction", "sheet_fraction", "hydrophobic_fraction", "polar_fraction", "positive_fraction", "negative_fraction", "net_charge_fraction", "hydrophobic_moment", "instability", "isoelectric_point")
+
+
+def with_all_properties(df: DataFrame, s: str, weights: dict[str, float]) -> DataFrame:
+    """``df`` with all properties of its column ``s``, null for a null or empty sequence where the single columns are (and the isoelectric point of a null one): letters of a batch are counted once for all of them."""
+
+    def numbers(a: pa.Array) -> pa.Array:
+        code, at = _letters(a)
+        n, length, null = len(a), np.diff(at), a.is_null().to_numpy(zero_copy_only=False)
+        count = np.zeros((n, 27))
+        for row, _, letter, _ in _pieces(code, at):
+            count[row[0] : row[-1] + 1] += np.bincount((row - row[0]) * 27 + letter, minlength=27 * (row[-1] - row[0] + 1)).reshape(-1, 27)
+        some = np.maximum(length, 1)
+        share = {k: count @ _table(dict.fromkeys(v, 1.0)) / some for k, v in _SETS.items()}
+        out = {"length": pa.array(length, pa.int64(), mask=null), "molecular_weight": pa.array(count @ _table(MASS) - (length - 1) * WATER, mask=null)}
+        out |= {k: pa.array(v, mask=length == 0) for k, v in share.items()}
+        out |= {"gravy": pa.array(count @ _table(HYDROPATHY) / some, mask=length == 0), "net_charge_fraction": pa.array(share["positive_fraction"] - share["negative_fraction"], mask=length == 0)}
+        out |= {"hydrophobic_moment": pa.array(_moments(code, at, 100.0)), "instability": _instabilities(code, at, weights), "isoelectric_point": pa.array(_isoelectric_points(count, code, at), mask=null)}
+        return pa.StructArray.from_arrays([out[c] for c in _WIDE], list(_WIDE))
+
+    kind = ", ".join(f"{c} {'long' if c == 'length' else 'double'}" for c in _WIDE)
+    return df.withColumn("_all", F.arrow_udf(numbers, f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")(F.col(s))).select(*df.columns, *(F.col(f"_all.{c}") for c in _WIDE))
 
 
 def pair_weights(weights: DataFrame) -> dict[str, float]:

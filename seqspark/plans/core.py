@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqspark.functions import exprs, properties
-from seqspark.functions.storage import pinned
 from seqspark.operators import acquire, filters, select
 from seqspark.plans.fixtures import fixture
 
@@ -87,12 +86,11 @@ _INSTABILITY = f"select sequence, round(10*coalesce(sum(weight),0)/length(sequen
 
 @spec("p04_instability_index", _INSTABILITY)
 def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _peptides(spark, sf_dir)
-    return rounded(properties.instability_index(rows, _weights(rows)), "instability")
+    return rounded(properties.instability_index(_peptides(spark, sf_dir), _weights(fixture(spark, sf_dir, "peptides"))), "instability")
 
 
 def _weights(rows: DataFrame) -> DataFrame:
-    pairs = rows.select(F.substring("sequence", 1, 2).alias("pair")).union(rows.select(F.substring("sequence", 2, 2))).distinct()
+    pairs = rows.select(F.explode(F.array(F.substring("sequence", 1, 2), F.substring("sequence", 2, 2))).alias("pair")).distinct()
     return pairs.select("pair", (100 * exprs.uniform(42, "pair") - 50).alias("weight"))
 
 
@@ -125,11 +123,9 @@ _WIDE = ", ".join(f"{sql} {column}" for column, _, sql in PROPERTIES.values())
 
 @spec("p16_all_properties", f"select p.*, isoelectric_point, hydrophobic_moment, instability from (select sequence, {_WIDE} from {PEPTIDES}) p join ({_BISECT}) b using (sequence) join ({MOMENT_SQL}) m using (sequence) join ({_INSTABILITY}) n using (sequence)")
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pinned(_peptides(spark, sf_dir))  # read for the weights and for the properties
-    weights = properties.pair_weights(_weights(rows))
-    wide = rows.select("sequence", *properties.all_properties(F.col("sequence")), properties.instability(F.col("sequence"), weights).alias("instability"))
-    wide = rounded(wide, *(c for c in wide.columns if c not in ("sequence", "length", "isoelectric_point")))
-    return properties.with_isoelectric_point(wide, F.col("sequence")).withColumn("isoelectric_point", F.round("isoelectric_point", 5))
+    # Weights are of pairs alone, so tiles need not be distinct for them.
+    wide = properties.with_all_properties(_peptides(spark, sf_dir), "sequence", properties.pair_weights(_weights(fixture(spark, sf_dir, "peptides"))))
+    return rounded(wide, *(c for c in wide.columns if c not in ("sequence", "length", "isoelectric_point"))).withColumn("isoelectric_point", F.round("isoelectric_point", 5))
 
 
 # Filters and checks.

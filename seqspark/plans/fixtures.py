@@ -58,20 +58,19 @@ _UNIFORM = {
 # Chunks of 100 letters, found in one pass, and the tiles of each; together they are the whole sequence.
 _TILES = ((0, 1), (1, 4), (5, 5), (10, 6), (16, 9), (25, 14), (39, 29), (68, 32))
 _CHUNK = "concat('.', chr(123), '1,100', chr(125))"
-_CUTS = {
-    "spark": "array(" + ", ".join(f"named_struct('at', {a}, 'size', {n})" for a, n in _TILES) + ")",
-    "duckdb": "(values " + ", ".join(f"({a}, {n})" for a, n in _TILES) + ") cuts(off, size)",
-}
+_CUTS = "(values " + ", ".join(f"({a}, {n})" for a, n in _TILES) + ") cuts(off, size)"
+_TILE_STRUCTS = ", ".join(f"struct(100*b+{a}, substr(c, {a + 1}, {n}))" for a, n in _TILES)
 _WORDS = {
     "spark": {
         "o": "0",
         "g": "",
-        "tiles": f"t.start_pos, t.sequence from (select seq_id, explode(flatten(transform(regexp_extract_all(sequence, {_CHUNK}, 0), (c, b) -> transform(filter({_CUTS['spark']}, p -> p.at < length(c)), p -> named_struct('start_pos', 100*b+p.at, 'sequence', substr(c, p.at+1, p.size)))))) t from {{sequences}} where length(sequence) > 0)",
+        # Each tile is a compiled expression: a lambda over cuts would be interpreted for each. Nulls and empty sequences have no chunks.
+        "tiles": f"t.start_pos, t.sequence from (select seq_id, inline(array({_TILE_STRUCTS})) as (start_pos, sequence) from (select seq_id, posexplode(regexp_extract_all(sequence, {_CHUNK}, 0)) as (b, c) from {{sequences}})) t where t.sequence <> ''",
     },
     "duckdb": {
         "o": "1",
         "g": ",'g'",
-        "tiles": f"cast(100*(b-1)+off as int) start_pos, substr(c, off+1, size) sequence from (select seq_id, unnest(l) c, generate_subscripts(l, 1) b from (select seq_id, regexp_extract_all(sequence, {_CHUNK}) l from {{sequences}} where length(sequence) > 0)), {_CUTS['duckdb']} where off < length(c)",
+        "tiles": f"cast(100*(b-1)+off as int) start_pos, substr(c, off+1, size) sequence from (select seq_id, unnest(l) c, generate_subscripts(l, 1) b from (select seq_id, regexp_extract_all(sequence, {_CHUNK}) l from {{sequences}} where length(sequence) > 0)), {_CUTS} where off < length(c)",
     },
 }
 

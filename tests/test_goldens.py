@@ -1,5 +1,6 @@
 """Values worked out by hand, and properties that hold on any partitioning."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,45 @@ def test_properties(spark):
     assert [r.g for r in got] == pytest.approx([-0.07, -0.49])
 
 
+def test_properties_of_odd_sequences(spark, monkeypatch):
+    """The batch forms equal the single columns for nulls, empty and long sequences and letters of several bytes."""
+    monkeypatch.setattr(properties, "PIECE", 7)
+    code, at = properties._letters(pa.array(["ACDEFGHIKL" * 3, None, "", "éKé", "W"])[1:])
+    assert at.tolist() == [0, 0, 0, 3, 4] and code.tolist() == [26, 10, 26, 22]
+    monkeypatch.undo()
+    rows = ["ACDEFGHIKLMNPQRSTVWY" * 500, "KSLLQQLLTE", None, "", "W", "éKéRé", "acK", "X-Z", "D"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").repartition(1)
+    weights = {"KS": 1.5, "AC": -2.0, "YA": 0.25}
+    wide = properties.with_all_properties(df, "s", weights)
+    s = F.col("s")
+    single = df.select("i", "s", *properties.all_properties(s), properties.instability(s, weights).alias("instability"), F.when(s.isNotNull(), properties.isoelectric_point(s)).alias("isoelectric_point"))
+    assert wide.columns == single.columns
+    for a, b in zip(wide.orderBy("i").collect(), single.orderBy("i").collect(), strict=True):
+        assert [x is None for x in a] == [x is None for x in b], (a, b)
+        assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)], abs=1e-9)
+        assert a.length == b.length
+    got = {r.s: r for r in wide.collect()}
+    assert got["KSLLQQLLTE"].instability == pytest.approx(1.5) and got["ACDEFGHIKLMNPQRSTVWY" * 500].instability == pytest.approx(10 * (499 * 0.25 - 500 * 2.0) / 10000)
+
+
+def test_properties_piece_by_piece(spark, monkeypatch):
+    a = pa.array(["KSLLQQLLTE", None, "ACDEFGHIKLMNPQRSTVWYAC" * 4, ""])
+    code, at = properties._letters(a)
+    weights = {"KS": 1.5, "AC": -2.0, "YA": 0.25}
+    whole = properties._moments(code, at, 100.0), properties._instabilities(code, at, weights).to_pylist()
+    monkeypatch.setattr(properties, "PIECE", 3)
+    assert properties._moments(code, at, 100.0) == pytest.approx(whole[0]) and properties._instabilities(code, at, weights).to_pylist() == pytest.approx(whole[1])
+
+
+def test_no_lambda_works_on_letters(spark):
+    """A lambda is interpreted for each letter, which took most of the time of p04, p15 and p16."""
+    from seqspark.plans import catalog
+
+    for name in ("p04_instability_index", "p15_hydrophobic_moment", "p16_all_properties"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction" not in plan, name
+
+
 def test_repeat_rule(spark):
     df = spark.createDataFrame([("ACCCCCCD",), ("ACCCCCD",)], "sequence string")
     assert [r[0] for r in filters.quality_filter(df, most_share=1.0).collect()] == ["ACCCCCD"]
