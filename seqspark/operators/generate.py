@@ -33,12 +33,26 @@ def poisson(mean: Column, u: Column) -> Column:
 
     The sum runs so far that no such uniform lies beyond it: the tail beyond is below 2^-33.
     """
-    step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), F.when(u > s["c"], k).otherwise(s["n"]).alias("n"))
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+    # The uniform is part of the state: within the lambda it would be worked out anew at each step.
+    step = lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), F.when(s["u"] > s["c"], k).otherwise(s["n"]).alias("n"), s["u"].alias("u"))
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"), u.alias("u"))
     end = F.ceil(mean + 8 * F.sqrt(mean) + 24).cast("int")
     return F.aggregate(F.sequence(F.lit(1), end), start, step, lambda s: s["n"])
 
 
+def _edits(mean: Column, u: Column, many: Column, usual: int = 5) -> Column:
+    """max(1, the same number) for a stored uniform: compared with the first ``usual`` sums directly, and ``many`` where it lies beyond them."""
+    p, c, known = F.exp(-mean), F.exp(-mean), []
+    for k in range(1, usual + 1):
+        p = p * mean / k
+        c = c + p
+        known.append((u <= c, k))
+    out = F.when(*known[0])
+    for condition, k in known[1:]:
+        out = out.when(condition, k)
+    return out.otherwise(F.greatest(F.lit(1), many))
+
+
 def poisson_count(mean: Column, seed: int, *key: Column | str) -> Column:
     """A Poisson number of the key alone, for any mean: a sum over parts of 500 at most."""
     parts = F.greatest(F.lit(1), F.ceil(mean / 500)).cast("int")
@@ -50,24 +64,38 @@ def mutated(rows: DataFrame, rate: float = 0.05, shortest: int = 5, longest: int
 
     An edit substitutes a letter by another one (weight 1), deletes one or inserts one (0.1 each, where the length allows). The caller drops what is unchanged.
     """
-    n = F.greatest(F.lit(1), poisson_count(F.length("parent") * rate, seed, *key, F.lit("edits")))
-    size = len(ALPHABET)
+    mean, size, unrolled = F.length("parent") * rate, len(ALPHABET), 3
+    many = poisson_count(mean, seed, *key, F.lit("edits"))
+    draws = lambda k: F.struct(*(uniform(seed, *key, k, F.lit(what)).alias(what) for what in ("op", "at", "aa")))
 
-    def edit(s: Column, k: Column) -> Column:
-        u = lambda what: uniform(seed, *key, k, F.lit(what))
+    def edit(s: Column, u: Column) -> Column:
         length = F.length(s)
         delete, insert = F.when(length > shortest, 0.1).otherwise(0.0), F.when(length < longest, 0.1).otherwise(0.0)
-        choice = u("op") * (1 + delete + insert)
-        at = F.floor(u("at") * length).cast("int")
+        choice = u["op"] * (1 + delete + insert)
+        at = F.floor(u["at"] * length).cast("int")
         old = F.instr(F.lit(ALPHABET), F.substr(s, at + 1, F.lit(1)))
         pick = lambda i: F.substr(F.lit(ALPHABET), i.cast("int"), F.lit(1))
-        other = pick((old + F.floor(u("aa") * (size - 1))) % size + 1)
+        other = pick((old + F.floor(u["aa"] * (size - 1))) % size + 1)
         head, tail = F.substr(s, F.lit(1), at), F.substr(s, at + 2, F.length(s))
-        place = F.floor(u("at") * (length + 1)).cast("int")
-        inserted = F.concat(F.substr(s, F.lit(1), place), pick(F.floor(u("aa") * size) + 1), F.substr(s, place + 1, F.length(s)))
+        place = F.floor(u["at"] * (length + 1)).cast("int")
+        inserted = F.concat(F.substr(s, F.lit(1), place), pick(F.floor(u["aa"] * size) + 1), F.substr(s, place + 1, F.length(s)))
         return F.when(choice < 1, F.concat(head, other, tail)).when(choice < 1 + delete, F.concat(head, tail)).otherwise(inserted)
 
-    return rows.withColumn("n", n).select(*key, "parent", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.col("parent"), edit).alias("sequence"))
+    # Most parents have few edits: these are compiled, with draws that are columns, and only later ones go through a lambda.
+    rows = rows.withColumn("_u", uniform(seed, *key, F.lit("edits"), F.lit(1)))
+    rows = rows.withColumn("n", F.when(mean <= 500, _edits(mean, F.col("_u"), poisson(mean, F.col("_u")))).otherwise(F.greatest(F.lit(1), many))).withColumn("_s", F.col("parent"))
+    for k in range(1, unrolled + 1):
+        due = F.col("n") >= k
+        rows = rows.withColumn("_d", F.when(due, draws(F.lit(k)))).withColumn("_s", F.when(due, edit(F.col("_s"), F.col("_d"))).otherwise(F.col("_s")))
+    later = F.aggregate(F.sequence(F.lit(unrolled + 1), F.col("n")), F.col("_s"), lambda s, k: F.transform(F.array(draws(k)), lambda u: edit(s, u))[0])
+    # Out of an array, so that a caller's filter isn't pushed down, which would put the whole expression in place of each mention of the sequence.
+    return rows.select(*key, "parent", F.explode(F.array(F.when(F.col("n") > unrolled, later).otherwise(F.col("_s")))).alias("sequence"))
+
+
+def _unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (stored, few beside ``known``) whose sequence isn't known. Known sequences are filtered by those of the rows as they are read, so a large table is neither shuffled nor made distinct."""
+    met = known.select("sequence").join(F.broadcast(rows.select("sequence").distinct()), "sequence", "left_semi").distinct()
+    return rows.join(met, "sequence", "left_anti")
 
 
 def _children(proposals: DataFrame, known: DataFrame, tries: int, seed: int, **how) -> DataFrame:
@@ -81,7 +109,7 @@ def _children(proposals: DataFrame, known: DataFrame, tries: int, seed: int, **h
         more = min(max(1, done), tries - done)
         each = left.withColumn("attempt", F.explode(F.sequence(F.lit(done), F.lit(done + more - 1))))
         valid = mutated(each, seed=seed, key=("id", "attempt"), **how).where((F.col("sequence") != F.col("parent")) & F.length("sequence").between(shortest, longest))
-        fresh = pinned(valid.join(known.select("sequence").distinct(), "sequence", "left_anti").groupBy("id").agg(F.min_by("sequence", "attempt").alias("sequence")))
+        fresh = pinned(_unknown(pinned(valid), known).groupBy("id").agg(F.min_by("sequence", "attempt").alias("sequence")))
         found = fresh if found is None else found.unionByName(fresh)
         left, done = left.join(fresh.select("id"), "id", "left_anti"), done + more
         if left.isEmpty():
@@ -111,7 +139,8 @@ def mutant_pool(parents: DataFrame, k: int, known: DataFrame, tries: int = 256,
     A proposal keeps its parent and is mutated again until its child is valid. Fewer than k come back only where max(20 k, 10 000) proposals with ``tries`` attempts each don't give as many.
     """
     spark = parents.sparkSession
-    indexed = pinned(_dense_index(parents.select("sequence").distinct(), "sequence").withColumnRenamed("sequence", "parent"))
+    parents = pinned(parents.select("sequence").distinct())
+    indexed = pinned(_dense_index(parents, "sequence").withColumnRenamed("sequence", "parent"))
     n = indexed.count()
     if not n or k <= 0:
         return parents.select("sequence").limit(0)
@@ -248,7 +277,7 @@ def _grown(start: DataFrame, n: int, seed: int, **how) -> DataFrame:
 
 def initial_population(given: DataFrame, n: int, least: int = 0, seed: int = 42, **how) -> DataFrame:
     """(sequence) to begin with: distinct ``given`` ones, filled up to n by their mutants; whole where they are n or more. Fewer than ``least`` in the end are an error."""
-    start = given.select("sequence").distinct()
+    start = pinned(given.select("sequence").distinct())  # every round reads it
     have = start.count()
     if not have:
         raise ValueError("an initial population needs one sequence at least")

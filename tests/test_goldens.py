@@ -83,6 +83,24 @@ def test_no_lambda_works_on_letters(spark):
         assert "lambdafunction" not in plan, name
 
 
+def test_edits_are_few_expressions(spark):
+    """Counts are those of the plain sum, long parents and many edits included, and a filter on children doesn't multiply the plan."""
+    df = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY" * (1 + i % 3 * 100)) for i in range(60)], "id long, parent string")
+    u, mean = exprs.uniform(42, "id", F.lit("edits"), F.lit(1)), F.length("parent") * 0.05
+    rows = df.where("length(parent) < 9000").withColumn("u", u).select(generate._edits(mean, F.col("u"), generate.poisson(mean, F.col("u"))).alias("a"), F.greatest(F.lit(1), generate.poisson_count(mean, 42, "id", F.lit("edits"))).alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+    plan = generate.mutated(df, longest=9000).where("sequence <> parent and length(sequence) between 5 and 9000")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") < 100
+
+
+def test_known_sequences_are_neither_shuffled_nor_distinct(spark):
+    known = spark.createDataFrame([("A",), ("C",), ("C",), (None,)], "sequence string")
+    rows = spark.createDataFrame([(1, "C"), (2, "D"), (3, "D"), (4, None)], "id int, sequence string")
+    out = generate._unknown(rows, known)
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeat_rule(spark):
     df = spark.createDataFrame([("ACCCCCCD",), ("ACCCCCD",)], "sequence string")
     assert [r[0] for r in filters.quality_filter(df, most_share=1.0).collect()] == ["ACCCCCD"]
