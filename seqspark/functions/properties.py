@@ -114,6 +114,14 @@ def _pieces(code: np.ndarray, at: np.ndarray):
         yield row, here - at[row], code[lo:hi], np.where(here + 1 < at[row + 1], following, np.uint8(_OTHER))
 
 
+def letter_counts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row for each sequence, a column for each letter and one for all others."""
+    count = np.zeros((len(at) - 1, 27))
+    for row, _, letter, _ in _pieces(code, at):
+        count[row[0] : row[-1] + 1] += np.bincount((row - row[0]) * 27 + letter, minlength=27 * (row[-1] - row[0] + 1)).reshape(-1, 27)
+    return count
+
+
 def _table(values: dict[str, float]) -> np.ndarray:
     return np.array([float(values.get(chr(65 + i), 0.0)) for i in range(26)] + [0.0])
 
@@ -175,10 +183,8 @@ def with_all_properties(df: DataFrame, s: str, weights: dict[str, float]) -> Dat
 
     def numbers(a: pa.Array) -> pa.Array:
         code, at = _letters(a)
-        n, length, null = len(a), np.diff(at), a.is_null().to_numpy(zero_copy_only=False)
-        count = np.zeros((n, 27))
-        for row, _, letter, _ in _pieces(code, at):
-            count[row[0] : row[-1] + 1] += np.bincount((row - row[0]) * 27 + letter, minlength=27 * (row[-1] - row[0] + 1)).reshape(-1, 27)
+        length, null = np.diff(at), a.is_null().to_numpy(zero_copy_only=False)
+        count = letter_counts(code, at)
         some = np.maximum(length, 1)
         share = {k: count @ _table(dict.fromkeys(v, 1.0)) / some for k, v in _SETS.items()}
         out = {"length": pa.array(length, pa.int64(), mask=null), "molecular_weight": pa.array(count @ _table(MASS) - (length - 1) * WATER, mask=null)}

@@ -130,7 +130,7 @@ def search_candidates(candidates: DataFrame, scorer: Scorer, phases: list[Phase]
 def property_embedding(sequences: DataFrame) -> DataFrame:
     """``sequences`` with seq_id and embedding: the means of PROPERTY_TABLE over the letters, and the length."""
     table = {name: {a: float(v) for a, v in values.items()} for name, values in PROPERTY_TABLE.items()}
-    return sequences.withColumn("embedding", F.array(*embed.property_columns(F.col("sequence"), table), F.length("sequence") / 20)).withColumn("seq_id", F.col("sequence"))
+    return sequences.withColumn("embedding", F.concat(embed.property_means(F.col("sequence"), table), F.array(F.length("sequence") / 20))).withColumn("seq_id", F.col("sequence"))
 
 
 def outside_components(sequences: DataFrame, n: int, path: str) -> embed.Components:
@@ -138,7 +138,7 @@ def outside_components(sequences: DataFrame, n: int, path: str) -> embed.Compone
     spark = sequences.sparkSession
     found = store.load_models(spark, path)
     if not found:
-        store.save_models(spark, {"components": embed.Components.fit(property_embedding(sequences.select("sequence").distinct()), n=n)}, path, 0)
+        store.save_models(spark, {"components": embed.Components.fit(property_embedding(sequences.select("sequence").distinct()), n=n, size=len(PROPERTY_TABLE) + 1)}, path, 0)
         found = store.load_models(spark, path)
     return found["components"]
 

@@ -185,7 +185,7 @@ def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @spec("g09_pooled", f"select sequence, round({_SUM['charge']},6) charge from (select distinct sequence from {{peptides}})")
 def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embed.pooled(embed.residue_embedding(fixture(spark, sf_dir, "peptides").select("sequence").distinct(), PROPERTY_TABLE))
+    rows = embed.pooled(embed.residue_embedding(fixture(spark, sf_dir, "peptides").select("sequence").distinct(), PROPERTY_TABLE), size=len(PROPERTY_TABLE))
     return rows.select("sequence", F.round(F.col("embedding")[0], 6).alias("charge"))
 
 

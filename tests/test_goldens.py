@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import exprs, properties
-from seqspark.operators import acquire, confidence, filters, generate, select, surrogate
+from seqspark.operators import acquire, confidence, embed, filters, generate, select, surrogate
 
 
 @pytest.fixture(scope="module")
@@ -101,6 +101,31 @@ def test_known_sequences_are_neither_shuffled_nor_distinct(spark):
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_residue_components_without_residue_rows(spark):
+    """One pass and letters alone give the components, arrays and means of residue rows; unknown letters count as 0."""
+    table = {"a": {"A": 1.0, "C": -2.0, "K": 0.5}, "b": {"A": 0.3, "W": 1.0}, "c": {"K": 2.0, "D": -1.0}}
+    df = spark.createDataFrame([("ACKW",), ("DDXA",), ("é",), ("",), ("KKCAWD",)], "sequence string").repartition(2)
+    rows = embed.residue_embedding(df, table)
+    old, new = embed.Components.fit(rows, n=2), embed.Components.fit(rows, n=2, size=3)
+    assert new.mean == pytest.approx(old.mean) and sum(new.axes, []) == pytest.approx(sum(old.axes, [])) and new.explained == pytest.approx(old.explained)
+    want = {r.sequence: r.embedding for r in embed.regrouped(new.transform(rows)).collect()}
+    got = {r.sequence: r.embedding for r in embed.residue_arrays(df, *new.of_letters(table)).collect()}
+    assert want.keys() == got.keys()
+    assert all(sum(got[k], []) == pytest.approx(sum(want[k], [])) for k in want)
+    by = lambda x: {r.sequence: r.embedding for r in x.collect()}
+    a, b = by(embed.pooled(rows)), by(embed.pooled(rows, size=3))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    means = by(embed.average_embedding(df, table))
+    assert means[""] == [None] * 3 and all(means[k] == pytest.approx(a[k]) for k in a)
+
+
+def test_one_job_reads_residues_once(spark):
+    from seqspark.plans import catalog
+
+    plan = catalog.queries()["g09_pooled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(split") <= 1 and "collect_list" not in plan and "lambdafunction" not in plan
+
+
 def test_repeat_rule(spark):
     df = spark.createDataFrame([("ACCCCCCD",), ("ACCCCCD",)], "sequence string")
     assert [r[0] for r in filters.quality_filter(df, most_share=1.0).collect()] == ["ACCCCCD"]
