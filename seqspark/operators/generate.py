@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from seqspark.functions import properties
 from seqspark.functions.exprs import ALPHABET, normal, uniform
 from seqspark.functions.storage import folder, pinned
 from seqspark.operators.order import first_rows, ranked
@@ -219,6 +225,52 @@ def tiles(proteins: DataFrame, length: int, chunk: int = 512) -> DataFrame:
     return rows.where(last > 0).select("protein_id", F.explode(cut).alias("w")).select("protein_id", "w.start_pos", "w.sequence")
 
 
+def tile_kinds(proteins: DataFrame, length: int) -> DataFrame:
+    """(protein_id, n, kinds): how many windows of ``length`` letters a protein has, and how many different ones; those without a window are left out.
+
+    Rows of a protein come together and are counted where they are cut: only sequences are shuffled, never a row for each window. Windows of letters A to Z are numbers of five bits a letter.
+    """
+    if length > 12:
+        return tiles(proteins, length).groupBy("protein_id").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("kinds"))
+    rows = proteins.select("protein_id", "sequence").where(F.length("sequence") >= length).repartition("protein_id").sortWithinPartitions("protein_id")
+    schema = T.StructType([rows.schema["protein_id"], T.StructField("n", T.LongType()), T.StructField("kinds", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, numbers, texts, started = None, 0, np.zeros(0, np.int64), set(), False
+        for batch in batches:
+            ids, sequences, done = batch.column("protein_id").to_pylist(), batch.column("sequence"), []
+            code, at = properties._letters(sequences)
+            for k, i in enumerate(ids):
+                if started and i != own:
+                    done.append((own, n, len(numbers) + len(texts)))
+                    n, numbers, texts = 0, np.zeros(0, np.int64), set()
+                own, started = i, True
+                letters = code[at[k] : at[k + 1]].astype(np.int64)
+                m = len(letters) - length + 1
+                n += m
+                packed = np.zeros(m, np.int64)
+                for j in range(length):
+                    packed = packed * 32 + letters[j : j + m]
+                if letters.max() > 25:  # windows with other letters are compared as text
+                    other = np.convolve(letters > 25, np.ones(length, np.int64), "valid") > 0
+                    s, packed = sequences[k].as_py(), packed[~other]
+                    texts.update(s[p : p + length] for p in np.flatnonzero(other))
+                fresh = np.unique(packed)
+                numbers = np.union1d(numbers, fresh) if len(numbers) else fresh
+            if done:
+                yield _counted_batch(done, batch.schema)
+                done = []
+        if started:
+            yield _counted_batch([(own, n, len(numbers) + len(texts))], batch.schema)
+
+    return rows.mapInArrow(count, schema)
+
+
+def _counted_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    ids, n, kinds = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, schema.field("protein_id").type), pa.array(n, pa.int64()), pa.array(kinds, pa.int64())], ["protein_id", "n", "kinds"])
+
+
 def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
     """k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many."""
     from seqspark.operators.filters import quality_filter

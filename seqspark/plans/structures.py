@@ -242,7 +242,7 @@ def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @spec("c10_tiles", "select seq_id protein_id, count(*) n, count(distinct substr(sequence, cast(i+1 as int), 8)) kinds from (select seq_id, sequence, unnest(generate_series(0,length(sequence)-8)) i from {sequences} where length(sequence) >= 8) group by 1")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     proteins = fixture(spark, sf_dir, "sequences").withColumnRenamed("seq_id", "protein_id")
-    return generate.tiles(proteins, 8).groupBy("protein_id").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("kinds"))
+    return generate.tile_kinds(proteins, 8)
 
 
 _LETTERS = "ACDEFGHIKLMNPQRSTVWY"

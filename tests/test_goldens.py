@@ -126,6 +126,18 @@ def test_one_job_reads_residues_once(spark):
     assert plan.count("Generate posexplode(split") <= 1 and "collect_list" not in plan and "lambdafunction" not in plan
 
 
+def test_kinds_of_tiles(spark):
+    """Equals the count over rows of windows: repeats, ids of several rows, null ids, other letters, short and null sequences."""
+    data = [(1, "ACACACACACACAC"), (1, "ACACACACKK"), (2, "ACD"), (3, None), (None, "KKKKKKKKK"), (None, "KKKKKKKKW"), (4, "éACDEFGHIéACDEFGHI"), (5, "ACDEFGHIKLMNPQRSTVWY" * 100)]
+    df = spark.createDataFrame(data, "protein_id long, sequence string").repartition(3)
+    for length in (3, 8, 13):
+        want = generate.tiles(df, length).groupBy("protein_id").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("kinds"))
+        got = generate.tile_kinds(df, length)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.columns == want.columns
+    plan = generate.tile_kinds(df, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_repeat_rule(spark):
     df = spark.createDataFrame([("ACCCCCCD",), ("ACCCCCD",)], "sequence string")
     assert [r[0] for r in filters.quality_filter(df, most_share=1.0).collect()] == ["ACCCCCD"]
