@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,9 +190,21 @@ def _dense_index(df: DataFrame, *key: str) -> DataFrame:
 
 
 def local_peptides(scored: DataFrame, proteins: DataFrame, per_parent: int, position_spread: float, length_spread: float, low: int, high: int, seed: int = 42) -> DataFrame:
-    """(id, protein_id, start_pos, sequence): shifted and resized copies of ``scored`` peptides (protein_id, start_pos, sequence), within their proteins."""
-    rows = scored.select("protein_id", "start_pos", "sequence").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(per_parent - 1))))
-    return _local(rows, proteins, position_spread, length_spread, low, high, seed)
+    """(id, protein_id, start_pos, sequence): shifted and resized copies of ``scored`` peptides (protein_id, start_pos, sequence), within their proteins. A scored peptide begins within its protein.
+
+    One join: a normal number of :func:`normal` is below 6.77, so a copy lies within reach of its parent, and a parent meets the piece of its protein that covers all of its copies. Copies are made after that, and no sequence of a parent travels.
+    """
+    reach = max(high, math.ceil(6.77 * position_spread) + 1)
+    wide, chunk = 2 * reach + high + 1, 512
+    parents = scored.select("protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size"), F.floor(F.greatest(F.lit(0), F.col("start_pos") - reach) / chunk).cast("int").alias("chunk"))
+    pieces = F.regexp_extract_all("sequence", F.lit(rf"(?=(.{{1,{chunk + wide - 1}}})).{{1,{chunk}}}"), F.lit(1))
+    pieces = proteins.select("protein_id", F.length("sequence").alias("letters_in_all"), F.posexplode(pieces).alias("chunk", "letters"))
+    rows = parents.join(pieces, ["protein_id", "chunk"]).withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(per_parent - 1))))
+    key = ("protein_id", "at", "id")
+    size = F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.col("size") + length_spread * normal(seed, *key, F.lit("l"))).cast("int")))
+    start = F.round(F.col("at") + position_spread * normal(seed, *key, F.lit("p"))).cast("int")
+    rows = rows.withColumn("size", size).withColumn("start_pos", F.greatest(F.lit(0), F.least(F.col("letters_in_all") - F.col("size"), start)))
+    return rows.select("id", "protein_id", "start_pos", F.substr("letters", F.col("start_pos") - chunk * F.col("chunk") + 1, F.col("size")).alias("sequence"))
 
 
 def _local(copies: DataFrame, proteins: DataFrame, position_spread: float, length_spread: float, low: int, high: int, seed: int) -> DataFrame:

@@ -138,6 +138,18 @@ def test_kinds_of_tiles(spark):
     assert "Generate" not in plan
 
 
+def test_local_peptides_of_one_join(spark):
+    """The same copies as by two joins, at the borders of pieces and of proteins, with wide shifts; proteins are joined once."""
+    proteins = spark.createDataFrame([(i, "ACDEFGHIKLMNPQRSTVWY" * n + "WK" * i) for i, n in enumerate((0, 1, 30, 120))], "protein_id long, sequence string")
+    scored = proteins.where("protein_id > 0").selectExpr("protein_id", "explode(sequence(0, length(sequence) - 3, 7)) start_pos", "'ACDEFGHIK' sequence")
+    for spread in (3.0, 60.0):
+        copies = scored.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(1))))
+        want = generate._local(copies, proteins, spread, 2.0, 7, 20, 42)
+        got = generate.local_peptides(scored, proteins, 2, spread, 2.0, 7, 20)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
 def test_repeat_rule(spark):
     df = spark.createDataFrame([("ACCCCCCD",), ("ACCCCCD",)], "sequence string")
     assert [r[0] for r in filters.quality_filter(df, most_share=1.0).collect()] == ["ACCCCCD"]
