@@ -124,15 +124,16 @@ def _children(proposals: DataFrame, known: DataFrame, tries: int, seed: int, **h
     return found
 
 
-def _first_distinct(propose, k: int, spark: SparkSession) -> DataFrame | None:
+def _first_distinct(propose, k: int, least: int = 64, given: tuple[int, DataFrame] | None = None) -> DataFrame | None:
     """The first k rows of distinct ``sequence`` by ``id`` out of ``propose(first, n)``, proposals first to first + n - 1.
 
-    Rounds ask for twice what falls short, or as many as were proposed before if that is more, until k are found or max(20 k, 10 000) proposals are made.
+    Rounds ask for twice what falls short, or as many as were proposed before if that is more, and for ``least`` at least, until k are found or max(20 k, 10 000) proposals are made.
+    How many a round asks for doesn't change what is found. ``given``: a number n and what ``propose(0, n)`` gives, where that is known.
     """
     pool, made, have, most = None, 0, 0, max(20 * k, 10_000)
     while have < k and made < most:
-        n = min(max(2 * (k - have), made, 64), most - made)
-        fresh = propose(made, n)
+        n = min(given[0] if given and not made else max(2 * (k - have), made, least), most - made)
+        fresh = given[1].where(F.col("id") < n) if given and not made else propose(made, n)
         pool = fresh if pool is None else pool.unionByName(fresh)
         first = Window.partitionBy("sequence").orderBy("id")
         pool = pinned(pool.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
@@ -156,7 +157,7 @@ def mutant_pool(parents: DataFrame, k: int, known: DataFrame, tries: int = 256,
         ids = spark.range(first, first + count).withColumn("place", F.floor(uniform(seed, "id", F.lit("parent")) * n).cast("long"))
         return _children(pinned(ids.join(indexed, "place").select("id", "parent")), known, tries, seed, **how)
 
-    return _first_distinct(propose, k, spark).select("sequence")
+    return _first_distinct(propose, k).select("sequence")
 
 
 def peptide_length(seed: int, low: int, high: int, *key: Column | str, gaussian: bool = False) -> Column:
@@ -167,21 +168,34 @@ def peptide_length(seed: int, low: int, high: int, *key: Column | str, gaussian:
     return F.greatest(F.lit(low), F.least(F.lit(high), draw.cast("int")))
 
 
+#: So many windows of one round are sent to the proteins; more are joined by shuffles.
+FEW = 1_000_000
+#: A round of peptides reads the proteins once, whatever it asks for, so it asks for many.
+_AT_ONCE = 1024
+
+
 def sampled_peptides(proteins: DataFrame, n: int, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
     """(id, protein_id, start_pos, sequence): n proposals, each from a random protein at a random midpoint; a protein that is too short is taken whole."""
-    return _sampled(_dense_index(proteins.select("protein_id", "sequence").where(F.length("sequence") > 0), "protein_id"), 0, n, low, high, seed, gaussian)
+    return _sampled(protein_index(proteins), proteins, 0, n, low, high, seed, gaussian)
+
+
+def protein_index(proteins: DataFrame) -> DataFrame:
+    """(place, protein_id, letters_in_all) of the proteins that aren't empty, in the order of their ids, stored. Of a sequence only its length is kept."""
+    lengths = pinned(proteins.select("protein_id", F.length("sequence").alias("letters_in_all")))
+    return pinned(_dense_index(lengths.where("letters_in_all > 0"), "protein_id"))
 
 
-def _sampled(indexed: DataFrame, first: int, n: int, low: int, high: int, seed: int, gaussian: bool) -> DataFrame:
-    """Proposals first to first + n - 1 from proteins with their ``place``."""
+def _sampled(indexed: DataFrame, proteins: DataFrame, first: int, n: int, low: int, high: int, seed: int, gaussian: bool) -> DataFrame:
+    """Proposals first to first + n - 1 from ``proteins`` with their index."""
     count = indexed.count()
     ids = indexed.sparkSession.range(first, first + n).withColumn("place", F.floor(uniform(seed, "id", F.lit("protein")) * count).cast("long"))
-    rows = ids.join(indexed.select("place", "protein_id", F.length("sequence").alias("letters_in_all")), "place").withColumn("size", peptide_length(seed, low, high, "id", F.lit("length"), gaussian=gaussian))
+    few = n <= FEW
+    rows = indexed.join(F.broadcast(ids) if few else ids, "place").withColumn("size", peptide_length(seed, low, high, "id", F.lit("length"), gaussian=gaussian))
     whole = F.col("letters_in_all")
     middle = F.floor(uniform(seed, "id", F.lit("middle")) * whole).cast("int")
     start = F.when(whole <= F.col("size"), 0).otherwise(F.greatest(F.lit(0), F.least(whole - F.col("size"), middle - F.floor(F.col("size") / 2).cast("int"))))
     rows = rows.select("id", "protein_id", start.alias("start_pos"), "size")
-    return windows(rows, indexed.select("protein_id", "sequence"), high).select("id", "protein_id", "start_pos", "sequence")
+    return windows(rows, proteins, high, few=few).select("id", "protein_id", "start_pos", "sequence")
 
 
 def _dense_index(df: DataFrame, *key: str) -> DataFrame:
@@ -207,26 +221,33 @@ def local_peptides(scored: DataFrame, proteins: DataFrame, per_parent: int, posi
     return rows.select("id", "protein_id", "start_pos", F.substr("letters", F.col("start_pos") - chunk * F.col("chunk") + 1, F.col("size")).alias("sequence"))
 
 
-def _local(copies: DataFrame, proteins: DataFrame, position_spread: float, length_spread: float, low: int, high: int, seed: int) -> DataFrame:
-    rows = copies.select("id", "protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size"))
+def _local(copies: DataFrame, proteins: DataFrame, position_spread: float, length_spread: float, low: int, high: int, seed: int, few: bool = False) -> DataFrame:
+    """Copies come with their protein's ``letters_in_all`` or get it here; ``few`` as for :func:`windows`."""
+    if "letters_in_all" not in copies.columns:
+        copies = copies.join(proteins.select("protein_id", F.length("sequence").alias("letters_in_all")), "protein_id")
+    rows = copies.select("id", "protein_id", F.col("start_pos").alias("at"), F.length("sequence").alias("size"), "letters_in_all")
     key = ("protein_id", "at", "id")
     size = F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.col("size") + length_spread * normal(seed, *key, F.lit("l"))).cast("int")))
-    rows = rows.withColumn("size", size).join(proteins.select("protein_id", F.length("sequence").alias("letters_in_all")), "protein_id")
+    rows = rows.withColumn("size", size)
     start = F.round(F.col("at") + position_spread * normal(seed, *key, F.lit("p"))).cast("int")
     rows = rows.select("id", "protein_id", F.greatest(F.lit(0), F.least(F.col("letters_in_all") - F.col("size"), start)).alias("start_pos"), "size")
-    return windows(rows, proteins, high).select("id", "protein_id", "start_pos", "sequence")
+    return windows(rows, proteins, high, few=few).select("id", "protein_id", "start_pos", "sequence")
 
 
 def chunked(proteins: DataFrame, longest: int, chunk: int = 512) -> DataFrame:
     """(protein_id, chunk, letters): each sequence in pieces of ``chunk`` letters that overlap by ``longest`` - 1, cut in one pass, so that any window of up to ``longest`` letters lies within the piece of its start."""
     pieces = F.regexp_extract_all("sequence", F.lit(rf"(?=(.{{1,{chunk + longest - 1}}})).{{1,{chunk}}}"), F.lit(1))
-    return proteins.where(F.length("sequence") > 0).select("protein_id", F.posexplode(pieces).alias("chunk", "letters"))
+    return proteins.select("protein_id", F.posexplode(pieces).alias("chunk", "letters"))  # none of an empty one
 
 
-def windows(rows: DataFrame, proteins: DataFrame, longest: int, chunk: int = 512) -> DataFrame:
-    """``rows`` (protein_id, start_pos, size and others) with their ``sequence``. Only the piece that a window lies in travels with it, never the whole protein, so the work is linear in the number of windows whatever the proteins' lengths."""
+def windows(rows: DataFrame, proteins: DataFrame, longest: int, chunk: int = 512, few: bool = False) -> DataFrame:
+    """``rows`` (protein_id, start_pos, size and others) with their ``sequence``. Only the piece that a window lies in travels with it, never the whole protein, so the work is linear in the number of windows whatever the proteins' lengths.
+
+    With ``few`` (up to FEW rows) the windows go to the proteins: one reading, of which only proteins with a window are cut and nothing is shuffled."""
     at = rows.withColumn("chunk", F.floor(F.col("start_pos") / chunk).cast("int"))
-    joined = at.join(chunked(proteins, longest, chunk), ["protein_id", "chunk"])
+    if few:
+        proteins, at = proteins.join(F.broadcast(rows.select("protein_id").distinct()), "protein_id", "left_semi"), F.broadcast(at)
+    joined = chunked(proteins, longest, chunk).join(at, ["protein_id", "chunk"])
     return joined.withColumn("sequence", F.substr("letters", F.col("start_pos") - chunk * F.col("chunk") + 1, F.col("size"))).drop("chunk", "letters")
 
 
@@ -284,48 +305,80 @@ def _counted_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, schema.field("protein_id").type), pa.array(n, pa.int64()), pa.array(kinds, pa.int64())], ["protein_id", "n", "kinds"])
 
 
-def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
-    """k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many."""
-    from seqspark.operators.filters import quality_filter
-
-    seen, columns = known.select("sequence").distinct(), ["protein_id", "start_pos", "sequence"]
-    indexed = pinned(_dense_index(proteins.select("protein_id", "sequence").where(F.length("sequence") > 0), "protein_id"))
+_PEPTIDE = ["protein_id", "start_pos", "sequence"]
 
-    def propose(first: int, n: int) -> DataFrame:
-        drawn = quality_filter(_sampled(indexed, first, n, low, high, seed, gaussian), longer_than=low - 1, shorter_than=high + 1)
-        return drawn.join(seen, "sequence", "left_anti").select("id", *columns)
 
-    found = _first_distinct(propose, k, proteins.sparkSession) if k > 0 else None
-    return found.select(*columns) if found is not None else proteins.select("protein_id", F.lit(0).alias("start_pos"), "sequence").limit(0)
+def _from_anywhere(proteins: DataFrame, indexed: DataFrame, low: int, high: int, seed: int, gaussian: bool = False):
+    """A function of (first, n): those of the proposals first to first + n - 1 that pass the quality filter, stored."""
+    from seqspark.operators.filters import quality_filter
 
+    return lambda first, n: pinned(quality_filter(_sampled(indexed, proteins, first, n, low, high, seed, gaussian), longer_than=low - 1, shorter_than=high + 1).select("id", *_PEPTIDE))
 
-def near_peptides(scored: DataFrame, proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, position_spread: float = 5.0, length_spread: float = 2.0, seed: int = 42) -> DataFrame:
-    """k distinct peptides near the ``scored`` ones (protein_id, start_pos, sequence) that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many.
 
-    Proposals go round the scored ones by their place, so each has as many."""
+def _from_near(scored: DataFrame, proteins: DataFrame, indexed: DataFrame, low: int, high: int, position_spread: float, length_spread: float, seed: int):
+    """The same for copies of the ``scored`` peptides, which go round them by their place, so each has as many; None without any."""
     from seqspark.operators.filters import quality_filter
 
-    seen, columns = known.select("sequence").distinct(), ["protein_id", "start_pos", "sequence"]
-    parents = pinned(_dense_index(scored.select(*columns), "sequence", "protein_id", "start_pos"))
+    parents = pinned(_dense_index(pinned(scored.select(*_PEPTIDE)), "sequence", "protein_id", "start_pos"))
     n_parents = parents.count()
+    if not n_parents:
+        return None
+    parents = pinned(indexed.select("protein_id", "letters_in_all").join(F.broadcast(parents) if n_parents <= FEW else parents, "protein_id"))
+
+    def draw(first: int, n: int) -> DataFrame:
+        turns = parents.sparkSession.range(first, first + n).withColumn("place", F.col("id") % n_parents)
+        near = _local(turns.join(parents, "place"), proteins, position_spread, length_spread, low, high, seed, n <= FEW)
+        return pinned(quality_filter(near, longer_than=low - 1, shorter_than=high + 1).select("id", *_PEPTIDE))
+
+    return draw
+
 
-    def propose(first: int, n: int) -> DataFrame:
-        turns = proteins.sparkSession.range(first, first + n).withColumn("place", F.col("id") % n_parents)
-        near = _local(turns.join(parents, "place"), proteins, position_spread, length_spread, low, high, seed)
-        good = quality_filter(near, longer_than=low - 1, shorter_than=high + 1)
-        return good.join(seen, "sequence", "left_anti").select("id", *columns)
+def _of_lengths(known: DataFrame, low: int, high: int) -> DataFrame:
+    """The known sequences that a proposal can equal."""
+    return known.select("sequence").where(F.length("sequence").between(low, high))
 
-    found = _first_distinct(propose, k, proteins.sparkSession) if k > 0 and n_parents else None
-    return found.select(*columns) if found is not None else scored.select(*columns).limit(0)
 
+def global_peptides(proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, seed: int = 42, gaussian: bool = False, indexed: DataFrame | None = None) -> DataFrame:
+    """k distinct peptides (protein_id, start_pos, sequence) from anywhere in the proteins that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many.
+
+    ``indexed``: the proteins' :func:`protein_index`, for callers that sample more than once."""
+    if k <= 0:
+        return proteins.select("protein_id", F.lit(0).alias("start_pos"), "sequence").limit(0)
+    draw, seen = _from_anywhere(proteins, protein_index(proteins) if indexed is None else indexed, low, high, seed, gaussian), _of_lengths(known, low, high)
+    return _first_distinct(lambda first, n: _unknown(draw(first, n), seen), k, _AT_ONCE).select(*_PEPTIDE)
+
+
+def near_peptides(scored: DataFrame, proteins: DataFrame, k: int, known: DataFrame, low: int, high: int, position_spread: float = 5.0, length_spread: float = 2.0, seed: int = 42, indexed: DataFrame | None = None) -> DataFrame:
+    """k distinct peptides near the ``scored`` ones (protein_id, start_pos, sequence) that pass the quality filter and aren't known; fewer only where max(20 k, 10 000) proposals don't give as many.
 
-def mixed_peptides(scored: DataFrame, proteins: DataFrame, k: int, local: float, known: DataFrame, low: int, high: int, seed: int = 42) -> DataFrame:
-    """k peptides with their origin: a share ``local`` from around the scored ones, the rest (and what falls short) from anywhere; distinct over both."""
-    near = near_peptides(scored, proteins, int(k * local), known, low, high, seed=seed) if int(k * local) else None
-    if near is None:
-        return global_peptides(proteins, k, known, low, high, seed=seed).withColumn("origin", F.lit("global"))
-    rest = global_peptides(proteins, k - near.count(), known.select("sequence").unionByName(near.select("sequence")), low, high, seed=seed + 1000)
-    return near.withColumn("origin", F.lit("local")).unionByName(rest.withColumn("origin", F.lit("global")))
+    ``indexed`` as for :func:`global_peptides`."""
+    draw = _from_near(scored, proteins, protein_index(proteins) if indexed is None else indexed, low, high, position_spread, length_spread, seed) if k > 0 else None
+    if draw is None:
+        return scored.select(*_PEPTIDE).limit(0)
+    seen = _of_lengths(known, low, high)
+    return _first_distinct(lambda first, n: _unknown(draw(first, n), seen), k, _AT_ONCE).select(*_PEPTIDE)
+
+
+def mixed_peptides(scored: DataFrame, proteins: DataFrame, k: int, local: float, known: DataFrame, low: int, high: int, seed: int = 42, indexed: DataFrame | None = None) -> DataFrame:
+    """k peptides with their origin: a share ``local`` from around the scored ones, the rest (and what falls short) from anywhere; distinct over both.
+
+    The first proposals of both are held against the known ones together, which are read once unless these are too few."""
+    indexed, n_near = protein_index(proteins) if indexed is None else indexed, int(k * local)
+    near_draw = _from_near(scored, proteins, indexed, low, high, 5.0, 2.0, seed) if n_near > 0 else None
+    if near_draw is None:
+        return global_peptides(proteins, k, known, low, high, seed=seed + 1000 if n_near else seed, indexed=indexed).withColumn("origin", F.lit("global"))
+    draw, seen = _from_anywhere(proteins, indexed, low, high, seed + 1000), _of_lengths(known, low, high)
+    first = {"local": max(2 * n_near, _AT_ONCE), "global": max(2 * k, _AT_ONCE)}
+    drawn = near_draw(0, first["local"]).withColumn("origin", F.lit("local")).unionByName(draw(0, first["global"]).withColumn("origin", F.lit("global")))
+    fresh = pinned(_unknown(drawn, seen))
+    given = lambda origin: fresh.where(F.col("origin") == origin).select("id", *_PEPTIDE)
+    near = pinned(_first_distinct(lambda at, n: _unknown(near_draw(at, n), seen), n_near, _AT_ONCE, (first["local"], given("local"))).select(*_PEPTIDE))
+    short, out = k - near.count(), near.withColumn("origin", F.lit("local"))
+    if short <= 0:
+        return out
+    both = seen.unionByName(near.select("sequence"))
+    rest = _first_distinct(lambda at, n: _unknown(draw(at, n), both), short, _AT_ONCE, (first["global"], _unknown(given("global"), near)))
+    return out.unionByName(rest.select(*_PEPTIDE).withColumn("origin", F.lit("global")))
 
 
 def _grown(start: DataFrame, n: int, seed: int, **how) -> DataFrame:

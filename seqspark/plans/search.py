@@ -155,16 +155,20 @@ def search_proteome(proteins: DataFrame, scorer: Scorer, phases: list[Phase], pa
     columns = ["protein_id", "start_pos", "sequence", "objective"]
     components = outside_components(fit_data, n_components, f"{path}-components") if fit_data is not None else None
     embedded = (lambda df: components.transform(property_embedding(df))) if components is not None else property_embedding
+    if done is not None and done >= len(schedule):
+        return sinks.read_log(spark, path)
+    indexed = generate.protein_index(proteins)  # once for all iterations
     if done is None:
         none = proteins.select("sequence").limit(0)
-        sinks.append_iteration(scorer(generate.global_peptides(proteins, n_initial, none, low, high, seed=seed)).select(*columns), path, 0, "initial")
+        first = _stored(generate.global_peptides(proteins, n_initial, none, low, high, seed=seed, indexed=indexed), f"{path}-pool/0")
+        sinks.append_iteration(scorer(first).select(*columns), path, 0, "initial")
         done = 0
     for i, phase in enumerate(schedule, 1):
         if i <= done:
             continue
         log = sinks.read_log(spark, path).where(F.col("iteration") < i)
         best = log.orderBy(F.desc("objective"), "sequence").limit(n_top)
-        fresh = _stored(generate.mixed_peptides(best, proteins, pool, local, log, low, high, seed=seed + 100_000 * i), f"{path}-pool/{i}")
+        fresh = _stored(generate.mixed_peptides(best, proteins, pool, local, log, low, high, seed=seed + 100_000 * i, indexed=indexed), f"{path}-pool/{i}")
         if fresh.isEmpty():
             break
         rows = embedded(log.withColumn("y", F.col("objective")))

@@ -75,3 +75,31 @@ def test_peptides_are_found_to_the_last(spark, proteins):
     assert len({r.sequence for r in got}) == len(wanted) - 4 and {r.sequence for r in got} <= wanted
     near = generate.near_peptides(spark.createDataFrame([("p1", 10, text[10:17])], "protein_id string, start_pos int, sequence string"), one, 6, one.limit(0), 7, 9).collect()
     assert len({r.sequence for r in near}) == 6
+
+
+def test_peptides_read_proteins_and_known_sequences_a_few_times(spark, proteins, monkeypatch):
+    """One reading of the proteins for their lengths and one for each kind of window, one of the known ones; and rounds of any size find the same."""
+
+    def counted(df):
+        read = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema), read
+
+    text = dict(proteins.collect())
+    scored = spark.createDataFrame([("p2", at, text["p2"][at : at + 9]) for at in (20, 60, 90)], "protein_id string, start_pos int, sequence string")
+    known = generate.tiles(proteins, 9).select("sequence").localCheckpoint()
+    found = lambda *tables: sorted(tuple(r) for r in generate.mixed_peptides(scored, *tables[:1], 60, 0.5, tables[1], 7, 12).collect())
+    (own, of_proteins), (seen, of_known) = counted(proteins), counted(known)
+    got = found(own, seen)
+    assert of_proteins.value <= 3 * proteins.count() and of_known.value <= known.count()
+    assert len(got) == 60 == len({r[2] for r in got}) and sum(r[3] == "local" for r in got) == 30
+    assert all(text[p][s : s + len(q)] == q and len(q) != 9 for p, s, q, _ in got)
+    monkeypatch.setattr(generate, "_AT_ONCE", 16)
+    assert found(proteins, known) == got
+    monkeypatch.setattr(generate, "FEW", 0)
+    assert found(proteins, known) == got
