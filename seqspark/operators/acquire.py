@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqspark.functions.exprs import normal, normal_cdf, normal_pdf, uniform
+from seqspark.functions.storage import pinned
 
 LEAST_STD, LEAST_SPAN, RHO = 1e-12, 1e-12, 0.05
 
@@ -113,19 +114,24 @@ def parego_ucb(predictions: DataFrame, directions: dict[str, str], weights: dict
 def parego_ei(predictions: DataFrame, directions: dict[str, str], weights: dict[str, float], draws: int = 256, seed: int = 42, points: DataFrame | None = None) -> DataFrame:
     """(seq_id, acquisition): mean improvement of ``draws`` scalarised draws over the best scalarised mean.
 
-    Draws are arrays within a row, one per objective, so nothing is exploded.
+    Predictions are stored once for all passes. Objectives of a row become its columns and a draw is a compiled row that is summed where it is made, so neither arrays of draws nor draws are shuffled.
     """
+    predictions = pinned(predictions)
     rows = _normalised(predictions, directions, weights, points if points is not None else reference_points(predictions, directions))
-    means = rows.groupBy("seq_id").agg(scalarised((F.col("mean") - F.col("ideal")) / F.col("span"), F.col("weight")).alias("g"))
-    best = means.agg(F.min("g")).first()[0]
+    means = rows.groupBy("seq_id").agg(scalarised((F.col("mean") - F.col("ideal")) / F.col("span"), F.col("weight")).alias("g"), F.count("*").alias("n"))
+    best, most = means.agg(F.min("g"), F.max("n")).first()
     if best is None:
         return means.select("seq_id", F.lit(0.0).alias("acquisition"))
-    z = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda j: F.col("weight") * (F.col("mean") + F.col("std") * normal(seed, F.col("seq_id"), F.col("obj"), j) - F.col("ideal")) / F.col("span"))
-    by_objective = rows.withColumn("z", z).groupBy("seq_id").agg(F.collect_list("z").alias("z"))
-    draw = lambda j: F.transform("z", lambda a: F.element_at(a, j))
-    value = lambda j: F.array_max(draw(j)) + RHO * F.aggregate(draw(j), F.lit(0.0), lambda s, x: s + x)
-    gain = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda j: F.greatest(F.lit(0.0), F.lit(best) - value(j)))
-    return by_objective.select("seq_id", (F.aggregate(gain, F.lit(0.0), lambda s, x: s + x) / draws).alias("acquisition"))
+    parts, places = ("obj", "mean", "std", "ideal", "span", "weight"), range(most)
+    own = rows.groupBy("seq_id").agg(F.collect_list(F.struct(*parts)).alias("o"))
+    own = own.select("seq_id", F.size("o").alias("n"), *(F.get("o", F.lit(i))[c].alias(f"{c}{i}") for i in places for c in parts))
+    drawn = own.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    z = lambda i: F.col(f"weight{i}") * (F.col(f"mean{i}") + F.col(f"std{i}") * normal(seed, F.col("seq_id"), F.col(f"obj{i}"), F.col("j")) - F.col(f"ideal{i}")) / F.col(f"span{i}")
+    drawn = drawn.select("seq_id", "n", *(F.when(F.col("n") > i, z(i)).alias(f"z{i}") for i in places))
+    total = sum((F.when(F.col("n") > i, F.col(f"z{i}")).otherwise(0.0) for i in places), F.lit(0.0))
+    worst = F.greatest(*(f"z{i}" for i in places)) if most > 1 else F.col("z0")
+    gain = F.greatest(F.lit(0.0), F.lit(best) - (worst + RHO * total))
+    return drawn.groupBy("seq_id").agg((F.sum(gain) / draws).alias("acquisition"))
 
 
 SINGLE: dict[str, Callable[..., Column]] = {

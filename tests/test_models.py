@@ -1,5 +1,6 @@
 """Tuning against plain fits, the model store, and the guided evolutionary search."""
 
+import hashlib
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import properties
-from seqspark.operators import embed, select, store, surrogate
+from seqspark.operators import acquire, embed, select, store, surrogate
 from seqspark.plans import search
 
 
@@ -174,3 +175,33 @@ def test_many_picks_take_few_jobs(spark):
     spark.sparkContext.setJobGroup("other", "")
     assert got == plain_greedy(table["seq_id"].tolist(), table["acquisition"].to_numpy(), np.stack(table["embedding"]), 300)
     assert jobs < 75
+
+
+def test_draws_of_several_objectives_read_the_predictions_once(spark):
+    """A row without one objective keeps the other; one without a deviation gains nothing."""
+    rows = [("a", "x", 1.0, 0.5), ("a", "y", 2.0, 0.1), ("b", "x", 3.0, 0.2), ("c", "x", 0.0, None), ("c", "y", 5.0, 1.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    table = spark.createDataFrame(rows, "seq_id string, obj string, mean double, std double")
+    ways, weights = {"x": "max", "y": "min"}, {"x": 0.6, "y": 0.4}
+    got = dict(acquire.parego_ei(table.mapInArrow(run, table.schema), ways, weights, draws=8).collect())
+    assert read.value == len(rows)
+
+    def u(*key):
+        return (int(hashlib.md5("|".join(map(str, (42, *key))).encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+
+    normal = lambda *key: math.sqrt(-2 * math.log(u(*key, "a"))) * math.cos(2 * math.pi * u(*key, "b"))
+    signed = {(s, o): (-m if o == "x" else m, d) for s, o, m, d in rows}
+    lo, hi = ({o: f(m for (_, p), (m, _) in signed.items() if p == o) for o in ways} for f in (min, max))
+    scaled = lambda o, m: weights[o] * (m - lo[o]) / (hi[o] - lo[o])
+    value = lambda v: max(v) + 0.05 * sum(v)
+    best = min(value([scaled(o, m) for (s, o), (m, _) in signed.items() if s == k]) for k in "abc")
+    for k in "ab":
+        gains = [max(0.0, best - value([scaled(o, m + d * normal(k, o, j)) for (s, o), (m, d) in signed.items() if s == k])) for j in range(1, 9)]
+        assert got[k] == pytest.approx(sum(gains) / 8, abs=1e-12)
+    assert got["c"] == 0.0
