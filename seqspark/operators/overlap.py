@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AXES = "xyz"
 
@@ -154,8 +156,33 @@ def with_templates(inputs: DataFrame, templates: DataFrame, key: str = "seq_id")
 
 def with_provenance(scores: DataFrame, peptides: DataFrame) -> DataFrame:
     """Scores of sequences with the first place (protein_id, start_pos) that the sequence was taken from."""
-    first = peptides.groupBy("sequence").agg(F.min(F.struct("protein_id", "start_pos")).alias("at"))
-    return scores.join(first, "sequence", "left").select(*scores.columns, "at.protein_id", "at.start_pos")
+    return scores.join(first_places(peptides), "sequence", "left").select(*scores.columns, "protein_id", "start_pos")
+
+
+def first_places(peptides: DataFrame) -> DataFrame:
+    """(sequence, protein_id, start_pos): of each sequence's places the one with the least protein_id and then the least start_pos, nulls last.
+
+    Where both are whole numbers (start_pos of 32 bits at most), a place is one number, so that places are aggregated by hashes; structs would have all peptides sorted before and after the shuffle.
+    The number is a long for ids from -2^30 to 2^30 - 1 and a decimal for others and null.
+    """
+    types = {f.name: f.dataType for f in peptides.schema.fields}
+    narrow = (T.ByteType, T.ShortType, T.IntegerType)
+    if not (isinstance(types["protein_id"], (*narrow, T.LongType)) and isinstance(types["start_pos"], narrow)):
+        key = F.struct(F.col("protein_id").isNull().alias("no_protein"), "protein_id", F.col("start_pos").isNull().alias("no_start"), "start_pos")
+        return peptides.groupBy("sequence").agg(F.min(key).alias("at")).select("sequence", "at.protein_id", "at.start_pos")
+    unit, most = 2**33, 2**30
+    whole = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")
+    protein = F.col("protein_id").cast("long")
+    start = F.coalesce(F.col("start_pos").cast("long") + 2**31, F.lit(2**32))  # 0 to 2^32, null as the last
+    fits = protein.between(-most, most - 1)
+    near = F.min(F.when(fits, protein * unit + start))
+    far = F.min(F.when(fits.isNull() | ~fits, F.coalesce(protein.cast("decimal(20,0)"), whole(2**63)) * whole(unit) + start.cast("decimal(20,0)")))
+    first = peptides.groupBy("sequence").agg(near.alias("near"), far.alias("far"))
+    least = F.least("far", F.col("near").cast(first.schema["far"].dataType))
+    rest = F.pmod(least, whole(unit))
+    id_of = F.when(F.col("far").isNull(), F.shiftright("near", 33)).otherwise(F.nullif((least - rest) / whole(unit), whole(2**63)).cast("long"))
+    start_of = F.when(F.col("far").isNull(), F.col("near").bitwiseAND(F.lit(unit - 1))).otherwise(rest.cast("long"))
+    return first.select("sequence", id_of.cast(types["protein_id"]).alias("protein_id"), (F.nullif(start_of, F.lit(2**32)) - 2**31).cast(types["start_pos"]).alias("start_pos"))
 
 
 def required_scores(requested: list[str], available: list[str]) -> list[str]:
