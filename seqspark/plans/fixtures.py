@@ -1,7 +1,7 @@
 """Tables that the queries derive from the given ones, written once for both engines.
 
-``{name}`` stands for a given table or another fixture; ``{U:key}`` for the hash uniform of seed 42; ``{o}`` for the first list index; ``{g}`` for the
-flag that makes a regular-expression replacement global; ``{tiles}`` for the tiles of a sequence.
+``{name}`` stands for a given table or another fixture; ``{U:key}`` for the hash uniform of seed 42; ``{mean:column}`` for the mean of a column; ``{o}`` for
+the first list index; ``{g}`` for the flag that makes a regular-expression replacement global; ``{tiles}`` for the tiles of a sequence.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ FIXTURES = {
     # Tiles of 1 to 32 letters that cover every letter once.
     "peptides": "select seq_id protein_id, {tiles}",
     "predictions": "select l_partkey seq_id, cast(avg(l_quantity) as double) mean, cast(stddev_samp(l_quantity) as double) std from {lineitem} group by l_partkey",
-    "predictions_multi": """select l_partkey seq_id, 'obj1' obj, cast(avg(l_quantity) as double) mean, cast(stddev_samp(l_quantity) as double) std from {lineitem} group by l_partkey
-        union all select l_partkey seq_id, 'obj2' obj, cast(avg(l_discount) as double) mean, cast(stddev_samp(l_discount) as double) std from {lineitem} group by l_partkey""",
+    "predictions_multi": """select l_partkey seq_id, 'obj1' obj, cast({mean:l_quantity} as double) mean, cast(stddev_samp(l_quantity) as double) std from {lineitem} group by l_partkey
+        union all select l_partkey seq_id, 'obj2' obj, cast({mean:l_discount} as double) mean, cast(stddev_samp(l_discount) as double) std from {lineitem} group by l_partkey""",
     "scores": """select l_partkey seq_id, cast(-2.0*avg(l_quantity) as double) interface_dg, cast(5.5+20.0*avg(l_discount) as double) distance_score,
         cast(-avg(l_extendedprice)/150.0 as double) rosetta_score, cast(3.0+300.0*avg(l_tax) as double) sequence_pae,
         cast(sum(case when l_returnflag='R' then 1 else 0 end) as double)/count(*) iptm,
@@ -55,6 +55,13 @@ _UNIFORM = {
     "spark": "((cast(conv(substr(md5(concat_ws('|',42,%s)),1,8),16,10) as double)+0.5)/4294967296.0D)",
     "duckdb": "((cast(cast('0x'||substr(md5(concat_ws('|',42,%s)),1,8) as bigint) as double)+0.5)/4294967296.0)",
 }
+# Sums of doubles depend on the order of rows, so in Spark equal means would differ in their last bits and ties wouldn't go by key. Numbers of at most six decimal
+# places below 1e9 are added as whole millionths and divided once; where others are among them (or the sum overflows), it is the plain mean.
+_MILLIONTHS = "case when abs({x}) < 1e9D and rint({x}*1e6D)/1e6D = {x} then cast(rint({x}*1e6D) as bigint) end"
+_MEAN = {
+    "spark": f"coalesce(case when count({_MILLIONTHS}) = count({{x}}) then try_divide(try_sum({_MILLIONTHS}), 1e6D*count({{x}})) end, avg({{x}}))",
+    "duckdb": "avg({x})",
+}
 # Chunks of 100 letters, found in one pass, and the tiles of each; together they are the whole sequence.
 _TILES = ((0, 1), (1, 4), (5, 5), (10, 6), (16, 9), (25, 14), (39, 29), (68, 32))
 _CHUNK = "concat('.', chr(123), '1,100', chr(125))"
@@ -82,6 +89,8 @@ def render(sql: str, engine: str, sf_dir: str = "") -> str:
         name = m[1]
         if name.startswith("U:"):
             return _UNIFORM[engine] % name[2:]
+        if name.startswith("mean:"):
+            return _MEAN[engine].format(x=name[5:])
         if name in TABLES:
             return f"parquet.`{sf_dir}/{name}.parquet`" if engine == "spark" else name
         if name in FIXTURES:
